@@ -137,10 +137,14 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, nam
     bounds = frame.groupBy(*keys).agg(
         F.percentile_approx(value, [low, high], 10_000).alias("_b"), F.count(value).alias("_n"),
         F.min(value).alias("_min"), F.max(value).alias("_max"))
+    # Few rows: the bracket could miss a neighbour rank, so take the whole range.
+    few = F.col("_n") < F.lit(10.0 / bracket)
     bounds = bounds.select(
         *keys, "_n",
-        (F.col("_min") if low == 0.0 else F.col("_b")[0]).alias("_lo"),
-        (F.col("_max") if high == 1.0 else F.col("_b")[1]).alias("_hi"))
+        (F.col("_min") if low == 0.0 else
+         F.when(few, F.col("_min")).otherwise(F.col("_b")[0])).alias("_lo"),
+        (F.col("_max") if high == 1.0 else
+         F.when(few, F.col("_max")).otherwise(F.col("_b")[1])).alias("_hi"))
     joined = (frame.alias("l").join(bounded_broadcast(bounds).alias("r"), _same("l", "r", keys))
               .select("l.*", "_n", "_lo", "_hi"))
     spot = F.when(F.col(value) < F.col("_lo"), F.lit(None)).otherwise(F.col(value))

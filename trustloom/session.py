@@ -31,15 +31,19 @@ def build_session(app: str = "trustloom", master: str | None = None,
     return builder.getOrCreate()
 
 
-def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder below the cluster's shared checkpoint folder.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
-    The folder is read from ``spark.checkpoint.dir``. Only where that is unset
-    (local tests) a temporary one is made and set for the session.
+    Only where that is unset (local tests) a temporary one is made and set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="trustloom-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    return base
+
+
+def shared_dir(spark: SparkSession, purpose: str) -> str:
+    """A fresh folder below the cluster's shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
