@@ -18,8 +18,11 @@ UUID_NAMESPACE_DNS = "6ba7b8109dad11d180b400c04fd430c8"
 
 
 def half_even(value: Column, digits: int = 0) -> Column:
-    """Round half to even."""
-    return F.bround(value, digits)
+    """Round a double half to even at a decimal digit (on the scaled value, inside codegen)."""
+    if digits == 0:
+        return F.rint(value)
+    scale = float(10 ** digits)
+    return F.rint(value * scale) / scale
 
 
 def epoch_us(column: str) -> Column:
@@ -66,7 +69,7 @@ def numeric_text(value: Column) -> Column:
 def ratio_percent(part: Column, total: Column) -> Column:
     """Whole percent of part in total, 0 when total is 0 or missing."""
     share = part.cast("double") / F.nullif(total.cast("double"), F.lit(0.0))
-    return F.coalesce(F.bround(share * 100.0, 0), F.lit(0.0)).cast("bigint")
+    return F.coalesce(F.rint(share * 100.0), F.lit(0.0)).cast("bigint")
 
 
 def cast_by_type(value: Column, kind: Column) -> Column:

@@ -67,13 +67,15 @@ def strict_trust_stream(scores: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         mean, count = state.get if state.exists else (0.0, 0)
-        # A micro-batch bounds the rows of one key; they are put in arrival order.
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        head = max(0, depth - count)
-        for score in rows["score"].iloc[:head]:
-            mean = round((mean * count + score / 100) / (count + 1), 4)
-            count += 1
-        count += max(0, len(rows) - head)
+        room, seen, first = max(0, depth - count), 0, None
+        for batch in batches:
+            seen += len(batch)
+            if room:
+                first = batch if first is None else pd.concat([first, batch])
+                first = first.sort_values(["ts", "seq"]).head(room)
+        for n, score in enumerate([] if first is None else first["score"], start=count):
+            mean = round((mean * n + score / 100) / (n + 1), 4)
+        count += seen
         state.update((mean, count))
         yield pd.DataFrame({"id": [key[0]], "trust_index": [mean], "counter": [count]})
     return scores.groupBy("id").applyInPandasWithState(
