@@ -26,8 +26,10 @@ def half_even(value: Column, digits: int = 0) -> Column:
 
 
 def epoch_us(column: str) -> Column:
-    """Microseconds since 1970 of a TIMESTAMP_NTZ column, without any time zone."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {column})")
+    """Microseconds since 1970 of a TIMESTAMP_NTZ column, whatever the session's time zone."""
+    return F.expr(f"unix_date(CAST({column} AS DATE)) * 86400000000L + hour({column}) * 3600000000L"
+                  f" + minute({column}) * 60000000L"
+                  f" + CAST(extract(SECOND FROM {column}) * 1000000 AS BIGINT)")
 
 
 def epoch_ns(column: str) -> Column:

@@ -14,12 +14,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustloom.functions.local import as_local, fetched
+
 CHUNK_ROWS = 2_000_000
 BROADCAST_ROWS = 50_000
 
 
 def bounded_broadcast(dimension: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side that was counted and is small; else unchanged."""
+    """Broadcast hint for a side that was counted and is small; else unchanged.
+
+    A side of at most ``LOCAL_ROWS`` rows is fetched once and becomes a local
+    table, so that a plan using it several times does not compute it again.
+    """
+    head = fetched(dimension)
+    if head is not None:
+        return F.broadcast(as_local(dimension, head))
     small = dimension.limit(max_rows + 1).count() <= max_rows
     return F.broadcast(dimension) if small else dimension
 

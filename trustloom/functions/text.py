@@ -22,7 +22,8 @@ def string_array(values: Sequence[str]) -> Column:
 def list_map(entries: Mapping[str, Sequence[str]]) -> Column:
     """Literal map of a small dictionary of lists."""
     flat = [x for key, values in entries.items() for x in (F.lit(key), string_array(values))]
-    return F.create_map(*flat) if flat else F.create_map().cast("map<string,array<string>>")
+    return F.create_map(*flat) if flat else F.from_json(
+        F.lit("{}"), "map<string,array<string>>")
 
 
 def ngrams(tokens: Column, n: int) -> Column:

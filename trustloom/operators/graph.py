@@ -11,6 +11,7 @@ from trustloom.functions.paths import (element_name, element_type, full_name, pa
                                        path_prefixes, split_path, strip_leaf)
 from trustloom.functions.scalar import half_even
 from trustloom.functions.skew import bounded_broadcast
+from trustloom.functions.text import list_map
 from trustloom.session import ensure_checkpoint_dir
 
 MAX_DEPTH = 5
@@ -41,8 +42,7 @@ def build_nodes(entities: DataFrame, template: dict[str, Sequence[str]] | None =
             F.concat(F.lit("/node[name="), "host", F.lit("]")),
             F.concat(F.lit("/node[name="), "host", F.lit("]/bm")))).alias("fullname"))
     found = seen.unionByName(roots).distinct()
-    containers = F.create_map(*[x for key, names in template.items() for x in (
-        F.lit(key), F.array(*[F.lit(n) for n in names]))])
+    containers = list_map(template)
     kind = element_type(F.element_at(split_path(F.col("fullname")), -1))
     filled = found.select("host", "fullname", F.explode_outer(
         F.try_element_at(containers, kind)).alias("child"))

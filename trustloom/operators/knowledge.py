@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.functions.local import local_table
 from trustloom.functions.skew import bounded_broadcast
 
 RDF_TYPE = "rdf:type"
@@ -119,7 +120,7 @@ TRIPLE = ("s", "p", "o", "o_is_iri")
 def mapping_table(spark: SparkSession, text: str = CONCEPT_MAPPING) -> DataFrame:
     """Mapping rows from lines of six fields."""
     rows = [tuple(part.strip() for part in line.split("|")) for line in text.strip().splitlines()]
-    return spark.createDataFrame(rows, MAPPING_COLUMNS)
+    return local_table(spark, rows, MAPPING_COLUMNS)
 
 
 def iri_safe(value: Column) -> Column:
@@ -175,7 +176,7 @@ def fixed_instances(spark: SparkSession, base: str, vocabulary: str = "kg:",
     rows = [(f"{base}{cls}/{name}", p, o, iri)
             for cls, names in (instances or FIXED_INSTANCES).items() for name in names
             for p, o, iri in ((RDF_TYPE, vocabulary + cls, True), (LABEL, name, False))]
-    return spark.createDataFrame(rows, "s STRING, p STRING, o STRING, o_is_iri BOOLEAN")
+    return local_table(spark, rows, "s STRING, p STRING, o STRING, o_is_iri BOOLEAN")
 
 
 def ntriples(rows: DataFrame, prefixes: Mapping[str, str]) -> DataFrame:

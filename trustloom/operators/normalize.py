@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.functions.local import local_table
 from trustloom.functions.skew import bounded_broadcast
 
 # Raw category | raw attribute | path | metric | divisor.
@@ -131,7 +132,7 @@ def mapping_table(spark: SparkSession, text: str = METRIC_MAPPING) -> DataFrame:
         rows.append((category, attr, path, metric, float(divisor)))
     if text is METRIC_MAPPING:
         rows += [("net/dev", name, "/node/bm/net/if", name, 1.0) for name in SAME_NAME]
-    return spark.createDataFrame(rows, MAPPING_COLUMNS)
+    return local_table(spark, rows, MAPPING_COLUMNS)
 
 
 def normalize(raw: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -211,7 +212,7 @@ def kb_memory(raw: DataFrame) -> DataFrame:
 def kb_errors(spark: SparkSession, raw: DataFrame, text: str = ERROR_MAPPING) -> DataFrame:
     """Interface error metrics from ``/err/node/error/interface`` attributes."""
     rows = [tuple(p.strip() for p in line.split("|")) for line in text.strip().splitlines()]
-    table = spark.createDataFrame(rows, "node STRING, error STRING, metric STRING")
+    table = local_table(spark, rows, "node STRING, error STRING, metric STRING")
     errors = sorted({r[1] for r in rows})
     shape = r"^/err/(.+?)/(" + "|".join(
         e.replace("(", r"\(").replace(")", r"\)") for e in errors) + ")/(.*)$"

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from trustloom.functions.local import as_local, fetched, local_table
 from trustloom.functions.paths import full_name, parent_path
 from trustloom.functions.scalar import half_even, severity_weight
 from trustloom.functions.skew import (CHUNK_ROWS, bounded_broadcast, drop_halo, running_total,
@@ -17,7 +18,6 @@ from trustloom.functions.skew import (CHUNK_ROWS, bounded_broadcast, drop_halo,
 from trustloom.operators.series import SERIES, hour_bucket, typed
 
 SAMPLES_PER_MIN = 20
-MINUTES = (1, 5)
 TICK = ("host", "path", "entity", "ts", "seq")
 
 # The shipped rules as name | path | severity | rule.
@@ -70,7 +70,7 @@ def rule_table(spark: SparkSession, text: str = SHIPPED_RULES) -> DataFrame:
     """Rule rows from lines of ``name | path | severity | rule``."""
     rows = [tuple(part.strip() for part in line.split("|", 3))
             for line in text.strip().splitlines()]
-    return spark.createDataFrame(rows, RULE_COLUMNS)
+    return local_table(spark, rows, RULE_COLUMNS)
 
 
 def valid_severity(rules: DataFrame) -> DataFrame:
@@ -147,61 +147,62 @@ def compare(op: Column, left: Column, right: Column) -> Column:
             .when(op == ">", left > right).when(op == ">=", left >= right))
 
 
-def _operand_rows(samples: DataFrame, clauses: DataFrame, samples_per_min: int,
-                  chunk_rows: int) -> DataFrame:
+def _operand_rows(cut: DataFrame, clauses: DataFrame, lengths: list[int],
+                  moving: list[int]) -> DataFrame:
     """Samples joined to their operands with the operand's window features.
 
     Adds ``ready`` (enough samples), ``feature``, ``held`` (the constant
     comparison held for each of the newest n samples) and ``text``.
     Sustained checks are differences of running counts, so the cost per sample
-    does not depend on n.
+    does not depend on n. ``lengths`` are the n in use, ``moving`` those with
+    dynamicity.
     """
-    longest = max(MINUTES) * samples_per_min
-    cut = split_series(samples, SERIES, hour_bucket(), longest + 1, chunk_rows)
     rows = cut.join(clauses, ["path", "metric"])
     single = F.coalesce(compare(F.col("op"), F.col("v_num"), F.col("rhs_num")),
                         compare(F.col("op"), F.col("v_str"), F.col("rhs_str")), F.lit(False))
     w = (Window.partitionBy("rule_id", "clause_no", "role", *SERIES, "_chunk")
          .orderBy("ts", "seq"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    step = (F.lag("v_str").over(w).isNotNull()
-            & (F.lag("v_str").over(w) != F.col("v_str"))).cast("int")
-    rows = rows.withColumn("_step", step).withColumn("_fail", (~single).cast("int"))
-    rows = rows.withColumns({
-        "_len": F.row_number().over(w), "_fails": F.sum("_fail").over(upto),
-        "_steps": F.sum("_step").over(upto)})
-    sizes = [1] + [m * samples_per_min for m in MINUTES]
-
-    def by_n(make) -> Column:
-        out = F.when(F.col("n") == sizes[0], make(sizes[0]))
-        for size in sizes[1:]:
+    rows = rows.withColumn("_fail", (~single).cast("int"))
+    running = {"_len": F.row_number().over(w), "_fails": F.sum("_fail").over(upto)}
+    if moving:
+        before = F.lag("v_str").over(w)
+        rows = rows.withColumn("_step", F.coalesce((before != F.col("v_str")).cast("int"), F.lit(0)))
+        running["_steps"] = F.sum("_step").over(upto)
+    rows = rows.withColumns(running)
+
+    def by_n(sizes: list[int], make) -> Column:
+        out = F.when(F.lit(False), make(sizes[0]))
+        for size in sizes:
             out = out.when(F.col("n") == size, make(size))
         return out
 
     def recent(column: str, size: int) -> Column:
         return F.col(column) - F.coalesce(F.lag(column, size).over(w), F.lit(0))
-    back = by_n(lambda s: F.coalesce(F.lag("v_num", s).over(w), F.lag("v_num", s - 1).over(w)))
-    mean = by_n(lambda s: F.avg("v_num").over(w.rowsBetween(-(s - 1), 0)))
-    steps = by_n(lambda s: recent("_steps", s - 1) if s > 1 else F.lit(0))
-    fails = by_n(lambda s: recent("_fails", s))
-    change = F.col("v_num") - F.col("_back")
-    rows = rows.withColumns({"_back": back, "_mean": mean, "_changes": steps, "_failed": fails})
-    dynamicity = (F.when(F.col("vtype") == "str", (F.col("_changes") > 0).cast("double"))
-                  .when((F.col("counter") != 0) & (F.col("vtype") == "float"), half_even(change, 2))
-                  .when(F.col("counter") != 0, change)
-                  .when(F.col("vtype") == "float", half_even(F.col("_mean"), 2))
-                  .otherwise(F.col("_mean").cast("bigint").cast("double")))
+    features = {"_failed": by_n(lengths, lambda n: recent("_fails", n))}
+    if moving:
+        features["_back"] = by_n(moving, lambda n: F.coalesce(
+            F.lag("v_num", n).over(w), F.lag("v_num", n - 1).over(w) if n > 1 else F.col("v_num")))
+        features["_mean"] = by_n(moving, lambda n: F.avg("v_num").over(
+            w.rowsBetween(-(n - 1), 0)) if n > 1 else F.col("v_num"))
+        features["_changes"] = by_n(moving, lambda n: recent("_steps", n - 1) if n > 1 else F.lit(0))
+    rows = rows.withColumns(features)
+    feature = F.col("v_num")
+    if moving:
+        change = F.col("v_num") - F.col("_back")
+        feature = F.when(F.col("dynamicity"), (
+            F.when(F.col("vtype") == "str", (F.col("_changes") > 0).cast("double"))
+            .when((F.col("counter") != 0) & (F.col("vtype") == "float"), half_even(change, 2))
+            .when(F.col("counter") != 0, change)
+            .when(F.col("vtype") == "float", half_even(F.col("_mean"), 2))
+            .otherwise(F.col("_mean").cast("bigint").cast("double")))).otherwise(feature)
     out = rows.withColumns({
-        "ready": F.col("_len") >= F.col("n"),
-        "feature": F.when(F.col("dynamicity"), dynamicity).otherwise(F.col("v_num")),
-        "text": F.when(~F.col("dynamicity"), F.col("v_str")),
-        "held": F.col("_failed") == 0})
-    return drop_halo(out).drop("_len", "_fails", "_steps", "_fail", "_step", "_back", "_mean",
-                               "_changes", "_failed")
+        "ready": F.col("_len") >= F.col("n"), "feature": feature,
+        "text": F.when(~F.col("dynamicity"), F.col("v_str")), "held": F.col("_failed") == 0})
+    return drop_halo(out)
 
 
-def rule_hits(samples: DataFrame, clauses: DataFrame, samples_per_min: int = SAMPLES_PER_MIN,
-              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def rule_hits(samples: DataFrame, clauses: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Ticks at which a rule fires: ``rule_id, name, severity, weight`` plus host, path, entity, ts, seq.
 
     The metrics of one entity are sampled at the same ticks. Rules of a single
@@ -211,22 +212,44 @@ def rule_hits(samples: DataFrame, clauses: DataFrame, samples_per_min: int = SAM
     samples = typed(samples)
     clauses = clauses.filter("valid").select(
         "rule_id", "name", "severity", "path", "metric", "joiner", "clauses", "clause_no",
-        "operands", "transform", "op", "rhs_num", "rhs_str", "role", "dynamicity", "n")
-    whole = Window.partitionBy("rule_id")
-    clauses = clauses.withColumn("_operands", F.count(F.lit(1)).over(whole))
-    alone = bounded_broadcast(clauses.filter("_operands = 1"))
-    mixed = bounded_broadcast(clauses.filter("_operands > 1"))
+        "operands", "transform", "op", "rhs_num", "rhs_str", "role", "dynamicity", "n",
+        F.count(F.lit(1)).over(Window.partitionBy("rule_id")).alias("_operands"))
+    rows = fetched(clauses)
+    if rows is not None:
+        clauses = as_local(clauses, rows)
+        used = {(r["_operands"] == 1, r["dynamicity"], r["n"]) for r in rows.to_pylist()}
+    else:
+        used = {(r["alone"], r["dynamicity"], r["n"]) for r in clauses.select(
+            (F.col("_operands") == 1).alias("alone"), "dynamicity", "n").distinct().collect()}
+    if not used:
+        raise ValueError("no valid rule")
+    depth = max(n for _, _, n in used) + 1
+    cut = split_series(samples, SERIES, hour_bucket(), depth, chunk_rows)
     rule_cols = ["rule_id", "name", "severity"]
-
-    fired = F.when(F.col("dynamicity"), compare(F.col("op"), F.col("feature"), F.col("rhs_num"))
-                   ).otherwise(F.col("held"))
-    single = (_operand_rows(samples, alone, samples_per_min, chunk_rows)
-              .filter(F.col("ready") & fired).select(*rule_cols, *TICK))
-
-    parts = _operand_rows(samples, mixed, samples_per_min, chunk_rows)
-    # Ticks are tiny groups: at most one row per operand of the rule.
-    clause = parts.groupBy(*rule_cols, "joiner", "clauses", "clause_no", "operands", "transform",
-                           "op", "rhs_num", "rhs_str", *TICK).agg(
+    branches = []
+    for alone in (True, False):
+        lengths = sorted({n for a, _, n in used if a == alone})
+        if not lengths:
+            continue
+        moving = sorted({n for a, d, n in used if a == alone and d})
+        mine = clauses.filter(F.col("_operands") == 1 if alone else F.col("_operands") > 1)
+        mine = F.broadcast(mine) if rows is not None else bounded_broadcast(mine)
+        operands = _operand_rows(cut, mine, lengths, moving)
+        if alone:
+            fired = F.when(F.col("dynamicity"), compare(
+                F.col("op"), F.col("feature"), F.col("rhs_num"))).otherwise(F.col("held"))
+            hits = operands.filter(F.col("ready") & fired)
+        else:
+            hits = _combined(operands, rule_cols)
+        branches.append(hits.select(*rule_cols, *TICK))
+    out = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
+    return out.withColumn("weight", severity_weight(F.col("severity")))
+
+
+def _combined(operands: DataFrame, rule_cols: list[str]) -> DataFrame:
+    """Rules of several operands, decided per tick; a tick has one row per operand at most."""
+    clause = operands.groupBy(*rule_cols, "joiner", "clauses", "clause_no", "operands", "transform",
+                              "op", "rhs_num", "rhs_str", *TICK).agg(
         F.max(F.when(F.col("role") == "a", F.col("feature"))).alias("a"),
         F.max(F.when(F.col("role") == "b", F.col("feature"))).alias("b"),
         F.max(F.when(F.col("role") == "r", F.col("feature"))).alias("r"),
@@ -247,9 +270,8 @@ def rule_hits(samples: DataFrame, clauses: DataFrame, samples_per_min: int = SAM
            & F.when(plain, F.col("held")).otherwise(computed))
     ticks = clause.withColumn("hit", hit).groupBy(*rule_cols, "joiner", "clauses", *TICK).agg(
         F.count_if("hit").alias("hits"))
-    combined = ticks.filter(F.when(F.col("joiner") == "or", F.col("hits") > 0).otherwise(
-        F.col("hits") == F.col("clauses"))).select(*rule_cols, *TICK)
-    return single.unionByName(combined).withColumn("weight", severity_weight(F.col("severity")))
+    return ticks.filter(F.when(F.col("joiner") == "or", F.col("hits") > 0).otherwise(
+        F.col("hits") == F.col("clauses")))
 
 
 def active_hits(hits: DataFrame, nodes: DataFrame) -> DataFrame:
