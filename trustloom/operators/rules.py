@@ -18,6 +18,7 @@ from trustloom.functions.skew import (CHUNK_ROWS, bounded_broadcast, drop_halo,
 from trustloom.operators.series import SERIES, hour_bucket, typed
 
 SAMPLES_PER_MIN = 20
+RULE_LIMIT = 10_000
 TICK = ("host", "path", "entity", "ts", "seq")
 
 # The shipped rules as name | path | severity | rule.
@@ -147,24 +148,41 @@ def compare(op: Column, left: Column, right: Column) -> Column:
             .when(op == ">", left > right).when(op == ">=", left >= right))
 
 
-def _operand_rows(cut: DataFrame, clauses: DataFrame, lengths: list[int],
-                  moving: list[int]) -> DataFrame:
-    """Samples joined to their operands with the operand's window features.
+OPERAND = ("rule_no", "clause_no", "role", "op", "rhs_num", "rhs_str", "dynamicity", "n")
 
-    Adds ``ready`` (enough samples), ``feature``, ``held`` (the constant
-    comparison held for each of the newest n samples) and ``text``.
-    Sustained checks are differences of running counts, so the cost per sample
-    does not depend on n. ``lengths`` are the n in use, ``moving`` those with
-    dynamicity.
+
+def _constant_test() -> Column:
+    """The comparison of the sample with the operand's constant; false without one."""
+    return F.coalesce(compare(F.col("op"), F.col("v_num"), F.col("rhs_num")),
+                      compare(F.col("op"), F.col("v_str"), F.col("rhs_str")), F.lit(False))
+
+
+def _instant(samples: DataFrame, operands: DataFrame) -> DataFrame:
+    """Operands on the newest value only: decided in the sample's own row, no window."""
+    rows = samples.join(operands, ["path", "metric"])
+    return rows.select(*OPERAND, "host", "path", "entity", "ts", "seq", F.lit(True).alias("ready"),
+                       F.col("v_num").alias("feature"), F.col("v_str").alias("text"),
+                       _constant_test().alias("held"))
+
+
+def _windowed(cut: DataFrame, operands: DataFrame, steady: list[int],
+              moving: list[int]) -> DataFrame:
+    """Operands over the newest n samples of a series.
+
+    ``ready`` means enough samples, ``held`` that the constant comparison held
+    for each of the n, ``feature`` is the dynamicity. Sustained checks are
+    differences of running counts, so their cost does not depend on n. Rows
+    carry the operand's number only; its other columns are joined afterwards.
+    ``steady`` are the n of sustained checks, ``moving`` those of dynamicity.
     """
-    rows = cut.join(clauses, ["path", "metric"])
-    single = F.coalesce(compare(F.col("op"), F.col("v_num"), F.col("rhs_num")),
-                        compare(F.col("op"), F.col("v_str"), F.col("rhs_str")), F.lit(False))
-    w = (Window.partitionBy("rule_id", "clause_no", "role", *SERIES, "_chunk")
-         .orderBy("ts", "seq"))
+    rows = (cut.join(operands, ["path", "metric"])
+            .select("operand_no", "host", "entity", "_chunk", "_halo", "ts", "seq", "v_num", "v_str",
+                    "vtype", "counter", "n", (~_constant_test()).cast("int").alias("_fail")))
+    w = Window.partitionBy("operand_no", "host", "entity", "_chunk").orderBy("ts", "seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_fail", (~single).cast("int"))
-    running = {"_len": F.row_number().over(w), "_fails": F.sum("_fail").over(upto)}
+    running = {"_len": F.row_number().over(w)}
+    if steady:
+        running["_fails"] = F.sum("_fail").over(upto)
     if moving:
         before = F.lag("v_str").over(w)
         rows = rows.withColumn("_step", F.coalesce((before != F.col("v_str")).cast("int"), F.lit(0)))
@@ -172,14 +190,16 @@ def _operand_rows(cut: DataFrame, clauses: DataFrame, lengths: list[int],
     rows = rows.withColumns(running)
 
     def by_n(sizes: list[int], make) -> Column:
-        out = F.when(F.lit(False), make(sizes[0]))
-        for size in sizes:
+        out = F.when(F.col("n") == sizes[0], make(sizes[0]))
+        for size in sizes[1:]:
             out = out.when(F.col("n") == size, make(size))
         return out
 
     def recent(column: str, size: int) -> Column:
         return F.col(column) - F.coalesce(F.lag(column, size).over(w), F.lit(0))
-    features = {"_failed": by_n(lengths, lambda n: recent("_fails", n))}
+    features = {}
+    if steady:
+        features["_failed"] = by_n(steady, lambda n: recent("_fails", n))
     if moving:
         features["_back"] = by_n(moving, lambda n: F.coalesce(
             F.lag("v_num", n).over(w), F.lag("v_num", n - 1).over(w) if n > 1 else F.col("v_num")))
@@ -187,89 +207,115 @@ def _operand_rows(cut: DataFrame, clauses: DataFrame, lengths: list[int],
             w.rowsBetween(-(n - 1), 0)) if n > 1 else F.col("v_num"))
         features["_changes"] = by_n(moving, lambda n: recent("_steps", n - 1) if n > 1 else F.lit(0))
     rows = rows.withColumns(features)
-    feature = F.col("v_num")
+    feature = F.lit(None).cast("double")
     if moving:
         change = F.col("v_num") - F.col("_back")
-        feature = F.when(F.col("dynamicity"), (
-            F.when(F.col("vtype") == "str", (F.col("_changes") > 0).cast("double"))
-            .when((F.col("counter") != 0) & (F.col("vtype") == "float"), half_even(change, 2))
-            .when(F.col("counter") != 0, change)
-            .when(F.col("vtype") == "float", half_even(F.col("_mean"), 2))
-            .otherwise(F.col("_mean").cast("bigint").cast("double")))).otherwise(feature)
-    out = rows.withColumns({
-        "ready": F.col("_len") >= F.col("n"), "feature": feature,
-        "text": F.when(~F.col("dynamicity"), F.col("v_str")), "held": F.col("_failed") == 0})
-    return drop_halo(out)
-
-
-def rule_hits(samples: DataFrame, clauses: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+        feature = (F.when(F.col("vtype") == "str", (F.col("_changes") > 0).cast("double"))
+                   .when((F.col("counter") != 0) & (F.col("vtype") == "float"), half_even(change, 2))
+                   .when(F.col("counter") != 0, change)
+                   .when(F.col("vtype") == "float", half_even(F.col("_mean"), 2))
+                   .otherwise(F.col("_mean").cast("bigint").cast("double")))
+    held = F.col("_failed") == 0 if steady else F.lit(False)
+    out = (rows.filter(~F.col("_halo") & (F.col("_len") >= F.col("n")))
+           .select("operand_no", "host", "entity", "ts", "seq", F.lit(True).alias("ready"),
+                   feature.alias("feature"), F.lit(None).cast("string").alias("text"),
+                   held.alias("held")))
+    return out.join(operands.select("operand_no", "path", *OPERAND), "operand_no").drop("operand_no")
+
+
+def rule_hits(samples: DataFrame, clauses: DataFrame, text_pairs: bool = False,
+              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Ticks at which a rule fires: ``rule_id, name, severity, weight`` plus host, path, entity, ts, seq.
 
-    The metrics of one entity are sampled at the same ticks. Rules of a single
-    operand are decided by the window alone; only rules that combine operands
-    are grouped by tick.
+    The metrics of one entity are sampled at the same ticks. Operands on the
+    newest value never leave the sample's row; operands over several samples run
+    in a window on the series; only rules that combine operands are grouped by
+    tick. ``text_pairs`` is needed to compare two text metrics with each other.
     """
     samples = typed(samples)
-    clauses = clauses.filter("valid").select(
-        "rule_id", "name", "severity", "path", "metric", "joiner", "clauses", "clause_no",
-        "operands", "transform", "op", "rhs_num", "rhs_str", "role", "dynamicity", "n",
-        F.count(F.lit(1)).over(Window.partitionBy("rule_id")).alias("_operands"))
-    rows = fetched(clauses)
-    if rows is not None:
-        clauses = as_local(clauses, rows)
-        used = {(r["_operands"] == 1, r["dynamicity"], r["n"]) for r in rows.to_pylist()}
-    else:
-        used = {(r["alone"], r["dynamicity"], r["n"]) for r in clauses.select(
-            (F.col("_operands") == 1).alias("alone"), "dynamicity", "n").distinct().collect()}
-    if not used:
+    whole, counted = Window.orderBy("rule_id"), Window.partitionBy("rule_id")
+    clauses = clauses.filter("valid").withColumns({
+        "rule_no": F.dense_rank().over(whole), "_operands": F.count(F.lit(1)).over(counted),
+        "operand_no": F.row_number().over(Window.orderBy("rule_id", "clause_no", "role"))})
+    rows = fetched(clauses, RULE_LIMIT)
+    if rows is None:
+        raise ValueError(f"a rule set has at most {RULE_LIMIT} operands")
+    if rows.num_rows == 0:
         raise ValueError("no valid rule")
-    depth = max(n for _, _, n in used) + 1
-    cut = split_series(samples, SERIES, hour_bucket(), depth, chunk_rows)
-    rule_cols = ["rule_id", "name", "severity"]
-    branches = []
-    for alone in (True, False):
-        lengths = sorted({n for a, _, n in used if a == alone})
-        if not lengths:
-            continue
-        moving = sorted({n for a, d, n in used if a == alone and d})
-        mine = clauses.filter(F.col("_operands") == 1 if alone else F.col("_operands") > 1)
-        mine = F.broadcast(mine) if rows is not None else bounded_broadcast(mine)
-        operands = _operand_rows(cut, mine, lengths, moving)
-        if alone:
-            fired = F.when(F.col("dynamicity"), compare(
-                F.col("op"), F.col("feature"), F.col("rhs_num"))).otherwise(F.col("held"))
-            hits = operands.filter(F.col("ready") & fired)
-        else:
-            hits = _combined(operands, rule_cols)
-        branches.append(hits.select(*rule_cols, *TICK))
-    out = branches[0] if len(branches) == 1 else branches[0].unionByName(branches[1])
-    return out.withColumn("weight", severity_weight(F.col("severity")))
-
-
-def _combined(operands: DataFrame, rule_cols: list[str]) -> DataFrame:
-    """Rules of several operands, decided per tick; a tick has one row per operand at most."""
-    clause = operands.groupBy(*rule_cols, "joiner", "clauses", "clause_no", "operands", "transform",
-                              "op", "rhs_num", "rhs_str", *TICK).agg(
-        F.max(F.when(F.col("role") == "a", F.col("feature"))).alias("a"),
-        F.max(F.when(F.col("role") == "b", F.col("feature"))).alias("b"),
-        F.max(F.when(F.col("role") == "r", F.col("feature"))).alias("r"),
-        F.max(F.when(F.col("role") == "a", F.col("text"))).alias("a_text"),
-        F.max(F.when(F.col("role") == "r", F.col("text"))).alias("r_text"),
-        F.bool_and("ready").alias("ready"), F.bool_or("dynamicity").alias("dynamicity"),
-        F.bool_and("held").alias("held"), F.count(F.lit(1)).alias("present"))
+    clauses = as_local(clauses, rows)
+    window = (F.col("n") > 1) | F.col("dynamicity")
+    single = F.col("_operands") == 1
+    fired = F.when(F.col("dynamicity"), compare(
+        F.col("op"), F.col("feature"), F.col("rhs_num"))).otherwise(F.col("held"))
+    records = rows.to_pylist()
+    spans = [r for r in records if r["n"] > 1 or r["dynamicity"]]
+    cut = None
+    if spans:
+        known = samples.join(F.broadcast(clauses.filter(window).select("path", "metric").distinct()),
+                             ["path", "metric"], "left_semi")
+        cut = split_series(known, SERIES, hour_bucket(), max(r["n"] for r in spans) + 1, chunk_rows)
+
+    def evaluated(alone: bool) -> DataFrame | None:
+        mine = [r for r in records if (r["_operands"] == 1) == alone]
+        wide = [r for r in mine if r["n"] > 1 or r["dynamicity"]]
+        part = clauses.filter(single if alone else ~single)
+        pieces = []
+        if len(wide) < len(mine):
+            pieces.append(_instant(samples, F.broadcast(part.filter(~window))))
+        if wide:
+            pieces.append(_windowed(cut, F.broadcast(part.filter(window)),
+                                    sorted({r["n"] for r in wide if not r["dynamicity"]}),
+                                    sorted({r["n"] for r in wide if r["dynamicity"]})))
+        if not pieces:
+            return None
+        return pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
+    hits = []
+    simple, several = evaluated(True), evaluated(False)
+    if simple is not None:
+        hits.append(simple.filter(fired).select("rule_no", *TICK))
+    if several is not None:
+        clause_shape = clauses.groupBy("rule_no", "clause_no", "operands", "transform", "op",
+                                       "rhs_num").agg(F.bool_or("dynamicity").alias("moving"))
+        rule_shape = clauses.select("rule_no", "joiner", "clauses").distinct()
+        hits.append(_combined(several, F.broadcast(clause_shape), F.broadcast(rule_shape),
+                              text_pairs).select("rule_no", *TICK))
+    out = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
+    names = clauses.select("rule_no", "rule_id", "name", "severity",
+                           severity_weight(F.col("severity")).alias("weight")).distinct()
+    return out.join(F.broadcast(names), "rule_no").select(
+        "rule_id", "name", "severity", "weight", *TICK)
+
+
+def _combined(operands: DataFrame, clause_shape: DataFrame, rule_shape: DataFrame,
+              text_pairs: bool) -> DataFrame:
+    """Rules of several operands, decided per tick; a tick has one row per operand at most.
+
+    Rows are shuffled once by rule and tick; both aggregates use that
+    partitioning. Only numbers and flags are aggregated, which keeps them hash
+    aggregates; text is carried for ``text_pairs`` only.
+    """
+    def side(role: str, column: str) -> Column:
+        return F.max(F.when(F.col("role") == role, F.col(column)))
+    sums = [side("a", "feature").alias("a"), side("b", "feature").alias("b"),
+            side("r", "feature").alias("r"), F.bool_and("held").alias("held"),
+            F.count(F.lit(1)).alias("present")]
+    if text_pairs:
+        sums += [side("a", "text").alias("a_text"), side("r", "text").alias("r_text")]
+    clause = (operands.repartition("rule_no", *TICK).groupBy("rule_no", *TICK, "clause_no").agg(*sums)
+              .join(clause_shape, ["rule_no", "clause_no"]))
     a, b = F.col("a"), F.col("b")
     left = (F.when(F.col("transform") == "+", a + b).when(F.col("transform") == "-", a - b)
             .when(F.col("transform") == "*", a * b)
             .when(F.col("transform") == "/", F.when(b == 0, F.lit(0.0)).otherwise(a / b))
             .otherwise(a))
-    computed = F.coalesce(
-        compare(F.col("op"), left, F.coalesce("rhs_num", "r")),
-        compare(F.col("op"), F.col("a_text"), F.coalesce("rhs_str", "r_text")), F.lit(False))
-    plain = (F.col("operands") == 1) & ~F.col("dynamicity")
-    hit = (F.col("ready") & (F.col("present") == F.col("operands"))
-           & F.when(plain, F.col("held")).otherwise(computed))
-    ticks = clause.withColumn("hit", hit).groupBy(*rule_cols, "joiner", "clauses", *TICK).agg(
-        F.count_if("hit").alias("hits"))
+    computed = compare(F.col("op"), left, F.coalesce("rhs_num", "r"))
+    if text_pairs:
+        computed = F.coalesce(computed, compare(F.col("op"), F.col("a_text"), F.col("r_text")))
+    plain = (F.col("operands") == 1) & ~F.col("moving")
+    hit = (F.col("present") == F.col("operands")) & F.when(plain, F.col("held")).otherwise(
+        F.coalesce(computed, F.lit(False)))
+    ticks = clause.withColumn("hit", hit).groupBy("rule_no", *TICK).agg(
+        F.count_if("hit").alias("hits")).join(rule_shape, "rule_no")
     return ticks.filter(F.when(F.col("joiner") == "or", F.col("hits") > 0).otherwise(
         F.col("hits") == F.col("clauses")))
 
