@@ -12,7 +12,7 @@ from trustloom.functions.paths import (element_name, element_type, full_name, pa
 from trustloom.functions.scalar import half_even
 from trustloom.functions.skew import bounded_broadcast
 from trustloom.functions.text import list_map
-from trustloom.session import ensure_checkpoint_dir
+from trustloom.session import ensure_checkpoint_dir, staged
 
 MAX_DEPTH = 5
 
@@ -137,14 +137,16 @@ def rollup_scores(nodes: DataFrame, losses: DataFrame, method: str = "quadratic-
     ``nodes`` has the keys, ``fullname, parent, depth, active, impacting``;
     ``losses`` has the keys, ``fullname`` and ``loss`` (points lost to symptoms,
     one row per symptom). A node scores the roll-up of its active impacting
-    children, 100 without any, less its own losses. One aggregate and one join
-    per level of a tree of fixed depth; the aggregate combines before the
+    children, 100 without any, less its own losses. The nodes are written once,
+    split by depth, so each level reads its own part only. One aggregate and one
+    join per level of a tree of fixed depth; the aggregate combines before the
     shuffle, so a parent with very many children is no hot spot.
     """
     keys = list(keys)
     total = losses.groupBy(*keys, "fullname").agg(F.sum("loss").alias("_loss"))
     base = nodes.select(*keys, "fullname", "parent", "depth", "active", "impacting").join(
         total, [*keys, "fullname"], "left").withColumn("_loss", F.coalesce("_loss", F.lit(0)))
+    base = staged(base, "rollup", "depth")
     own = F.greatest(F.lit(0.0), F.coalesce("_rolled", F.lit(100.0)) - F.col("_loss"))
     scored = None
     above = None

@@ -249,7 +249,7 @@ def filesystem_usage(rows: DataFrame) -> DataFrame:
 
 def paired_lines(snapshots: DataFrame, file: str, category: str) -> DataFrame:
     """Files whose lines alternate between names and values under one prefix."""
-    lines = F.split(F.trim(F.col("content")), "\n")
+    lines = F.split(F.regexp_replace("content", r"\s+$", ""), "\n")
     pairs = F.transform(
         F.sequence(F.lit(0), F.greatest(F.floor(F.size(lines) / 2).cast("int") - 1, F.lit(0))),
         lambda k: F.struct(F.split(F.trim(F.get(lines, k * 2)), r"\s+").alias("n"),
@@ -265,7 +265,7 @@ def paired_lines(snapshots: DataFrame, file: str, category: str) -> DataFrame:
 
 def hex_cache(snapshots: DataFrame, file: str, category: str) -> DataFrame:
     """Cache files with a header line and one hexadecimal row per cpu."""
-    lines = F.split(F.trim(F.col("content")), "\n")
+    lines = F.split(F.regexp_replace("content", r"\s+$", ""), "\n")
     names = F.split(F.trim(lines[0]), r"\s+")
     rows = (snapshots.filter(F.col("file").like(file))
             .select("host", "ts", names.alias("names"), F.posexplode(F.slice(
