@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trustloom.functions.hof import let
+
 # Path elements whose next name is an index, and their leaf types.
 INDEXED_BEFORE = ("vm", "kb", "cpus", "if", "sensors", "disks")
 OUTER_INDEXED = ("vm", "kb", "ioam")
@@ -52,8 +54,9 @@ def element_keys(element: Column) -> Column:
 
 def path_prefixes(elements: Column) -> Column:
     """All non-empty prefixes of an element array as paths, shortest first."""
-    return F.transform(F.sequence(F.lit(1), F.size(elements)), lambda i: F.concat(
-        F.lit("/"), F.array_join(F.slice(elements, 1, i), "/")))
+    return let(elements, lambda all_: F.transform(
+        F.sequence(F.lit(1), F.size(all_)),
+        lambda i: F.concat(F.lit("/"), F.array_join(F.slice(all_, 1, i), "/"))))
 
 
 def full_name(host: Column, path: Column, entity: Column) -> Column:

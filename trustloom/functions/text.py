@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trustloom.functions.hof import let, positions
+
 WORD = r"[\p{L}\p{N}_]+"
 
 
@@ -33,15 +35,19 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
 
 
+def _members(items: Column, values: Sequence[str]) -> Column:
+    """Elements that are one of the values."""
+    return F.filter(items, lambda item: item.isin(list(values)))
+
+
 def phrase_matches(tokens: Column, phrases: Sequence[str]) -> Column:
     """Every occurrence of a phrase in the token sequence, joined with underscores.
 
     Phrases are matched in lower case, as the text is.
     """
     lowered = [p.lower() for p in phrases]
-    found = [F.filter(ngrams(tokens, n), lambda g, n=n: g.isin(
-        [p for p in lowered if len(p.split()) == n]))
-        for n in sorted({len(p.split()) for p in lowered})]
+    found = [_members(ngrams(tokens, n), [p for p in lowered if len(p.split()) == n])
+             for n in sorted({len(p.split()) for p in lowered})]
     if not found:
         return F.array().cast("array<string>")
     return F.transform(F.concat(*found), lambda p: F.replace(p, F.lit(" "), F.lit("_")))
@@ -53,7 +59,11 @@ def normalize(text: Column, phrases: Sequence[str], synonyms: Mapping[str, Seque
 
     Stop words, tokens of one or two characters and pure digits are dropped.
     """
-    tokens = words(text)
+    return let(words(text), lambda tokens: _normalized(tokens, phrases, synonyms, stopwords))
+
+
+def _normalized(tokens: Column, phrases: Sequence[str], synonyms: Mapping[str, Sequence[str]],
+                stopwords: Sequence[str]) -> Column:
     if synonyms:
         table = list_map(synonyms)
         expanded = F.flatten(F.transform(
@@ -68,20 +78,23 @@ def normalize(text: Column, phrases: Sequence[str], synonyms: Mapping[str, Seque
 
 def term_counts(tokens: Column) -> Column:
     """Array of (term, tf), by sorting and cutting at term borders."""
-    ordered = F.array_sort(tokens)
-    size = F.size(ordered)
-    at = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(at, lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
-    return F.transform(starts, lambda s, k: F.struct(
-        F.get(ordered, s).alias("term"),
-        (F.coalesce(F.get(starts, k + 1), size) - s).alias("tf")))
+    def cut(ordered: Column) -> Column:
+        starts = F.filter(positions(ordered), lambda i: (i == 0) | (
+            F.get(ordered, i) != F.get(ordered, i - 1)))
+        return let(starts, lambda at: F.transform(at, lambda s, k: F.struct(
+            F.get(ordered, s).alias("term"),
+            (F.coalesce(F.get(at, k + 1), F.size(ordered)) - s).alias("tf"))))
+    return let(F.array_sort(tokens), cut)
 
 
 def category(tokens: Column, keywords: Mapping[str, Sequence[str]]) -> Column:
     """Category with the most keyword hits; the first one wins ties, ``other`` without a hit."""
-    hits = [F.size(F.filter(tokens, lambda t, ks=list(ks): t.isin(ks))) for ks in keywords.values()]
-    best = F.greatest(*hits) if len(hits) > 1 else hits[0]
-    out = F.when(best == 0, "other")
-    for name, hit in zip(keywords, hits):
-        out = out.when(hit == best, name)
-    return out
+    def choose(hits: Column) -> Column:
+        out = F.when(F.array_max(hits) == 0, "other")
+        for position, name in enumerate(keywords):
+            out = out.when(F.get(hits, F.lit(position)) == F.array_max(hits), name)
+        return out
+
+    def count(tokens: Column) -> Column:
+        return F.array(*[F.size(_members(tokens, ks)) for ks in keywords.values()])
+    return let(let(tokens, count), choose)

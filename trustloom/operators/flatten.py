@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trustloom.functions.hof import let
 from trustloom.functions.paths import keyed_path, unkeyed_path
 from trustloom.functions.scalar import numeric_text
 from trustloom.sources.schemas import SNAPSHOT, WIDE_SCORE
@@ -37,13 +38,8 @@ def explode_envelope(messages: DataFrame, *keep: str) -> DataFrame:
 
 def last_per_path(pairs: Column) -> Column:
     """Array of (path, pos, value) -> the same with only the last pos of each path."""
-    ordered = F.array_sort(pairs)
-    following = F.slice(F.array_append(ordered, F.lit(None)), F.lit(2), F.size(ordered))
-    kept = F.filter(
-        F.zip_with(ordered, following, lambda a, b: F.struct(
-            a.alias("this"), (b.isNull() | (a["path"] != b["path"])).alias("last"))),
-        lambda z: z["last"])
-    return F.transform(kept, lambda z: z["this"])
+    return let(F.array_sort(pairs), lambda ordered: F.filter(ordered, lambda p, i: F.coalesce(
+        F.get(ordered, i + 1)["path"] != p["path"], F.lit(True))))
 
 
 def envelope_snapshots(messages: DataFrame, device: Column, *keep: str,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustloom.functions.hof import let
 from trustloom.functions.paths import (element_name, element_type, full_name, parent_path,
                                        path_prefixes, split_path, strip_leaf)
 from trustloom.functions.scalar import half_even
@@ -238,9 +239,9 @@ def graph_bags(bags: DataFrame, versions: DataFrame) -> DataFrame:
 
 def graph_edges(paths: DataFrame, column: str = "path") -> DataFrame:
     """Distinct parent-child edges between the prefixes of every path, numbered by weight."""
-    prefixes = path_prefixes(split_path(F.col(column)))
-    pairs = F.transform(F.slice(prefixes, F.lit(2), F.size(prefixes)), lambda p, i: F.struct(
-        F.get(prefixes, i).alias("source"), p.alias("target")))
+    pairs = let(path_prefixes(split_path(F.col(column))), lambda prefixes: F.transform(
+        F.slice(prefixes, F.lit(2), F.size(prefixes)), lambda p, i: F.struct(
+            F.get(prefixes, i).alias("source"), p.alias("target"))))
     return (paths.filter(F.size(split_path(F.col(column))) > 0)
             .select(F.explode(pairs).alias("e")).select("e.*").distinct())
 

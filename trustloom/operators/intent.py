@@ -9,12 +9,14 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustloom.functions.hof import let, positions
 from trustloom.functions.skew import (CHUNK_ROWS, bounded_broadcast, drop_halo, running_total,
                                       split_series)
-from trustloom.sources.schemas import SERVICES
+from trustloom.sources.schemas import ENTITIES, SERVICES
 
 # Requirement vocabulary.
 BUILD_CLASSES = ("middlebox",)
@@ -34,28 +36,20 @@ SESSION_MINUTES = 120
 SERVICE = "struct<middlebox:string,assets:array<struct<type:string,value:string>>>"
 
 
-def _offsets(gaps: Column, found: Column) -> Column:
-    """Start of each match from the texts between and the texts of the matches."""
-    return F.transform(found, lambda m, k: F.aggregate(
-        F.slice(gaps, F.lit(1), k + 1), F.lit(0), lambda a, g: a + F.length(g))
-        + F.aggregate(F.slice(found, F.lit(1), k), F.lit(0), lambda a, g: a + F.length(g)))
-
-
 def tag_entities(text: Column, gazetteer: Mapping[str, str]) -> Column:
     """Entities of a text from surface forms: the longest form at each place, whole words.
 
-    The forms make one pattern; positions come from the text between the matches.
+    The forms make one pattern, scanned once over each text of an Arrow batch.
     """
     forms = sorted({form.lower() for form in gazetteer}, key=lambda f: (-len(f), f))
-    pattern = r"(?i)\b(?:" + "|".join(re.escape(f).replace(r"\ ", " ") for f in forms) + r")\b"
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    kinds = F.create_map(*[x for form in forms for x in (
-        F.lit(form), F.lit({k.lower(): v for k, v in gazetteer.items()}[form]))])
-    starts = _offsets(gaps, found)
-    return F.transform(found, lambda m, k: F.struct(
-        F.element_at(kinds, F.lower(m)).alias("entity"), m.alias("value"),
-        F.get(starts, k).alias("start"), (F.get(starts, k) + F.length(m)).alias("end")))
+    kinds = {form.lower(): kind for form, kind in gazetteer.items()}
+    pattern = r"\b(?:" + "|".join(re.escape(form) for form in forms) + r")\b"
+
+    def scan(texts: pd.Series) -> pd.Series:
+        find = re.compile(pattern, re.IGNORECASE).finditer
+        return texts.map(lambda t: [(kinds[m.group().lower()], m.group(), m.start(), m.end())
+                                    for m in find(t or "")])
+    return F.pandas_udf(scan, ENTITIES)(text)
 
 
 def canonical(values: DataFrame, synonyms: DataFrame, column: str = "value") -> DataFrame:
@@ -73,27 +67,26 @@ def group_services(text: Column, entities: Column) -> Column:
     original text of the span.
     """
     known = (*BUILD_CLASSES, *ASSET_CLASSES, *AGREEMENT_CLASSES)
-    ordered = F.array_sort(F.transform(
-        F.filter(entities, lambda e: e["entity"].isin(*known)),
-        lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"),
-                           e["entity"].alias("entity"))))
-    size = F.size(ordered)
-    at = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    opens = F.filter(at, lambda i: (i == 0) | F.get(ordered, i)["entity"].isin(*BUILD_CLASSES))
 
     def value(e: Column) -> Column:
         return F.substring(text, e["start"] + 1, e["end"] - e["start"])
 
-    def service(start: Column, k: Column) -> Column:
-        head = F.get(ordered, start)
-        named = head["entity"].isin(*BUILD_CLASSES)
-        first = F.when(named, start + 1).otherwise(start)
-        stop = F.coalesce(F.get(opens, k + 1), size)
-        return F.struct(
-            F.when(named, value(head)).alias("middlebox"),
-            F.transform(F.slice(ordered, first + 1, stop - first), lambda e: F.struct(
-                e["entity"].alias("type"), value(e).alias("value"))).alias("assets"))
-    return F.transform(opens, service).cast(SERVICES)
+    def grouped(ordered: Column, opens: Column) -> Column:
+        def service(start: Column, k: Column) -> Column:
+            head = F.get(ordered, start)
+            named = head["type"].isin(*BUILD_CLASSES)
+            first = F.when(named, start + 1).otherwise(start)
+            stop = F.coalesce(F.get(opens, k + 1), F.size(ordered))
+            return F.struct(F.when(named, head["value"]).alias("middlebox"), F.transform(
+                F.slice(ordered, first + 1, stop - first), lambda e: F.struct(
+                    e["type"].alias("type"), e["value"].alias("value"))).alias("assets"))
+        return F.transform(opens, service)
+    spans = F.array_sort(F.transform(
+        F.filter(entities, lambda e: e["entity"].isin(*known)),
+        lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"),
+                           e["entity"].alias("type"), value(e).alias("value"))))
+    return let(spans, lambda ordered: let(F.filter(positions(ordered), lambda i: (i == 0) | F.get(
+        ordered, i)["type"].isin(*BUILD_CLASSES)), lambda opens: grouped(ordered, opens))).cast(SERVICES)
 
 
 def route_requirements(messages: DataFrame, *keys: str) -> DataFrame:
@@ -130,6 +123,10 @@ def summary_text(services: Column) -> Column:
 
 def annotate(text: Column, services: Column) -> Column:
     """Wrap each service phrase as ``[text](label)``: longest phrase first, no overlaps."""
+    return let(services, lambda s: _annotate(text, s))
+
+
+def _annotate(text: Column, services: Column) -> Column:
     lowered = F.lower(text)
     phrases = F.flatten(F.transform(services, lambda s: F.concat(
         F.when(s["middlebox"] != "", F.array(F.struct(
@@ -177,14 +174,17 @@ def add_asset(text: Column, services: Column, kind: Column, value: Column) -> Co
 
     An asset whose value the service already has (any case) is not added twice.
     """
+    return let(services, lambda s: _add_asset(text, s, kind, value)).cast(SERVICES)
+
+
+def _add_asset(text: Column, services: Column, kind: Column, value: Column) -> Column:
     named = F.filter(F.split(F.lower(text), r"\s+"), lambda w: F.exists(
         services, lambda s: F.lower(s["middlebox"]) == w))
     latest = F.try_element_at(named, F.lit(-1))
 
     def lacks(s: Column) -> Column:
         return ~F.exists(s["assets"], lambda a: F.lower(a["value"]) == F.lower(value))
-    at = F.when(F.size(services) > 0, F.sequence(F.lit(0), F.size(services) - 1)).otherwise(
-        F.array().cast("array<int>"))
+    at = positions(services)
     by_name = F.get(F.filter(at, lambda i: (F.lower(F.get(services, i)["middlebox"]) == latest)
                              & lacks(F.get(services, i))), F.lit(0))
     last = F.get(F.filter(at, lambda i: (i == F.size(services) - 1)
@@ -192,7 +192,7 @@ def add_asset(text: Column, services: Column, kind: Column, value: Column) -> Co
     target = F.coalesce(by_name, last, F.lit(-1))
     return _replace_at(services, target, lambda s: F.struct(
         s["middlebox"].alias("middlebox"), F.array_append(s["assets"], F.struct(
-            kind.alias("type"), value.alias("value"))).alias("assets"))).cast(SERVICES)
+            kind.alias("type"), value.alias("value"))).alias("assets")))
 
 
 def add_middlebox(text: Column, services: Column, value: Column) -> Column:
@@ -201,34 +201,39 @@ def add_middlebox(text: Column, services: Column, value: Column) -> Column:
     The assets are the known ones named after the middlebox in the text, up to
     the next known middlebox. A value that starts no word of the text changes nothing.
     """
-    position = F.locate(F.lower(value), F.lower(text))
+    return let(services, lambda s: _add_middlebox(text, s, value)).cast(SERVICES)
+
+
+def _add_middlebox(text: Column, services: Column, value: Column) -> Column:
+    position = F.position(F.lower(value), F.lower(text))
     starts_word = (position == 1) | F.substring(text, position - 1, F.lit(1)).rlike(r"\s")
     usable = (position > 0) & starts_word
     tail = F.split(F.substring(F.lower(text), position, F.length(text)), r"\s+")
     following = F.slice(tail, F.lit(2), F.greatest(F.size(tail) - 1, F.lit(0)))
-    at = F.when(F.size(following) > 0, F.sequence(F.lit(0), F.size(following) - 1)).otherwise(
-        F.array().cast("array<int>"))
+    at = positions(following)
     stop = F.coalesce(F.get(F.filter(at, lambda i: F.exists(
         services, lambda s: F.lower(s["middlebox"]) == F.get(following, i))), F.lit(0)),
         F.size(following))
     assets = F.flatten(F.transform(services, lambda s: s["assets"]))
     wanted = F.flatten(F.transform(F.slice(following, F.lit(1), stop), lambda w: F.filter(
         assets, lambda a: F.lower(a["value"]) == w)))
-    slots = F.when(F.size(services) > 0, F.sequence(F.lit(0), F.size(services) - 1)).otherwise(
-        F.array().cast("array<int>"))
+    slots = positions(services)
     free = F.get(F.filter(slots, lambda i: F.get(services, i)["middlebox"].isNull() & F.forall(
         wanted, lambda a: F.array_contains(F.get(services, i)["assets"], a))), F.lit(0))
     filled = _replace_at(services, free, lambda s: F.struct(
         value.alias("middlebox"), s["assets"].alias("assets")))
     grown = F.array_append(services, F.struct(value.alias("middlebox"), wanted.alias("assets")))
-    return (F.when(~usable, services).when(free.isNotNull(), filled).otherwise(grown)).cast(SERVICES)
+    return (F.when(~usable, services).when(free.isNotNull(), filled).otherwise(grown))
 
 
 def remove_value(services: Column, value: Column) -> Column:
     """Remove the first service of that name or the first asset of that value."""
+    return let(services, lambda s: _remove_value(s, value)).cast(SERVICES)
+
+
+def _remove_value(services: Column, value: Column) -> Column:
     wanted = F.lower(value)
-    at = F.when(F.size(services) > 0, F.sequence(F.lit(0), F.size(services) - 1)).otherwise(
-        F.array().cast("array<int>"))
+    at = positions(services)
 
     def is_named(s: Column) -> Column:
         return F.coalesce(F.lower(s["middlebox"]) == wanted, F.lit(False))
@@ -242,7 +247,7 @@ def remove_value(services: Column, value: Column) -> Column:
     trimmed = _replace_at(services, target, lambda s: F.struct(
         s["middlebox"].alias("middlebox"), F.filter(s["assets"], lambda a, j: (
             j != first_asset(s) - 1)).alias("assets")))
-    return (F.when(target < 0, services).when(is_named(hit), dropped).otherwise(trimmed)).cast(SERVICES)
+    return (F.when(target < 0, services).when(is_named(hit), dropped).otherwise(trimmed))
 
 
 def parse_feedback(messages: DataFrame, text: str = "text", entity: str = "entity") -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustloom.functions.hof import let
 from trustloom.functions.skew import BROADCAST_ROWS, bounded_broadcast
 from trustloom.functions.text import list_map, term_counts, words
 
@@ -260,8 +261,9 @@ def augment(queries: DataFrame, synonyms: Mapping[str, Sequence[str]], variants:
         lambda s: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), i.cast("string"), s)).alias("h"),
                            i.alias("i"), s.alias("s")))))
     chosen = F.slice(F.array_sort(swaps), 1, variants)
-    texts = F.array_distinct(F.transform(chosen, lambda c: F.array_join(F.transform(
-        tokens, lambda w, i: F.when(i == c["i"], c["s"]).otherwise(w)), " ")))
+    texts = let(tokens, lambda words_: F.array_distinct(F.transform(
+        chosen, lambda c: F.array_join(F.transform(
+            words_, lambda w, i: F.when(i == c["i"], c["s"]).otherwise(w)), " "))))
     rest = [c for c in queries.columns if c != "query"]
     copies = queries.select(F.explode(texts).alias("query"), *rest, F.lit(True).alias("augmented"))
     return queries.select("query", *rest, F.lit(False).alias("augmented")).unionByName(copies)

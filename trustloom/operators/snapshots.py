@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustloom.functions.hof import let
 from trustloom.functions.scalar import hex_to_int, little_endian_ip, ratio_percent
 from trustloom.functions.skew import CHUNK_ROWS, drop_halo, split_series
 
@@ -250,10 +251,10 @@ def filesystem_usage(rows: DataFrame) -> DataFrame:
 def paired_lines(snapshots: DataFrame, file: str, category: str) -> DataFrame:
     """Files whose lines alternate between names and values under one prefix."""
     lines = F.split(F.regexp_replace("content", r"\s+$", ""), "\n")
-    pairs = F.transform(
-        F.sequence(F.lit(0), F.greatest(F.floor(F.size(lines) / 2).cast("int") - 1, F.lit(0))),
-        lambda k: F.struct(F.split(F.trim(F.get(lines, k * 2)), r"\s+").alias("n"),
-                           F.split(F.trim(F.get(lines, k * 2 + 1)), r"\s+").alias("v")))
+    pairs = let(lines, lambda all_: F.transform(
+        F.sequence(F.lit(0), F.greatest(F.floor(F.size(all_) / 2).cast("int") - 1, F.lit(0))),
+        lambda k: F.struct(F.split(F.trim(F.get(all_, k * 2)), r"\s+").alias("n"),
+                           F.split(F.trim(F.get(all_, k * 2 + 1)), r"\s+").alias("v"))))
     rows = (snapshots.filter(F.col("file").like(file)).select("host", "ts", F.explode(pairs).alias("b"))
             .filter("b.v IS NOT NULL")
             .select("host", "ts", F.rtrim(F.regexp_replace(F.col("b.n")[0], ":$", "")).alias("prefix"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("series_queries", "rule_queries", "graph_queries", "telemetry_queries", "host_queries", "intent_queries")
+MODULES = ("series_queries", "rule_queries", "graph_queries", "telemetry_queries", "host_queries", "intent_queries", "recommend_queries",
+           "knowledge_queries", "stream_queries")
 
 
 def _merged(name: str) -> dict:

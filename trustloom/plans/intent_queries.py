@@ -10,7 +10,7 @@ from trustloom.sources.schemas import CATALOG, ENTITIES, SERVICES, USER
 
 # Words of the documents and conversations that stand for entities.
 GAZETTEER = {"the": "middlebox", "of": "service", "and": "storage_resource", "de": "middlebox", "la": "service",
-             "de la": "operating_system", "in": "compute_resource", "und": "middlebox", "der": "service", "en": "qos_value"}
+             "das": "operating_system", "in": "compute_resource", "und": "middlebox", "der": "service", "en": "qos_value"}
 FORMS = sorted(GAZETTEER, key=lambda f: (-len(f), f))
 
 
@@ -144,22 +144,25 @@ def requirement_parse(spark, folder):
 def _catalog(spark, folder):
     """One catalogue document per part with a resource, a service and an infrastructure asset."""
     word = F.split("p_name", " ")
-    storage = F.array(F.struct(F.col("p_size").alias("sizeOfStorage"), F.lit("GB").alias("sizeOfStorageUnit")))
+
+    def asset(letter, kind, **parts):
+        return F.struct(F.concat(F.lit(letter), F.col("p_partkey").cast("string")).alias("id"), F.lit(kind).alias("type"), *[
+            (F.when(F.lit(name in parts), value) if name in parts else F.when(F.lit(False), value)).alias(name)
+            for name, value in every.items()])
+    every = {
+        "virtualStorageDesc": F.array(F.struct(F.col("p_size").alias("sizeOfStorage"), F.lit("GB").alias("sizeOfStorageUnit"))),
+        "swImageDesc": F.struct(F.lit("focal").alias("operatingSystemCodename"), F.concat(
+            F.lower("p_type"), F.lit("-server "), F.col("p_size").cast("string"), F.lit(".04")).alias("operatingSystemVersion")),
+        "serviceDesc": F.struct(word[1].alias("type"), word[0].alias("serviceSW"), F.concat(
+            F.col("p_size").cast("string"), F.lit(".1")).alias("serviceVersion")),
+        "infrastructureDesc": F.struct(F.struct(F.struct(
+            F.col("p_size").alias("bandwidthValue"), F.lit("Gbps").alias("bandwidthUnit")).alias("bandWidth")).alias("location"))}
     doc = F.to_json(F.struct(
         F.col("p_brand").alias("provider"), F.col("p_partkey").cast("string").alias("id"), F.col("p_size").alias("priceTag"),
         F.lit(0.5).alias("levelOfTrust"), F.array(
-            F.to_json(F.struct(F.concat(F.lit("r"), F.col("p_partkey").cast("string")).alias("id"), F.lit("resource").alias("type"),
-                               storage.alias("virtualStorageDesc"),
-                               F.struct(F.lit("focal").alias("operatingSystemCodename"), F.concat(F.lower("p_type"), F.lit("-server "),
-                                        F.col("p_size").cast("string"), F.lit(".04")).alias("operatingSystemVersion")).alias("swImageDesc"))),
-            F.to_json(F.struct(F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("id"), F.lit("service").alias("type"),
-                               F.struct(word[1].alias("type"), word[0].alias("serviceSW"), F.concat(F.col("p_size").cast("string"), F.lit(".1"))
-                                        .alias("serviceVersion")).alias("serviceDesc"))),
-            F.to_json(F.struct(F.concat(F.lit("i"), F.col("p_partkey").cast("string")).alias("id"), F.lit("infrastructure").alias("type"),
-                               F.struct(F.struct(F.struct(F.col("p_size").alias("bandwidthValue"), F.lit("Gbps").alias("bandwidthUnit"))
-                                        .alias("bandWidth")).alias("location")).alias("infrastructureDesc")))).alias("assets")))
-    text = F.replace(F.replace(F.replace(doc, F.lit('["{'), F.lit("[{")), F.lit('}"]'), F.lit("}]")), F.lit('}","{'), F.lit("},{"))
-    return table(spark, folder, "part").select(F.from_json(F.replace(text, F.lit('\\"'), F.lit('"')), CATALOG).alias("d")).select("d.*")
+            asset("r", "resource", virtualStorageDesc=1, swImageDesc=1), asset("s", "service", serviceDesc=1),
+            asset("i", "infrastructure", infrastructureDesc=1)).alias("assets")))
+    return table(spark, folder, "part").select(F.from_json(doc, CATALOG).alias("d")).select("d.*")
 
 
 def service_facets(spark, folder):
@@ -173,11 +176,13 @@ def os_facets(spark, folder):
 def _requests(spark, folder):
     """One request per supplier: storage or a named service or a system, some with a rate."""
     n = F.col("s_suppkey") % 50 + 1
-    first = (F.when(F.col("s_suppkey") % 4 == 0, F.struct(F.lit("storage").alias("kind"), F.concat(n.cast("string"), F.lit(" GB")).alias("requirement")))
-             .when(F.col("s_suppkey") % 4 == 1, F.struct(F.lit("service"), F.concat(F.lit("a RED widget "), n.cast("string"), F.lit(".1"))))
-             .when(F.col("s_suppkey") % 4 == 2, F.struct(F.lit("os"), F.concat(F.lit("economy server "), n.cast("string"), F.lit(".04"))))
-             .otherwise(F.struct(F.lit("storage"), F.concat(n.cast("string"), F.lit(" TB")))))
-    rate = F.struct(F.lit("qos").alias("kind"), F.concat(n.cast("string"), F.lit(" Gbps")).alias("requirement"))
+
+    def need(kind, before, after):
+        return F.struct(F.lit(kind).alias("kind"), F.concat(F.lit(before), n.cast("string"), F.lit(after)).alias("requirement"))
+    turn = F.col("s_suppkey") % 4
+    first = (F.when(turn == 0, need("storage", "", " GB")).when(turn == 1, need("service", "a RED widget ", ".1"))
+             .when(turn == 2, need("os", "economy server ", ".04")).otherwise(need("storage", "", " TB")))
+    rate = need("qos", "", " Gbps")
     both = F.when(F.col("s_suppkey") % 3 == 0, F.array(first, rate)).otherwise(F.array(first))
     return table(spark, folder, "supplier").select(F.col("s_suppkey").alias("request_id"), F.explode(both).alias("r")).select(
         "request_id", "r.kind", "r.requirement")
@@ -185,9 +190,8 @@ def _requests(spark, folder):
 
 def _matches(spark, folder):
     docs = _catalog(spark, folder)
-    services, systems = catalog.service_facets(docs), catalog.os_facets(docs)
-    types, software = catalog.facet_values(services, "type"), catalog.facet_values(services, "software")
-    distros, flavors = catalog.facet_values(systems, "distro"), catalog.facet_values(systems, "flavor")
+    services, systems = catalog.facet_values(catalog.service_facets(docs)), catalog.facet_values(catalog.os_facets(docs))
+    types, software, distros, flavors = services["type"], services["software"], systems["distro"], systems["flavor"]
     wanted = catalog.requirement_keys(_requests(spark, folder), types, software, {"focal": "ubuntu"}, distros, flavors)
     facts = catalog.asset_keys(docs, types, software, ["focal"], [*distros, *flavors])
     return docs, catalog.match_documents(wanted, facts)
@@ -208,9 +212,11 @@ QUERIES = {f.__name__: f for f in (
     add_middlebox, remove_value, feedback_parse, confidence_gate, session_120m, synonym_canonical, signed_agreements,
     requirement_parse, service_facets, os_facets, catalog_match, availability)}
 
-PATTERN = r"(?i)\b(?:" + "|".join(FORMS) + r")\b"
+WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
+LIST = "[" + ", ".join(f"'{f}'" for f in FORMS) + "]"
+FOUND = f"list_filter({WORDS}, lambda w: list_contains({LIST}, lower(w)))"
 KIND = "CASE lower(m) " + " ".join(f"WHEN '{f}' THEN '{GAZETTEER[f]}'" for f in FORMS) + " END"
-CONV = f"""WITH t AS (SELECT conv_id, turn, regexp_extract_all(text, '{PATTERN}') AS ms FROM conversations),
+CONV = f"""WITH t AS (SELECT conv_id, turn, {FOUND} AS ms FROM conversations),
     e AS (SELECT conv_id, turn, CAST(i AS INTEGER) - 1 AS no, lower(ms[i]) AS form, {KIND.replace('lower(m)', 'lower(ms[i])')} AS entity
           FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM t)),
     g AS (SELECT *, sum(CASE WHEN entity = 'middlebox' OR no = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY no) - 1 AS grp FROM e),
@@ -223,13 +229,15 @@ PART = """WITH p AS (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_nam
 CAT = """WITH doc AS (SELECT CAST(p_partkey AS VARCHAR) AS doc_id, p_size AS n, split_part(p_name, ' ', 1) AS sw, split_part(p_name, ' ', 2) AS tp,
                         lower(p_type) AS os, p_brand FROM part),
     r AS (SELECT s_suppkey AS request_id, s_suppkey % 50 + 1 AS n, s_suppkey % 4 AS kind, s_suppkey % 3 = 0 AS rate FROM supplier),
-    m AS (SELECT request_id, doc_id, doc.n, p_brand FROM r JOIN doc ON r.n = doc.n AND r.kind IN (0, 1, 2)
-          AND CASE kind WHEN 0 THEN true WHEN 1 THEN tp = 'widget' AND sw = 'red' ELSE os = 'economy' END
-          UNION ALL SELECT request_id, doc_id, doc.n, p_brand FROM r JOIN doc ON r.n = doc.n WHERE false)"""
+    m AS (SELECT request_id, doc_id, doc.n, p_brand FROM r JOIN doc ON
+          CASE kind WHEN 0 THEN r.n = doc.n
+               WHEN 1 THEN tp = 'widget' AND sw = 'red' AND contains(doc.n || '.1', r.n || '.1')
+               WHEN 2 THEN os = 'economy' AND contains(doc.n || '.04', r.n || '.04') ELSE false END
+          AND (NOT rate OR r.n = doc.n))"""
 
 ORACLE = {
     "entity_tags": f"""
-        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(text, '{PATTERN}')) AS m FROM documents)
+        WITH t AS (SELECT doc_id, unnest({FOUND}) AS m FROM documents)
         SELECT doc_id, {KIND} AS entity, count(*) AS n FROM t GROUP BY 1, 2""",
     "entity_spans": f"{CONV} SELECT conv_id, turn, no, form, true AS exact FROM e",
     "service_grouping": f"{CONV} SELECT conv_id, turn, no, middlebox, assets, list FROM s",
@@ -238,13 +246,13 @@ ORACLE = {
     "service_summary": f"""{CONV}, l AS (SELECT conv_id, turn, string_agg('middlebox ' || (no + 1) || ': ' || coalesce(middlebox, 'unknown middlebox') ||
             CASE WHEN assets > 0 THEN chr(10) || '  using assets:' || lines ELSE '' END, chr(10) || chr(10) ORDER BY no) AS summary FROM s GROUP BY 1, 2)
         SELECT c.conv_id, c.turn, coalesce(summary, '') AS summary FROM conversations c LEFT JOIN l ON l.conv_id = c.conv_id AND l.turn = c.turn""",
-    "feedback_annotation": f"""{PART} SELECT p_partkey, '- Put a [' || upper(a) || '](storage_resource) [' || upper(b) || '](middlebox) next to [' ||
+    "feedback_annotation": f"""{PART} SELECT p_partkey, '- Put a [' || upper(a) || '](' || CASE WHEN lower(p_type) = a THEN 'service' ELSE 'storage_resource' END || ') [' || upper(b) || '](middlebox) next to [' ||
             p_brand || '](operating_system) of [' || p_type || '](service)' AS line FROM p""",
     "add_asset": f"""{PART}, v AS (SELECT *, CASE WHEN p_size > 25 THEN upper(a) ELSE 'new' END AS x FROM p)
-        SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size <= 25 THEN b || '=' || lower(p_type) || ',' || a || ',new;-=' || p_brand
+        SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 AND p_size <= 25 AND a <> 'new' THEN b || '=' || lower(p_type) || ',' || a || ',new;-=' || p_brand
                ELSE b || '=' || lower(p_type) || ',' || a || ';-=' || p_brand || ',' || x END AS services FROM v""",
     "add_middlebox": f"""{PART} SELECT p_partkey, b || '=' || lower(p_type) || ',' || a || ';' || CASE p_partkey % 3 WHEN 0 THEN 'router=' || p_brand
-               WHEN 1 THEN '-=' || p_brand || ';router=' || a ELSE '-=' || p_brand END AS services FROM p""",
+               WHEN 1 THEN '-=' || p_brand || ';router=' || a || CASE WHEN lower(p_type) = a THEN ',' || a ELSE '' END ELSE '-=' || p_brand END AS services FROM p""",
     "remove_value": f"""{PART} SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN '-=' || p_brand WHEN 1 THEN b || '=' || lower(p_type) || ';-=' || p_brand
                WHEN 2 THEN b || '=' || lower(p_type) || ',' || a || ';-=' ELSE b || '=' || lower(p_type) || ',' || a || ';-=' || p_brand END AS services FROM p""",
     "feedback_parse": "SELECT p_partkey, 'middlebox' AS feedback_entity, p_name AS feedback_value FROM part WHERE p_partkey % 2 = 0 AND p_size <= 40",
@@ -274,7 +282,7 @@ ORACLE = {
         UNION ALL SELECT p_partkey, n || '.5 GHz cpu', NULL, NULL, NULL, i + 0.5::DOUBLE, NULL, NULL, NULL FROM p
         UNION ALL SELECT p_partkey, n || ' cores', NULL, NULL, NULL, NULL, CASE WHEN i > 0 THEN i END, NULL, NULL FROM p
         UNION ALL SELECT p_partkey, n || ' MBps', n, 'MB', i, NULL, NULL, i * 8, 'Mbps' FROM p
-        UNION ALL SELECT p_partkey, n || ' Kbps', n, NULL, NULL, NULL, CASE WHEN i > 0 THEN i END, i, 'Kbps' FROM p
+        UNION ALL SELECT p_partkey, n || ' Kbps', n, 'KB', i, NULL, NULL, i, 'Kbps' FROM p
         UNION ALL SELECT p_partkey, 'plain', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM p""",
     "service_facets": """SELECT DISTINCT 'type' AS facet, split_part(p_name, ' ', 2) AS value FROM part
         UNION ALL SELECT DISTINCT 'software', split_part(p_name, ' ', 1) FROM part""",
