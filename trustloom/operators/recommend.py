@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from trustloom.functions.hof import let
 from trustloom.functions.skew import BROADCAST_ROWS, bounded_broadcast
@@ -181,7 +182,7 @@ def encode_texts(rows: DataFrame, make_encoder: Callable[[], Callable[[np.ndarra
     AQE splits when one text holds very many rows.
     """
     from pyspark.ml.functions import predict_batch_udf
-    encode = predict_batch_udf(make_encoder, return_type="array<float>", batch_size=batch_size)
+    encode = predict_batch_udf(make_encoder, return_type=ArrayType(FloatType()), batch_size=batch_size)
     keyed = rows.withColumn("_key", F.sha2(F.col(text), 256))
     unique = keyed.groupBy("_key").agg(F.first(text).alias("_text"))
     vectors = unique.select("_key", encode("_text").alias("vector"))

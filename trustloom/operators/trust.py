@@ -81,14 +81,18 @@ def fold_strict(messages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(device, mean)], columns=["id", "trust_index"])
 
 
-def trust_strict(scores: DataFrame, bucket: Column, score_range: float = 100.0,
+def trust_strict(scores: DataFrame, bucket: Column, score_range: float | None = None,
                  chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Step-rounded running mean per device in arrival order (``id, ts, seq, score``).
 
     Only the first ``strict_depth`` messages of a device can move the mean, so
-    only these are sorted; the rest is counted. A device whose scores span more
-    than ``score_range`` stops the job instead of giving a wrong index.
+    only these are sorted; the rest is counted. The widest span of a device's
+    scores is measured when it is not given; a device whose scores span more than
+    a given ``score_range`` stops the job instead of giving a wrong index.
     """
+    if score_range is None:
+        per_device = scores.groupBy("id").agg((F.max("score") - F.min("score")).alias("span"))
+        score_range = float(per_device.agg(F.max("span")).first()[0] or 0.0)
     first = edge_rows(scores, ["id"], bucket, [F.asc("ts"), F.asc("seq")],
                       strict_depth(score_range), newest=False, chunk_rows=chunk_rows)
     kind = scores.schema["id"].dataType.simpleString()

@@ -97,8 +97,7 @@ def trust_time_range(spark, folder):
 
 
 def trust_strict(spark, folder):
-    return trust.trust_strict(event_scores(spark, folder), F.floor(F.col("ts") / series.BUCKET_NS),
-                              score_range=500.0)
+    return trust.trust_strict(event_scores(spark, folder), F.floor(F.col("ts") / series.BUCKET_NS))
 
 
 def dimension_trust(spark, folder):
