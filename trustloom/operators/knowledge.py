@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trustloom.functions.hof import let
 from trustloom.functions.local import local_table
 from trustloom.functions.skew import bounded_broadcast
 
@@ -128,14 +129,19 @@ def iri_safe(value: Column) -> Column:
     return F.replace(F.url_encode(value), F.lit("+"), F.lit("%20"))
 
 
-def fill_template(template: Column, record: Column, base: str) -> Column:
-    """Base plus template with every ``{field}`` replaced; NULL when a field is missing."""
-    fields = F.regexp_extract_all(template, F.lit(r"\{([^}]*)\}"), F.lit(1))
-    between = F.split(template, r"\{[^}]*\}", -1)
-    values = F.transform(fields, lambda f: iri_safe(F.try_element_at(record, f)))
-    body = F.array_join(F.zip_with(between, values, lambda t, v: F.concat(
-        t, F.coalesce(v, F.lit("")))), "")
-    return F.when(F.forall(values, lambda v: v.isNotNull()), F.concat(F.lit(base), body))
+def template_parts(template: Column) -> Column:
+    """Fixed texts and field names of a template, for :func:`fill_parts`."""
+    return F.struct(F.split(template, r"\{[^}]*\}", -1).alias("texts"),
+                    F.regexp_extract_all(template, F.lit(r"\{([^}]*)\}"), F.lit(1)).alias("fields"))
+
+
+def fill_parts(parts: Column, record: Column, base: str) -> Column:
+    """Base plus template with every field replaced; NULL when a field is missing."""
+    values = F.transform(parts["fields"], lambda f: iri_safe(F.try_element_at(record, f)))
+    return let(values, lambda vs: F.when(
+        F.forall(vs, lambda v: v.isNotNull()),
+        F.concat(F.lit(base), F.array_join(F.zip_with(parts["texts"], vs, lambda t, v: F.concat(
+            t, F.coalesce(v, F.lit("")))), ""))))
 
 
 def records_from_json(documents: DataFrame, concepts: Sequence[str], *keep: str) -> DataFrame:
@@ -153,21 +159,31 @@ def triples(records: DataFrame, mapping: DataFrame, base: str) -> DataFrame:
 
     The mapping is joined on the concept; a missing field gives no triple.
     """
-    joined = records.join(bounded_broadcast(mapping), "concept")
+    # One row per concept and subject, templates already taken apart: a record meets its
+    # mapping once and computes its subject once.
+    none = F.lit(None)
+    concepts = mapping.select(
+        "concept", "subject_template", "class", F.struct(
+            F.col("predicate").alias("p"), F.col("object_kind").alias("kind"), F.col("object").alias("o"),
+            F.when(F.col("object_kind") == "template", template_parts(F.col("object"))).otherwise(none)
+            .alias("parts")).alias("pair")).groupBy("concept", "subject_template", "class").agg(
+        F.collect_list("pair").alias("pairs")).withColumn(
+        "subject", template_parts(F.col("subject_template"))).drop("subject_template")
+    joined = records.join(bounded_broadcast(concepts), "concept").select(
+        "class", "pairs", "record", fill_parts(F.col("subject"), F.col("record"), base).alias("s"))
     record = F.col("record")
-    subject = fill_template(F.col("subject_template"), record, base)
-    kind = F.col("object_kind")
-    value = (F.when(kind == "reference", F.try_element_at(record, F.col("object")))
-             .when(kind == "template", fill_template(F.col("object"), record, base))
-             .otherwise(F.col("object")))
-    pairs = F.array(
-        F.struct(F.col("predicate").alias("p"), value.alias("o"),
-                 (kind != "reference").alias("o_is_iri")),
-        F.struct(F.lit(RDF_TYPE).alias("p"), F.col("class").alias("o"),
-                 F.lit(True).alias("o_is_iri")))
-    return (joined.select(subject.alias("s"), F.explode(pairs).alias("t"))
-            .filter("s IS NOT NULL AND t.o IS NOT NULL").select("s", "t.p", "t.o", "t.o_is_iri")
-            .distinct())
+
+    def value(pair: Column) -> Column:
+        return (F.when(pair["kind"] == "reference", F.try_element_at(record, pair["o"]))
+                .when(pair["kind"] == "template", fill_parts(pair["parts"], record, base))
+                .otherwise(pair["o"]))
+    pairs = F.concat(
+        F.array(F.struct(F.lit(RDF_TYPE).alias("p"), F.col("class").alias("o"), F.lit(True).alias("o_is_iri"))),
+        F.transform("pairs", lambda pair: F.struct(
+            pair["p"].alias("p"), value(pair).alias("o"),
+            (pair["kind"] != "reference").alias("o_is_iri"))))
+    return (joined.filter("s IS NOT NULL").select("s", F.explode(pairs).alias("t"))
+            .filter("t.o IS NOT NULL").select("s", "t.p", "t.o", "t.o_is_iri").distinct())
 
 
 def fixed_instances(spark: SparkSession, base: str, vocabulary: str = "kg:",
