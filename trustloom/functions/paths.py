@@ -12,8 +12,8 @@ INDEXED_BEFORE = ("vm", "kb", "cpus", "if", "sensors", "disks")
 OUTER_INDEXED = ("vm", "kb", "ioam")
 LEAF_INDEXED = ("cpu", "sensor", "disk", "if", "namespace")
 
-# A slash that is not inside [...].
-SLASH_OUTSIDE_BRACKETS = r"/(?=(?:[^\[\]]|\[[^\[\]]+\])*$)"
+# An element: no slash except inside [...].
+ELEMENT = r"(?:[^/\[\]]|\[[^\[\]]*\])+"
 
 
 def unkeyed_path(elements: Column) -> Column:
@@ -31,8 +31,8 @@ def keyed_path(elements: Column) -> Column:
 
 
 def split_path(path: Column) -> Column:
-    """Elements of a keyed path; leading and trailing slashes give none."""
-    return F.filter(F.split(path, SLASH_OUTSIDE_BRACKETS), lambda e: e != "")
+    """Elements of a keyed path in one scan; leading and trailing slashes give none."""
+    return F.regexp_extract_all(path, F.lit(ELEMENT), F.lit(0))
 
 
 def element_type(element: Column) -> Column:
@@ -87,6 +87,10 @@ def strip_leaf(fullname: Column) -> Column:
 
 def parent_path(fullname: Column) -> Column:
     """Keyed path without its last element, NULL for a root."""
-    elements = split_path(fullname)
+    return let(split_path(fullname), parent_of)
+
+
+def parent_of(elements: Column) -> Column:
+    """Path of all elements but the last, NULL for a root."""
     return F.when(F.size(elements) > 1, F.concat(F.lit("/"), F.array_join(
         F.slice(elements, F.lit(1), F.size(elements) - 1), "/")))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions.hof import let
-from trustloom.functions.paths import (element_name, element_type, full_name, parent_path,
+from trustloom.functions.paths import (element_name, element_type, full_name, parent_of,
                                        path_prefixes, split_path, strip_leaf)
 from trustloom.functions.scalar import half_even
 from trustloom.functions.skew import bounded_broadcast
@@ -54,12 +54,12 @@ def build_nodes(entities: DataFrame, template: dict[str, Sequence[str]] | None =
 
 def describe_nodes(named: DataFrame) -> DataFrame:
     """Path, parent, type, name and depth of ``host, fullname`` rows."""
-    elements = split_path(F.col("fullname"))
+    elements = F.col("_elements")
     last = F.element_at(elements, -1)
-    return named.select(
+    return named.withColumn("_elements", split_path(F.col("fullname"))).select(
         *named.columns,
         F.concat(F.lit("/"), F.array_join(F.transform(elements, element_type), "/")).alias("path"),
-        parent_path(F.col("fullname")).alias("parent"), element_type(last).alias("type"),
+        parent_of(elements).alias("parent"), element_type(last).alias("type"),
         element_name(last).alias("name"), (F.size(elements) - 1).alias("depth"),
         F.lit(True).alias("active"), F.lit(True).alias("impacting"))
 
@@ -267,11 +267,11 @@ def number_edges(edges: DataFrame) -> DataFrame:
 def graph_nodes(paths: DataFrame, column: str = "path") -> DataFrame:
     """Distinct prefixes of all paths with depth and compound parent (depth above 2 only)."""
     seen = paths.select(F.explode(path_prefixes(split_path(F.col(column)))).alias("id")).distinct()
-    size = F.size(split_path(F.col("id")))
-    return seen.select(
-        "id", element_type(F.element_at(split_path(F.col("id")), -1)).alias("name"),
-        (size - 1).alias("depth"),
-        F.when(size > 3, F.concat(parent_path(F.col("id")), F.lit("parent")))
+    elements = F.col("_elements")
+    size = F.size(elements)
+    return seen.withColumn("_elements", split_path(F.col("id"))).select(
+        "id", element_type(F.element_at(elements, -1)).alias("name"), (size - 1).alias("depth"),
+        F.when(size > 3, F.concat(parent_of(elements), F.lit("parent")))
         .otherwise(F.lit("")).alias("compound"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from trustloom.operators import catalog, intent
 from trustloom.plans.tables import table
+from trustloom.session import staged
 from trustloom.sources.schemas import CATALOG, ENTITIES, SERVICES, USER
 
 # Words of the documents and conversations that stand for entities.
@@ -189,7 +190,7 @@ def _requests(spark, folder):
 
 
 def _matches(spark, folder):
-    docs = _catalog(spark, folder)
+    docs = staged(_catalog(spark, folder), "catalog")
     services, systems = catalog.facet_values(catalog.service_facets(docs)), catalog.facet_values(catalog.os_facets(docs))
     types, software, distros, flavors = services["type"], services["software"], systems["distro"], systems["flavor"]
     wanted = catalog.requirement_keys(_requests(spark, folder), types, software, {"focal": "ubuntu"}, distros, flavors)
