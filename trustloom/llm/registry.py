@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("exact", "mixing", "packing", "sharding")
+MODULES = ("exact", "lines", "mixing", "packing", "sharding")
 
 
 def _merged(name: str) -> dict:

@@ -103,7 +103,7 @@ def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
     if salt:
-        words = mixed(words + np.uint64(salt) * np.uint64(0x9E3779B97F4A7C15))
+        words = mixed(words + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64)))
     out = np.zeros(n, dtype=np.uint64)
     factor = 1
     for k in range(size):
