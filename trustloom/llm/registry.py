@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("additive", "exact", "forest", "lines", "mixing", "packing", "sharding")
+MODULES = ("additive", "exact", "forest", "lines", "mixing", "near", "packing", "sharding")
 
 
 def _merged(name: str) -> dict:
