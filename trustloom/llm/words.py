@@ -104,12 +104,10 @@ def window_hashes(words: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
         return np.zeros(0, dtype=np.uint64)
     if salt:
         words = mixed(words + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64)))
-    out = np.zeros(n, dtype=np.uint64)
-    factor = 1
-    for k in range(size):
-        out += words[k:k + n] * np.uint64(factor)
-        factor = factor * int(MULTIPLIER) % (1 << 64)
-    return mixed(out)
+    up, down = powers(len(words))
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * up, out=total[1:])
+    return mixed((total[size:] - total[:n]) * down[:n])
 
 
 def slices(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
