@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("additive", "exact", "forest", "lines", "mixing", "near", "packing", "sharding", "substrings")
+MODULES = ("additive", "exact", "forest", "lines", "mixing", "near", "packing", "secrets", "sharding", "substrings")
 
 
 def _merged(name: str) -> dict:
