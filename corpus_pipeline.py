@@ -3,17 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trustloom.llm.additive import accepted
 from trustloom.llm.exact import exact_dedup
-from trustloom.session import staged
+from trustloom.llm.mixing import mixed_texts
+from trustloom.llm.near import near_dedup
+from trustloom.llm.packing import packed, vocabulary_path
+from trustloom.session import ship_package, staged
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier learned from ``labels`` accepts."""
+    ship_package(spark)
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts."""
+    ship_package(spark)
     return exact_dedup(docs)
 
 
-STAGES = [("exact_dedup", exact)]
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: five words a shingle, a similarity of 0.8 or more."""
+    ship_package(spark)
+    return near_dedup(docs, words=5, percent=80)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their target weights; a row per pass over a document."""
+    ship_package(spark)
+    return mixed_texts(docs).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every document in the packed sequences."""
+    ship_package(spark)
+    return packed(docs, vocabulary_path())
+
+
+STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]
 ORACLE_SQL = None
 
 

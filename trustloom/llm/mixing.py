@@ -10,15 +10,17 @@ blocks once more.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trustloom.llm.common import WORD, documents
+from trustloom.llm.words import slices, text_bytes, word_bounds
 from trustloom.session import staged
 
 WEIGHTS = (5, 2, 1)
@@ -134,6 +136,30 @@ def mixed_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, factor: f
     return placed.groupBy("source", "shard").applyInPandas(choose, schema)
 
 
+def mixed_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **rule) -> DataFrame:
+    """The mix itself: the columns of ``docs``, one row per pass over a document with the words that the pass takes.
+
+    A pass that takes all words keeps the text as it is; runs of words of a partial pass are joined by line feeds. Documents of
+    which nothing is taken are gone, those taken twice are there twice. ``rule`` are arguments of ``mixed_sources``.
+    """
+    chosen = mixed_sources(docs, text=text, doc_id=doc_id, payload=F.struct("*"), spans=True, **rule)
+    rows = chosen.select("doc", F.col(f"doc.{text}").alias("text"), "size", F.explode("passes").alias("runs")).filter(F.size("runs") > 0)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                data, offsets = text_bytes(part.column("text"))
+                first, last, borders = word_bounds(data, offsets)
+                raw, texts = data.tobytes(), part.column("text").to_pylist()
+                for i, (runs, size) in enumerate(zip(part.column("runs").to_pylist(), part.column("size").to_pylist())):
+                    if (runs[0]["start"], runs[-1]["stop"], len(runs)) != (0, size, 1):
+                        base = borders[i]
+                        texts[i] = b"\n".join(raw[first[base + r["start"]]:last[base + r["stop"] - 1]] for r in runs).decode()
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(texts, pa.string())], ["doc", "taken"])
+    out = rows.mapInArrow(emit, T.StructType([rows.schema["doc"], T.StructField("taken", T.StringType())]))
+    return out.select(*[(F.col("taken") if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
+
+
 def op5_mixed_sources(spark, sf_dir: str) -> DataFrame:
     return mixed_sources(documents(spark, sf_dir)).select("doc.doc_id", "size", "source_size", "target", "taken")
 
