@@ -21,65 +21,97 @@ from pyspark.sql import functions as F
 
 from trustloom.llm.common import documents, numbered
 from trustloom.llm.sharding import best_fit_decreasing
-from trustloom.llm.words import slices
+from trustloom.llm.words import slices, text_bytes, word_bounds, word_hashes
 from trustloom.session import staged
 
 SEQUENCE = 2048
 UNIT = 16
 END_ID = 1
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 2_000_000
 ENCODED_TOGETHER = 5_000
-LONG_WORD = 64
 GAP = 2e-3
 ROUNDS = 1_500
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
 
 
 class WordEncoder:
-    """Token ids of texts as little-endian bytes, one word at a time.
+    """Token ids of texts, one word at a time.
 
     It holds for tokenizers whose normaliser and splitter never look across ASCII white space, as the one used here: a text's
-    ids are then those of its words in a row. Words seen before come from a table of bounded size; new ones are encoded together,
-    with a mark of one id between them.
+    ids are then those of its words in a row. Words seen before come from sorted arrays of bounded size, found by their 64-bit
+    hash; new ones are encoded together, with a mark of one id between them.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
         self.mark, self.mark_id = next((c, ids[0]) for c in "\u00a7\u00b6\u00a4|~" if len(ids := self._ids(c)) == 1)
+        self._forget()
+
+    def _forget(self) -> None:
+        none = np.zeros(0, np.int64)
+        self.main = self.fresh = (np.zeros(0, np.uint64), none, none)
+        self.ids, self.used = np.zeros(1 << 20, dtype="<u4"), 0
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+    def _learn(self, words: list[bytes]) -> list[np.ndarray]:
         mark = self.mark.encode()
-        plain = [w for w in words if mark not in w]
-        out = {w: np.array(self._ids(w.decode()), dtype="<u4").tobytes() for w in words if mark in w}
+        plain = [k for k, w in enumerate(words) if mark not in w]
+        out = [np.array(self._ids(w.decode()), dtype="<u4") if mark in w else None for w in words]
         for at in range(0, len(plain), ENCODED_TOGETHER):
             some = plain[at:at + ENCODED_TOGETHER]
-            text = f" {self.mark} ".join(w.decode() for w in some)
+            text = f" {self.mark} ".join(words[k].decode() for k in some)
             ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids)).tolist()
             first = 0
-            for word, end in zip(some, ends, strict=True):
-                out[word] = ids[first:end].tobytes()
+            for k, end in zip(some, ends, strict=True):
+                out[k] = ids[first:end]
                 first = end + 1
         return out
 
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        words = set().union(*split)
-        if len(self.known) + len(words) > KNOWN_WORDS:
-            self.known.clear()
-        learned = self._learn(list(words - self.known.keys()))
-        if len(words) <= KNOWN_WORDS:
-            self.known.update((w, i) for w, i in learned.items() if len(w) <= LONG_WORD)
-        table = self.known
-        if any(w not in table for w in learned):
-            table = table | learned
-        for words in split:
-            yield b"".join(map(table.__getitem__, words))
+    def _store(self, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        sizes = np.array([len(x) for x in parts], dtype=np.int64)
+        starts = self.used + np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(self.used + 2 * total + (1 << 20), dtype="<u4")])
+        if total:
+            self.ids[self.used:self.used + total] = np.concatenate(parts)
+        self.used += total
+        return starts, sizes
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a column in a row, and where each text's ids start (one entry more than texts)."""
+        data, offsets = text_bytes(column)
+        first, last, borders = word_bounds(data, offsets)
+        words, at, place = np.unique(word_hashes(data, first, last), return_index=True, return_inverse=True)
+        if len(self.main[0]) + len(self.fresh[0]) + len(words) > KNOWN_WORDS or self.used > 8 * KNOWN_WORDS:
+            self._forget()
+        start, size = np.zeros(len(words), np.int64), np.full(len(words), -1)
+        for known, starts, sizes in (self.main, self.fresh):
+            if len(known):
+                k = np.minimum(np.searchsorted(known, words), len(known) - 1)
+                hit = known[k] == words
+                start[hit], size[hit] = starts[k[hit]], sizes[k[hit]]
+        new = np.flatnonzero(size < 0)
+        if len(new):
+            raw = data.tobytes()
+            start[new], size[new] = self._store(self._learn([raw[a:b] for a, b in zip(first[at[new]].tolist(), last[at[new]].tolist())]))
+            self.fresh = _merged(self.fresh, (words[new], start[new], size[new]))
+            if 4 * len(self.fresh[0]) > len(self.main[0]):
+                self.main, self.fresh = _merged(self.main, self.fresh), tuple(x[:0] for x in self.fresh)
+        counts = size[place]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        ids = self.ids[np.arange(ends[-1]) + np.repeat(start[place] - ends[:-1], counts)]
+        return ids, ends[borders]
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Two tables with different keys as one, in order of key."""
+    order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -102,8 +134,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int, end_id: int, wi
         for batch in batches:
             for part in slices(batch, "text"):
                 rows: list[tuple] = []
-                for key, ids in zip(part.column("doc_id").to_pylist(), encoder.encode(part.column("text").to_pylist())):
-                    ids += end
+                all_ids, borders = encoder.encode(part.column("text"))
+                for key, a, b in zip(part.column("doc_id").to_pylist(), borders[:-1].tolist(), borders[1:].tolist()):
+                    ids = all_ids[a:b].tobytes() + end
                     n = len(ids) // 4
                     for at in range(0, n, sequence):
                         piece = ids[4 * at:4 * (at + sequence)]
