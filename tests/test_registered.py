@@ -12,12 +12,12 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = ("ring_mean change_only trust_time_range dimension_trust latency_stats rule_set symptom_intervals "
         "health_rollup_quadratic child_reconcile subservice_bags snapshot_trust_keyed malformed_messages "
         "process_counts disk_busy interface_attributes service_grouping add_middlebox catalog_match tfidf_cosine "
-        "dense_cosine_topk query_augmentation triples kg_nodes stream_trust").split()
+        "dense_cosine_topk query_augmentation trust_strict deep_rollup rule_gate triples kg_nodes stream_trust").split()
 
 
 def test_every_sql_has_a_query():
     assert set(reference_sql()) <= set(registered_queries())
-    assert set(registered_queries()) - set(reference_sql()) == {"trust_strict", "label_classifier"}
+    assert set(registered_queries()) - set(reference_sql()) == {"label_classifier"}
 
 
 @pytest.mark.parametrize("name", sorted(registered_queries()) if os.environ.get("TRUSTLOOM_ALL") else SOME)

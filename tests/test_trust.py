@@ -25,17 +25,18 @@ def scored(spark):
     return rows, spark.createDataFrame(rows, "id string, ts bigint, seq bigint, score double").cache()
 
 
-@pytest.mark.parametrize("chunk_rows", [10_000_000, 500])
-def test_strict_equals_the_fold_past_the_freezing_depth(scored, chunk_rows):
+def test_strict_equals_the_fold_of_all_messages(scored):
     rows, df = scored
-    got = {r["id"]: (r["trust_index"], r["counter"]) for r in trust.trust_strict(df, F.floor(F.col("ts") / 10**12), chunk_rows=chunk_rows).collect()}
+    got = {r["id"]: (r["trust_index"], r["counter"]) for r in trust.trust_strict(df).collect()}
     want = {d: fold([r[3] for r in rows if r[0] == d]) for d in ("d0", "d1", "d2")}
     assert got == want
 
 
-def test_strict_stops_on_scores_out_of_range(scored):
-    with pytest.raises(Exception, match="score_range"):
-        trust.trust_strict(scored[1], F.floor(F.col("ts") / 10**12), score_range=50.0).collect()
+def test_strict_folds_wide_scores(spark):
+    rows = [("w", i, i, float((i * 7919) % 1000 - 300)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id string, ts bigint, seq bigint, score double").repartition(5)
+    got = trust.trust_strict(df).first()
+    assert (got["trust_index"], got["counter"]) == fold([r[3] for r in rows])
 
 
 def test_strict_stream_equals_the_fold(spark, scored, tmp_path):

@@ -15,8 +15,6 @@ from trustloom.functions.skew import bounded_broadcast
 from trustloom.functions.text import list_map
 from trustloom.session import ensure_checkpoint_dir, staged
 
-MAX_DEPTH = 5
-
 # Node type -> containers every such node has.
 TEMPLATE = {
     "bm": ("cpus", "sensors", "disks", "mem", "proc", "net"),
@@ -132,16 +130,17 @@ def propagate(score: Column, method: str) -> Column:
 
 
 def rollup_scores(nodes: DataFrame, losses: DataFrame, method: str = "quadratic-mean",
-                  keys: Sequence[str] = ("host",), max_depth: int = MAX_DEPTH) -> DataFrame:
+                  keys: Sequence[str] = ("host",)) -> DataFrame:
     """Health score of every node.
 
     ``nodes`` has the keys, ``fullname, parent, depth, active, impacting``;
     ``losses`` has the keys, ``fullname`` and ``loss`` (points lost to symptoms,
     one row per symptom). A node scores the roll-up of its active impacting
     children, 100 without any, less its own losses. The nodes are written once,
-    split by depth, so each level reads its own part only. One aggregate and one
-    join per level of a tree of fixed depth; the aggregate combines before the
-    shuffle, so a parent with very many children is no hot spot.
+    split by depth, so each level reads its own part only; the deepest level is
+    read from that table. One aggregate and one join per level; the aggregate
+    combines before the shuffle, so a parent with very many children is no hot
+    spot. Every eighth level is written too, so plans of deep trees stay short.
     """
     keys = list(keys)
     total = losses.groupBy(*keys, "fullname").agg(F.sum("loss").alias("_loss"))
@@ -151,7 +150,8 @@ def rollup_scores(nodes: DataFrame, losses: DataFrame, method: str = "quadratic-
     own = F.greatest(F.lit(0.0), F.coalesce("_rolled", F.lit(100.0)) - F.col("_loss"))
     scored = None
     above = None
-    for depth in range(max_depth, -1, -1):
+    deepest = base.agg(F.max("depth")).first()[0]
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
         level = base.filter(F.col("depth") == depth)
         if above is None:
             level = level.withColumn("_rolled", F.lit(None).cast("double"))
@@ -161,8 +161,12 @@ def rollup_scores(nodes: DataFrame, losses: DataFrame, method: str = "quadratic-
         above = (level.filter(F.col("active") & F.col("impacting") & F.col("parent").isNotNull())
                  .groupBy(*keys, F.col("parent").alias("fullname"))
                  .agg(propagate(F.col("health_score"), method).alias("_rolled")))
+        if depth % 8 == 0 and depth:
+            above = staged(above, "rollup-level")
         done = level.select(*keys, "fullname", F.col("health_score").cast("int").alias("health_score"))
         scored = done if scored is None else scored.unionByName(done)
+    if scored is None:
+        return base.select(*keys, "fullname", F.lit(None).cast("int").alias("health_score"))
     return scored
 
 

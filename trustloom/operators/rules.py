@@ -87,7 +87,8 @@ def clause_table(rules: DataFrame, samples_per_min: int = SAMPLES_PER_MIN) -> Da
     """One row per operand of each clause.
 
     Operands have a role: ``a`` and ``b`` on the left, ``r`` for a metric on the
-    right. ``valid`` is false for text that is not a clause of the supported form.
+    right. ``valid`` is false for all operands of a rule if any part of it is not of the
+    supported form: a rule is taken or refused as a whole.
     """
     text = F.regexp_replace("rule", r"\s*(>=|<=|==|!=|<|>)\s*", "$1")
     joiner = (F.when(text.rlike(r"\sor\s") & text.rlike(r"\sand\s"), "mixed")
@@ -119,16 +120,21 @@ def clause_table(rules: DataFrame, samples_per_min: int = SAMPLES_PER_MIN) -> Da
         lambda o: o["text"].isNotNull())
     out = base.withColumn("operands", F.size(operands)).withColumn("_o", F.explode(operands))
     piece = F.col("_o.text")
-    minute = F.coalesce(F.nullif(F.regexp_extract(piece, f"^{FEATURE}", 1), F.lit("")),
-                        F.nullif(F.regexp_extract(piece, f"^{FEATURE}", 3), F.lit("")))
-    metric = F.regexp_extract(piece, f"^{FEATURE}", 4)
+    # The first operand of a transform is what stands before its sign.
+    piece = F.when((F.col("_o.role") == "a") & F.col("transform").isNotNull(), F.regexp_extract(
+        piece, rf"^({FEATURE})\s*[-+*/]\s*.+$", 1)).otherwise(F.trim(piece))
+    whole = f"^{FEATURE}$"
+    minute = F.coalesce(F.nullif(F.regexp_extract(piece, whole, 1), F.lit("")),
+                        F.nullif(F.regexp_extract(piece, whole, 3), F.lit("")))
+    metric = F.regexp_extract(piece, whole, 4)
+    sound = (metric != "") & (F.col("op") != "") & (F.col("joiner") != "mixed")
     return out.select(
         "rule_id", "name", "path", "severity", "rule", "joiner", "clauses", "clause_no",
         "operands", "transform", "op", "rhs_num", "rhs_str", F.col("_o.role").alias("role"),
         metric.alias("metric"),
-        (F.regexp_extract(piece, f"^{FEATURE}", 2) != "").alias("dynamicity"),
+        (F.regexp_extract(piece, whole, 2) != "").alias("dynamicity"),
         F.coalesce(minute.cast("int") * samples_per_min, F.lit(1)).alias("n"),
-        ((metric != "") & (F.col("op") != "") & (F.col("joiner") != "mixed")).alias("valid"))
+        sound.alias("_sound")).withColumn("valid", F.bool_and("_sound").over(Window.partitionBy("rule_id"))).drop("_sound")
 
 
 def rejected_rules(clauses: DataFrame, catalog: DataFrame) -> DataFrame:

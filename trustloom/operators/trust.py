@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions.scalar import half_even, uuid5_dns
-from trustloom.functions.skew import CHUNK_ROWS, bounded_broadcast, edge_rows, exact_quantile
+from trustloom.functions.skew import bounded_broadcast, exact_quantile
 from trustloom.operators.flatten import TRUST_PATH, health_values, time_range
 
 # The dimensions of a wide score row.
@@ -55,56 +55,33 @@ def trust_per_device(scores: DataFrame, key: str = "id", score: str = "score") -
         F.count(F.lit(1)).alias("counter"))
 
 
-def strict_depth(score_range: float) -> int:
-    """Messages after which the step-rounded mean cannot move any more.
-
-    A step changes the mean by at most range/(n+1); below half of 1e-4 the
-    rounding gives the old mean back. One percent is added for float error.
-    """
-    return int(2.02e4 * score_range / 100) + 2
-
-
 def fold_strict(messages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Running mean rounded to 4 digits at each message; rows come sorted by device and rank."""
+    """Running mean rounded to 4 digits at each message, with the count; rows come sorted by device and place."""
     device, mean, count = None, 0.0, 0
     for batch in messages:
         done = []
         for key, score in zip(batch["id"], batch["score"]):
             if key != device:
                 if device is not None:
-                    done.append((device, mean))
+                    done.append((device, mean, count))
                 device, mean, count = key, 0.0, 0
             mean = round((mean * count + score / 100) / (count + 1), 4)
             count += 1
-        yield pd.DataFrame(done, columns=["id", "trust_index"])
+        yield pd.DataFrame(done, columns=["id", "trust_index", "counter"])
     if device is not None:
-        yield pd.DataFrame([(device, mean)], columns=["id", "trust_index"])
+        yield pd.DataFrame([(device, mean, count)], columns=["id", "trust_index", "counter"])
 
 
-def trust_strict(scores: DataFrame, bucket: Column, score_range: float | None = None,
-                 chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def trust_strict(scores: DataFrame) -> DataFrame:
     """Step-rounded running mean per device in arrival order (``id, ts, seq, score``).
 
-    Only the first ``strict_depth`` messages of a device can move the mean, so
-    only these are sorted; the rest is counted. The widest span of a device's
-    scores is measured when it is not given; a device whose scores span more than
-    a given ``score_range`` stops the job instead of giving a wrong index.
+    Every message is folded. A step depends on the rounded result of the one before, so a device is read by one task, in order
+    and with constant memory; the sort before it spills. ``trust_per_device`` has no such order.
     """
-    if score_range is None:
-        per_device = scores.groupBy("id").agg((F.max("score") - F.min("score")).alias("span"))
-        score_range = float(per_device.agg(F.max("span")).first()[0] or 0.0)
-    first = edge_rows(scores, ["id"], bucket, [F.asc("ts"), F.asc("seq")],
-                      strict_depth(score_range), newest=False, chunk_rows=chunk_rows)
     kind = scores.schema["id"].dataType.simpleString()
-    folded = (first.select("id", "_rank", "score").repartition("id")
-              .sortWithinPartitions("id", "_rank").select("id", "score")
-              .mapInPandas(fold_strict, f"id {kind}, trust_index double"))
-    spans = scores.groupBy("id").agg(
-        F.count(F.lit(1)).alias("counter"),
-        (F.max("score") - F.min("score")).alias("_span"))
-    checked = F.when(F.col("_span") > score_range, F.raise_error(F.lit(
-        "scores span more than score_range"))).otherwise(F.col("counter")).cast("bigint")
-    return folded.join(spans, "id").select("id", "trust_index", checked.alias("counter"))
+    return (scores.filter("id IS NOT NULL AND score IS NOT NULL").select("id", "ts", "seq", F.col("score").cast("double").alias("score"))
+            .repartition("id").sortWithinPartitions("id", "ts", "seq").select("id", "score")
+            .mapInPandas(fold_strict, f"id {kind}, trust_index double, counter bigint"))
 
 
 def dimension_trust(wide: DataFrame, dimensions: Sequence[str] = DIMENSIONS,

@@ -44,7 +44,7 @@ def leaves_loss(df, key, balance, kind):
 def _rollup(method):
     def run(spark, folder):
         nodes, losses = _tree(spark, folder)
-        return graph.rollup_scores(nodes, losses, method, max_depth=3).select("fullname", "health_score")
+        return graph.rollup_scores(nodes, losses, method).select("fullname", "health_score")
     return run
 
 
@@ -52,10 +52,26 @@ def health_rollup_inactive(spark, folder):
     """Roll-up that leaves out suppliers (inactive)."""
     nodes, losses = _tree(spark, folder)
     nodes = nodes.withColumn("active", F.col("type") != "supplier")
-    return graph.rollup_scores(nodes, losses, max_depth=3).filter(
+    return graph.rollup_scores(nodes, losses).filter(
         "fullname LIKE '%nation%' AND fullname NOT LIKE '%customer%'").select("fullname", "health_score")
 
 
+DEEP = ("l_returnflag", "l_linestatus", "l_shipinstruct", "year", "month", "day", "l_linenumber", "supplier")
+
+
+def deep_rollup(spark, folder):
+    """Roll-up of a tree of eight levels: flag, status, parity, year, month, day, line and supplier of the order lines."""
+    d = F.col("l_shipdate")
+    lines = table(spark, folder, "lineitem").select(
+        "l_returnflag", "l_linestatus", (F.col("l_orderkey") % 2).alias("l_shipinstruct"), F.year(d).alias("year"), F.month(d).alias("month"),
+        F.dayofmonth(d).alias("day"), "l_linenumber", (F.col("l_suppkey") % 3).alias("supplier"), "l_discount")
+    steps = [F.concat(F.lit(f"/s{i}[name="), F.col(c).cast("string"), F.lit("]")) for i, c in enumerate(DEEP)]
+    names = [F.concat(F.lit("/node[name=w]"), *steps[:i]) for i in range(len(steps) + 1)]
+    nodes = graph.describe_nodes(lines.select(F.lit("w").alias("host"), F.explode(F.array(*names)).alias("fullname")).distinct())
+    losses = lines.filter("l_discount > 0.08").select(F.lit("w").alias("host"), names[-1].alias("fullname"), F.lit(40).alias("loss"))
+    return graph.rollup_scores(nodes, losses).select("fullname", "health_score")
+
+
 def graph_edges(spark, folder):
     urls = table(spark, folder, "pages").select(
         F.regexp_replace(F.regexp_replace("url", r"^https?://", "/"), r"[?#].*$", "").alias("path"))
@@ -81,7 +97,7 @@ def ancestor_active(spark, folder):
 
 def node_colours(spark, folder):
     nodes, losses = _tree(spark, folder)
-    scores = graph.rollup_scores(nodes, losses, max_depth=3)
+    scores = graph.rollup_scores(nodes, losses)
     rows = nodes.withColumn("active", F.col("type") != "supplier").join(scores, ["host", "fullname"])
     return graph.node_colours(rows).select("fullname", "green", "red", "grey")
 
@@ -170,7 +186,7 @@ METHOD_KEYS = {"health_rollup_quadratic": "quadratic-mean", "health_rollup_mean"
                "health_rollup_malus": "malus"}
 
 QUERIES = {**{key: _rollup(method) for key, method in METHOD_KEYS.items()}, **{f.__name__: f for f in (
-    health_rollup_inactive, graph_edges, numbered_edges, graph_nodes, ancestor_active, node_colours,
+    health_rollup_inactive, deep_rollup, graph_edges, numbered_edges, graph_nodes, ancestor_active, node_colours,
     child_reconcile, graph_version, subservice_bags, symptom_text, category_scores, build_nodes,
     fleet_counters, path_split)}}
 
@@ -212,7 +228,25 @@ def _levels(method: str, where: str = "true") -> str:
             UNION ALL SELECT fullname, s FROM n2 UNION ALL SELECT fullname, s FROM n3)"""
 
 
+def _deep_sql() -> str:
+    names = ["'/node[name=w]'"]
+    for i in range(len(DEEP)):
+        names.append(f"{names[-1]} || '/s{i}[name=' || c{i} || ']'")
+    columns = ("l_returnflag", "l_linestatus", "l_orderkey % 2", "year(l_shipdate)", "month(l_shipdate)", "day(l_shipdate)", "l_linenumber",
+               "l_suppkey % 3")
+    base = ", ".join(f"{c} AS c{i}" for i, c in enumerate(columns))
+    levels = [f"l{len(DEEP)} AS (SELECT {', '.join(f'c{i}' for i in range(len(DEEP)))}, "
+              f"greatest(0, 100 - 40 * count(*) FILTER (WHERE l_discount > 0.08)) AS s FROM x GROUP BY ALL)"]
+    for depth in range(len(DEEP) - 1, -1, -1):
+        keys = ", ".join(f"c{i}" for i in range(depth))
+        levels.append(f"l{depth} AS (SELECT {keys + ', ' if keys else ''}CAST({AGG['quadratic-mean']} AS INTEGER) AS s FROM l{depth + 1}"
+                      f"{' GROUP BY ' + keys if keys else ''})")
+    rows = " UNION ALL ".join(f"SELECT {names[i]} AS fullname, CAST(s AS INTEGER) AS health_score FROM l{i}" for i in range(len(DEEP) + 1))
+    return f"WITH x AS (SELECT {base}, l_discount FROM lineitem), {', '.join(levels)} {rows}"
+
+
 ORACLE = {
+    "deep_rollup": _deep_sql(),
     **{key: f"{_levels(method)} SELECT fullname, s AS health_score FROM everything"
        for key, method in METHOD_KEYS.items()},
     "health_rollup_inactive": f"""{_levels('quadratic-mean', "kind = 'customer'")}

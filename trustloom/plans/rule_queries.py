@@ -102,6 +102,15 @@ def rejected_rules(spark, folder):
     return rules.rejected_rules(clauses, known).select("name", "reason")
 
 
+def rule_gate(spark, folder):
+    """Rules with a part outside the grammar never fire, also where the rest of them would."""
+    texts = "\n".join((
+        "Sound | /node/bm | Orange | value>100", "Floor | /node/bm | Red | (value//k)>2", "Rest | /node/bm | Red | value%2>1",
+        "Bad clause | /node/bm | Red | (value>100) and zombie", "Bad call | /node/bm | Red | (value>100) or max(k)>1",
+        "Ratio | /node/bm | Red | (value/k)>2"))
+    return _ticks(rules.rule_hits(event_ticks(spark, folder), rules.clause_table(rules.rule_table(spark, texts))))
+
+
 def shipped_rules_on_lineitem(spark, folder):
     """Memory, disk and sensor rules of the shipped set on columns of the line items."""
     items = table(spark, folder, "lineitem").select(
@@ -125,7 +134,7 @@ def shipped_rules_on_lineitem(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     scalar_rule, sustained_rule, dynamicity_rule, two_clause_rule, metric_pair_rule, rule_set,
-    symptom_ids, inactive_suppression, symptom_intervals, rejected_rules,
+    symptom_ids, inactive_suppression, symptom_intervals, rejected_rules, rule_gate,
     shipped_rules_on_lineitem)}
 
 BASE = """
@@ -166,6 +175,8 @@ def _rule_select(*names: str) -> str:
 
 
 ORACLE = {
+    "rule_gate": f"""{BASE} SELECT 'Sound' AS name, 'ORANGE' AS severity, 10 AS weight, host, event_id FROM f WHERE value > 100
+                     UNION ALL SELECT 'Ratio', 'RED', 50, host, event_id FROM f WHERE k <> 0 AND value / k > 2""",
     "scalar_rule": f"{BASE} {_rule_select('High value', 'Not a view')}",
     "sustained_rule": f"{BASE} {_rule_select('Value low for 1 min', 'No click for 1 min')}",
     "dynamicity_rule":

@@ -91,13 +91,11 @@ def trust_exact(spark, folder):
 
 
 def trust_time_range(spark, folder):
-    rows = flatten.time_range(event_scores(spark, folder), "ts", time_bound_ns(START),
-                              time_bound_ns(END))
-    return trust.trust_per_device(rows)
+    return trust.trust_per_device(event_scores(spark, folder, time_bound_ns(START), time_bound_ns(END)))
 
 
 def trust_strict(spark, folder):
-    return trust.trust_strict(event_scores(spark, folder), F.floor(F.col("ts") / series.BUCKET_NS))
+    return trust.trust_strict(event_scores(spark, folder))
 
 
 def dimension_trust(spark, folder):
@@ -219,6 +217,11 @@ ORACLE = {
         SELECT user_id AS id, round_even(avg(value / 100), 4) AS trust_index, count(*) AS counter
         FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-20 12:00:00'
         GROUP BY 1""",
+    "trust_strict": """
+        SELECT user_id AS id, count(*) AS counter,
+               list_reduce(list_prepend(CAST(0.0 AS DOUBLE), list(value ORDER BY ts, event_id)), lambda a, x, i:
+                   CAST(format('{:.4f}', (a * (i - 2) + x / 100) / (i - 1)) AS DOUBLE)) AS trust_index
+        FROM events GROUP BY 1""",
     "dimension_trust": """
         WITH m AS (SELECT l_suppkey, unnest([avg(l_quantity), avg(l_linenumber),
                           avg(round_even(l_discount * 100, 0))]) AS v FROM lineitem GROUP BY 1)

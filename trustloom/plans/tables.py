@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +43,22 @@ def event_ticks(spark: SparkSession, folder: str) -> DataFrame:
                          F.lit("").alias("unit"))
 
 
-def event_scores(spark: SparkSession, folder: str) -> DataFrame:
-    """Health scores per device: ``id, ts, seq, score``."""
-    return table(spark, folder, "events").select(
+def stored_range(df: DataFrame, column: str, start: int | None, end: int | None) -> DataFrame:
+    """Inclusive ns bounds on a stored timestamp column, in the column's own type so that the scan can prune.
+
+    Stored timestamps have microseconds: a lower bound is rounded up, an upper one down.
+    """
+    def moment(us: int) -> Column:
+        return F.lit(datetime.fromtimestamp(us // 1_000_000, timezone.utc).replace(tzinfo=None, microsecond=us % 1_000_000)).cast("timestamp_ntz")
+    if start is not None:
+        df = df.filter(F.col(column) >= moment(-(-start // 1000)))
+    if end is not None:
+        df = df.filter(F.col(column) <= moment(end // 1000))
+    return df
+
+
+def event_scores(spark: SparkSession, folder: str, start: int | None = None, end: int | None = None) -> DataFrame:
+    """Health scores per device in a time range: ``id, ts, seq, score``."""
+    return stored_range(table(spark, folder, "events"), "ts", start, end).select(
         F.col("user_id").alias("id"), epoch_ns("ts").alias("ts"), F.col("event_id").alias("seq"),
         F.col("value").alias("score"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trustloom.functions.scalar import half_even
-from trustloom.operators.trust import requested_scores, strict_depth
+from trustloom.operators.trust import requested_scores
 from trustloom.session import shared_dir
 
 # Seconds between ticks of the agent, the collector and the display.
@@ -59,23 +59,17 @@ def stream_trust(spark: SparkSession, scores: DataFrame) -> DataFrame:
 def strict_trust_stream(scores: DataFrame) -> DataFrame:
     """Step-rounded running mean per device in arrival order, as keyed state (mean, count).
 
-    Once a device has ``strict_depth`` messages the mean is fixed and only the
-    count goes on, so a hot device costs no more than its count.
+    Every message is folded. The messages of a device in one micro-batch are put in order first, so the size of a micro-batch
+    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds what a task holds.
     """
     kind = scores.schema["id"].dataType.simpleString()
-    depth = strict_depth(100.0)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         mean, count = state.get if state.exists else (0.0, 0)
-        room, seen, first = max(0, depth - count), 0, None
-        for batch in batches:
-            seen += len(batch)
-            if room:
-                first = batch if first is None else pd.concat([first, batch])
-                first = first.sort_values(["ts", "seq"]).head(room)
-        for n, score in enumerate([] if first is None else first["score"], start=count):
-            mean = round((mean * n + score / 100) / (n + 1), 4)
-        count += seen
+        held = pd.concat([b[["ts", "seq", "score"]] for b in batches]).sort_values(["ts", "seq"])
+        for score in held["score"]:
+            mean = round((mean * count + score / 100) / (count + 1), 4)
+            count += 1
         state.update((mean, count))
         yield pd.DataFrame({"id": [key[0]], "trust_index": [mean], "counter": [count]})
     return scores.groupBy("id").applyInPandasWithState(
