@@ -11,20 +11,38 @@ from pyspark.sql import functions as F
 
 from trustloom.functions.hof import let
 from trustloom.functions.paths import keyed_path, unkeyed_path
-from trustloom.functions.scalar import numeric_text
+from trustloom.functions.scalar import json_number, json_plain, numeric_text
 from trustloom.sources.schemas import SNAPSHOT, WIDE_SCORE
 
 HEALTH_PREFIX = "/health/node/"
 TRUST_PATH = "/health/node/trust_index"
 
 
+def _json_text(val: Column) -> Column:
+    return F.decode(F.unbase64(val["jsonVal"]), "UTF-8")
+
+
 def decode_value(val: Column) -> Column:
-    """Text of a union value: decoded JSON bytes, then int, string, float, else UNKNOWN."""
+    """Text of a union value: decoded JSON (strings without quotes), then int, string, float, else UNKNOWN."""
     return F.coalesce(
-        F.decode(F.unbase64(val["jsonVal"]), "UTF-8"), val["intVal"], val["stringVal"],
+        json_plain(_json_text(val)), val["intVal"], val["stringVal"],
         val["floatVal"].cast("string"), F.lit("UNKNOWN"))
 
 
+def decode_number(val: Column) -> Column:
+    """Number of a union value by its type, else NULL.
+
+    JSON numbers, booleans and floats count as they are, signed or with an exponent; integers travel as text and count
+    like strings, only if they are plain digits. JSON that cannot be read is text.
+    """
+    text = _json_text(val)
+    parsed = F.try_parse_json(text)
+    return (F.when(text.isNotNull(), F.when(parsed.isNull(), numeric_text(text)).otherwise(json_number(parsed)))
+            .when(val["intVal"].isNotNull(), numeric_text(val["intVal"]))
+            .when(val["stringVal"].isNotNull(), numeric_text(val["stringVal"]))
+            .otherwise(val["floatVal"]))
+
+
 def explode_envelope(messages: DataFrame, *keep: str) -> DataFrame:
     """One row per update with its position; messages without updates give none."""
     return (messages.filter(F.col("update.update").isNotNull())
@@ -44,7 +62,9 @@ def last_per_path(pairs: Column) -> Column:
 
 def envelope_snapshots(messages: DataFrame, device: Column, *keep: str,
                        collapse: bool = True) -> DataFrame:
-    """Envelope -> ``id, timestamp, data`` with one entry per path, the last one wins.
+    """Envelope -> ``id, timestamp, data, numbers`` with one entry per path, the last one wins.
+
+    ``data`` has the values as text, ``numbers`` those that count as numbers by their type.
 
     ``collapse`` drops the keys from the paths, so siblings share one entry;
     without it every keyed entity keeps its own.
@@ -52,28 +72,34 @@ def envelope_snapshots(messages: DataFrame, device: Column, *keep: str,
     name = unkeyed_path if collapse else keyed_path
     pairs = F.transform(F.col("update.update"), lambda u, i: F.struct(
         name(u["path"]["elem"]).alias("path"), i.alias("pos"),
-        decode_value(u["val"]).alias("value")))
-    entries = F.transform(last_per_path(pairs),
-                          lambda e: F.struct(e["path"].alias("key"), e["value"].alias("value")))
+        decode_value(u["val"]).alias("value"), decode_number(u["val"]).alias("number")))
+
+    def entries(field: str) -> Column:
+        return F.map_from_entries(F.transform(F.col("_last"), lambda e: F.struct(e["path"].alias("key"), e[field].alias("value"))))
     return (messages.filter(F.col("update.update").isNotNull())
-            .select(*keep, device.alias("id"), F.col("update.timestamp").alias("timestamp"),
-                    F.map_from_entries(entries).alias("data")))
+            .select(*keep, device.alias("id"), F.col("update.timestamp").alias("timestamp"), last_per_path(pairs).alias("_last"))
+            .select(*keep, "id", "timestamp", entries("value").alias("data"), entries("number").alias("numbers")))
 
 
-def health_values(data: Column) -> Column:
-    """Numbers below the health prefix, the index itself left out."""
+def health_values(data: Column, numbers: bool = False) -> Column:
+    """Numbers below the health prefix, the index itself left out; ``data`` maps to text or, with ``numbers``, to numbers."""
     entries = F.filter(F.map_entries(data), lambda e: F.startswith(
         e["key"], F.lit(HEALTH_PREFIX)) & (e["key"] != TRUST_PATH))
-    return F.filter(F.transform(entries, lambda e: numeric_text(e["value"])),
+    return F.filter(F.transform(entries, lambda e: e["value"] if numbers else numeric_text(e["value"])),
                     lambda v: v.isNotNull())
 
 
 def parse_snapshots(lines: DataFrame, column: str = "value", *keep: str) -> DataFrame:
-    """JSON text -> snapshot columns plus ``malformed``, which holds unreadable text."""
+    """JSON text -> snapshot columns, ``numbers`` and ``malformed``, which holds unreadable text.
+
+    ``data`` has the values as text; ``numbers`` has them by their JSON type.
+    """
+    typed = F.from_json(column, "data MAP<STRING, VARIANT>")
     parsed = F.from_json(column, SNAPSHOT + ", _corrupt STRING",
                          {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     return (lines.withColumn("_m", parsed)
             .select(*keep, "_m.id", "_m.timestamp", "_m.data",
+                    F.transform_values(typed["data"], lambda _, v: json_number(v)).alias("numbers"),
                     F.col("_m._corrupt").alias("malformed")))
 
 

@@ -19,9 +19,11 @@ DIMENSIONS = ("CPUs", "Sensors", "Mem", "Proc", "Disks", "Nets")
 def snapshot_trust(snapshots: DataFrame) -> DataFrame:
     """Add ``trust_index``: mean of the numeric health values of the row, 2 digits.
 
-    Rows without a numeric value keep NULL. Works inside the row, no shuffle.
+    Rows without a numeric value keep NULL. Works inside the row, no shuffle. Snapshots with a ``numbers`` column know their
+    values' types; without it text of plain digits counts.
     """
-    values = health_values(F.col("data"))
+    typed = "numbers" in snapshots.columns
+    values = health_values(F.col("numbers" if typed else "data"), typed)
     total = F.aggregate(values, F.lit(0.0), lambda acc, v: acc + v)
     mean = F.when(F.size(values) > 0, half_even(total / F.size(values), 2))
     return snapshots.withColumn("trust_index", mean)

@@ -51,6 +51,44 @@ def snapshot_trust_keyed(spark, folder):
     return trust.snapshot_trust(trust.with_trust_entry(rows)).select("event_id", "trust_index")
 
 
+def _typed_envelopes(spark, folder):
+    """Envelopes whose values are JSON of every kind, a float below zero and text that only looks like a number."""
+    def update(name, json=None, number=None, text=None, real=None):
+        elements = [F.struct(F.lit(n).alias("name"), F.lit(None).cast("map<string,string>").alias("key")) for n in ("health", "node", name)]
+        none = F.lit(None).cast("string")
+        return F.struct(F.struct(F.array(*elements).alias("elem")).alias("path"), F.struct(
+            (none if json is None else F.base64(F.encode(json, "UTF-8"))).alias("jsonVal"), (none if number is None else number).alias("intVal"),
+            (none if text is None else text).alias("stringVal"), (F.lit(None).cast("double") if real is None else real).alias("floatVal")).alias("val"))
+    user = F.col("user_id").cast("string")
+    updates = F.array(*[u.cast(UPDATE) for u in (
+        update("quoted", json=F.concat(F.lit('"'), user, F.lit('"'))), update("minus", json=F.lit("-1")), update("flag", json=F.lit("true")),
+        update("small", json=F.lit("1e-5")), update("nested", json=F.lit('{"a": 7}')), update("broken", json=F.lit("{x")), update("bare", json=user),
+        update("below", number=F.lit("-5")), update("text", text=F.lit("-3")), update("float", real=-F.col("value")))])
+    return table(spark, folder, "events").select("event_id", F.struct(
+        F.lit("1").alias("timestamp"), updates.alias("update")).alias("update"))
+
+
+def typed_envelope_rows(spark, folder):
+    """Union values of every type as text."""
+    return flatten.explode_envelope(_typed_envelopes(spark, folder), "event_id").select(
+        "event_id", "path", F.when(F.col("path") != "/health/node/float", F.col("value")).alias("value"))
+
+
+def typed_snapshot_trust(spark, folder):
+    """Trust index over values that count by their type: 1e-5, -1, true, digits and floats do, signed text does not."""
+    rows = flatten.envelope_snapshots(_typed_envelopes(spark, folder), F.col("event_id"))
+    return trust.snapshot_trust(rows).select(F.col("id").alias("event_id"), "trust_index", F.size(F.filter(
+        F.map_values("numbers"), lambda v: v.isNotNull())).alias("numbers"))
+
+
+def typed_message_trust(spark, folder):
+    """Trust index of JSON messages with a signed number, a boolean, digits as text and signed text."""
+    text = F.concat(F.lit('{"id": "a", "timestamp": "1", "data": {"/health/node/a": -1, "/health/node/b": true, "/health/node/c": "'),
+                    F.col("user_id").cast("string"), F.lit('", "/health/node/d": "-4", "/health/node/e": '), F.col("value").cast("string"), F.lit("}}"))
+    rows = table(spark, folder, "events").select("event_id", text.alias("value"))
+    return trust.snapshot_trust(flatten.parse_snapshots(rows, "value", "event_id")).select("event_id", "trust_index")
+
+
 def feed_routing(spark, folder):
     rows = flatten.explode_envelope(envelopes(spark, folder), "event_id")
     extra = rows.filter("pos = 0").withColumn("keyed_path", F.lit("/node[name=h]/vm[name=v]/active"))
@@ -131,12 +169,20 @@ def score_lookup(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    envelope_rows, snapshot_trust, snapshot_trust_keyed, feed_routing, malformed_messages,
+    envelope_rows, snapshot_trust, snapshot_trust_keyed, typed_envelope_rows, typed_snapshot_trust, typed_message_trust, feed_routing, malformed_messages,
     trust_from_messages, wide_score_trust, numeric_texts, subscribed_feeds, metric_only, indexed_names,
     score_lookup)}
 
 K = "CAST(json_extract(props, '$.k') AS BIGINT)"
 ORACLE = {
+    "typed_envelope_rows": """
+        SELECT event_id, '/health/node/' || unnest(['quoted', 'minus', 'flag', 'small', 'nested', 'broken', 'bare', 'below', 'text', 'float']) AS path,
+               unnest([CAST(user_id AS VARCHAR), '-1', 'true', '1e-5', '{"a": 7}', '{x', CAST(user_id AS VARCHAR), '-5', '-3', NULL]) AS value
+        FROM events""",
+    "typed_snapshot_trust": """
+        SELECT event_id, 6 AS numbers, round_even((user_id + user_id - 1 + 1 + 0.00001 - value) / 6, 2) AS trust_index FROM events""",
+    "typed_message_trust": """
+        SELECT event_id, round_even((-1 + 1 + user_id + value) / 4, 2) AS trust_index FROM events""",
     "envelope_rows": f"""
         WITH e AS (SELECT *, {K} AS k FROM events WHERE event_type <> 'signup')
         SELECT event_id, 0 AS pos, '/health/node' AS path, '/health/node' AS keyed_path, '55' AS value FROM e
