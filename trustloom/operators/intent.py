@@ -319,8 +319,9 @@ def with_agreement(users: DataFrame, signed: DataFrame) -> DataFrame:
 
 
 def availability(requests: DataFrame, matches: DataFrame, key: str = "request_id") -> DataFrame:
-    """Whether any catalogue document matches each request."""
-    found = matches.groupBy(key).agg(F.count(F.lit(1)).alias("matches"))
+    """Whether any catalogue document matches each request; ``matches`` has a row per match or a count per request."""
+    count = F.sum("matches") if "matches" in matches.columns else F.count(F.lit(1))
+    found = matches.groupBy(key).agg(count.alias("matches"))
     return requests.select(key).distinct().join(found, key, "left").select(
         key, F.coalesce("matches", F.lit(0)).alias("matches"),
-        F.col("matches").isNotNull().alias("available"))
+        (F.coalesce("matches", F.lit(0)) > 0).alias("available"))

@@ -217,29 +217,29 @@ def short_name(term: Column) -> Column:
 
 
 def kg_nodes(rows: DataFrame) -> DataFrame:
-    """``uri, labels, props`` per subject; of several literals the greatest is kept.
+    """``uri, labels, props`` per subject, object and class; of several literals the greatest is kept.
 
-    Values are reduced per (subject, predicate) first, so a subject's lists hold
+    Classes are labels of their members and nodes too. One pass over the triples: values are reduced per (node,
+    predicate) before the shuffle, so a node named by very many triples arrives as one row per task, and its lists hold
     one entry per predicate and class at most.
     """
-    literal = (rows.filter(~F.col("o_is_iri")).groupBy("s", "p").agg(F.max("o").alias("o"))
-               .groupBy("s").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-                   short_name(F.col("p")).alias("key"), F.col("o").alias("value"))))).alias("props")))
-    typed = (rows.filter(F.col("p") == RDF_TYPE).select("s", short_name(F.col("o")).alias("label"))
-             .distinct().groupBy("s").agg(F.array_sort(F.collect_list("label")).alias("labels")))
-    empty = F.create_map().cast("map<string,string>")
-    return (rows.select("s").unionByName(rows.filter(
-        F.col("o_is_iri") & (F.col("p") != RDF_TYPE)).select(F.col("o").alias("s"))).distinct()
-            .join(typed, "s", "left").join(literal, "s", "left")
-            .select(F.col("s").alias("uri"),
-                    F.coalesce("labels", F.array().cast("array<string>")).alias("labels"),
-                    F.coalesce("props", empty).alias("props")))
+    literal = F.when(~F.col("o_is_iri"), F.col("o"))
+    label = F.when(F.col("p") == RDF_TYPE, short_name(F.col("o")))
+    ends = F.filter(F.array(
+        F.struct(F.col("s").alias("uri"), F.col("p").alias("p"), literal.alias("value"), label.alias("label")),
+        F.struct(F.when(F.col("o_is_iri"), F.col("o")).alias("uri"), F.lit("").alias("p"), F.lit(None).cast("string").alias("value"),
+                 F.lit(None).cast("string").alias("label"))), lambda e: e["uri"].isNotNull())
+    facts = (rows.select(F.explode(ends).alias("e")).select("e.*").groupBy("uri", "p").agg(
+        F.max("value").alias("value"), F.collect_set("label").alias("labels")))
+    pair = F.when(F.col("value").isNotNull(), F.struct(short_name(F.col("p")).alias("key"), "value"))
+    return facts.groupBy("uri").agg(
+        F.array_sort(F.flatten(F.collect_list("labels"))).alias("labels"),
+        F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("props"))
 
 
 def kg_edges(rows: DataFrame) -> DataFrame:
-    return (rows.filter(F.col("o_is_iri") & (F.col("p") != RDF_TYPE))
-            .select(F.col("s").alias("src"), short_name(F.col("p")).alias("rel"),
-                    F.col("o").alias("dst")).distinct())
+    """``src, rel, dst`` of all triples between nodes, those to the classes included."""
+    return (rows.filter("o_is_iri").select(F.col("s").alias("src"), short_name(F.col("p")).alias("rel"), F.col("o").alias("dst")).distinct())
 
 
 def duplicate_uris(nodes: DataFrame) -> DataFrame:

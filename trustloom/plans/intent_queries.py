@@ -189,13 +189,16 @@ def _requests(spark, folder):
         "request_id", "r.kind", "r.requirement")
 
 
-def _matches(spark, folder):
-    docs = staged(_catalog(spark, folder), "catalog")
+def _keys_and_facts(docs, requests):
     services, systems = catalog.facet_values(catalog.service_facets(docs)), catalog.facet_values(catalog.os_facets(docs))
     types, software, distros, flavors = services["type"], services["software"], systems["distro"], systems["flavor"]
-    wanted = catalog.requirement_keys(_requests(spark, folder), types, software, {"focal": "ubuntu"}, distros, flavors)
-    facts = catalog.asset_keys(docs, types, software, ["focal"], [*distros, *flavors])
-    return docs, catalog.match_documents(wanted, facts)
+    wanted = catalog.requirement_keys(requests, types, software, {"focal": "ubuntu"}, distros, flavors)
+    return wanted, catalog.asset_keys(docs, types, software, ["focal"], [*distros, *flavors])
+
+
+def _matches(spark, folder):
+    docs = staged(_catalog(spark, folder), "catalog")
+    return docs, catalog.match_documents(*_keys_and_facts(docs, _requests(spark, folder)))
 
 
 def catalog_match(spark, folder):
@@ -208,10 +211,18 @@ def availability(spark, folder):
     return intent.availability(_requests(spark, folder), matches)
 
 
+def availability_open(spark, folder):
+    """Availability where every fifth request has a text without any requirement: the whole catalogue answers it."""
+    requests = _requests(spark, folder).withColumn("requirement", F.when(F.col("request_id") % 5 == 0, "anything").otherwise(F.col("requirement")))
+    docs = staged(_catalog(spark, folder), "catalog")
+    wanted, facts = _keys_and_facts(docs, requests)
+    return intent.availability(requests, catalog.answer_sizes(wanted, facts, docs))
+
+
 QUERIES = {f.__name__: f for f in (
     entity_tags, entity_spans, service_grouping, requirement_routing, service_summary, feedback_annotation, add_asset,
     add_middlebox, remove_value, feedback_parse, confidence_gate, session_120m, synonym_canonical, signed_agreements,
-    requirement_parse, service_facets, os_facets, catalog_match, availability)}
+    requirement_parse, service_facets, os_facets, catalog_match, availability, availability_open)}
 
 WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
 LIST = "[" + ", ".join(f"'{f}'" for f in FORMS) + "]"
@@ -291,6 +302,9 @@ ORACLE = {
         UNION ALL SELECT 'codename', 'focal'""",
     "catalog_match": f"""{CAT} SELECT request_id, doc_id, 'r' || doc_id AS resource_id, p_brand AS provider, 'i' || doc_id AS infrastructure_id,
                CAST(n AS VARCHAR) AS price_tag FROM m""",
+    "availability_open": f"""{CAT}, c AS (SELECT request_id, count(*) AS k FROM m GROUP BY 1)
+        SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 5 = 0 THEN (SELECT count(*) FROM part) ELSE coalesce(k, 0) END AS matches,
+               s_suppkey % 5 = 0 OR k IS NOT NULL AS available FROM supplier LEFT JOIN c ON request_id = s_suppkey""",
     "availability": f"""{CAT}, c AS (SELECT request_id, count(*) AS k FROM m GROUP BY 1)
         SELECT s_suppkey AS request_id, coalesce(k, 0) AS matches, k IS NOT NULL AS available FROM supplier LEFT JOIN c ON request_id = s_suppkey""",
 }

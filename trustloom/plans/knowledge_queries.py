@@ -111,8 +111,8 @@ T = """WITH u AS (SELECT 'http://example.org/User/' || c_custkey AS s, c_custkey
 
 ORACLE = {
     "triples": f"{T} SELECT s, p, o, o_is_iri FROM t",
-    "kg_edges": f"{T} SELECT DISTINCT s AS src, split_part(p, ':', 2) AS rel, o AS dst FROM t WHERE o_is_iri AND p <> 'rdf:type'",
-    "kg_nodes": f"""{T}, n AS (SELECT s AS uri FROM t UNION SELECT o FROM t WHERE o_is_iri AND p <> 'rdf:type'),
+    "kg_edges": f"{T} SELECT DISTINCT s AS src, split_part(p, ':', 2) AS rel, o AS dst FROM t WHERE o_is_iri",
+    "kg_nodes": f"""{T}, n AS (SELECT s AS uri FROM t UNION SELECT o FROM t WHERE o_is_iri),
         lab AS (SELECT s AS uri, string_agg(split_part(o, ':', 2), ',' ORDER BY o) AS labels FROM t WHERE p = 'rdf:type' GROUP BY 1),
         k AS (SELECT s AS uri, split_part(p, ':', 2) AS k, max(o) AS v FROM t WHERE NOT o_is_iri GROUP BY 1, 2),
         pr AS (SELECT uri, string_agg(k || '=' || v, ';' ORDER BY k) AS props FROM k GROUP BY 1)
