@@ -14,23 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustloom.functions.local import as_local, fetched
-
 CHUNK_ROWS = 2_000_000
-BROADCAST_ROWS = 50_000
-
-
-def bounded_broadcast(dimension: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint for a side that was counted and is small; else unchanged.
-
-    A side of at most ``LOCAL_ROWS`` rows is fetched once and becomes a local
-    table, so that a plan using it several times does not compute it again.
-    """
-    head = fetched(dimension)
-    if head is not None:
-        return F.broadcast(as_local(dimension, head))
-    small = dimension.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(dimension) if small else dimension
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -72,7 +56,6 @@ def split_series(df: DataFrame, keys: Sequence[str], bucket: Column, depth: int,
               .withColumn("_copied", F.col("_after") < F.lit(depth))
               .filter((F.col("_home") > 0) | F.col("_copied"))
               .select(*keys, "_bucket", "_home", "_copied"))
-    pieces = bounded_broadcast(pieces)
     joined = (marked.alias("l").join(pieces.alias("r"), _same("l", "r", [*keys, "_bucket"]), "left")
               .select("l.*", F.coalesce("r._home", F.lit(0)).alias("_home"),
                       F.coalesce("r._copied", F.lit(False)).alias("_copied")))
@@ -103,7 +86,7 @@ def edge_rows(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequenc
                   .withColumn("_seen", F.coalesce(F.sum("count").over(before), F.lit(0)))
                   .filter(F.col("_seen") < n))
         pick = F.min("_bucket") if newest else F.max("_bucket")
-        limits = bounded_broadcast(counts.groupBy(*keys).agg(pick.alias("_limit")))
+        limits = counts.groupBy(*keys).agg(pick.alias("_limit"))
         inside = (F.col("l._bucket") >= F.col("r._limit") if newest
                   else F.col("l._bucket") <= F.col("r._limit"))
         df = (marked.alias("l").join(limits.alias("r"), _same("l", "r", keys) & inside)
@@ -129,7 +112,7 @@ def running_total(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
     inner = (Window.partitionBy(*keys, "_bucket").orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, 0))
     return (marked.withColumn("_inner", F.sum(value).over(inner)).alias("l")
-            .join(bounded_broadcast(starts).alias("r"), _same("l", "r", [*keys, "_bucket"]))
+            .join(starts.alias("r"), _same("l", "r", [*keys, "_bucket"]))
             .select("l.*", (F.col("l._inner") + F.col("r._start")).alias(name))
             .drop("_inner", "_bucket"))
 
@@ -154,7 +137,7 @@ def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, nam
          F.when(few, F.col("_min")).otherwise(F.col("_b")[0])).alias("_lo"),
         (F.col("_max") if high == 1.0 else
          F.when(few, F.col("_max")).otherwise(F.col("_b")[1])).alias("_hi"))
-    joined = (frame.alias("l").join(bounded_broadcast(bounds).alias("r"), _same("l", "r", keys))
+    joined = (frame.alias("l").join(bounds.alias("r"), _same("l", "r", keys))
               .select("l.*", "_n", "_lo", "_hi"))
     spot = F.when(F.col(value) < F.col("_lo"), F.lit(None)).otherwise(F.col(value))
     counts = (joined.filter(F.col(value) <= F.col("_hi")).withColumn("_v", spot)

@@ -11,7 +11,6 @@ from trustloom.functions.hof import let
 from trustloom.functions.paths import (element_name, element_type, full_name, parent_of,
                                        path_prefixes, split_path, strip_leaf)
 from trustloom.functions.scalar import half_even
-from trustloom.functions.skew import bounded_broadcast
 from trustloom.functions.text import list_map
 from trustloom.session import ensure_checkpoint_dir, staged
 
@@ -288,7 +287,7 @@ def effective_activity(paths: DataFrame, states: DataFrame, column: str = "path"
     expanded = paths.select(column, F.explode(path_prefixes(split_path(F.col(column))))
                             .alias("prefix"))
     state = states.select(F.col("path").alias("prefix"), "active")
-    return (expanded.join(bounded_broadcast(state), "prefix", "left")
+    return (expanded.join(state, "prefix", "left")
             .groupBy(column).agg(F.bool_and(F.coalesce("active", F.lit(True))).alias("active")))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions.hof import let, positions
-from trustloom.functions.skew import (CHUNK_ROWS, bounded_broadcast, drop_halo, running_total,
+from trustloom.functions.skew import (CHUNK_ROWS, drop_halo, running_total,
                                       split_series)
 from trustloom.sources.schemas import ENTITIES, SERVICES
 
@@ -56,7 +56,7 @@ def canonical(values: DataFrame, synonyms: DataFrame, column: str = "value") ->
     """Add ``canonical``: the canonical form of a surface form, the value itself without one."""
     table = synonyms.select(F.lower("surface").alias("_s"), F.col("canonical").alias("_c")).groupBy(
         "_s").agg(F.min("_c").alias("_c"))
-    return (values.join(bounded_broadcast(table), F.lower(F.col(column)) == F.col("_s"), "left")
+    return (values.join(table, F.lower(F.col(column)) == F.col("_s"), "left")
             .withColumn("canonical", F.coalesce("_c", F.col(column))).drop("_s", "_c"))
 
 

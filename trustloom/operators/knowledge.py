@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from trustloom.functions.hof import let
 from trustloom.functions.local import local_table
-from trustloom.functions.skew import bounded_broadcast
 
 RDF_TYPE = "rdf:type"
 LABEL = "rdfs:label"
@@ -169,7 +168,7 @@ def triples(records: DataFrame, mapping: DataFrame, base: str) -> DataFrame:
             .alias("parts")).alias("pair")).groupBy("concept", "subject_template", "class").agg(
         F.collect_list("pair").alias("pairs")).withColumn(
         "subject", template_parts(F.col("subject_template"))).drop("subject_template")
-    joined = records.join(bounded_broadcast(concepts), "concept").select(
+    joined = records.join(concepts, "concept").select(
         "class", "pairs", "record", fill_parts(F.col("subject"), F.col("record"), base).alias("s"))
     record = F.col("record")
 
@@ -259,7 +258,7 @@ def cardinality_violations(rows: DataFrame, spec: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"))
     labels = rows.filter(F.col("p") == RDF_TYPE).select(
         "s", short_name(F.col("o")).alias("label")).distinct()
-    return (counts.join(labels, "s").join(bounded_broadcast(limits), ["label", "rel"])
+    return (counts.join(labels, "s").join(limits, ["label", "rel"])
             .filter("n > most").select("s", "label", "rel", "n", "most"))
 
 

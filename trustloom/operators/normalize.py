@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustloom.functions.local import local_table
-from trustloom.functions.skew import bounded_broadcast
 
 # Raw category | raw attribute | path | metric | divisor.
 METRIC_MAPPING = """
@@ -140,7 +139,7 @@ def normalize(raw: DataFrame, mapping: DataFrame) -> DataFrame:
 
     States are lower-cased as one vendor writes them capitalised.
     """
-    joined = raw.filter("value IS NOT NULL").join(bounded_broadcast(mapping), ["category", "attr"])
+    joined = raw.filter("value IS NOT NULL").join(mapping, ["category", "attr"])
     number = F.col("value").try_cast("double") / F.col("divisor")
     text = F.when(F.col("metric") == "state", F.lower("value")).otherwise(F.col("value"))
     return joined.select(
@@ -164,7 +163,7 @@ def snmp_metrics(raw: DataFrame, catalog: DataFrame) -> DataFrame:
     """Protocol counters under ``snmp_`` names, catalogue names only."""
     names = catalog.select(F.col("name").alias("metric")).distinct()
     rows = raw.filter("category = 'snmp'").withColumn("metric", F.concat(F.lit("snmp_"), "attr"))
-    return rows.join(bounded_broadcast(names), "metric", "left_semi").select(
+    return rows.join(names, "metric", "left_semi").select(
         "host", F.lit("/node/bm/net").alias("path"), F.lit("").alias("entity"), "metric", "ts",
         F.col("ts").alias("seq"), F.col("value").try_cast("double").alias("v_num"),
         F.lit(None).cast("string").alias("v_str"))
@@ -222,7 +221,7 @@ def kb_errors(spark: SparkSession, raw: DataFrame, text: str = ERROR_MAPPING) ->
         "host", "ts", F.concat("entity", F.lit(":"), interface).alias("entity"),
         F.when(node == F.concat(interface, F.lit("-output")), "{}-output").otherwise(node).alias("node"),
         F.regexp_extract("attr", shape, 2).alias("error"), "value")
-    return parts.join(bounded_broadcast(table), ["node", "error"]).select(
+    return parts.join(table, ["node", "error"]).select(
         "host", F.lit("/node/kb/net/if").alias("path"), "entity", "metric", "ts",
         F.col("ts").alias("seq"), F.col("value").try_cast("double").alias("v_num"),
         F.lit(None).cast("string").alias("v_str"))

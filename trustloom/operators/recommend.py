@@ -11,10 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from trustloom.functions.hof import let
-from trustloom.functions.skew import BROADCAST_ROWS, bounded_broadcast
 from trustloom.functions.text import list_map, term_counts, words
 
-MAX_TERMS = 5000
 RULE_LIMIT = 20_000
 
 # Score weights of the blend and the rank thresholds.
@@ -53,16 +51,17 @@ def synonym_dict(groups: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
     return {word: [head, *rest] for head, rest in groups.items() for word in (head, *rest)}
 
 
-def vocabulary(documents: DataFrame, tokens: Column, max_terms: int = MAX_TERMS) -> DataFrame:
-    """``term, idf`` of the most frequent terms; at most ``max_terms`` rows.
+def vocabulary(documents: DataFrame, tokens: Column, max_terms: int | None = None) -> DataFrame:
+    """``term, idf`` of all terms, or of the ``max_terms`` most frequent ones.
 
     Every document is counted inside its own row; only (term, counts) are
     shuffled, combined on the map side first.
     """
     counted = documents.select(F.explode(term_counts(tokens)).alias("t"))
     terms = counted.groupBy("t.term").agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("cf"))
-    kept = (terms.filter(F.length("term") >= 2)
-            .orderBy(F.desc("cf"), "term").limit(max_terms))
+    kept = terms.filter(F.length("term") >= 2)
+    if max_terms is not None:
+        kept = kept.orderBy(F.desc("cf"), "term").limit(max_terms)
     n = documents.count()
     return kept.select(
         "term", (F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
@@ -71,32 +70,31 @@ def vocabulary(documents: DataFrame, tokens: Column, max_terms: int = MAX_TERMS)
 def rule_weights(rules: DataFrame, tokens: Column, terms: DataFrame) -> DataFrame:
     """``rule_id, term, weight`` with unit length per rule."""
     rows = (rules.select("rule_id", F.explode(term_counts(tokens)).alias("t"))
-            .select("rule_id", "t.term", "t.tf").join(F.broadcast(terms), "term")
+            .select("rule_id", "t.term", "t.tf").join(terms, "term")
             .withColumn("_w", F.col("tf") * F.col("idf")))
     norm = rows.groupBy("rule_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    return rows.join(bounded_broadcast(norm), "rule_id").select(
+    return rows.join(norm, "rule_id").select(
         "rule_id", "term", (F.col("_w") / F.col("_n")).alias("weight"))
 
 
 def text_cosine(queries: DataFrame, tokens: Column, weights: DataFrame, terms: DataFrame,
-                min_score: float = MIN_SCORE, limit: int = BROADCAST_ROWS) -> DataFrame:
+                min_score: float = MIN_SCORE) -> DataFrame:
     """TF-IDF cosine of every query and rule of at least ``min_score``.
 
     Terms are counted inside the query row. The rule weights, and one row per
-    vocabulary term that adds up the query length, form one table; when it is
-    small it is broadcast and a query's partial sums meet in its own task. When
-    it is not, the same equi-join on the term is shuffled.
+    vocabulary term that adds up the query length, form one table that is joined on
+    the term; adaptive execution broadcasts it when it turns out small.
     """
     if min_score <= 0:
         raise ValueError("min_score must be above 0")
     length_rows = terms.select("term", "idf", F.lit(None).cast(weights.schema["rule_id"].dataType)
                                .alias("rule_id"), F.lit(None).cast("double").alias("weight"))
-    targets = length_rows.unionByName(weights.join(F.broadcast(terms), "term")
+    targets = length_rows.unionByName(weights.join(terms, "term")
                                       .select("term", "idf", "rule_id", "weight"))
     counted = (queries.select("query_id", F.explode(term_counts(tokens)).alias("t"))
                .select("query_id", "t.term", "t.tf"))
     w = F.col("tf") * F.col("idf")
-    sums = (counted.join(bounded_broadcast(targets, limit), "term")
+    sums = (counted.join(targets, "term")
             .groupBy("query_id", "rule_id")
             .agg(F.sum(F.when(F.col("rule_id").isNull(), w * w).otherwise(w * F.col("weight")))
                  .alias("v")))
@@ -157,7 +155,7 @@ def hybrid_cosine(text_scores: DataFrame, dense_scores: DataFrame, query_norms:
     pairs = text_scores.withColumnRenamed("score", "t").join(
         dense_scores.withColumnRenamed("score", "d"), ["query_id", "rule_id"], "full_outer")
     pairs = (pairs.join(query_norms.withColumnRenamed("norm", "qn"), "query_id")
-             .join(bounded_broadcast(rule_norms.withColumnRenamed("norm", "rn")), "rule_id"))
+             .join(rule_norms.withColumnRenamed("norm", "rn"), "rule_id"))
     t = F.coalesce("t", F.lit(0.0))
     d = F.coalesce("d", F.lit(0.0)) * F.col("qn") * F.col("rn")
     length = F.sqrt((F.col("qn") ** 2 + 1) * (F.col("rn") ** 2 + 1))
@@ -291,11 +289,11 @@ def chosen_rules(full_rules: DataFrame, chosen: DataFrame) -> DataFrame:
         "name", "path", "severity", "rule")
 
 
-def train_classifiers(training: DataFrame, labels: Sequence[str], max_terms: int = MAX_TERMS,
+def train_classifiers(training: DataFrame, labels: Sequence[str], max_terms: int | None = None,
                       text: str = "text", max_iter: int = 50):
     """One balanced logistic regression per label column (0/1) over TF-IDF features.
 
-    Returns a pipeline model that adds ``p_<label>`` struct columns through
+    All terms are features unless ``max_terms`` is given. Returns a pipeline model that adds ``p_<label>`` struct columns through
     :func:`classify`. The loop is over the label names, not over data.
     """
     from pyspark.ml import Pipeline, PipelineModel
@@ -304,7 +302,7 @@ def train_classifiers(training: DataFrame, labels: Sequence[str], max_terms: int
     from pyspark.ml.linalg import Vectors
     rows = training.withColumn("_tokens", words(F.col(text)))
     counts = Pipeline(stages=[
-        CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=max_terms),
+        CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=max_terms or 1 << 24),
         IDF(inputCol="_tf", outputCol="_idf")]).fit(rows)
     vectorizer, idf = counts.stages
     scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense(

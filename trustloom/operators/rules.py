@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from trustloom.functions.local import as_local, fetched, local_table
 from trustloom.functions.paths import full_name, parent_path
 from trustloom.functions.scalar import half_even, severity_weight
-from trustloom.functions.skew import (CHUNK_ROWS, bounded_broadcast, drop_halo, running_total,
+from trustloom.functions.skew import (CHUNK_ROWS, drop_halo, running_total,
                                       split_series)
 from trustloom.operators.series import SERIES, hour_bucket, typed
 
@@ -333,8 +333,8 @@ def active_hits(hits: DataFrame, nodes: DataFrame) -> DataFrame:
     parent = state.select("host", F.col("fullname").alias("parent"),
                           F.col("active").alias("parent_active"))
     return (named.withColumn("parent", parent_path(F.col("fullname")))
-            .join(bounded_broadcast(state), ["host", "fullname"])
-            .join(bounded_broadcast(parent), ["host", "parent"])
+            .join(state, ["host", "fullname"])
+            .join(parent, ["host", "parent"])
             .filter(F.col("active") & F.col("parent_active"))
             .drop("active", "parent_active"))
 
@@ -367,7 +367,7 @@ def symptom_intervals(states: DataFrame, keys: list[str], chunk_rows: int = CHUN
 def activated_log(symptoms: DataFrame, rules: DataFrame, scores: DataFrame) -> DataFrame:
     """The seven columns of the activation log: node, rule, path, severity, weight, text, score."""
     texts = valid_severity(rules).select("name", "path", "severity", "rule").distinct()
-    return (symptoms.join(bounded_broadcast(texts), ["name", "path", "severity"])
+    return (symptoms.join(texts, ["name", "path", "severity"])
             .join(scores.select(F.col("fullname").alias("node"), "health_score"), "node")
             .select("node", F.col("name").alias("activated_rule"), "path", "severity", "weight",
                     "rule", F.col("health_score").alias("new_health_score")))

@@ -35,12 +35,11 @@ def typed(samples: DataFrame, catalog: DataFrame | None = None,
         if "unit" not in samples.columns:
             out = out.withColumn("unit", F.lit(""))
     else:
-        from trustloom.functions.skew import bounded_broadcast
         dimension = catalog.select(
             F.col("subservice"), F.col("name").alias("metric"), F.col("type").alias("vtype"),
             "counter", F.coalesce("unit", F.lit("")).alias("unit"))
         out = (samples.withColumn("subservice", F.element_at(F.split("path", "/"), -1))
-               .join(bounded_broadcast(dimension), ["subservice", "metric"]).drop("subservice"))
+               .join(dimension, ["subservice", "metric"]).drop("subservice"))
     if legacy_counter:
         out = out.withColumn("counter", F.when(F.col("vtype") == "str", 0).otherwise(1))
     return out

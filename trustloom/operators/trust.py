@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions.scalar import half_even, uuid5_dns
-from trustloom.functions.skew import bounded_broadcast, exact_quantile
+from trustloom.functions.skew import exact_quantile
 from trustloom.operators.flatten import TRUST_PATH, health_values, time_range
 
 # The dimensions of a wide score row.
@@ -128,4 +128,4 @@ def latency_stats(timings: DataFrame, op: str = "op", elapsed: str = "elapsed_ms
         F.count(elapsed).alias("n"), F.avg(elapsed).alias("mean_ms"),
         F.min(elapsed).alias("min_ms"), F.max(elapsed).alias("max_ms"))
     median = exact_quantile(timings, [op], elapsed, 0.5, "median_ms")
-    return basic.join(bounded_broadcast(median), op)
+    return basic.join(median, op)

@@ -40,16 +40,21 @@ def category_assign(spark, folder):
     return _documents(spark, folder).select("doc_id", category(words(F.col("text")), CATEGORIES).alias("category"))
 
 
-def _vocabulary(spark, folder, limit=recommend.MAX_TERMS):
+def _vocabulary(spark, folder, limit=None):
     return recommend.vocabulary(table(spark, folder, "benchmark"), words(F.col("text")), limit)
 
 
 def vocabulary_idf(spark, folder):
+    return _vocabulary(spark, folder).select("term", F.round("idf", 9).alias("idf"))
+
+
+def vocabulary_top(spark, folder):
+    """The 300 most frequent terms: the vocabulary with its size limit."""
     return _vocabulary(spark, folder, 300).select("term", F.round("idf", 9).alias("idf"))
 
 
 def _cosine(spark, folder, min_score=0.3):
-    terms = recommend.bounded_broadcast(_vocabulary(spark, folder))
+    terms = _vocabulary(spark, folder)
     rules = table(spark, folder, "benchmark").withColumnRenamed("item_id", "rule_id")
     weights = recommend.rule_weights(rules, words(F.col("text")), terms)
     queries = _documents(spark, folder).withColumnRenamed("doc_id", "query_id")
@@ -75,7 +80,7 @@ def explain_terms(spark, folder):
     """Shared terms of each conversation turn with the same-numbered benchmark item."""
     items = table(spark, folder, "benchmark").select("item_id", words(F.col("text")).alias("b"))
     turns = table(spark, folder, "conversations").select("conv_id", "turn", words(F.col("text")).alias("a"))
-    return turns.join(F.broadcast(items), F.col("conv_id") == F.col("item_id")).select(
+    return turns.join(items, F.col("conv_id") == F.col("item_id")).select(
         "conv_id", "turn", F.array_join(recommend.explain_terms(F.col("a"), F.col("b")), ",").alias("terms"))
 
 
@@ -157,19 +162,19 @@ def label_classifier(spark, folder):
     """Probabilities of the two labels for every document."""
     documents = _documents(spark, folder).select("doc_id", "text")
     training = documents.join(table(spark, folder, "labels"), "doc_id")
-    trained = recommend.train_classifiers(training, ["quality", "toxic"], max_terms=1000, max_iter=20)
+    trained = recommend.train_classifiers(training, ["quality", "toxic"], max_iter=20)
     return recommend.classify(documents, trained, "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
-    text_tokens, term_frequencies, phrase_counts, category_assign, vocabulary_idf, tfidf_cosine, topk_rules, recommendation_log,
+    text_tokens, term_frequencies, phrase_counts, category_assign, vocabulary_idf, vocabulary_top, tfidf_cosine, topk_rules, recommendation_log,
     explain_terms, dense_cosine_topk, model_scores, score_blend, eval_micro_f1, invalid_labels, query_augmentation, synonym_lookup,
     synonym_table, chosen_rules, label_classifier)}
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 COS = f"""WITH bt AS (SELECT item_id, unnest({TOK}) AS term FROM benchmark), bc AS (SELECT item_id, term, count(*) AS tf FROM bt GROUP BY 1, 2),
     v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1 AS idf FROM bc WHERE length(term) >= 2
-          GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 5000),
+          GROUP BY 1),
     bw AS (SELECT item_id, term, tf * idf AS w FROM bc JOIN v USING (term)),
     bn AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM bw GROUP BY 1),
     dt AS (SELECT doc_id, unnest({TOK}) AS term FROM documents), dc AS (SELECT doc_id, term, count(*) AS tf FROM dt GROUP BY 1, 2),
@@ -179,6 +184,9 @@ COS = f"""WITH bt AS (SELECT item_id, unnest({TOK}) AS term FROM benchmark), bc
     cs AS (SELECT query_id, rule_id, dot / dn.n / bn.n AS score FROM sc JOIN dn ON dn.doc_id = query_id JOIN bn ON bn.item_id = rule_id)"""
 HITS = " ".join(f", len(list_filter(w, lambda t: list_contains({ks}, t))) AS {c}" for c, ks in CATEGORIES.items())
 
+IDF = f"""WITH t AS (SELECT item_id, unnest({TOK}) AS term FROM benchmark), c AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY 1, 2)
+    SELECT term, round(ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1, 9) AS idf FROM c WHERE length(term) >= 2"""
+
 ORACLE = {
     "text_tokens": f"""
         WITH t AS (SELECT item_id, {TOK} AS w FROM benchmark),
@@ -198,10 +206,8 @@ ORACLE = {
         WITH t AS (SELECT doc_id, {TOK} AS w FROM documents), h AS (SELECT doc_id {HITS} FROM t)
         SELECT doc_id, CASE WHEN greatest(one, two, three) = 0 THEN 'other' WHEN one = greatest(one, two, three) THEN 'one'
                WHEN two = greatest(one, two, three) THEN 'two' ELSE 'three' END AS category FROM h""",
-    "vocabulary_idf": f"""
-        WITH t AS (SELECT item_id, unnest({TOK}) AS term FROM benchmark), c AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY 1, 2)
-        SELECT term, round(ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1, 9) AS idf FROM c WHERE length(term) >= 2
-        GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 300""",
+    "vocabulary_idf": f"{IDF} GROUP BY 1",
+    "vocabulary_top": f"{IDF} GROUP BY 1 ORDER BY sum(tf) DESC, term LIMIT 300",
     "tfidf_cosine": f"{COS} SELECT query_id, rule_id, round(score, 7) AS score FROM cs WHERE score >= 0.3",
     "topk_rules": f"""{COS}, r AS (SELECT query_id, rule_id, round(score, 7) AS score FROM cs WHERE score >= 0.3)
         SELECT query_id, rule_id, score, CAST(row_number() OVER w AS INTEGER) AS rank FROM r WINDOW w AS (
