@@ -17,6 +17,28 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def match_spans(text: Column, pattern: str) -> Column:
+    """Leftmost non-overlapping matches as ``value, start, end`` in code points; NULL text has none.
+
+    What lies between the matches gives their places.
+    """
+    span = "array<struct<value:string,start:int,end:int>>"
+
+    def placed(matches: Column) -> Column:
+        gaps = F.split(text, pattern, -1)
+        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
+
+        def step(state: Column, pair: Column) -> Column:
+            start = state["at"] + pair["gap"]
+            end = start + F.length(pair["value"])
+            entry = F.struct(pair["value"].alias("value"), start.alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(entry)).alias("out"))
+        return F.aggregate(pairs, first, step, lambda state: state["out"])
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(
+        F.size(m) > 0, placed(m)).otherwise(F.array().cast(span)))
+
+
 def string_array(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]).cast("array<string>")
 

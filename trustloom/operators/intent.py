@@ -9,13 +9,13 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions.hof import let, positions
 from trustloom.functions.skew import (CHUNK_ROWS, drop_halo, running_total,
                                       split_series)
+from trustloom.functions.text import match_spans
 from trustloom.sources.schemas import ENTITIES, SERVICES
 
 # Requirement vocabulary.
@@ -37,19 +37,17 @@ SERVICE = "struct<middlebox:string,assets:array<struct<type:string,value:string>
 
 
 def tag_entities(text: Column, gazetteer: Mapping[str, str]) -> Column:
-    """Entities of a text from surface forms: the longest form at each place, whole words.
+    """Entities of a text from surface forms: the longest form at each place, whole words, any case.
 
-    The forms make one pattern, scanned once over each text of an Arrow batch.
+    The forms make one pattern that is scanned in the row; a few letters whose lower case has other letters
+    are not folded.
     """
     forms = sorted({form.lower() for form in gazetteer}, key=lambda f: (-len(f), f))
-    kinds = {form.lower(): kind for form, kind in gazetteer.items()}
-    pattern = r"\b(?:" + "|".join(re.escape(form) for form in forms) + r")\b"
-
-    def scan(texts: pd.Series) -> pd.Series:
-        find = re.compile(pattern, re.IGNORECASE).finditer
-        return texts.map(lambda t: [(kinds[m.group().lower()], m.group(), m.start(), m.end())
-                                    for m in find(t or "")])
-    return F.pandas_udf(scan, ENTITIES)(text)
+    kinds = F.create_map(*[F.lit(x) for form, kind in gazetteer.items() for x in (form.lower(), kind)])
+    pattern = r"(?iU)\b(?:" + "|".join(re.escape(form) for form in forms) + r")\b"
+    return F.transform(match_spans(F.coalesce(text, F.lit("")), pattern), lambda m: F.struct(
+        F.try_element_at(kinds, F.lower(m["value"])).alias("entity"), m["value"].alias("value"),
+        m["start"].alias("start"), m["end"].alias("end"))).cast(ENTITIES)
 
 
 def canonical(values: DataFrame, synonyms: DataFrame, column: str = "value") -> DataFrame:
