@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from trustloom.functions import skew
@@ -85,3 +86,17 @@ def test_exact_quantile(spark, q, n):
     data = np.random.default_rng(n).normal(size=n)
     df = spark.createDataFrame([("a", float(x)) for x in data], "k string, v double")
     assert skew.exact_quantile(df, ["k"], "v", q, "x").first()["x"] == pytest.approx(float(np.quantile(data, q)), abs=1e-12)
+
+
+@pytest.mark.parametrize("depth", [2, 30])
+def test_crowded_buckets_keep_their_neighbours(spark, depth):
+    """Buckets larger than a chunk, followed by chunks shorter than the frame."""
+    hours = [0] * 100 + [1] + [2] * 7 + [3] * 40 + [4] * 3 + [5] * 200 + [9, 9, 10]
+    rows = [("k", h * series.BUCKET_NS + i, i) for i, h in enumerate(hours)]
+    df = spark.createDataFrame(rows, "k string, ts bigint, v bigint")
+    window = Window.partitionBy("k", "_chunk").orderBy("ts").rowsBetween(-depth, 0)
+
+    def sums(chunk_rows):
+        cut = skew.split_series(df, ["k"], series.hour_bucket(), depth, chunk_rows)
+        return values(skew.drop_halo(cut.withColumn("s", F.sum("v").over(window))), "v", "s")
+    assert sums(3) == sums(10_000)

@@ -42,19 +42,24 @@ def split_series(df: DataFrame, keys: Sequence[str], bucket: Column, depth: int,
     """
     if largest_group(df, keys) <= chunk_rows:
         return df.withColumn("_chunk", F.lit(0).cast("bigint")).withColumn("_halo", F.lit(False))
-    chunk_rows = max(chunk_rows, depth)
+    chunk_rows = max(chunk_rows, 2 * depth)
     marked = df.withColumn("_bucket", bucket)
     order = Window.partitionBy(*keys).orderBy("_bucket")
+    home = Window.partitionBy(*keys, "_home")
     pieces = (marked.groupBy(*keys, "_bucket").count()
               .withColumn("_before", F.coalesce(F.sum("count").over(
                   order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("_home", F.floor(F.col("_before") / F.lit(chunk_rows))))
+    # Chunks are numbered without gaps, and one with fewer rows than a frame looks back at joins the one
+    # before, so the halo of a chunk always comes from the chunk just before it.
+    opens = (F.row_number().over(home.orderBy("_bucket")) == 1) & (F.sum("count").over(home) >= depth)
+    pieces = pieces.withColumn("_opens", opens.cast("bigint")).withColumn(
+        "_home", F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     rest = Window.partitionBy(*keys, "_home").orderBy(F.desc("_bucket"))
     pieces = (pieces
               .withColumn("_after", F.coalesce(F.sum("count").over(
                   rest.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
               .withColumn("_copied", F.col("_after") < F.lit(depth))
-              .filter((F.col("_home") > 0) | F.col("_copied"))
               .select(*keys, "_bucket", "_home", "_copied"))
     joined = (marked.alias("l").join(pieces.alias("r"), _same("l", "r", [*keys, "_bucket"]), "left")
               .select("l.*", F.coalesce("r._home", F.lit(0)).alias("_home"),

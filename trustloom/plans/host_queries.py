@@ -55,13 +55,26 @@ def process_fields(spark, folder):
     return snapshots.process_fields(_process_files(spark, folder)).groupBy("attr", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cpu_percent(spark, folder):
-    """Counters that grow with the event number; percents against the tick before."""
-    t = F.col("ts")
+MINUTE_NS = 60 * 10**9
+
+
+def _cpu_percent(spark, folder, **cut):
+    t = F.expr(f"ts DIV {MINUTE_NS}")
     content = text("cpu  ", t * 3, " 0 ", t, " ", t * 5 + F.col("k"), " ", t, " 0 0 0 ", t, " 0\ncpu0 1 2 3 4 5 6 7 8 9 10\nctxt ", t, "\n")
-    times = snapshots.cpu_times(_file(_events(spark, folder), "/proc/stat", content), 1)
-    return snapshots.cpu_periods(times).filter("entity = 'cpu'").select(
-        "host", "ts", "user_perc", "system_all_perc", "idle_all_perc", "guest_all_perc", "total_period")
+    rows = _events(spark, folder).withColumn("ts", F.col("ts") * MINUTE_NS)
+    times = snapshots.cpu_times(_file(rows, "/proc/stat", content), 1)
+    return snapshots.cpu_periods(times, **cut).filter("entity = 'cpu'").select(
+        "host", t.alias("ts"), "user_perc", "system_all_perc", "idle_all_perc", "guest_all_perc", "total_period")
+
+
+def cpu_percent(spark, folder):
+    """Counters that grow with the event number, one a minute; percents against the tick before."""
+    return _cpu_percent(spark, folder)
+
+
+def cpu_percent_cut(spark, folder):
+    """The same with every cpu's series cut into short pieces, as a hot one is."""
+    return _cpu_percent(spark, folder, chunk_rows=3)
 
 
 def load_and_uptime(spark, folder):
@@ -263,7 +276,7 @@ def activity_states(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    meminfo, memory_metrics, process_counts, process_fields, cpu_percent, load_and_uptime, swap_metrics, disk_busy,
+    meminfo, memory_metrics, process_counts, process_fields, cpu_percent, cpu_percent_cut, load_and_uptime, swap_metrics, disk_busy,
     filesystem_usage, paired_lines, snmp_metrics, hex_cache, arp_gateway, route_table, interface_counters,
     interface_attributes, route_attributes, sysctl, sensors, present_entities, guest_metrics, worker_sums,
     error_counters, forwarder_errors, forwarder_memory, forwarder_paths, trace_namespaces, interface_flags,
@@ -380,3 +393,4 @@ ORACLE = {
         SELECT CASE kind WHEN 'vm' THEN coalesce(st = 'Running', false) WHEN 'kb' THEN name = 'localhost' OR coalesce(st, '') = 'synced'
                ELSE coalesce(st = 'synced', false) END AS active, kind, count(*) AS n FROM s GROUP BY 1, 2""",
 }
+ORACLE["cpu_percent_cut"] = ORACLE["cpu_percent"]

@@ -110,10 +110,19 @@ def confidence_gate(spark, folder):
     return intent.confidence_gate(scores)
 
 
-def session_120m(spark, folder):
+def _sessions(spark, folder, **cut):
     rows = table(spark, folder, "events").select("user_id", "event_id", F.expr(
         "unix_date(CAST(ts AS DATE)) * 86400L + hour(ts) * 3600 + minute(ts) * 60 + second(ts)").alias("s"))
-    return intent.sessions(rows, "user_id", "s", ["s", "event_id"])
+    return intent.sessions(rows, "user_id", "s", ["s", "event_id"], **cut)
+
+
+def session_120m(spark, folder):
+    return _sessions(spark, folder)
+
+
+def sessions_cut(spark, folder):
+    """The same sessions with every user's events cut into short pieces."""
+    return _sessions(spark, folder, chunk_rows=4)
 
 
 def synonym_canonical(spark, folder):
@@ -221,7 +230,7 @@ def availability_open(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     entity_tags, entity_spans, service_grouping, requirement_routing, service_summary, feedback_annotation, add_asset,
-    add_middlebox, remove_value, feedback_parse, confidence_gate, session_120m, synonym_canonical, signed_agreements,
+    add_middlebox, remove_value, feedback_parse, confidence_gate, session_120m, sessions_cut, synonym_canonical, signed_agreements,
     requirement_parse, service_facets, os_facets, catalog_match, availability, availability_open)}
 
 WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
@@ -308,3 +317,4 @@ ORACLE = {
     "availability": f"""{CAT}, c AS (SELECT request_id, count(*) AS k FROM m GROUP BY 1)
         SELECT s_suppkey AS request_id, coalesce(k, 0) AS matches, k IS NOT NULL AS available FROM supplier LEFT JOIN c ON request_id = s_suppkey""",
 }
+ORACLE["sessions_cut"] = ORACLE["session_120m"]

@@ -64,6 +64,12 @@ def rule_set(spark, folder):
         F.count(F.lit(1)).alias("ticks"), F.sum("weight").alias("points"))
 
 
+def rule_set_cut(spark, folder):
+    """All rules at once over series that are cut into short pieces."""
+    hits = rules.rule_hits(event_ticks(spark, folder), _clauses(spark), chunk_rows=25)
+    return hits.groupBy("name", "severity", "host").agg(F.count(F.lit(1)).alias("ticks"), F.sum("weight").alias("points"))
+
+
 def symptom_ids(spark, folder):
     hits = _hits(spark, folder, "High value")
     return rules.symptom_rows(hits).select("symptom_id", "node", "weight",
@@ -84,7 +90,7 @@ def inactive_suppression(spark, folder):
 
 
 def symptom_intervals(spark, folder):
-    states = event_ticks(spark, folder).filter("metric = 'value'").select(
+    states = event_ticks(spark, folder, "value").select(
         "host", "ts", "seq", (F.col("v_num") > 40).alias("hit"))
     out = rules.symptom_intervals(states, ["host"])
     return out.select("host", F.expr("start_ts DIV 1000").alias("start_us"),
@@ -134,7 +140,7 @@ def shipped_rules_on_lineitem(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     scalar_rule, sustained_rule, dynamicity_rule, two_clause_rule, metric_pair_rule, rule_set,
-    symptom_ids, inactive_suppression, symptom_intervals, rejected_rules, rule_gate,
+    symptom_ids, inactive_suppression, symptom_intervals, rejected_rules, rule_gate, rule_set_cut,
     shipped_rules_on_lineitem)}
 
 BASE = """
@@ -226,3 +232,4 @@ ORACLE = {
                         'ORANGE', host FROM f WHERE temp >= top)
         SELECT name, path, severity, host, count(*) AS ticks FROM h GROUP BY 1, 2, 3, 4""",
 }
+ORACLE["rule_set_cut"] = ORACLE["rule_set"]

@@ -23,6 +23,18 @@ def ring_mean(spark, folder):
         F.col("seq").alias("event_id"), "ring_size", "ring_mean", "ring_min", "ring_max")
 
 
+def ring_mean_cut(spark, folder):
+    """The same features with every series cut into short pieces, as a hot one is."""
+    return series.ring_features(event_samples(spark, folder), chunk_rows=5).select(
+        F.col("seq").alias("event_id"), "ring_size", "ring_mean", "ring_min", "ring_max")
+
+
+def newest_cut(spark, folder):
+    """The newest three samples of series that are cut into short pieces."""
+    return series.newest_n(event_samples(spark, folder), 3, chunk_rows=5).select(
+        "host", "metric", F.col("_rank").alias("rank"), F.col("v_num").alias("value"))
+
+
 def ring_delta(spark, folder):
     return _ring(spark, folder).select(F.col("seq").alias("event_id"), "ring_delta")
 
@@ -39,7 +51,7 @@ def ring_tops(spark, folder):
 
 
 def ring_changed(spark, folder):
-    kinds = event_ticks(spark, folder).filter("metric = 'kind'")
+    kinds = event_ticks(spark, folder, "kind")
     return series.ring_features(kinds, ring=5).select(
         F.col("seq").alias("event_id"), "ring_changed", "dynamicity", "change_severity")
 
@@ -49,20 +61,20 @@ def spike_severity(spark, folder):
 
 
 def counter_dynamicity(spark, folder):
-    counters = event_ticks(spark, folder).filter("metric = 'k'")
+    counters = event_ticks(spark, folder, "k")
     return series.ring_features(counters).select(
         F.col("seq").alias("event_id"), F.col("dynamicity").cast("bigint").alias("dynamicity"),
         "severity", F.col("ring_mean").cast("bigint").alias("ring_mean"))
 
 
 def change_only(spark, folder):
-    kinds = event_ticks(spark, folder).filter("metric = 'kind'")
+    kinds = event_ticks(spark, folder, "kind")
     return series.change_only(kinds).select(
         F.col("seq").alias("event_id"), "host", F.col("v_str").alias("kind"))
 
 
 def display_rows(spark, folder):
-    counters = event_ticks(spark, folder).filter("metric = 'k'").withColumn("unit", F.lit("%"))
+    counters = event_ticks(spark, folder, "k").withColumn("unit", F.lit("%"))
     return series.display_rows(series.ring_features(counters)).select(
         F.col("seq").alias("event_id"), "display_value", "display_severity",
         F.col("dynamicity").cast("bigint").cast("string").alias("display_dynamicity"),
@@ -144,7 +156,7 @@ def latency_log(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    ring_mean, ring_delta, delta_back, ring_tops, ring_changed, spike_severity, counter_dynamicity,
+    ring_mean, ring_mean_cut, newest_cut, ring_delta, delta_back, ring_tops, ring_changed, spike_severity, counter_dynamicity,
     change_only, display_rows, newest_value, newest_values, metric_by_entity, trust_exact,
     trust_time_range, trust_strict, dimension_trust, requested_scores, machine_ids, latency_stats,
     latency_log)}
@@ -254,3 +266,4 @@ ORACLE = {
                max(value) AS max_ms, min(strftime(ts, '%H:%M:%S.%g')) AS first_start
         FROM events GROUP BY 1, 2""",
 }
+ORACLE["ring_mean_cut"], ORACLE["newest_cut"] = ORACLE["ring_mean"], ORACLE["newest_values"]

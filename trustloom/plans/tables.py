@@ -24,20 +24,19 @@ def event_samples(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(0).alias("counter"), F.lit("").alias("unit"))
 
 
-def event_ticks(spark: SparkSession, folder: str) -> DataFrame:
-    """Three series per user that share their ticks: value (float), k (counter), kind (text)."""
+def event_ticks(spark: SparkSession, folder: str, *only: str) -> DataFrame:
+    """Series per user that share their ticks: value (float), k (counter), kind (text); all or the named ones."""
     k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("double")
 
     def metric(name: str, number: Column, text: Column, vtype: str, counter: int) -> Column:
         return F.struct(F.lit(name).alias("metric"), number.cast("double").alias("v_num"),
                         text.cast("string").alias("v_str"), F.lit(vtype).alias("vtype"),
                         F.lit(counter).alias("counter"))
+    metrics = {"value": metric("value", F.col("value"), F.lit(None), "float", 0), "k": metric("k", k, F.lit(None), "int", 1),
+               "kind": metric("kind", F.lit(None), F.col("event_type"), "str", 0)}
     events = table(spark, folder, "events").select(
         F.col("user_id").cast("string").alias("host"), epoch_ns("ts").alias("ts"),
-        F.col("event_id").alias("seq"), F.explode(F.array(
-            metric("value", F.col("value"), F.lit(None), "float", 0),
-            metric("k", k, F.lit(None), "int", 1),
-            metric("kind", F.lit(None), F.col("event_type"), "str", 0))).alias("m"))
+        F.col("event_id").alias("seq"), F.explode(F.array(*[metrics[m] for m in only or metrics])).alias("m"))
     return events.select("host", F.lit("/node/bm").alias("path"), F.lit("").alias("entity"),
                          "m.metric", "ts", "seq", "m.v_num", "m.v_str", "m.vtype", "m.counter",
                          F.lit("").alias("unit"))
