@@ -81,6 +81,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder below the shared folder that nothing reads any more."""
+    if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/"):
+        raise ValueError(f"not below the shared folder: {path}")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def staged(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts lineage and survives
     the loss of executors. Partition columns are pruned when filtered."""
