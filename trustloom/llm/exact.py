@@ -14,11 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trustloom.llm.common import SPACES, documents, order_key
-from trustloom.session import staged
+from trustloom.session import discard, shared_dir
 
 FIRST_BYTES = 64
 GROWTH = 4
-REST = 2_147_483_647
 
 
 def normal_text(text: Column) -> Column:
@@ -26,50 +25,59 @@ def normal_text(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
 
 
-def _level(state: DataFrame, width: int, first: bool) -> DataFrame:
+def _level(state: DataFrame, start: int, width: int, first: bool, keep_text: bool) -> DataFrame:
     """Rows with their next digit, the size and winner of their group, and whether they go on (``open``)."""
-    cut = state.select("doc", "id", "rid", "grp", F.substring("rest", 1, width).alias("digit"),
-                       (F.octet_length("rest") <= width).alias("ended"), F.substring("rest", width + 1, REST).alias("rest"))
+    content = state.select("doc", "id", "rid", "grp", "text", normal_text(F.col("text")).cast("binary").alias("bytes"))
+    cut = content.select("doc", "id", "rid", "grp", "text", F.substring("bytes", start + 1, width).alias("digit"),
+                         (F.octet_length("bytes") <= start + width).alias("ended"))
     keys = ["grp", "digit", "ended"]
     rivals = (cut.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(order_key(F.col("id")).alias("at"), F.col("rid"))).alias("win"))
               .filter("n > 1"))
     met = cut.join(rivals, keys, "left")
     lone = F.col("n").isNull()
+    goes_on = ~lone & (F.lit(True) if first else ~F.col("ended"))
     rid = F.monotonically_increasing_id() if first else F.col("rid")
     return met.select(
-        "doc", "id", rid.alias("rid"), "rest",
-        (F.col("digit") if first else F.col("win.rid").cast("string").cast("binary")).alias("grp"),
-        (F.when(lone, F.lit(False)).otherwise(F.lit(True) if first else ~F.col("ended"))).alias("open"),
+        "doc", "id", rid.alias("rid"), (F.col("text") if keep_text else F.when(goes_on, F.col("text"))).alias("text"),
+        (F.col("digit") if first else F.col("win.rid").cast("string").cast("binary")).alias("grp"), goes_on.alias("open"),
         F.coalesce("n", F.lit(1)).alias("group_size"),
         F.when(lone, F.col("id")).otherwise(F.col("win.at.id")).alias("keep_id"),
         (lone | (F.col("win.rid") == F.col("rid"))).alias("kept"))
 
 
 def exact_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", payload: Column | None = None,
-                 first_bytes: int = FIRST_BYTES, growth: int = GROWTH) -> DataFrame:
-    """One row per input row: ``doc`` (payload), ``keep_id``, ``group_size``, ``kept``.
+                 keep_text: bool = False, first_bytes: int = FIRST_BYTES, growth: int = GROWTH) -> DataFrame:
+    """One row per input row: ``doc`` (payload), ``keep_id``, ``group_size``, ``kept`` and ``text`` (null unless ``keep_text``).
 
-    ``payload`` is a struct of what the caller wants back (all columns if not given), so no input name can clash. Texts equal
+    ``payload`` is a struct of what the caller wants back (the id if not given), so no input name can clash. Texts equal
     after white space is normalised form a group; null counts as empty. The row with the smallest id stays, a null id comes last
     and among equal ids exactly one row stays. An empty table gives an empty result. Memory per task is that of rows; a group
-    of any size is only counted (partial sums) and joined to one row, and skewed partitions of that join are split.
+    of any size is only counted (partial sums) and joined to one row, and skewed partitions of that join are split. A level is
+    written to the shared folder; what only its successor read is discarded then.
     """
-    state = docs.select((payload if payload is not None else F.struct("*")).alias("doc"), F.col(doc_id).alias("id"),
-                        F.lit(None).cast("bigint").alias("rid"), F.lit("").cast("binary").alias("grp"),
-                        normal_text(F.col(text)).cast("binary").alias("rest"))
-    done, width, first = [], first_bytes, True
+    spark = docs.sparkSession
+    state = docs.select((payload if payload is not None else F.struct(doc_id)).alias("doc"), F.col(doc_id).alias("id"),
+                        F.lit(None).cast("bigint").alias("rid"), F.lit("").cast("binary").alias("grp"), F.col(text).alias("text"))
+    done, start, width, before = [], 0, first_bytes, None
     while True:
-        level = staged(_level(state, width, first), "radix", "open")
-        done.append(level.filter("not open").select("doc", "keep_id", "group_size", "kept"))
-        state = level.filter("open").select("doc", "id", "rid", "grp", "rest")
+        path = shared_dir(spark, "radix")
+        rows = _level(state, start, width, before is None, keep_text)
+        rows.write.partitionBy("open").parquet(path)
+        if before:
+            discard(spark, f"{before}/open=true")
+        level = spark.read.schema(rows.schema).parquet(path)
+        done.append(level.filter("not open").select("doc", "text", "keep_id", "group_size", "kept"))
+        state = level.filter("open").select("doc", "id", "rid", "grp", "text")
         if state.isEmpty():
             return reduce(DataFrame.unionByName, done)
-        width, first = width * growth, False
+        start, width, before = start + width, width * growth, path
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The input rows without later copies of equal texts, columns unchanged."""
-    return exact_groups(docs, text, doc_id).filter("kept").select("doc.*")
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text])
+    found = exact_groups(docs, text, doc_id, payload=rest, keep_text=True).filter("kept")
+    return found.select(*[(F.col("text") if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ blocks once more.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trustloom.llm.common import WORD, documents
-from trustloom.llm.words import slices, text_bytes, word_bounds
+from trustloom.llm.words import text_bytes, word_bounds
 from trustloom.session import staged
 
 WEIGHTS = (5, 2, 1)
@@ -81,36 +81,45 @@ def _taken(borders: np.ndarray, times: np.ndarray, starts: np.ndarray) -> np.nda
     return np.diff(at)
 
 
-def _spans(borders: np.ndarray, times: np.ndarray, a: int, b: int) -> list[list[dict]]:
-    """Per pass over a document (words a to b of the shard): the runs of its words that the pass takes."""
+def _passes(text: str | None, borders: np.ndarray, times: np.ndarray, a: int, b: int) -> list[str]:
+    """What each pass takes of a document (words a to b of its shard): the text itself, or its runs of words joined by line feeds."""
     first, last = np.searchsorted(borders, a, side="right") - 1, np.searchsorted(borders, b, side="left")
-    passes = []
-    for k in range(1, int(times[first:last].max(initial=0)) + 1):
-        runs: list[dict] = []
-        for j in np.flatnonzero(times[first:last] >= k) + first:
-            s, e = max(int(borders[j]), a) - a, min(int(borders[j + 1]), b) - a
-            if runs and runs[-1]["stop"] == s:
-                runs[-1]["stop"] = e
-            elif e > s:
-                runs.append({"start": s, "stop": e})
-        passes.append(runs)
-    return passes
+    own, out = times[first:last], []
+    raw = begin = end = None
+    for k in range(1, int(own.max(initial=0)) + 1):
+        taken = np.flatnonzero(own >= k) + first
+        if len(taken) == last - first:
+            out.append(text)
+            continue
+        if raw is None:
+            data, offsets = text_bytes(pa.array([text]))
+            begin, end, _ = word_bounds(data, offsets)
+            raw = data.tobytes()
+        edges = np.flatnonzero(np.diff(np.concatenate([[-2], taken, [last + 2]])) > 1)
+        runs = []
+        for s, e in zip(edges[:-1], edges[1:]):
+            start, stop = max(int(borders[taken[s]]), a) - a, min(int(borders[taken[e - 1] + 1]), b) - a
+            if stop > start:
+                runs.append(raw[begin[start]:end[stop - 1]])
+        out.append(b"\n".join(runs).decode())
+    return out
 
 
 def mixed_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, factor: float = 1.5, most: float = 2.0, text: str = "text",
-                  doc_id: str = "doc_id", source: str = "source", payload: Column | None = None, spans: bool = False,
+                  doc_id: str = "doc_id", source: str = "source", payload: Column | None = None, emit: bool = False,
                   block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: int = SEED) -> DataFrame:
-    """One row per input row: ``doc`` (payload), ``size, source, source_size, target, taken`` and, with ``spans``, ``passes``.
+    """One row per input row: ``doc`` (payload), ``size, source, source_size, target, taken`` and, with ``emit``, ``passes``.
 
-    Size counts words, null text has none and takes none. ``passes`` holds per pass the runs of words (start, stop) to emit.
+    Size counts words, null text has none and takes none. ``passes`` holds the text that each pass over the row takes.
     A null source is a source. No row exceeds ``most`` (rounded up) times its size. The choice depends on ids, seed and sizes only;
     rows that repeat id and size are interchangeable. Extra columns travel in ``payload``. Empty tables give no rows. A task
     holds one shard: about ``shard_tokens`` words, or one longer document.
     """
+    carried = [F.col(text).alias("text")] if emit else []
     sized = docs.select((payload if payload is not None else F.struct(doc_id)).alias("doc"), F.col(source).alias("source"),
                         F.xxhash64(F.col(doc_id), F.lit(seed)).alias("draw"), F.col(doc_id).cast("string").alias("tie"),
-                        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"))
-    if payload is None:
+                        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *carried)
+    if not emit:
         sized = staged(sized, "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     sources = staged(cyclic_weights(sources, weights), "sources")
@@ -119,9 +128,8 @@ def mixed_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, factor: f
     placed = (sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
               .withColumn("shard", F.pmod(F.col("draw"), F.ceil((F.col("source_size") + F.col("rows") + 1) / F.lit(shard_tokens)))))
     schema = T.StructType([*placed.select("doc", "size", "source", "source_size", "target").schema, T.StructField("taken", T.LongType())])
-    if spans:
-        run = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
-        schema = schema.add("passes", T.ArrayType(T.ArrayType(run)))
+    if emit:
+        schema = schema.add("passes", T.ArrayType(T.StringType()))
 
     def choose(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["draw", "tie", "size"], kind="stable", na_position="last").reset_index(drop=True)
@@ -130,8 +138,9 @@ def mixed_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, factor: f
         borders, times, starts = _take(shard["size"].to_numpy(), ratio, block_tokens, int(key))
         out = shard[["doc", "size", "source", "source_size", "target"]].copy()
         out["taken"] = _taken(borders, times, starts)
-        if spans:
-            out["passes"] = [_spans(borders, times, int(a), int(b)) if b > a else [] for a, b in zip(starts[:-1], starts[1:])]
+        if emit:
+            out["passes"] = [_passes(t, borders, times, int(a), int(b)) if b > a else []
+                             for t, a, b in zip(shard["text"], starts[:-1], starts[1:])]
         return out
     return placed.groupBy("source", "shard").applyInPandas(choose, schema)
 
@@ -142,22 +151,10 @@ def mixed_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **r
     A pass that takes all words keeps the text as it is; runs of words of a partial pass are joined by line feeds. Documents of
     which nothing is taken are gone, those taken twice are there twice. ``rule`` are arguments of ``mixed_sources``.
     """
-    chosen = mixed_sources(docs, text=text, doc_id=doc_id, payload=F.struct("*"), spans=True, **rule)
-    rows = chosen.select("doc", F.col(f"doc.{text}").alias("text"), "size", F.explode("passes").alias("runs")).filter(F.size("runs") > 0)
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                data, offsets = text_bytes(part.column("text"))
-                first, last, borders = word_bounds(data, offsets)
-                raw, texts = data.tobytes(), part.column("text").to_pylist()
-                for i, (runs, size) in enumerate(zip(part.column("runs").to_pylist(), part.column("size").to_pylist())):
-                    if (runs[0]["start"], runs[-1]["stop"], len(runs)) != (0, size, 1):
-                        base = borders[i]
-                        texts[i] = b"\n".join(raw[first[base + r["start"]]:last[base + r["stop"] - 1]] for r in runs).decode()
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(texts, pa.string())], ["doc", "taken"])
-    out = rows.mapInArrow(emit, T.StructType([rows.schema["doc"], T.StructField("taken", T.StringType())]))
-    return out.select(*[(F.col("taken") if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
+    rest = F.struct(*[F.col(c) for c in docs.columns if c != text])
+    chosen = mixed_sources(docs, text=text, doc_id=doc_id, payload=rest, emit=True, **rule)
+    rows = chosen.select("doc", F.explode("passes").alias("taken"))
+    return rows.select(*[(F.col("taken") if c == text else F.col("doc")[c]).alias(c) for c in docs.columns])
 
 
 def op5_mixed_sources(spark, sf_dir: str) -> DataFrame:

@@ -244,7 +244,8 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, text: st
              .select("r.component", "r.node", "r.block", "r.blocks", "l.text"))
     units = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "text")
-    linked = components(confirmed_links(units, rule), "near")
+    # Written, so that no stage holds the Python workers of two steps.
+    linked = components(staged(confirmed_links(units, rule), "links"), "near")
     plain = rows.drop("keys")
     named = plain.filter("n_shingles > 0").join(classes, ["s1", "s2"]).unionByName(plain.filter("n_shingles = 0").withColumn("rep", F.col("rid")))
     named = (named.join(linked.withColumnRenamed("node", "rep"), "rep", "left")

@@ -27,7 +27,7 @@ from trustloom.session import staged
 SEQUENCE = 2048
 UNIT = 16
 END_ID = 1
-KNOWN_WORDS = 2_000_000
+KNOWN_WORDS = 1_000_000
 ENCODED_TOGETHER = 5_000
 GAP = 2e-3
 ROUNDS = 1_500

@@ -11,8 +11,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-PIECE_BYTES = 1 << 22
+PIECE_BYTES = 1 << 20
 _draw = np.random.Generator(np.random.PCG64(20_261))
 BYTE_VALUES = _draw.integers(0, 1 << 64, 256, dtype=np.uint64)
 MULTIPLIER = np.uint64(int(_draw.integers(0, 1 << 63, dtype=np.uint64)) * 2 + 1)
@@ -114,7 +115,8 @@ def slices(batch: pa.RecordBatch, text: str, limit: int = PIECE_BYTES) -> Iterat
     """The batch in runs of rows with at most ``limit`` bytes of text each (a longer text alone)."""
     if not batch.num_rows:
         return
-    _, offsets = text_bytes(batch.column(text))
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
+    offsets = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     at = 0
     while at < batch.num_rows:
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1)
