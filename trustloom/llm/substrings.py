@@ -245,5 +245,16 @@ def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return found.select("doc.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+OP4_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+starts AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM w WHERE len(w) >= 35),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY w[i:i + 34]) AS n FROM starts) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS i FROM again),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM w),
+marked AS (SELECT k.doc_id, k.x, k.i, g.i IS NOT NULL AS lost FROM words k LEFT JOIN gone g ON g.doc_id = k.doc_id AND g.i = k.i)
+SELECT d.doc_id, count(m.i) AS n_words, count(m.i) FILTER (WHERE m.lost) AS n_removed,
+       sha256(coalesce(string_agg(m.x, ' ' ORDER BY m.i) FILTER (WHERE NOT m.lost), '')) AS kept_sha256
+FROM documents d LEFT JOIN marked m ON m.doc_id = d.doc_id GROUP BY d.doc_id
+"""
 QUERIES = {"op4_substring_dedup": op4_substring_dedup}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op4_substring_dedup": OP4_SQL}
