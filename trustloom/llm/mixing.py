@@ -27,13 +27,12 @@ WEIGHTS = (5, 2, 1)
 BLOCK_TOKENS = 64
 SHARD_TOKENS = 1 << 18
 SEED = 17
-RANK_BUCKETS = 256
 
 
 def cyclic_weights(sources: DataFrame, weights: Sequence[float]) -> DataFrame:
     """Sources (``source``, ``size``) with the weight of their place by code point, null last.
 
-    Places come from counts per two leading bytes, so no task sorts all sources.
+    Places come from counts per two leading bytes; a task sorts the sources that share them.
     """
     marked = sources.withColumn("_head", F.coalesce(F.hex(F.substring(F.col("source").cast("binary"), 1, 2)), F.lit("~")))
     before = Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)
