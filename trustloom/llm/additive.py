@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trustloom.llm.common import documents
+from trustloom.llm.common import documents, sample_filter
 from trustloom.llm.stats import RATIOS, ratios, text_stats
 from trustloom.llm.words import slices, text_bytes
 from trustloom.session import staged
@@ -159,15 +159,22 @@ def quality_ratios(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(counted, "doc_id bigint, ratios array<double>")
 
 
-def learned_quality(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> AdditiveModel:
-    """The model learned from at most ``train_rows`` labelled rows, those with the lowest hash of their id.
+def learned_quality(docs: DataFrame, labels: DataFrame, stats: DataFrame | None = None, text: str = "text", doc_id: str = "doc_id",
+                    train_rows: int = TRAIN_ROWS) -> AdditiveModel:
+    """The model learned from at most ``train_rows`` labelled rows, those with a low hash of their id.
+
+    Without ``stats`` (rows of ``quality_ratios``) only the texts of drawn ids are worked through.
 
     Held-out ids, null ids and labels other than 0 and 1 are left out; of several labels of an id the lowest counts. Without
     labelled rows every score is one half.
     """
     marks = (labels.filter("doc_id is not null and quality in (0, 1)").filter(~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.min("quality").alias("quality")))
-    rows = (stats.join(marks, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_rows)
+    drawn = sample_filter(docs.select(F.col(doc_id).cast("bigint").alias("doc_id")).join(marks, "doc_id"), "doc_id", train_rows, SEED)
+    if stats is None:
+        some = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter(drawn)
+        stats = quality_ratios(some, "text", "doc_id")
+    rows = (stats.filter(drawn).join(marks, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(train_rows)
             .select("quality", "ratios").toPandas())
     if not len(rows):
         none = [np.zeros(0)] * len(RATIOS)
@@ -187,10 +194,10 @@ def scored(stats: DataFrame, model: AdditiveModel) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = ACCEPT) -> DataFrame:
     """The rows with a score of at least ``least``, columns unchanged.
 
-    A first pass over all texts gives the statistics to learn from, a second one scores and filters without a shuffle. Null and
+    A first pass over the drawn texts gives the statistics to learn from, a second one scores and filters without a shuffle. Null and
     empty texts are scored like others, repeated rows alike; extra columns travel in a struct; empty tables stay empty.
     """
-    model = learned_quality(quality_ratios(docs, text, doc_id), labels)
+    model = learned_quality(docs, labels, text=text, doc_id=doc_id)
     rows = docs.select(F.struct("*").alias("doc"), F.col(text).alias("text"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -204,7 +211,7 @@ def accepted(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str
 def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", least: float = ACCEPT) -> DataFrame:
     """``doc_id, held_out, score, predicted`` per row of ``docs``; see ``accepted`` and ``learned_quality`` for odd rows."""
     stats = staged(quality_ratios(docs, text, doc_id), "quality")
-    rows = scored(stats, learned_quality(stats, labels))
+    rows = scored(stats, learned_quality(docs, labels, stats, text, doc_id))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 

@@ -38,3 +38,13 @@ def numbered(df: DataFrame, key: str, counts: DataFrame, order: Sequence[str], n
 def order_key(doc_id: Column) -> Column:
     """Ids in order, null last."""
     return F.struct(doc_id.isNull().alias("none"), doc_id.alias("id"))
+
+
+def sample_filter(labelled: DataFrame, key: str, rows: int, seed: int) -> Column:
+    """A test on the key that about ``rows`` of the labelled rows pass (a tenth more), by a hash of the key.
+
+    A later ``orderBy(hash).limit(rows)`` then handles a bounded number of rows, however many tasks they come from.
+    """
+    n = labelled.count()
+    share = 1.0 if n <= rows else min(1.0, 1.1 * rows / n)
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 31)) < F.lit(int(share * (1 << 31)))

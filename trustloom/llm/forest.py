@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trustloom.llm.common import documents
+from trustloom.llm.common import documents, sample_filter
 from trustloom.llm.stats import RATIOS, ratios, text_stats
 from trustloom.llm.words import slices, text_bytes
 from trustloom.session import staged
@@ -141,7 +141,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     """
     stats = staged(rule_stats(docs, text, doc_id).withColumn("base_failed", base_failed()), "rules")
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = (stats.filter("not base_failed").join(marks, "doc_id").select("doc_id", "quality", "ratios")
+    passing = stats.filter("not base_failed")
+    drawn = sample_filter(passing.select("doc_id").join(marks, "doc_id"), "doc_id", model_rows, SEED)
+    rows = (passing.filter(drawn).join(marks, "doc_id").select("doc_id", "quality", "ratios")
             .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(model_rows).toPandas())
     forest, limit = None, np.inf
     if len(rows):
