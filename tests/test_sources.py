@@ -85,7 +85,9 @@ def test_snapshots_and_concepts(spark, tmp_path):
     rows = knowledge.triples(records, knowledge.mapping_table(spark), "http://b/").unionByName(knowledge.fixed_instances(spark, "http://b/"))
     assert {r["s"] for r in rows.filter("p = 'rdf:type' AND o IN ('foaf:Person', 'kg:value')").collect()} == {"http://b/Person/Jo%20Ann_Doe", "http://b/Reward/1"}
     writers.load_graph(knowledge.kg_nodes(rows), knowledge.kg_edges(rows), str(tmp_path / "kg"), replace=True)
-    assert spark.read.parquet(str(tmp_path / "kg" / "kg_nodes")).count() == 40
+    classes = {r["o"] for r in rows.filter("p = 'rdf:type'").select("o").distinct().collect()}
+    nodes = {r["uri"] for r in spark.read.parquet(str(tmp_path / "kg" / "kg_nodes")).collect()}
+    assert classes <= nodes and len(nodes - classes) == 40  # classes are nodes too
     writers.write_triples(rows, {"rdf": "http://r/", "kg": "http://k/"}, str(tmp_path / "nt"))
     assert spark.read.text(str(tmp_path / "nt")).count() == rows.count()
 
