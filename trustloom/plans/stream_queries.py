@@ -6,13 +6,19 @@ from pyspark.sql import functions as F
 
 from trustloom.functions.scalar import epoch_ns, half_even
 from trustloom.plans.tables import table
-from trustloom.session import shared_dir
+from trustloom.session import is_folder, shared_dir
 from trustloom.streaming import incremental, ring
 
 
-def _event_stream(spark, folder):
-    schema = table(spark, folder, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+def _event_stream(spark, folder, files=None):
+    """The events as a stream, from one file or from a folder of part files; ``files`` of them per micro-batch, or all."""
+    path = f"{folder}/events.parquet"
+    reader = spark.readStream.schema(table(spark, folder, "events").schema)
+    if files:
+        reader = reader.option("maxFilesPerTrigger", files)
+    if is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", "events.parquet").parquet(folder)  # a stream lists folders only
 
 
 def _scores(events):

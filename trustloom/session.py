@@ -89,6 +89,12 @@ def discard(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a path of any store that Spark reads is a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
 def staged(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts lineage and survives
     the loss of executors. Partition columns are pruned when filtered."""

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trustloom.functions.scalar import half_even
 from trustloom.operators.trust import requested_scores
 from trustloom.session import shared_dir
+from trustloom.streaming.ordered import RUN_ROWS, in_order
 
 # Seconds between ticks of the agent, the collector and the display.
 AGENT_SECONDS, COLLECTOR_SECONDS, DISPLAY_SECONDS = 3, 5, 3
@@ -56,20 +57,20 @@ def stream_trust(spark: SparkSession, scores: DataFrame) -> DataFrame:
                         "counter")
 
 
-def strict_trust_stream(scores: DataFrame) -> DataFrame:
+def strict_trust_stream(scores: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
     """Step-rounded running mean per device in arrival order, as keyed state (mean, count).
 
-    Every message is folded. The messages of a device in one micro-batch are put in order first, so the size of a micro-batch
-    (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``) bounds what a task holds.
+    Every message is folded. The messages that a micro-batch has of a device are sorted in runs of ``run_rows``, so a task
+    never holds them all.
     """
     kind = scores.schema["id"].dataType.simpleString()
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         mean, count = state.get if state.exists else (0.0, 0)
-        held = pd.concat([b[["ts", "seq", "score"]] for b in batches]).sort_values(["ts", "seq"])
-        for score in held["score"]:
-            mean = round((mean * count + score / 100) / (count + 1), 4)
-            count += 1
+        for held in in_order(batches, ("ts", "seq", "score"), run_rows):
+            for score in held["score"]:
+                mean = round((mean * count + score / 100) / (count + 1), 4)
+                count += 1
         state.update((mean, count))
         yield pd.DataFrame({"id": [key[0]], "trust_index": [mean], "counter": [count]})
     return scores.groupBy("id").applyInPandasWithState(

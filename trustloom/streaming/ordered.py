@@ -1,0 +1,77 @@
+"""Rows of one key in the order of ``ts, seq``, however many a micro-batch has: Spark sorts no streams, so runs go to disk here."""
+
+from __future__ import annotations
+
+import heapq
+import pickle
+import tempfile
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
+from typing import BinaryIO
+
+import pandas as pd
+
+# Rows sorted in memory, rows of a run or of the result held at a time, and runs merged at once.
+RUN_ROWS, BLOCK_ROWS, FAN_IN = 200_000, 10_000, 64
+
+
+def _place(row: tuple) -> tuple:
+    """Sort key; missing values come last."""
+    return tuple(x for value in row[:2] for x in ((True, 0) if value != value else (False, value)))
+
+
+def _written(blocks: Iterable[pd.DataFrame]) -> BinaryIO:
+    """Blocks in a file that is gone when it is closed."""
+    file = tempfile.TemporaryFile()
+    for block in blocks:
+        pickle.dump(block, file)
+    return file
+
+
+def _rows(file: BinaryIO) -> Iterator[tuple]:
+    file.seek(0)
+    while True:
+        try:
+            block = pickle.load(file)
+        except EOFError:
+            file.close()
+            return
+        yield from zip(*(block[c].tolist() for c in block.columns))
+
+
+def _merged(runs: Sequence[BinaryIO], columns: Sequence[str]) -> Iterator[pd.DataFrame]:
+    rows = heapq.merge(*map(_rows, runs), key=_place)
+    while block := list(islice(rows, BLOCK_ROWS)):
+        yield pd.DataFrame(block, columns=list(columns))
+
+
+def in_order(batches: Iterable[pd.DataFrame], columns: Sequence[str], run_rows: int = RUN_ROWS) -> Iterator[pd.DataFrame]:
+    """The rows of one key in batches of at most ``BLOCK_ROWS``, sorted by the first two columns.
+
+    At most ``run_rows`` rows and one more batch are held to be sorted, and one block of each run to be merged; ``FAN_IN``
+    runs of a level become one of the next.
+    """
+    def cut() -> Iterator[pd.DataFrame]:
+        whole = pd.concat(held).sort_values(list(columns[:2]), ignore_index=True)
+        return (whole[at:at + BLOCK_ROWS] for at in range(0, len(whole), BLOCK_ROWS))
+    held, count, levels = [], 0, []
+    for batch in batches:
+        held.append(batch[list(columns)])
+        count += len(batch)
+        if count > run_rows:
+            run, held, count = _written(cut()), [], 0
+            for level in range(len(levels) + 1):
+                if level == len(levels):
+                    levels.append([])
+                levels[level].append(run)
+                if len(levels[level]) < FAN_IN:
+                    break
+                run, levels[level] = _written(_merged(levels[level], columns)), []
+    runs = [run for level in levels for run in level]
+    if not runs:
+        yield from cut() if count else ()
+        return
+    if count:
+        runs.append(_written(cut()))
+        held = []
+    yield from _merged(runs, columns)

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from trustloom.streaming.ordered import RUN_ROWS, in_order
+
 ROCKSDB = ("spark.sql.streaming.stateStore.providerClass",
            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
@@ -24,8 +26,8 @@ RING_OUTPUT = "ts BIGINT, seq BIGINT, v_num DOUBLE, ring_size BIGINT, ring_mean
 class RingProcessor(StatefulProcessor):
     """Newest ``ring`` samples of a series in a list state, features for every new sample."""
 
-    def __init__(self, keys: Sequence[str], ring: int, sustain: int, below: float) -> None:
-        self.keys, self.ring, self.sustain, self.below = list(keys), ring, sustain, below
+    def __init__(self, keys: Sequence[str], ring: int, sustain: int, below: float, run_rows: int = RUN_ROWS) -> None:
+        self.keys, self.ring, self.sustain, self.below, self.run_rows = list(keys), ring, sustain, below, run_rows
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         sample = StructType([StructField("ts", LongType()), StructField("seq", LongType()),
@@ -34,9 +36,15 @@ class RingProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = [tuple(row) for row in self.samples.get()]
-        fresh = pd.concat(list(rows)).sort_values(["ts", "seq"])
+        for fresh in in_order(rows, ("ts", "seq", "v_num"), self.run_rows):
+            out, kept = self.features(key, kept, fresh)
+            yield out
+        self.samples.put(kept)
+
+    def features(self, key: tuple, kept: list[tuple], fresh: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple]]:
+        """Features of some more samples and what is kept after them."""
         known = len(kept)
-        kept += list(zip(fresh["ts"].tolist(), fresh["seq"].tolist(), fresh["v_num"].tolist()))
+        kept = kept + list(zip(fresh["ts"].tolist(), fresh["seq"].tolist(), fresh["v_num"].tolist()))
         values = pd.Series([row[2] for row in kept])
         ring = values.rolling(self.ring, min_periods=1)
         old = values.shift(self.ring - 1).fillna(values.iloc[0])
@@ -48,18 +56,19 @@ class RingProcessor(StatefulProcessor):
             "held": (recent.max() < self.below).fillna(False)}).iloc[known:]
         for position, name in enumerate(self.keys):
             out.insert(position, name, key[position])
-        self.samples.put(kept[-self.ring:])
-        yield out
+        return out, kept[-max(self.ring, self.sustain):]
 
     def close(self) -> None:
         pass
 
 
 def ring_stream(samples: DataFrame, keys: Sequence[str], ring: int = 60, sustain: int = 20,
-                below: float = float("inf")) -> DataFrame:
+                below: float = float("inf"), run_rows: int = RUN_ROWS) -> DataFrame:
     """Ring features of a sample stream; ``held`` is true while the newest ``sustain`` values stay
-    below a threshold, ``changed`` marks the samples that change-only emission keeps."""
+    below a threshold, ``changed`` marks the samples that change-only emission keeps.
+
+    The samples that a micro-batch has of a series are sorted in runs of ``run_rows``, so a task never holds them all."""
     kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
     return samples.groupBy(*keys).transformWithStateInPandas(
-        RingProcessor(keys, ring, sustain, below), outputStructType=f"{kinds}, {RING_OUTPUT}",
+        RingProcessor(keys, ring, sustain, below, run_rows), outputStructType=f"{kinds}, {RING_OUTPUT}",
         outputMode="Append", timeMode="None")
