@@ -334,6 +334,37 @@ def test_quality_rules(spark, odd, empty):
     assert forest.quality_rules(odd, labels).filter("kept").count() == 0 and forest.quality_rules(empty, labels).count() == 0
 
 
+def plain_threshold(rows, most_lost=forest.MOST_GOOD_LOST):
+    n_good, n_bad = sum(g for _, g in rows), sum(not g for _, g in rows)
+    levels = sorted({a for a, _ in rows}, reverse=True)
+    best, limit = 0.0, float("inf")
+    for i, a in enumerate(levels):
+        lost, caught = sum(g and x >= a for x, g in rows) / n_good, sum(not g and x >= a for x, g in rows) / n_bad
+        if lost <= most_lost and caught - lost > best:
+            best, limit = caught - lost, (a + levels[i + 1]) / 2 if i + 1 < len(levels) else a
+    return limit
+
+
+def test_threshold_of_anomalies_counts_all_labelled_rows(spark):
+    frame, labels, marks = labelled(spark)
+    found = forest.quality_rules(frame, labels, model_rows=40).collect()
+    rows = [(r.anomaly, bool(marks[r.doc_id])) for r in found if not r.base_failed]
+    limit = plain_threshold(rows)
+    assert len(rows) > 400 and limit < 1
+    assert all(r.kept == (not r.base_failed and r.anomaly < limit) for r in found)
+
+
+def test_threshold_equals_the_plain_one(spark):
+    draw = random.Random(5)
+    for case in range(3):
+        rows = [(draw.randrange(60) / 60 if case else draw.random(), draw.random() < 0.8) for _ in range(500)]
+        rows = [(a if g else min(1.0, a + 0.3), g) for a, g in rows]
+        got = forest.calibrated(spark.createDataFrame(rows, "anomaly double, good boolean"), 0.05)
+        assert got == plain_threshold(rows, 0.05)
+    one_kind = spark.createDataFrame([(0.5, True), (0.7, True)], "anomaly double, good boolean")
+    assert forest.calibrated(one_kind) == float("inf") == forest.calibrated(one_kind.limit(0))
+
+
 def test_quality_classifier(spark, odd, empty):
     frame, labels, marks = labelled(spark)
     found = additive.quality_scores(frame, labels).collect()

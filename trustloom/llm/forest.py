@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trustloom.llm.common import documents, sample_filter
@@ -24,6 +24,7 @@ from trustloom.session import staged
 TREES = 200
 SUBSAMPLE = 256
 MODEL_ROWS = 20_000
+BINS = 1 << 14
 MOST_GOOD_LOST = 0.005
 LEAST_WORDS = 20
 MOST_REPEATED = 30
@@ -92,19 +93,30 @@ def grow_forest(rows: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE
     return Forest(feature, value, length, float(_unsplit(float(size))))
 
 
-def calibrated(scores: np.ndarray, good: np.ndarray, most_lost: float = MOST_GOOD_LOST) -> float:
-    """The score from which rows are anomalous: best true minus false rejections with at most ``most_lost`` of the good rejected."""
-    if good.all() or not good.any():
+def calibrated(scored: DataFrame, most_lost: float = MOST_GOOD_LOST) -> float:
+    """The score from which rows are anomalous: best true minus false rejections with at most ``most_lost`` of the good rejected.
+
+    ``scored`` has ``anomaly`` (0 to 1) and ``good``, all rows count. The driver sees sums of ``BINS`` ranges of scores; within a
+    range the sums go on over the distinct scores.
+    """
+    counts = staged(scored.groupBy("anomaly").agg(F.count_if("good").alias("n_good"), F.count_if(~F.col("good")).alias("n_bad"))
+                    .withColumn("bin", F.floor(F.col("anomaly") * BINS).cast("int")), "scores")
+    bins = counts.groupBy("bin").agg(F.sum("n_good").alias("good"), F.sum("n_bad").alias("bad")).toPandas().sort_values("bin", ascending=False)
+    n_good, n_bad = int(bins["good"].sum()), int(bins["bad"].sum())
+    if not n_good or not n_bad:
         return np.inf
-    order = np.argsort(-scores, kind="stable")
-    ranked, bad = scores[order], ~good[order]
-    lost, caught = np.cumsum(~bad) / good.sum(), np.cumsum(bad) / (~good).sum()
-    last = np.append(ranked[1:] != ranked[:-1], True)
-    gain = np.where(last & (lost <= most_lost), caught - lost, -1.0)
-    best = int(gain.argmax())
-    if gain[best] <= 0:
+    above = bins.assign(good=bins["good"].cumsum() - bins["good"], bad=bins["bad"].cumsum() - bins["bad"])
+    higher = scored.sparkSession.createDataFrame(above, "bin int, good bigint, bad bigint")
+    upto = Window.partitionBy("bin").orderBy(F.desc("anomaly")).rowsBetween(Window.unboundedPreceding, 0)
+    rejected = counts.join(F.broadcast(higher), "bin").select(
+        "anomaly", ((F.col("good") + F.sum("n_good").over(upto)) / F.lit(float(n_good))).alias("lost"),
+        ((F.col("bad") + F.sum("n_bad").over(upto)) / F.lit(float(n_bad))).alias("caught"))
+    best = (rejected.filter(F.col("lost") <= most_lost)
+            .agg(F.max(F.struct((F.col("caught") - F.col("lost")).alias("gain"), "anomaly")).alias("best")).first()["best"])
+    if best is None or best["gain"] <= 0:
         return np.inf
-    return float((ranked[best] + ranked[best + 1]) / 2) if best + 1 < len(ranked) else float(ranked[best])
+    lower = counts.filter(F.col("anomaly") < best["anomaly"]).agg(F.max("anomaly")).first()[0]
+    return best["anomaly"] if lower is None else (best["anomaly"] + lower) / 2
 
 
 def rule_ratios(stats: dict[str, np.ndarray]) -> np.ndarray:
@@ -135,29 +147,34 @@ def quality_rules(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id
     """``doc_id``, the counts of ``BASE``, ``base_failed``, ``anomaly`` and ``kept`` per row of ``docs``.
 
     ``labels`` has doc_id and quality (0 or 1); other values and null ids are left out, of several labels of an id the lowest
-    counts. Forest and threshold are fitted on at most ``model_rows`` labelled rows that pass the base rules, the ones with the
-    lowest hash of their id; without labels of both kinds only the base rules reject. Null and empty texts fail the base rules,
+    counts. The forest grows on at most ``model_rows`` labelled rows that pass the base rules, the ones with the lowest hash of
+    their id; the threshold is calibrated on all of them. Without labels of both kinds only the base rules reject. Null and empty texts fail the base rules,
     long texts are counted whole, repeated rows get equal verdicts, empty tables give no rows; other columns are not read.
     """
     stats = staged(rule_stats(docs, text, doc_id).withColumn("base_failed", base_failed()), "rules")
     marks = labels.filter("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     passing = stats.filter("not base_failed")
     drawn = sample_filter(passing.select("doc_id").join(marks, "doc_id"), "doc_id", model_rows, SEED)
-    rows = (passing.filter(drawn).join(marks, "doc_id").select("doc_id", "quality", "ratios")
+    rows = (passing.filter(drawn).join(marks, "doc_id").select("doc_id", "ratios")
             .orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(model_rows).toPandas())
     forest, limit = None, np.inf
-    if len(rows):
-        good = rows["quality"].to_numpy() == 1
-        table = np.stack(rows["ratios"].to_numpy())
-        forest = grow_forest(table)
-        limit = calibrated(forest.scores(table), good)
     fields = stats.schema.names
 
+    def anomalies(batch: pa.RecordBatch) -> np.ndarray:
+        flat = batch.column("ratios").flatten().to_numpy()
+        return forest.scores(flat.reshape(batch.num_rows, -1) if batch.num_rows else flat.reshape(0, 1)) if forest else np.zeros(batch.num_rows)
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(anomalies(batch)), batch.column("good")], ["anomaly", "good"])
+    if len(rows):
+        forest = grow_forest(np.stack(rows["ratios"].to_numpy()))
+        labelled = passing.join(marks, "doc_id").select("ratios", (F.col("quality") == 1).alias("good"))
+        limit = calibrated(labelled.mapInArrow(marked, "anomaly double, good boolean"))
+
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat = batch.column("ratios").flatten().to_numpy()
-            table = flat.reshape(batch.num_rows, -1) if batch.num_rows else flat.reshape(0, 1)
-            anomaly = forest.scores(table) if forest else np.zeros(batch.num_rows)
+            anomaly = anomalies(batch)
             kept = ~batch.column("base_failed").to_numpy(zero_copy_only=False) & (anomaly < limit)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in fields if c != "ratios"), pa.array(anomaly), pa.array(kept)],
                                              [*(c for c in fields if c != "ratios"), "anomaly", "kept"])
