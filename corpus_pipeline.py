@@ -38,9 +38,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every piece of every document in the packed sequences."""
+    """Every piece of every document with its ids and its place in the packed sequences."""
     ship_package(spark)
-    return packed(docs, vocabulary_path())
+    return packed(docs, vocabulary_path(), with_ids=True)
 
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("packing", pack)]

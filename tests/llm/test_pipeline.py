@@ -94,6 +94,22 @@ def test_packing(stages):
     assert want == got and max(fill.values()) <= 2048 and sum(fill.values()) >= 0.9 * 2048 * (len(fill) - 1)
 
 
+def test_sequences_can_be_rebuilt_from_the_last_table(stages):
+    _, _, before, _, after = stages[2][4]
+    tokenizer = Tokenizer.from_file(vocabulary_path())
+    want, got, at = collections.Counter(), collections.Counter(), collections.defaultdict(dict)
+    for r in before:
+        ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 1]
+        want.update((r.doc_id, s, tuple(ids[s:s + 2048])) for s in range(0, len(ids), 2048))
+    for p in after:
+        got[p.doc_id, p.start, tuple(p.ids)] += 1
+        at[p.sequence_id][p.offset] = p.ids
+    assert got == want and max(collections.Counter(d for d, s, _ in got.elements() if s == 0).values()) > 1
+    for parts in at.values():
+        sequence = [x for offset in sorted(parts) for x in parts[offset]]
+        assert all(sequence[o:o + len(ids)] == ids for o, ids in parts.items())
+
+
 def test_run_gives_the_same_pieces(spark, stages):
     rows = corpus_pipeline.run(spark, stages[0]).drop("sequence_id", "offset")
     def key(r):
