@@ -248,6 +248,15 @@ def test_secrets(spark, empty):
     assert secrets.secret_spans(empty).count() == 0
 
 
+def test_query_links_secrets_over_the_whole_scope(spark, tmp_path):
+    key = "aB3" + "xY9z" * 6
+    texts = [f"login=abcd {'pad ' * 900}{key} {'pad ' * 900}https://db.example.org/x", f"login=abcd\n\n{'pad ' * 9}{key}", f"only {key}"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.spans for r in secrets.op6_linked_secrets(spark, str(tmp_path)).collect()}
+    assert [s.split(":")[0] for s in found[0].split(",")] == ["linked_identifier", "linked_key", "linked_endpoint"]
+    assert found[1] == found[2] == ""
+
+
 def test_packing(spark, docs, texts, odd, empty):
     path = packing.vocabulary_path()
     from tokenizers import Tokenizer

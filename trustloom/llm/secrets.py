@@ -1,7 +1,7 @@
 """Secret scans with multipart credential linking, in DataFrame functions only.
 
 Strong patterns are reported as found. Weak ones (access identifiers, bare keys, endpoints) mean little alone and are only
-reported when complementary parts meet within ``REACH`` code points of the same scope: an identifier needs a secret, a key needs an
+reported when complementary parts meet in the same scope (the query), or within ``reach`` code points of it (``REACH`` unless given): an identifier needs a secret, a key needs an
 identifier or an endpoint, an endpoint needs both. A scope is a paragraph: the text between blank lines. Parts are joined by
 interval in one sweep: in order of place, every part sees the nearest part of each role before and after it, so a dense scope
 costs as many rows as it has parts, and no pairs are made.
@@ -86,8 +86,8 @@ def located_parts(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
     return rows.select("id", "base", "weak", F.when(F.size("weak") > 0, _located(F.col("text"), SCOPE_END, BREAK)).otherwise(_none()).alias("breaks"))
 
 
-def linked_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
-    """``rid, linked``: the weak spans of a row that meet their complements and lie in no base span."""
+def linked_parts(parts: DataFrame, reach: int | None = REACH) -> DataFrame:
+    """``rid, linked``: the weak spans of a row that meet their complements and lie in no base span; None reaches over the scope."""
     rows = (parts.filter(F.size("weak") > 0).select("rid", F.explode(F.concat("base", "weak", "breaks")).alias("s"))
             .select("rid", "s.start", "s.rank", "s.stop"))
     order = Window.partitionBy("rid").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0)
@@ -104,6 +104,8 @@ def linked_parts(parts: DataFrame, reach: int = REACH) -> DataFrame:
     def near(role: str) -> Column:
         left = F.col("start") - F.max(F.when(roles[role], F.col("stop"))).over(before)
         right = F.first(F.when(roles[role], F.col("start")), ignorenulls=True).over(after) - F.col("stop")
+        if reach is None:
+            return left.isNotNull() | right.isNotNull()
         return F.coalesce(left <= reach, F.lit(False)) | F.coalesce(right <= reach, F.lit(False))
     rows = rows.withColumns({role: near(role) for role in roles})
     met = (F.when(F.col("rank") == 3, F.col("secret")).when(F.col("rank") == 4, F.col("identifier") | F.col("endpoint"))
@@ -117,7 +119,7 @@ def _listed(spans: Column) -> Column:
         ":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int = REACH) -> DataFrame:
+def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", reach: int | None = REACH) -> DataFrame:
     """``id, base, linked``: arrays of spans (start, rank in ``KINDS``, stop) per row of ``docs``.
 
     Base spans are leftmost and non-overlapping per kind. Null texts are empty and have none. Long texts are scanned whole,
@@ -130,7 +132,7 @@ def secret_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", re
 
 
 def op6_linked_secrets(spark, sf_dir: str) -> DataFrame:
-    found = secret_spans(documents(spark, sf_dir))
+    found = secret_spans(documents(spark, sf_dir), reach=None)
 
     def count(rank: int) -> Column:
         return F.size(F.filter("base", lambda span: span["rank"] == rank)).cast("bigint").alias(f"n_{KINDS[rank]}")
