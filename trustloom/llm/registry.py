@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("additive", "codes", "exact", "forest", "lines", "mixing", "near", "packing", "search", "secrets", "sharding", "substrings")
+MODULES = ("additive", "codes", "exact", "forest", "lexical", "lines", "mixing", "near", "packing", "search", "secrets", "sharding", "substrings")
 
 
 def _merged(name: str) -> dict:
