@@ -21,7 +21,7 @@ LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def vector_rows(seed=3, n=300):
     draw = random.Random(seed)
     rows = [(i, [draw.choice([0.0, 0.0, 0.25, -0.5, draw.gauss(0, 0.2)]) for _ in range(12)], draw.choice([1, 2, None])) for i in range(n)]
-    rows += [(n + i, rows[i % 7][1], None) for i in range(20)]  # ties
+    rows += [(n + i, rows[i % min(7, n)][1], None) for i in range(20)]  # ties
     odd = [(None, rows[0][1], 1), (20, rows[20][1], 2), (20, rows[20][1], 2), (40, rows[3][1], 1), (400, None, 1), (420, [0.1, None] + [0.2] * 10, 1),
            (440, [float("nan")] * 12, 2), (460, [float("inf")] + [0.0] * 11, None), (480, [1e30, -1e30] + [0.5] * 10, 3), (500, [], 4), (520, [0.7] * 5, 5)]
     return [(*r, "x", "y", "z", 1, 2, 3) for r in rows + odd]
@@ -46,7 +46,7 @@ def test_topk_equals_brute_force(spark, monkeypatch, limits):
 
 
 def test_topk_of_few_and_no_rows(spark):
-    few = spark.createDataFrame(vector_rows(n=3)[:3], VECTORS)
+    few = spark.createDataFrame(vector_rows(n=30)[:3], VECTORS)
     assert len(search.exact_topk(few, F.col("vec_id") == 1).collect()) == 2
     assert search.exact_topk(few.limit(0), F.col("vec_id") == 1).collect() == []
     assert search.exact_topk(few, F.col("vec_id") == 9).collect() == []
@@ -165,7 +165,7 @@ def test_codes_equal_brute_force(spark):
 
 
 def test_codes_of_huge_few_and_no_rows(spark):
-    rows = vector_rows(n=5)
+    rows = vector_rows(n=30)
     table = spark.createDataFrame(rows, VECTORS)
     huge, _ = codes.vector_codes(table)
     assert huge.count() == len(usable(rows, 1024, codes.LARGEST))

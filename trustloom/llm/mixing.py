@@ -2,15 +2,15 @@
 
 Targets are found by filling: a source gets its weight times a common level, but at most ``most`` times its size. Every source is
 cut by a seeded hash into shards of about ``shard_tokens`` words, a shard's documents stand in seeded order, and their words are
-cut into equal blocks. A (source, shard) party votes with its part of the target and gets a block for every quotient
-votes / (k + 1/2) of at least one block, which is the highest-quotients rule at a common divisor; so integer quotas come
-without ranking all quotients in one place. A quota of q over b blocks takes every block q div b times and q mod b seeded
-blocks once more.
+cut into equal blocks; sources with small targets have smaller blocks. Sources of one block size share a house of as many blocks as
+their targets ask for. A (source, shard) party votes with its part of the target, and the house goes to the highest quotients
+votes / (k + 1/2) of all parties: the divisor that fills the house exactly is found by counting quotients for many divisors at once,
+a few passes over one row per party. A quota of q over b blocks takes every block q div b times and q mod b seeded blocks once more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -26,11 +26,14 @@ from trustloom.session import staged
 WEIGHTS = (5, 2, 1)
 BLOCK_TOKENS = 64
 SHARD_TOKENS = 1 << 18
+LEAST_BLOCKS = 16
+DIVISORS = 256
+TIE_SHARE = 1e-6
 SEED = 17
 
 
 def cyclic_weights(sources: DataFrame, weights: Sequence[float]) -> DataFrame:
-    """Sources (``source``, ``size``) with the weight of their place by code point, null last.
+    """Sources (``source``, ``size``) with their ``place`` by code point, null last, and the weight of the place.
 
     Places come from counts per two leading bytes; a task sorts the sources that share them.
     """
@@ -39,8 +42,8 @@ def cyclic_weights(sources: DataFrame, weights: Sequence[float]) -> DataFrame:
     heads = marked.groupBy("_head").count().withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     place = F.col("_before") + F.row_number().over(Window.partitionBy("_head").orderBy(F.col("source").asc_nulls_last())) - 1
     table = F.array(*[F.lit(float(w)) for w in weights])
-    return (marked.join(heads, "_head")
-            .withColumn("weight", F.get(table, F.pmod(place, F.lit(len(weights))).cast("int"))).drop("_head", "_before"))
+    return (marked.join(heads, "_head").withColumn("place", place)
+            .withColumn("weight", F.get(table, F.pmod("place", F.lit(len(weights))).cast("int"))).drop("_head", "_before"))
 
 
 def filled_targets(sources: DataFrame, factor: float, most: float) -> DataFrame:
@@ -61,13 +64,68 @@ def filled_targets(sources: DataFrame, factor: float, most: float) -> DataFrame:
                           F.when(full, F.col("size") * most).otherwise(share).cast("double").alias("target"))
 
 
-def _take(sizes: np.ndarray, ratio: float, block: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_size(target: Column, block_tokens: int) -> Column:
+    """A power of two, at most ``block_tokens``, so that a target has ``LEAST_BLOCKS`` blocks at least where it can."""
+    return F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(target, F.lit(1.0)) / LEAST_BLOCKS))))).cast("int")
+
+
+def seats(votes: np.ndarray, most: np.ndarray, divisors: np.ndarray) -> np.ndarray:
+    """Quotients ``votes / (k + 1/2)`` of at least each divisor, at most ``most`` per party: a row per party."""
+    return np.minimum(np.floor(votes[:, None] / divisors[None, :] + 0.5), most[:, None])
+
+
+def house_divisors(parties: DataFrame) -> dict[int, float]:
+    """For every block size the divisor at which its parties (``block, votes, most``) get the seats of their house together.
+
+    The house is the sum of the votes, rounded, as far as the parties can fill it. A pass counts the seats for ``DIVISORS``
+    divisors between two known ones and keeps the step that passes the house.
+    """
+    sums = parties.groupBy("block").agg(F.sum("votes").alias("votes"), F.sum("most").alias("most"), F.max("votes").alias("top")).collect()
+    house = {r["block"]: min(int(r["votes"] / (1 + TIE_SHARE / 2) + 0.5), r["most"]) for r in sums}
+    done = {r["block"]: 3 * r["top"] + 1.0 for r in sums if house[r["block"]] == 0}
+    between = {r["block"]: (1e-12, 3 * r["top"] + 1.0) for r in sums if house[r["block"]] > 0}
+    while between:
+        grids = {block: np.geomspace(low, high, DIVISORS) for block, (low, high) in between.items()}
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = {block: np.zeros(DIVISORS, np.int64) for block in grids}
+            for batch in batches:
+                block, votes, most = (batch.column(c).to_numpy() for c in ("block", "votes", "most"))
+                for size, grid in grids.items():
+                    own = np.flatnonzero(block == size)
+                    for at in range(0, len(own), 4_096):
+                        rows = own[at:at + 4_096]
+                        total[size] += seats(votes[rows], most[rows], grid).sum(axis=0).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(list(total), DIVISORS)), pa.array(np.tile(np.arange(DIVISORS), len(total))), pa.array(np.concatenate(list(total.values())))],
+                ["block", "step", "n"])
+        counts = parties.mapInArrow(counted, "block bigint, step bigint, n bigint").groupBy("block", "step").agg(F.sum("n").alias("n"))
+        found = {(r["block"], r["step"]): r["n"] for r in counts.collect()}  # DIVISORS rows per block size
+        for block, grid in grids.items():
+            n = np.array([found[block, i] for i in range(DIVISORS)])
+            exact = np.flatnonzero(n == house[block])
+            short = int(np.argmax(n < house[block])) if (n < house[block]).any() else DIVISORS - 1
+            low, high = grid[max(0, short - 1)], grid[short]
+            if len(exact) or high / low < 1 + 1e-15 or (low, high) == between[block]:
+                done[block] = float(grid[exact[0]] if len(exact) else high)
+                del between[block]
+            else:
+                between[block] = (float(low), float(high))
+    return done
+
+
+def quotas(parties: DataFrame) -> DataFrame:
+    """``parties`` with ``quota``: their seats at the divisor of their house."""
+    divisor = F.lit(None).cast("double")
+    for block, value in house_divisors(parties).items():
+        divisor = F.when(F.col("block") == block, F.lit(value)).otherwise(divisor)
+    return parties.withColumn("quota", F.least(F.floor(F.col("votes") / divisor + 0.5), F.col("most")))
+
+
+def _take(sizes: np.ndarray, blocks: int, quota: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Block borders, how often each block is taken, and the first word of every document in the shard's order."""
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    words = int(starts[-1])
-    blocks = max(1, round(words / block))
-    borders = np.arange(blocks + 1, dtype=np.int64) * words // blocks
-    quota = int(np.floor(ratio * blocks + 0.5))
+    borders = np.arange(blocks + 1, dtype=np.int64) * int(starts[-1]) // blocks
     times = np.full(blocks, quota // blocks, dtype=np.int64)
     times[np.random.Generator(np.random.PCG64(seed)).permutation(blocks)[:quota % blocks]] += 1
     return borders, times, starts
@@ -114,34 +172,44 @@ def mixed_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, factor: f
     rows that repeat id and size are interchangeable. Extra columns travel in ``payload``. Empty tables give no rows. A task
     holds one shard: about ``shard_tokens`` words, or one longer document.
     """
-    carried = [F.col(text).alias("text")] if emit else []
-    sized = docs.select((payload if payload is not None else F.struct(doc_id)).alias("doc"), F.col(source).alias("source"),
-                        F.xxhash64(F.col(doc_id), F.lit(seed)).alias("draw"), F.col(doc_id).cast("string").alias("tie"),
-                        F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"), *carried)
-    if not emit:
-        sized = staged(sized, "sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    doc = (payload if payload is not None else F.struct(doc_id)).alias("doc")
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size")
+    drawn = [F.col(source).alias("source"), F.xxhash64(F.col(doc_id), F.lit(seed)).alias("draw"), size]
+    tie = F.col(doc_id).cast("string").alias("tie")
+    slim = staged(docs.select(*drawn) if emit else docs.select(doc, *drawn, tie), "sizes")
+    sized = docs.select(doc, *drawn, tie, F.col(text).alias("text")) if emit else slim
+    sources = slim.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
     sources = staged(cyclic_weights(sources, weights), "sources")
     targets = filled_targets(sources, factor, most).join(
-        sources.select(F.col("source").alias("_s"), "rows"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    placed = (sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-              .withColumn("shard", F.pmod(F.col("draw"), F.ceil((F.col("source_size") + F.col("rows") + 1) / F.lit(shard_tokens)))))
-    schema = T.StructType([*placed.select("doc", "size", "source", "source_size", "target").schema, T.StructField("taken", T.LongType())])
+        sources.select(F.col("source").alias("_s"), "rows", "place"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    targets = targets.withColumn("block", block_size(F.col("target"), block_tokens))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return (rows.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+                .withColumn("shard", F.pmod(F.col("draw"), F.ceil((F.col("source_size") + F.col("rows") + 1) / F.lit(shard_tokens)))))
+    shards = (placed(slim.select("source", "draw", "size")).groupBy("place", "shard", "block", "source_size", "target").agg(F.sum("size").alias("words"))
+              .withColumn("blocks", F.greatest(F.lit(1), F.round(F.col("words") / F.col("block")).cast("bigint"))))
+    ratio = F.when(F.col("words") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    tied = 1 + F.lit(TIE_SHARE / 2**31) * F.pmod(F.xxhash64("place", "shard", F.lit(seed)), F.lit(1 << 31))  # ties fall by seed
+    shards = staged(shards.select("place", "shard", "block", "blocks", (ratio * F.col("blocks") * tied).alias("votes"),
+                                  F.floor(F.col("blocks") * F.lit(most)).alias("most")), "parties")
+    parties = quotas(shards).select("place", "shard", "blocks", "quota")
+    rows = placed(sized).drop("rows", "block").join(parties, ["place", "shard"])
+    schema = T.StructType([*rows.select("doc", "size", "source", "source_size", "target").schema, T.StructField("taken", T.LongType())])
     if emit:
         schema = schema.add("passes", T.ArrayType(T.StringType()))
 
     def choose(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values(["draw", "tie", "size"], kind="stable", na_position="last").reset_index(drop=True)
-        ratio = shard["target"].iloc[0] / shard["source_size"].iloc[0] if shard["source_size"].iloc[0] else 0.0
         key = np.random.SeedSequence([seed, int(shard["draw"].iloc[0]) & (2**64 - 1), len(shard)]).generate_state(1)[0]
-        borders, times, starts = _take(shard["size"].to_numpy(), ratio, block_tokens, int(key))
+        borders, times, starts = _take(shard["size"].to_numpy(), int(shard["blocks"].iloc[0]), int(shard["quota"].iloc[0]), int(key))
         out = shard[["doc", "size", "source", "source_size", "target"]].copy()
         out["taken"] = _taken(borders, times, starts)
         if emit:
             out["passes"] = [_passes(t, borders, times, int(a), int(b)) if b > a else []
                              for t, a, b in zip(shard["text"], starts[:-1], starts[1:])]
         return out
-    return placed.groupBy("source", "shard").applyInPandas(choose, schema)
+    return rows.groupBy("place", "shard").applyInPandas(choose, schema)
 
 
 def mixed_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **rule) -> DataFrame:
