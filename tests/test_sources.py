@@ -119,15 +119,3 @@ def test_encoder_runs_once_per_text(spark):
     rows = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, "ab")], "id int, text string")
     got = {r["id"]: r["vector"] for r in recommend.encode_texts(rows, make).collect()}
     assert got == {1: [2.0, 1.0], 2: [4.0, 1.0], 3: [2.0, 1.0]}
-
-
-def test_dense_paths_agree(spark):
-    q = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0])], "query_id int, vector array<float>")
-    r = spark.createDataFrame([(7, [2.0, 0.0]), (8, [0.0, 1.0])], "rule_id int, vector array<float>")
-
-    def show(df):
-        return sorted((x["query_id"], x["rule_id"], round(x["score"], 9)) for x in df.collect())
-    assert show(recommend.dense_cosine(q, r)) == show(recommend.dense_cosine(q, r, limit=1)) == [(1, 7, 1.0), (2, 7, 0.707106781), (2, 8, 0.707106781)]
-    norms = q.select("query_id", F.lit(1.0).alias("norm")), r.select("rule_id", F.lit(2.0).alias("norm"))
-    text = spark.createDataFrame([(1, 7, 0.5)], "query_id int, rule_id int, score double")
-    assert show(recommend.hybrid_cosine(text, recommend.dense_cosine(q, r), *norms))[0] == (1, 7, round(2.5 / (2 * 5) ** 0.5, 9))

@@ -5,15 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from trustloom.functions.hof import let
-from trustloom.functions.text import list_map, term_counts, words
-
-RULE_LIMIT = 20_000
+from trustloom.functions.text import list_map, words
 
 # Score weights of the blend and the rank thresholds.
 COSINE_WEIGHT, MODEL_WEIGHT = 0.3, 0.7
@@ -51,127 +48,6 @@ def synonym_dict(groups: Mapping[str, Sequence[str]]) -> dict[str, list[str]]:
     return {word: [head, *rest] for head, rest in groups.items() for word in (head, *rest)}
 
 
-def vocabulary(documents: DataFrame, tokens: Column, max_terms: int | None = None) -> DataFrame:
-    """``term, idf`` of all terms, or of the ``max_terms`` most frequent ones.
-
-    Every document is counted inside its own row; only (term, counts) are
-    shuffled, combined on the map side first.
-    """
-    counted = documents.select(F.explode(term_counts(tokens)).alias("t"))
-    terms = counted.groupBy("t.term").agg(F.count(F.lit(1)).alias("df"), F.sum("t.tf").alias("cf"))
-    kept = terms.filter(F.length("term") >= 2)
-    if max_terms is not None:
-        kept = kept.orderBy(F.desc("cf"), "term").limit(max_terms)
-    n = documents.count()
-    return kept.select(
-        "term", (F.ln(F.lit(1.0 + n) / (F.lit(1.0) + F.col("df"))) + 1).alias("idf"))
-
-
-def rule_weights(rules: DataFrame, tokens: Column, terms: DataFrame) -> DataFrame:
-    """``rule_id, term, weight`` with unit length per rule."""
-    rows = (rules.select("rule_id", F.explode(term_counts(tokens)).alias("t"))
-            .select("rule_id", "t.term", "t.tf").join(terms, "term")
-            .withColumn("_w", F.col("tf") * F.col("idf")))
-    norm = rows.groupBy("rule_id").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_n"))
-    return rows.join(norm, "rule_id").select(
-        "rule_id", "term", (F.col("_w") / F.col("_n")).alias("weight"))
-
-
-def text_cosine(queries: DataFrame, tokens: Column, weights: DataFrame, terms: DataFrame,
-                min_score: float = MIN_SCORE) -> DataFrame:
-    """TF-IDF cosine of every query and rule of at least ``min_score``.
-
-    Terms are counted inside the query row. The rule weights, and one row per
-    vocabulary term that adds up the query length, form one table that is joined on
-    the term; adaptive execution broadcasts it when it turns out small.
-    """
-    if min_score <= 0:
-        raise ValueError("min_score must be above 0")
-    length_rows = terms.select("term", "idf", F.lit(None).cast(weights.schema["rule_id"].dataType)
-                               .alias("rule_id"), F.lit(None).cast("double").alias("weight"))
-    targets = length_rows.unionByName(weights.join(terms, "term")
-                                      .select("term", "idf", "rule_id", "weight"))
-    counted = (queries.select("query_id", F.explode(term_counts(tokens)).alias("t"))
-               .select("query_id", "t.term", "t.tf"))
-    w = F.col("tf") * F.col("idf")
-    sums = (counted.join(targets, "term")
-            .groupBy("query_id", "rule_id")
-            .agg(F.sum(F.when(F.col("rule_id").isNull(), w * w).otherwise(w * F.col("weight")))
-                 .alias("v")))
-    norm = F.max(F.when(F.col("rule_id").isNull(), F.sqrt("v"))).over(
-        Window.partitionBy("query_id"))
-    return (sums.withColumn("_n", norm).filter("rule_id IS NOT NULL")
-            .select("query_id", "rule_id", (F.col("v") / F.col("_n")).alias("score"))
-            .filter(F.col("score") >= min_score))
-
-
-def dense_cosine(queries: DataFrame, rules: DataFrame, min_score: float = MIN_SCORE,
-                 limit: int = RULE_LIMIT) -> DataFrame:
-    """Cosine of dense vectors (``query_id, vector``) and (``rule_id, vector``).
-
-    The rule table is the small side. Below ``limit`` rows it is collected into
-    one matrix and each Arrow batch of queries is one matrix product; above it,
-    both sides meet in an equi-join on the vector position with partial sums.
-    """
-    head = rules.select("rule_id", "vector").orderBy("rule_id").limit(limit + 1).collect()
-    kind = rules.schema["rule_id"].dataType.simpleString()
-    if len(head) <= limit:
-        ids = [row["rule_id"] for row in head]
-        matrix = np.array([row["vector"] for row in head], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-        def best(vectors: pd.Series) -> pd.Series:
-            q = np.stack(vectors.to_numpy()).astype(np.float64)
-            q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-            scores = q @ matrix.T
-            return pd.Series([
-                [(ids[j], float(row[j])) for j in np.flatnonzero(row >= min_score)]
-                for row in scores])
-        score = F.pandas_udf(best, f"array<struct<rule_id:{kind},score:double>>")
-        return (queries.select("query_id", F.explode(score("vector")).alias("s"))
-                .select("query_id", "s.rule_id", "s.score"))
-    q = unit_vectors(queries, "query_id")
-    r = unit_vectors(rules, "rule_id")
-    return (q.join(r.withColumnRenamed("x", "y"), "pos")
-            .groupBy("query_id", "rule_id").agg(F.sum(F.col("x") * F.col("y")).alias("score"))
-            .filter(F.col("score") >= min_score))
-
-
-def unit_vectors(vectors: DataFrame, key: str) -> DataFrame:
-    """Positions and values of vectors scaled to length 1."""
-    length = F.sqrt(F.aggregate(F.col("vector").cast("array<double>"), F.lit(0.0),
-                                lambda acc, x: acc + x * x))
-    return (vectors.withColumn("_n", length).select(key, "_n", F.posexplode("vector").alias("pos", "x"))
-            .select(key, "pos", (F.col("x").cast("double") / F.col("_n")).alias("x")))
-
-
-def hybrid_cosine(text_scores: DataFrame, dense_scores: DataFrame, query_norms: DataFrame,
-                  rule_norms: DataFrame) -> DataFrame:
-    """Cosine of the concatenated text and dense vectors from the scores of both parts.
-
-    The text part has length 1; ``query_norms`` and ``rule_norms`` hold the
-    dense lengths as ``norm``. Both inputs hold all pairs above 0.
-    """
-    pairs = text_scores.withColumnRenamed("score", "t").join(
-        dense_scores.withColumnRenamed("score", "d"), ["query_id", "rule_id"], "full_outer")
-    pairs = (pairs.join(query_norms.withColumnRenamed("norm", "qn"), "query_id")
-             .join(rule_norms.withColumnRenamed("norm", "rn"), "rule_id"))
-    t = F.coalesce("t", F.lit(0.0))
-    d = F.coalesce("d", F.lit(0.0)) * F.col("qn") * F.col("rn")
-    length = F.sqrt((F.col("qn") ** 2 + 1) * (F.col("rn") ** 2 + 1))
-    return pairs.select("query_id", "rule_id", ((t + d) / length).alias("score"))
-
-
-def ranked(scores: DataFrame, k: int | None = None) -> DataFrame:
-    """Rules per query by falling score, then id; optionally the first k only.
-
-    A query has at most one row per rule, so its group is bounded by the rule table.
-    """
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "rule_id")
-    out = scores.withColumn("rank", F.row_number().over(w))
-    return out if k is None else out.filter(F.col("rank") <= k)
-
-
 def encode_texts(rows: DataFrame, make_encoder: Callable[[], Callable[[np.ndarray], np.ndarray]],
                  text: str = "text", batch_size: int = 64) -> DataFrame:
     """Add ``vector`` by a pluggable encoder, each distinct text encoded once.
@@ -187,15 +63,24 @@ def encode_texts(rows: DataFrame, make_encoder: Callable[[], Callable[[np.ndarra
     return keyed.join(vectors, "_key").drop("_key")
 
 
-def parse_model_scores(responses: DataFrame, max_rule: int = 33) -> DataFrame:
-    """``query_id, rule_id, score`` of response lines ``rN:0.xx``; unknown numbers are ignored."""
-    lines = F.regexp_extract_all("response", F.lit(
-        r"(?m)^r(?:3[0-6]|[12][0-9]|[1-9]):(?:0\.\d{1,2}|1\.00)$"), F.lit(0))
-    parsed = responses.select("query_id", F.posexplode(lines).alias("pos", "line")).select(
-        "query_id", "pos", F.substring_index("line", ":", 1).alias("rule_id"),
-        F.substring_index("line", ":", -1).cast("double").alias("score"))
-    known = parsed.filter(F.substring("rule_id", 2, 10).cast("int") <= max_rule)
-    return known.groupBy("query_id", "rule_id").agg(F.max_by("score", "pos").alias("score"))
+def parse_model_scores(responses: DataFrame, max_rule: int | None = None) -> DataFrame:
+    """``query_id, rule_id, score`` of the response lines that name a rule and a score between 0 and 1.
+
+    A line is a rule name (``r`` and a number without leading zeros), a colon and a score of one or two decimals; other lines are
+    ignored, and so are numbers above ``max_rule``. The last line about a rule counts.
+    """
+    lines = responses.select("query_id", F.posexplode(F.split("response", "\r?\n")).alias("pos", "line"))
+    halves = lines.select("query_id", "pos", F.split("line", ":").alias("half")).filter(F.size("half") == 2)
+    named = halves.select("query_id", "pos", F.get("half", F.lit(0)).alias("rule_id"), F.get("half", F.lit(1)).alias("value"))
+    number = F.substring("rule_id", 2, 10).try_cast("int")
+    decimals = F.length("value") - F.length(F.substring_index("value", ".", 1)) - 1
+    known = (F.concat(F.lit("r"), number.cast("string")) == F.col("rule_id")) & (number >= 1)
+    score = F.col("value").try_cast("decimal(4,2)")
+    plain = (F.substring_index("value", ".", 1).isin("0", "1")) & decimals.isin(1, 2) & score.between(0, 1)
+    if max_rule is not None:
+        known = known & (number <= max_rule)
+    return (named.filter(known & plain).groupBy("query_id", "rule_id")
+            .agg(F.max_by(score.cast("double"), "pos").alias("score")))
 
 
 def blend(cosine: DataFrame, model: DataFrame, cosine_weight: float = COSINE_WEIGHT,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustloom.functions.text import category, normalize, ngrams, term_counts, words
-from trustloom.operators import recommend
+from trustloom.operators import recommend, similarity
 from trustloom.plans.tables import table
 
 STOP = ("the", "and", "for", "que", "les", "der", "die", "und")
@@ -41,7 +41,7 @@ def category_assign(spark, folder):
 
 
 def _vocabulary(spark, folder, limit=None):
-    return recommend.vocabulary(table(spark, folder, "benchmark"), words(F.col("text")), limit)
+    return similarity.vocabulary(table(spark, folder, "benchmark"), words(F.col("text")), limit)
 
 
 def vocabulary_idf(spark, folder):
@@ -53,12 +53,12 @@ def vocabulary_top(spark, folder):
     return _vocabulary(spark, folder, 300).select("term", F.round("idf", 9).alias("idf"))
 
 
-def _cosine(spark, folder, min_score=0.3):
+def _cosine(spark, folder, min_score=0.3, k=None):
     terms = _vocabulary(spark, folder)
     rules = table(spark, folder, "benchmark").withColumnRenamed("item_id", "rule_id")
-    weights = recommend.rule_weights(rules, words(F.col("text")), terms)
     queries = _documents(spark, folder).withColumnRenamed("doc_id", "query_id")
-    return recommend.text_cosine(queries, words(F.col("text")), weights, terms, min_score)
+    return similarity.similar_pairs(*(similarity.text_vectors(rows, key, words(F.col("text")), terms)
+                                      for rows, key in ((queries, "query_id"), (rules, "rule_id"))), min_score, k)
 
 
 def tfidf_cosine(spark, folder):
@@ -66,8 +66,8 @@ def tfidf_cosine(spark, folder):
 
 
 def topk_rules(spark, folder):
-    scores = _cosine(spark, folder).withColumn("score", F.round("score", 7))
-    return recommend.ranked(scores, 3).select("query_id", "rule_id", "rank", "score")
+    scores = _cosine(spark, folder, k=3).withColumn("score", F.round("score", 7))
+    return similarity.ranked(scores, 3).select("query_id", "rule_id", "rank", "score")
 
 
 def recommendation_log(spark, folder):
@@ -90,9 +90,53 @@ def dense_cosine_topk(spark, folder):
     rows = vectors.select("label", F.posexplode("embedding").alias("pos", "x"))
     means = rows.groupBy("label", "pos").agg(F.avg("x").alias("x")).groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda e: e["x"]).alias("vector"))
-    scores = recommend.dense_cosine(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
-                                    means.withColumnRenamed("label", "rule_id"), min_score=-1.0)
-    return recommend.ranked(scores.withColumn("score", F.round("score", 6)), 3)
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    rules = means.withColumnRenamed("label", "rule_id")
+    scores = similarity.similar_pairs(similarity.dense_vectors(queries, "query_id"), similarity.dense_vectors(rules, "rule_id"), None, k=3)
+    return similarity.ranked(scores.withColumn("score", F.round("score", 6)), 3)
+
+
+def _hybrid_side(spark, folder, name, key, vec_id, tokens, terms):
+    """Vectors of the texts of a table, each with the embedding that its id names among all."""
+    vectors = table(spark, folder, "embeddings")
+    rows = table(spark, folder, name).crossJoin(F.broadcast(vectors.agg(F.count(F.lit(1)).alias("n"))))  # one row
+    dense = rows.select(F.col(name_id(name)).alias(key), (vec_id % F.col("n")).alias("vec_id")).join(vectors, "vec_id").select(key, F.col("embedding").alias("vector"))
+    texts = table(spark, folder, name).withColumnRenamed(name_id(name), key)
+    return similarity.hybrid_vectors(similarity.text_vectors(texts, key, tokens, terms), dense, key)
+
+
+def name_id(name):
+    return {"documents": "doc_id", "benchmark": "item_id"}[name]
+
+
+def hybrid_topk(spark, folder):
+    """The recommender end to end: normalised text and dense part, the three best rules of at least 0.3, and the terms they share."""
+    tokens = normalize(F.col("text"), PHRASES, {"than": ["than", "alas", "then"]}, STOP)
+    terms = similarity.vocabulary(table(spark, folder, "benchmark"), tokens)
+    queries = _hybrid_side(spark, folder, "documents", "query_id", F.col("doc_id"), tokens, terms)
+    rules = _hybrid_side(spark, folder, "benchmark", "rule_id", F.col("item_id") * 7 + 3, tokens, terms)
+    scores = similarity.similar_pairs(queries, rules, 0.3, k=3).withColumn("score", F.round("score", 6))
+    best = similarity.ranked(scores, 3)
+    left = _documents(spark, folder).select(F.col("doc_id").alias("query_id"), tokens.alias("a"))
+    right = table(spark, folder, "benchmark").select(F.col("item_id").alias("rule_id"), tokens.alias("b"))
+    shared = F.array_join(recommend.explain_terms(F.col("a"), F.col("b")), ",")
+    return best.join(left, "query_id").join(right, "rule_id").select("query_id", "rule_id", "rank", "score", shared.alias("terms"))
+
+
+def _vowel_encoder():
+    """An encoder that counts vowels: what a sentence model would be plugged in as."""
+    import numpy as np
+
+    def encode(texts):
+        return np.array([[t.count(v) for v in "aeiou"] for t in texts.ravel()], dtype=np.float32)
+    return encode
+
+
+def encoded_texts(spark, folder):
+    """Vectors of all conversation turns by a pluggable encoder, each distinct text encoded once."""
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    coded = recommend.encode_texts(rows, _vowel_encoder)
+    return coded.select("conv_id", "turn", F.array_join(F.transform("vector", lambda x: x.cast("int").cast("string")), ",").alias("vector"))
 
 
 def model_scores(spark, folder):
@@ -100,7 +144,7 @@ def model_scores(spark, folder):
     k = F.regexp_extract("props", r'"k":\s*(\d+)', 1).cast("int")
     text = F.concat(F.lit("Here:\nr"), (k % 40).cast("string"), F.lit(":0."), F.lpad(k.cast("string"), 2, "0"), F.lit("\nr1:1.00\nr2: 0.5\n"))
     rows = table(spark, folder, "events").select(F.col("event_id").alias("query_id"), text.alias("response"))
-    return recommend.parse_model_scores(rows)
+    return recommend.parse_model_scores(rows, max_rule=33)
 
 
 def score_blend(spark, folder):
@@ -168,7 +212,7 @@ def label_classifier(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     text_tokens, term_frequencies, phrase_counts, category_assign, vocabulary_idf, vocabulary_top, tfidf_cosine, topk_rules, recommendation_log,
-    explain_terms, dense_cosine_topk, model_scores, score_blend, eval_micro_f1, invalid_labels, query_augmentation, synonym_lookup,
+    explain_terms, dense_cosine_topk, hybrid_topk, encoded_texts, model_scores, score_blend, eval_micro_f1, invalid_labels, query_augmentation, synonym_lookup,
     synonym_table, chosen_rules, label_classifier)}
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
@@ -187,7 +231,45 @@ HITS = " ".join(f", len(list_filter(w, lambda t: list_contains({ks}, t))) AS {c}
 IDF = f"""WITH t AS (SELECT item_id, unnest({TOK}) AS term FROM benchmark), c AS (SELECT item_id, term, count(*) AS tf FROM t GROUP BY 1, 2)
     SELECT term, round(ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1, 9) AS idf FROM c WHERE length(term) >= 2"""
 
+
+
+def NORMAL(name, key):
+    """Normalised tokens of a table as rows ``key, tok``."""
+    return f"""
+        SELECT {key}, tok FROM (
+            SELECT {key}, replace(w[i] || ' ' || w[i + 1], ' ', '_') AS tok FROM (SELECT {key}, {TOK} AS w, unnest(range(1, len(w))) AS i FROM {name})
+            WHERE w[i] || ' ' || w[i + 1] IN ('de la', 'in the')
+            UNION ALL SELECT {key}, unnest(CASE WHEN tok = 'than' THEN ['than', 'alas', 'then'] ELSE [tok] END)
+                      FROM (SELECT {key}, unnest({TOK}) AS tok FROM {name}))
+        WHERE length(tok) > 2 AND NOT regexp_full_match(tok, '\\d+') AND tok NOT IN {STOP}"""
+
+
+HYBRID = f"""WITH bt AS ({NORMAL("benchmark", "item_id")}), dt AS ({NORMAL("documents", "doc_id")}),
+    bc AS (SELECT item_id, tok, count(*) AS tf FROM bt GROUP BY 1, 2), dc AS (SELECT doc_id, tok, count(*) AS tf FROM dt GROUP BY 1, 2),
+    v AS (SELECT tok, ln((1.0 + (SELECT count(*) FROM benchmark)) / (1.0 + count(*))) + 1 AS idf FROM bc GROUP BY 1),
+    bw AS (SELECT item_id, tok, tf * idf AS w FROM bc JOIN v USING (tok)), dw AS (SELECT doc_id, tok, tf * idf AS w FROM dc JOIN v USING (tok)),
+    bn AS (SELECT item_id, sqrt(sum(w * w)) AS n FROM bw GROUP BY 1), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS n FROM dw GROUP BY 1),
+    tx AS (SELECT doc_id, item_id, sum(dw.w * bw.w) AS dot FROM dw JOIN bw USING (tok) GROUP BY 1, 2),
+    k AS (SELECT count(*) AS k FROM embeddings), e AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    q AS (SELECT doc_id, e, n, sqrt(list_inner_product(e, e) + CASE WHEN n IS NULL THEN 0 ELSE 1 END) AS len
+          FROM documents CROSS JOIN k JOIN e ON vec_id = doc_id % k LEFT JOIN dn USING (doc_id)),
+    r AS (SELECT item_id, e, n, sqrt(list_inner_product(e, e) + CASE WHEN n IS NULL THEN 0 ELSE 1 END) AS len
+          FROM benchmark CROSS JOIN k JOIN e ON vec_id = (item_id * 7 + 3) % k LEFT JOIN bn USING (item_id)),
+    s AS (SELECT doc_id AS query_id, item_id AS rule_id, round((coalesce(dot / q.n / r.n, 0) + list_inner_product(q.e, r.e)) / q.len / r.len, 6) AS score,
+                 (coalesce(dot / q.n / r.n, 0) + list_inner_product(q.e, r.e)) / q.len / r.len AS exact
+          FROM q CROSS JOIN r LEFT JOIN tx USING (doc_id, item_id)),
+    b AS (SELECT query_id, rule_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rule_id) AS INTEGER) AS rank
+          FROM s WHERE exact >= 0.3),
+    top AS (SELECT * FROM b WHERE rank <= 3),
+    sh AS (SELECT query_id, rule_id, string_agg(replace(tok, '_', ' '), ',' ORDER BY tok) AS terms
+           FROM top JOIN dc ON doc_id = query_id JOIN bc USING (tok) WHERE item_id = rule_id GROUP BY 1, 2)
+    SELECT query_id, rule_id, rank, score, coalesce(terms, '') AS terms FROM top LEFT JOIN sh USING (query_id, rule_id)"""
+
 ORACLE = {
+    "hybrid_topk": HYBRID,
+    "encoded_texts": """
+        SELECT conv_id, turn, array_to_string(list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: length(text) - length(replace(text, v, ''))), ',') AS vector
+        FROM conversations""",
     "text_tokens": f"""
         WITH t AS (SELECT item_id, {TOK} AS w FROM benchmark),
         p AS (SELECT item_id, unnest(range(1, len(w))) AS i, w FROM t),
