@@ -40,19 +40,19 @@ def test_catalog_users_and_match(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(doc, indent=1))
     (tmp_path / "b.json").write_text(json.dumps({"id": "n2", "provider": "Q"}))
     docs = readers.catalog_documents(spark, str(tmp_path))
-    services, systems = catalog.facet_values(catalog.service_facets(docs)), catalog.facet_values(catalog.os_facets(docs))
-    assert services == {"type": ["firewall"], "software": ["snort"]}
-    assert systems == {"distro": ["ubuntu"], "flavor": ["server"], "codename": ["focal"]}
+    facets = catalog.service_facets(docs).unionByName(catalog.os_facets(docs))
+    assert {(r["facet"], r["value"], r["distro"]) for r in facets.collect()} == {
+        ("type", "firewall", None), ("software", "snort", None), ("distro", "ubuntu", None), ("flavor", "server", None), ("codename", "focal", "ubuntu")}
     asks = spark.createDataFrame([
         (1, "storage", "500 gb of disk"), (2, "storage", "1 TB"), (3, "compute", "8GB RAM"), (4, "compute", "4 cores"), (5, "service", "Snort 2.9 firewall"),
         (6, "service", "snort 3"), (7, "os", "ubuntu server 20.04"), (8, "os", "focal"), (9, "os", "ubuntu 22.04"), (10, "qos", "1GBps"), (11, "qos", "8 Gbps"),
         (12, "storage", "500 GB"), (12, "qos", "9 Gbps"), (13, "storage", "1 TB"), (13, "compute", "4 cores"), (14, "service", "nothing known")],
         "request_id int, kind string, requirement string")
-    wanted = catalog.requirement_keys(asks, services["type"], services["software"], {"focal": "ubuntu"}, systems["distro"], systems["flavor"])
-    facts = catalog.asset_keys(docs, services["type"], services["software"], ["focal"], [*systems["distro"], *systems["flavor"]])
-    matches = catalog.match_documents(wanted, facts)
+    wanted = catalog.requirement_keys(asks, facets)
+    matches = catalog.match_documents(wanted, catalog.asset_facts(docs))
     assert sorted(r["request_id"] for r in matches.collect()) == [1, 3, 4, 5, 7, 8, 10, 11, 13]
     assert [r["request_id"] for r in catalog.unfiltered_requests(wanted).collect()] == [14]
+    assert {(r["request_id"], r["doc_id"]) for r in catalog.whole_answers(wanted, docs, pages=3).collect()} == {(14, "n1"), (14, "n2")}
     row = catalog.result_rows(matches.filter("request_id = 1"), docs).first()
     assert (row["resource_id"], row["infrastructure_id"], row["price_tag"]) == ("r1", "i1", "6")
     (tmp_path / "users").mkdir()

@@ -198,16 +198,19 @@ def _requests(spark, folder):
         "request_id", "r.kind", "r.requirement")
 
 
-def _keys_and_facts(docs, requests):
-    services, systems = catalog.facet_values(catalog.service_facets(docs)), catalog.facet_values(catalog.os_facets(docs))
-    types, software, distros, flavors = services["type"], services["software"], systems["distro"], systems["flavor"]
-    wanted = catalog.requirement_keys(requests, types, software, {"focal": "ubuntu"}, distros, flavors)
-    return wanted, catalog.asset_keys(docs, types, software, ["focal"], [*distros, *flavors])
+def _keys_and_assets(docs, requests):
+    facets = catalog.service_facets(docs).unionByName(catalog.os_facets(docs))
+    return staged(catalog.requirement_keys(requests, facets), "keys"), catalog.asset_facts(docs)
+
+
+def _open_requests(spark, folder):
+    """Every fifth request has a text without any requirement."""
+    return _requests(spark, folder).withColumn("requirement", F.when(F.col("request_id") % 5 == 0, "anything").otherwise(F.col("requirement")))
 
 
 def _matches(spark, folder):
     docs = staged(_catalog(spark, folder), "catalog")
-    return docs, catalog.match_documents(*_keys_and_facts(docs, _requests(spark, folder)))
+    return docs, catalog.match_documents(*_keys_and_assets(docs, _requests(spark, folder)))
 
 
 def catalog_match(spark, folder):
@@ -221,17 +224,24 @@ def availability(spark, folder):
 
 
 def availability_open(spark, folder):
-    """Availability where every fifth request has a text without any requirement: the whole catalogue answers it."""
-    requests = _requests(spark, folder).withColumn("requirement", F.when(F.col("request_id") % 5 == 0, "anything").otherwise(F.col("requirement")))
+    """Availability with open requests: the whole catalogue answers them."""
+    docs, requests = staged(_catalog(spark, folder), "catalog"), _open_requests(spark, folder)
+    wanted, assets = _keys_and_assets(docs, requests)
+    return intent.availability(requests, catalog.answer_sizes(wanted, assets, docs))
+
+
+def catalog_match_open(spark, folder):
+    """All answers, the whole catalogue for every open request."""
     docs = staged(_catalog(spark, folder), "catalog")
-    wanted, facts = _keys_and_facts(docs, requests)
-    return intent.availability(requests, catalog.answer_sizes(wanted, facts, docs))
+    wanted, assets = _keys_and_assets(docs, _open_requests(spark, folder))
+    matches = catalog.match_documents(wanted, assets).unionByName(catalog.whole_answers(wanted, docs))
+    return catalog.result_rows(matches, docs).select("request_id", "doc_id", "resource_id", "price_tag")
 
 
 QUERIES = {f.__name__: f for f in (
     entity_tags, entity_spans, service_grouping, requirement_routing, service_summary, feedback_annotation, add_asset,
     add_middlebox, remove_value, feedback_parse, confidence_gate, session_120m, sessions_cut, synonym_canonical, signed_agreements,
-    requirement_parse, service_facets, os_facets, catalog_match, availability, availability_open)}
+    requirement_parse, service_facets, os_facets, catalog_match, catalog_match_open, availability, availability_open)}
 
 WORDS = r"regexp_extract_all(text, '[\p{L}\p{N}_]+')"
 LIST = "[" + ", ".join(f"'{f}'" for f in FORMS) + "]"
@@ -311,6 +321,8 @@ ORACLE = {
         UNION ALL SELECT 'codename', 'focal'""",
     "catalog_match": f"""{CAT} SELECT request_id, doc_id, 'r' || doc_id AS resource_id, p_brand AS provider, 'i' || doc_id AS infrastructure_id,
                CAST(n AS VARCHAR) AS price_tag FROM m""",
+    "catalog_match_open": f"""{CAT} SELECT request_id, doc_id, 'r' || doc_id AS resource_id, CAST(n AS VARCHAR) AS price_tag FROM m WHERE request_id % 5 <> 0
+        UNION ALL SELECT s_suppkey, CAST(p_partkey AS VARCHAR), 'r' || p_partkey, CAST(p_size AS VARCHAR) FROM supplier, part WHERE s_suppkey % 5 = 0""",
     "availability_open": f"""{CAT}, c AS (SELECT request_id, count(*) AS k FROM m GROUP BY 1)
         SELECT s_suppkey AS request_id, CASE WHEN s_suppkey % 5 = 0 THEN (SELECT count(*) FROM part) ELSE coalesce(k, 0) END AS matches,
                s_suppkey % 5 = 0 OR k IS NOT NULL AS available FROM supplier LEFT JOIN c ON request_id = s_suppkey""",
