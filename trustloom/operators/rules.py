@@ -1,8 +1,8 @@
 """Table-driven symptom rules over metric series.
 
-A rule is one or more clauses joined by ``and`` or ``or``. Rule text becomes
-clause rows with column expressions, the samples meet their clauses in one join
-on (path, metric), and every clause is a window predicate on the series.
+A rule is one or more clauses joined by ``and`` or ``or``. Rule text becomes clause rows with column expressions. What rules need of a
+series (range and values over the newest n samples, dynamicity) is computed once per sample for the few n in use, whatever the number
+of rules; rules then meet the samples in their rows. Only rules that combine metrics need the samples of a tick together.
 """
 
 from __future__ import annotations
@@ -10,15 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trustloom.functions.local import as_local, fetched, local_table
+from trustloom.functions.hof import let
+from trustloom.functions.local import local_table
 from trustloom.functions.paths import full_name, parent_path
 from trustloom.functions.scalar import half_even, severity_weight
 from trustloom.functions.skew import (CHUNK_ROWS, drop_halo, running_total,
                                       split_series)
 from trustloom.operators.series import SERIES, hour_bucket, typed
+from trustloom.session import staged
 
 SAMPLES_PER_MIN = 20
-RULE_LIMIT = 10_000
 TICK = ("host", "path", "entity", "ts", "seq")
 
 # The shipped rules as name | path | severity | rule.
@@ -83,6 +84,11 @@ def valid_severity(rules: DataFrame) -> DataFrame:
 FEATURE = r"(?:([15])min\()?(dynamicity\()?(?:([15])min\()?([A-Za-z_][\w-]*)\)*"
 
 
+def _opens(text: Column) -> Column:
+    """Opening less closing brackets."""
+    return F.regexp_count(text, F.lit(r"\(")) - F.regexp_count(text, F.lit(r"\)"))
+
+
 def clause_table(rules: DataFrame, samples_per_min: int = SAMPLES_PER_MIN) -> DataFrame:
     """One row per operand of each clause.
 
@@ -99,16 +105,19 @@ def clause_table(rules: DataFrame, samples_per_min: int = SAMPLES_PER_MIN) -> Da
             .withColumn("_parts", F.split(text, r"\s+(?:and|or)\s+"))
             .withColumn("clauses", F.size("_parts"))
             .select("*", F.posexplode("_parts").alias("clause_no", "clause")).drop("_parts"))
-    left = F.regexp_extract("clause", r"^(.*?)(>=|<=|==|!=|<|>)(.*)$", 1)
-    right = F.regexp_replace(F.regexp_extract(
-        "clause", r"^(.*?)(>=|<=|==|!=|<|>)(.*)$", 3), r"\)+$", "")
+    sides = r"^(.*?)(>=|<=|==|!=|<|>)(.*)$"
+    left, right = F.regexp_extract("clause", sides, 1), F.regexp_extract("clause", sides, 3)
+    # Brackets around a clause open on the left and close on the right; those around the left side are inside it.
+    lead, open_ = F.length(F.regexp_extract(left, r"^\(*", 0)), _opens(left)
+    inner = lead - open_
+    closed = (open_ >= 0) & (inner >= 0) & (_opens(right) == -open_) & (F.length(F.regexp_extract(left, r"\)*$", 0)) >= inner)
     base = base.withColumns({
-        "_left": F.regexp_replace(left, r"^\(+", ""), "_right": right,
-        "op": F.regexp_extract("clause", r"^(.*?)(>=|<=|==|!=|<|>)(.*)$", 2)})
-    second = F.regexp_extract("_left", rf"^{FEATURE}\s*([-+*/])\s*(.+)$", 6)
+        "_left": F.substring(left, lead + 1, F.greatest(F.length(left) - lead - F.greatest(inner, F.lit(0)), F.lit(0))),
+        "_right": F.regexp_replace(right, r"\)+$", ""), "op": F.regexp_extract("clause", sides, 2), "_closed": closed})
+    second = F.regexp_extract("_left", rf"^{FEATURE}\s*([-+/])\s*(.+)$", 6)
     base = base.withColumns({
         "_second": second,
-        "transform": F.nullif(F.regexp_extract("_left", rf"^{FEATURE}\s*([-+*/])\s*(.+)$", 5),
+        "transform": F.nullif(F.regexp_extract("_left", rf"^{FEATURE}\s*([-+/])\s*(.+)$", 5),
                               F.lit("")),
         "rhs_num": F.col("_right").try_cast("double"),
         "rhs_str": F.nullif(F.regexp_extract("_right", "^[\"'](.*)[\"']$", 1), F.lit(""))})
@@ -122,12 +131,12 @@ def clause_table(rules: DataFrame, samples_per_min: int = SAMPLES_PER_MIN) -> Da
     piece = F.col("_o.text")
     # The first operand of a transform is what stands before its sign.
     piece = F.when((F.col("_o.role") == "a") & F.col("transform").isNotNull(), F.regexp_extract(
-        piece, rf"^({FEATURE})\s*[-+*/]\s*.+$", 1)).otherwise(F.trim(piece))
+        piece, rf"^({FEATURE})\s*[-+/]\s*.+$", 1)).otherwise(F.trim(piece))
     whole = f"^{FEATURE}$"
     minute = F.coalesce(F.nullif(F.regexp_extract(piece, whole, 1), F.lit("")),
                         F.nullif(F.regexp_extract(piece, whole, 3), F.lit("")))
     metric = F.regexp_extract(piece, whole, 4)
-    sound = (metric != "") & (F.col("op") != "") & (F.col("joiner") != "mixed")
+    sound = (metric != "") & (F.col("op") != "") & (F.col("joiner") != "mixed") & F.col("_closed") & (_opens(piece) == 0)
     return out.select(
         "rule_id", "name", "path", "severity", "rule", "joiner", "clauses", "clause_no",
         "operands", "transform", "op", "rhs_num", "rhs_str", F.col("_o.role").alias("role"),
@@ -154,176 +163,146 @@ def compare(op: Column, left: Column, right: Column) -> Column:
             .when(op == ">", left > right).when(op == ">=", left >= right))
 
 
-OPERAND = ("rule_no", "clause_no", "role", "op", "rhs_num", "rhs_str", "dynamicity", "n")
-
-
-def _constant_test() -> Column:
-    """The comparison of the sample with the operand's constant; false without one."""
-    return F.coalesce(compare(F.col("op"), F.col("v_num"), F.col("rhs_num")),
-                      compare(F.col("op"), F.col("v_str"), F.col("rhs_str")), F.lit(False))
+NOW = "struct<n:int,nums:bigint,low:double,high:double,texts:bigint,first:string,last:string,numbers:array<double>,words:array<string>>"
 
 
-def _instant(samples: DataFrame, operands: DataFrame) -> DataFrame:
-    """Operands on the newest value only: decided in the sample's own row, no window."""
-    rows = samples.join(operands, ["path", "metric"])
-    return rows.select(*OPERAND, "host", "path", "entity", "ts", "seq", F.lit(True).alias("ready"),
-                       F.col("v_num").alias("feature"), F.col("v_str").alias("text"),
-                       _constant_test().alias("held"))
+def series_states(samples: DataFrame, steady: list[int], moving: list[int], listed: list[int], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Samples with what rules ask of their series, in one pass over it.
 
-
-def _windowed(cut: DataFrame, operands: DataFrame, steady: list[int],
-              moving: list[int]) -> DataFrame:
-    """Operands over the newest n samples of a series.
-
-    ``ready`` means enough samples, ``held`` that the constant comparison held
-    for each of the n, ``feature`` is the dynamicity. Sustained checks are
-    differences of running counts, so their cost does not depend on n. Rows
-    carry the operand's number only; its other columns are joined afterwards.
-    ``steady`` are the n of sustained checks, ``moving`` those of dynamicity.
+    ``over`` has for every n of ``steady`` the range of the newest n values and how many there are, and for the n of ``listed`` the values
+    themselves; ``moves`` has the dynamicity for every n of ``moving``. Entries are there once a series has n samples.
     """
-    rows = (cut.join(operands, ["path", "metric"])
-            .select("operand_no", "host", "entity", "_chunk", "_halo", "ts", "seq", "v_num", "v_str",
-                    "vtype", "counter", "n", (~_constant_test()).cast("int").alias("_fail")))
-    w = Window.partitionBy("operand_no", "host", "entity", "_chunk").orderBy("ts", "seq")
+    cut = split_series(samples, SERIES, hour_bucket(), max([1, *steady, *moving]) + 1, chunk_rows)
+    w = Window.partitionBy(*SERIES, "_chunk").orderBy("ts", "seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    running = {"_len": F.row_number().over(w)}
-    if steady:
-        running["_fails"] = F.sum("_fail").over(upto)
-    if moving:
-        before = F.lag("v_str").over(w)
-        rows = rows.withColumn("_step", F.coalesce((before != F.col("v_str")).cast("int"), F.lit(0)))
-        running["_steps"] = F.sum("_step").over(upto)
-    rows = rows.withColumns(running)
-
-    def by_n(sizes: list[int], make) -> Column:
-        out = F.when(F.col("n") == sizes[0], make(sizes[0]))
-        for size in sizes[1:]:
-            out = out.when(F.col("n") == size, make(size))
-        return out
-
-    def recent(column: str, size: int) -> Column:
-        return F.col(column) - F.coalesce(F.lag(column, size).over(w), F.lit(0))
-    features = {}
-    if steady:
-        features["_failed"] = by_n(steady, lambda n: recent("_fails", n))
-    if moving:
-        features["_back"] = by_n(moving, lambda n: F.coalesce(
-            F.lag("v_num", n).over(w), F.lag("v_num", n - 1).over(w) if n > 1 else F.col("v_num")))
-        features["_mean"] = by_n(moving, lambda n: F.avg("v_num").over(
-            w.rowsBetween(-(n - 1), 0)) if n > 1 else F.col("v_num"))
-        features["_changes"] = by_n(moving, lambda n: recent("_steps", n - 1) if n > 1 else F.lit(0))
-    rows = rows.withColumns(features)
-    feature = F.lit(None).cast("double")
-    if moving:
-        change = F.col("v_num") - F.col("_back")
-        feature = (F.when(F.col("vtype") == "str", (F.col("_changes") > 0).cast("double"))
-                   .when((F.col("counter") != 0) & (F.col("vtype") == "float"), half_even(change, 2))
-                   .when(F.col("counter") != 0, change)
-                   .when(F.col("vtype") == "float", half_even(F.col("_mean"), 2))
-                   .otherwise(F.col("_mean").cast("bigint").cast("double")))
-    held = F.col("_failed") == 0 if steady else F.lit(False)
-    out = (rows.filter(~F.col("_halo") & (F.col("_len") >= F.col("n")))
-           .select("operand_no", "host", "entity", "ts", "seq", F.lit(True).alias("ready"),
-                   feature.alias("feature"), F.lit(None).cast("string").alias("text"),
-                   held.alias("held")))
-    return out.join(operands.select("operand_no", "path", *OPERAND), "operand_no").drop("operand_no")
-
-
-def rule_hits(samples: DataFrame, clauses: DataFrame, text_pairs: bool = False,
-              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    step = F.coalesce((F.lag("v_str").over(w) != F.col("v_str")).cast("int"), F.lit(0))
+    rows = cut.withColumns({"_len": F.row_number().over(w), "_step": step}).withColumn("_steps", F.sum("_step").over(upto))
+
+    def recent(n: int):
+        return w.rowsBetween(-(n - 1), 0)
+
+    def ranged(n: int) -> Column:
+        frame = recent(n)
+        values = [F.collect_list("v_num").over(frame), F.collect_list("v_str").over(frame)] if n in listed else [F.lit(None), F.lit(None)]
+        return F.when(F.col("_len") >= n, F.struct(
+            F.lit(n), F.count("v_num").over(frame), F.min("v_num").over(frame), F.max("v_num").over(frame),
+            F.count("v_str").over(frame), F.min("v_str").over(frame), F.max("v_str").over(frame), *values).cast(NOW))
+
+    def moved(n: int) -> Column:
+        back = F.coalesce(F.lag("v_num", n).over(w), F.lag("v_num", n - 1).over(w) if n > 1 else F.col("v_num"))
+        mean = F.avg("v_num").over(recent(n)) if n > 1 else F.col("v_num")
+        changes = F.col("_steps") - F.coalesce(F.lag("_steps", n - 1).over(w), F.lit(0)) if n > 1 else F.lit(0)
+        change = F.col("v_num") - back
+        value = (F.when(F.col("vtype") == "str", (changes > 0).cast("double"))
+                 .when((F.col("counter") != 0) & (F.col("vtype") == "float"), half_even(change, 2))
+                 .when(F.col("counter") != 0, change)
+                 .when(F.col("vtype") == "float", half_even(mean, 2))
+                 .otherwise(mean.cast("bigint").cast("double")))
+        return F.when(F.col("_len") >= n, F.struct(F.lit(n).alias("n"), value.alias("value")))
+
+    def known(entries: list[Column], kind: str) -> Column:
+        return F.filter(F.array(*entries), lambda e: e.isNotNull()) if entries else F.array().cast(kind)
+    rows = rows.withColumns({"over": known([ranged(n) for n in steady], f"array<{NOW}>"),
+                             "moves": known([moved(n) for n in moving], "array<struct<n:int,value:double>>")})
+    return drop_halo(rows).select(*TICK, "metric", "v_num", "v_str", "over", "moves")
+
+
+def _every(op: Column, low: Column, high: Column, values: Column, constant: Column) -> Column:
+    """Whether all values of a range compare so with the constant."""
+    return (F.when(op == "<", high < constant).when(op == "<=", high <= constant).when(op == ">", low > constant)
+            .when(op == ">=", low >= constant).when(op == "==", (low == constant) & (high == constant))
+            .when(op == "!=", (constant < low) | (constant > high) | ~F.array_contains(values, constant)))
+
+
+def _states(item: Column, operand: Column) -> Column:
+    """What a sample says about an operand: ``feature`` to calculate with, and ``held``, its comparison with the constant."""
+    op, number, word, n = operand["op"], operand["rhs_num"], operand["rhs_str"], operand["n"]
+    now = F.coalesce(compare(op, item["v_num"], number), compare(op, item["v_str"], word), F.lit(False))
+    over, move = (F.get(F.filter(item[part], lambda e: e["n"] == n), F.lit(0)) for part in ("over", "moves"))
+
+    def sustained(o: Column) -> Column:
+        return F.coalesce(F.when((o["nums"] == n) & number.isNotNull(), _every(op, o["low"], o["high"], o["numbers"], number))
+                          .when((o["texts"] == n) & word.isNotNull(), _every(op, o["first"], o["last"], o["words"], word)), F.lit(False))
+    moving = let(move, lambda m: F.struct(m["value"].alias("feature"), F.coalesce(compare(op, m["value"], number), F.lit(False)).alias("held"), m.isNotNull().alias("ready")))
+    steady = let(over, lambda o: F.struct(F.lit(None).cast("double").alias("feature"), sustained(o).alias("held"), o.isNotNull().alias("ready")))
+    return F.when(operand["dynamicity"], moving).when(n > 1, steady).otherwise(
+        F.struct(item["v_num"].alias("feature"), now.alias("held"), F.lit(True).alias("ready")))
+
+
+OPERAND = ("role", "metric", "dynamicity", "n", "op", "rhs_num", "rhs_str")
+
+
+def rule_hits(samples: DataFrame, clauses: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Ticks at which a rule fires: ``rule_id, name, severity, weight`` plus host, path, entity, ts, seq.
 
-    The metrics of one entity are sampled at the same ticks. Operands on the
-    newest value never leave the sample's row; operands over several samples run
-    in a window on the series; only rules that combine operands are grouped by
-    tick. ``text_pairs`` is needed to compare two text metrics with each other.
+    The metrics of one entity are sampled at the same ticks. Rules of one operand are decided in the sample's row; the samples of
+    other rules' metrics are gathered per tick once, and all these rules are decided in the tick's row. Neither shuffle grows with
+    the number of rules. No valid rule gives no rows.
     """
     samples = typed(samples)
-    whole, counted = Window.orderBy("rule_id"), Window.partitionBy("rule_id")
-    clauses = clauses.filter("valid").withColumns({
-        "rule_no": F.dense_rank().over(whole), "_operands": F.count(F.lit(1)).over(counted),
-        "operand_no": F.row_number().over(Window.orderBy("rule_id", "clause_no", "role"))})
-    rows = fetched(clauses, RULE_LIMIT)
-    if rows is None:
-        raise ValueError(f"a rule set has at most {RULE_LIMIT} operands")
-    if rows.num_rows == 0:
-        raise ValueError("no valid rule")
-    clauses = as_local(clauses, rows)
-    window = (F.col("n") > 1) | F.col("dynamicity")
-    single = F.col("_operands") == 1
-    fired = F.when(F.col("dynamicity"), compare(
-        F.col("op"), F.col("feature"), F.col("rhs_num"))).otherwise(F.col("held"))
-    records = rows.to_pylist()
-    spans = [r for r in records if r["n"] > 1 or r["dynamicity"]]
-    cut = None
-    if spans:
-        known = samples.join(F.broadcast(clauses.filter(window).select("path", "metric").distinct()),
-                             ["path", "metric"], "left_semi")
-        cut = split_series(known, SERIES, hour_bucket(), max(r["n"] for r in spans) + 1, chunk_rows)
-
-    def evaluated(alone: bool) -> DataFrame | None:
-        mine = [r for r in records if (r["_operands"] == 1) == alone]
-        wide = [r for r in mine if r["n"] > 1 or r["dynamicity"]]
-        part = clauses.filter(single if alone else ~single)
-        pieces = []
-        if len(wide) < len(mine):
-            pieces.append(_instant(samples, F.broadcast(part.filter(~window))))
-        if wide:
-            pieces.append(_windowed(cut, F.broadcast(part.filter(window)),
-                                    sorted({r["n"] for r in wide if not r["dynamicity"]}),
-                                    sorted({r["n"] for r in wide if r["dynamicity"]})))
-        if not pieces:
-            return None
-        return pieces[0] if len(pieces) == 1 else pieces[0].unionByName(pieces[1])
-    hits = []
-    simple, several = evaluated(True), evaluated(False)
-    if simple is not None:
-        hits.append(simple.filter(fired).select("rule_no", *TICK))
-    if several is not None:
-        clause_shape = clauses.groupBy("rule_no", "clause_no", "operands", "transform", "op",
-                                       "rhs_num").agg(F.bool_or("dynamicity").alias("moving"))
-        rule_shape = clauses.select("rule_no", "joiner", "clauses").distinct()
-        hits.append(_combined(several, F.broadcast(clause_shape), F.broadcast(rule_shape),
-                              text_pairs).select("rule_no", *TICK))
-    out = hits[0] if len(hits) == 1 else hits[0].unionByName(hits[1])
-    names = clauses.select("rule_no", "rule_id", "name", "severity",
-                           severity_weight(F.col("severity")).alias("weight")).distinct()
-    return out.join(F.broadcast(names), "rule_no").select(
-        "rule_id", "name", "severity", "weight", *TICK)
-
-
-def _combined(operands: DataFrame, clause_shape: DataFrame, rule_shape: DataFrame,
-              text_pairs: bool) -> DataFrame:
-    """Rules of several operands, decided per tick; a tick has one row per operand at most.
-
-    Rows are shuffled once by rule and tick; both aggregates use that
-    partitioning. Only numbers and flags are aggregated, which keeps them hash
-    aggregates; text is carried for ``text_pairs`` only.
-    """
-    def side(role: str, column: str) -> Column:
-        return F.max(F.when(F.col("role") == role, F.col(column)))
-    sums = [side("a", "feature").alias("a"), side("b", "feature").alias("b"),
-            side("r", "feature").alias("r"), F.bool_and("held").alias("held"),
-            F.count(F.lit(1)).alias("present")]
-    if text_pairs:
-        sums += [side("a", "text").alias("a_text"), side("r", "text").alias("r_text")]
-    clause = (operands.repartition("rule_no", *TICK).groupBy("rule_no", *TICK, "clause_no").agg(*sums)
-              .join(clause_shape, ["rule_no", "clause_no"]))
-    a, b = F.col("a"), F.col("b")
-    left = (F.when(F.col("transform") == "+", a + b).when(F.col("transform") == "-", a - b)
-            .when(F.col("transform") == "*", a * b)
-            .when(F.col("transform") == "/", F.when(b == 0, F.lit(0.0)).otherwise(a / b))
-            .otherwise(a))
-    computed = compare(F.col("op"), left, F.coalesce("rhs_num", "r"))
-    if text_pairs:
-        computed = F.coalesce(computed, compare(F.col("op"), F.col("a_text"), F.col("r_text")))
-    plain = (F.col("operands") == 1) & ~F.col("moving")
-    hit = (F.col("present") == F.col("operands")) & F.when(plain, F.col("held")).otherwise(
-        F.coalesce(computed, F.lit(False)))
-    ticks = clause.withColumn("hit", hit).groupBy("rule_no", *TICK).agg(
-        F.count_if("hit").alias("hits")).join(rule_shape, "rule_no")
-    return ticks.filter(F.when(F.col("joiner") == "or", F.col("hits") > 0).otherwise(
-        F.col("hits") == F.col("clauses")))
+    clauses = clauses.filter("valid").withColumn("_operands", F.count(F.lit(1)).over(Window.partitionBy("rule_id")))
+    clauses = staged(clauses.withColumns({"weight": severity_weight(F.col("severity")), "_window": (F.col("n") > 1) | F.col("dynamicity")}), "clauses")
+    shapes = clauses.groupBy("n", "dynamicity", (F.col("op") == "!=").alias("unequal")).agg(
+        F.bool_or("_window").alias("window"), F.bool_or(F.col("_operands") > 1).alias("several")).collect()  # a few window lengths
+    steady = sorted({r["n"] for r in shapes if not r["dynamicity"] and r["n"] > 1})
+    moving = sorted({r["n"] for r in shapes if r["dynamicity"]})
+    listed = sorted({r["n"] for r in shapes if r["unequal"] and not r["dynamicity"] and r["n"] > 1})
+
+    def metrics(which: Column) -> DataFrame:
+        return clauses.filter(which).select("path", "metric").distinct()
+    rule = ["rule_id", "name", "severity", "weight"]
+    operand = F.struct(*OPERAND).alias("o")
+    plain = samples.select(*TICK, "metric", "v_num", "v_str", F.array().cast(f"array<{NOW}>").alias("over"),
+                           F.array().cast("array<struct<n:int,value:double>>").alias("moves"))
+    kept = None
+    if steady or moving:
+        watched = samples.join(metrics(F.col("_window")), ["path", "metric"], "left_semi")
+        kept = series_states(watched, steady, moving, listed, chunk_rows)
+    single, item = F.col("_operands") == 1, F.struct("v_num", "v_str", "over", "moves")
+
+    def alone(rows: DataFrame, which: Column) -> DataFrame:
+        mine = clauses.filter(single & which).select("path", *rule, operand, F.col("metric"))
+        state = rows.join(mine, ["path", "metric"]).withColumn("_state", _states(item, F.col("o")))
+        return state.filter(F.col("_state.ready") & F.col("_state.held")).select(*rule, *TICK)
+    hits = alone(plain, ~F.col("_window"))
+    if kept is not None:
+        hits = hits.unionByName(alone(kept, F.col("_window")))
+    if not any(r["several"] for r in shapes):
+        return hits
+    used = metrics(~single)
+    items = plain.join(used, ["path", "metric"], "left_semi")
+    if kept is not None:
+        items = items.join(metrics(F.col("_window")), ["path", "metric"], "left_anti").unionByName(
+            kept.join(used, ["path", "metric"], "left_semi"))
+    return hits.unionByName(_combined(items, clauses.filter(~single), rule))
+
+
+def _combined(items: DataFrame, clauses: DataFrame, rule: list[str]) -> DataFrame:
+    """Rules of several operands, decided in the row of a tick, which holds one entry per metric of the entity."""
+    ticks = items.groupBy(*TICK).agg(F.collect_list(F.struct("metric", "v_num", "v_str", "over", "moves")).alias("items"))
+    parts = clauses.groupBy("path", *rule, "joiner", "clause_no").agg(F.struct(
+        F.first("operands").alias("operands"), F.first("transform").alias("transform"), F.first("op").alias("op"), F.first("rhs_num").alias("rhs_num"),
+        F.bool_or("dynamicity").alias("moving"), F.collect_list(F.struct(*OPERAND)).alias("o")).alias("clause"))
+    wanted = parts.groupBy("path", *rule, "joiner").agg(F.collect_list("clause").alias("parts"))
+
+    def fires(clause: Column) -> Column:
+        def stated(o: Column) -> Column:
+            item = F.get(F.filter("items", lambda i: i["metric"] == o["metric"]), F.lit(0))
+            return let(item, lambda i: F.when(i.isNotNull(), let(_states(i, o), lambda x: F.struct(
+                o["role"].alias("role"), x["feature"].alias("feature"), x["held"].alias("held"), x["ready"].alias("ready")))))
+
+        def decided(states: Column) -> Column:
+            def side(role: str) -> Column:
+                return F.get(F.filter(states, lambda x: x["role"] == role), F.lit(0))["feature"]
+            a, b, sign = side("a"), side("b"), clause["transform"]
+            left = (F.when(sign == "+", a + b).when(sign == "-", a - b)
+                    .when(sign == "/", F.when(b == 0, F.lit(0.0)).otherwise(a / b)).otherwise(a))
+            computed = compare(clause["op"], left, F.coalesce(clause["rhs_num"], side("r")))
+            plain = (clause["operands"] == 1) & ~clause["moving"]
+            return (F.size(states) == clause["operands"]) & F.when(plain, F.forall(states, lambda x: x["held"])).otherwise(F.coalesce(computed, F.lit(False)))
+        return let(F.filter(F.transform(clause["o"], stated), lambda x: x.isNotNull() & x["ready"]), decided)
+    hit = F.when(F.col("joiner") == "or", F.exists("parts", fires)).otherwise(F.forall("parts", fires))
+    return ticks.join(wanted, "path").filter(hit).select(*rule, *TICK)
 
 
 def active_hits(hits: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -112,6 +112,7 @@ def rule_gate(spark, folder):
     """Rules with a part outside the grammar never fire, also where the rest of them would."""
     texts = "\n".join((
         "Sound | /node/bm | Orange | value>100", "Floor | /node/bm | Red | (value//k)>2", "Rest | /node/bm | Red | value%2>1",
+        "Open call | /node/bm | Red | dynamicity(value>2", "Call over test | /node/bm | Red | dynamicity(value>2)", "Product | /node/bm | Red | value*k>2",
         "Bad clause | /node/bm | Red | (value>100) and zombie", "Bad call | /node/bm | Red | (value>100) or max(k)>1",
         "Ratio | /node/bm | Red | (value/k)>2"))
     return _ticks(rules.rule_hits(event_ticks(spark, folder), rules.clause_table(rules.rule_table(spark, texts))))
