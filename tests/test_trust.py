@@ -45,8 +45,8 @@ def test_strict_stream_equals_the_fold(spark, scored, tmp_path):
         df.filter((F.col("seq") % 3 == part) & (F.col("id") != "d0") | (F.col("id") == "d0") & (F.floor(F.col("seq") / 9000) == part)).coalesce(1).write.mode(
             "append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 3).parquet(str(tmp_path / "in"))
-    incremental.update_table(incremental.strict_trust_stream(stream), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
-    table = incremental.latest_updates(spark, str(tmp_path / "out"), "id STRING, trust_index DOUBLE, counter BIGINT")
+    incremental.strict_trust_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    table = incremental.strict_trust_table(spark, str(tmp_path / "out"), "string")
     got = {r["id"]: (r["trust_index"], r["counter"]) for r in table.collect()}
     assert got == {d: fold([r[3] for r in rows if r[0] == d]) for d in ("d0", "d1", "d2")}
 

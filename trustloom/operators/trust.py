@@ -58,15 +58,21 @@ def trust_per_device(scores: DataFrame, key: str = "id", score: str = "score") -
 
 
 def fold_strict(messages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Running mean rounded to 4 digits at each message, with the count; rows come sorted by device and place."""
+    """Running mean rounded to 4 digits at each message, with the count; rows come sorted by device and place.
+
+    A row with a ``counter`` is the state of its device so far: mean and count instead of a score.
+    """
     device, mean, count = None, 0.0, 0
     for batch in messages:
         done = []
-        for key, score in zip(batch["id"], batch["score"]):
+        for key, score, counter in zip(batch["id"], batch["score"], batch["counter"]):
             if key != device:
                 if device is not None:
                     done.append((device, mean, count))
                 device, mean, count = key, 0.0, 0
+            if counter >= 0:
+                mean, count = score, counter
+                continue
             mean = round((mean * count + score / 100) / (count + 1), 4)
             count += 1
         yield pd.DataFrame(done, columns=["id", "trust_index", "counter"])
@@ -74,15 +80,19 @@ def fold_strict(messages: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([(device, mean, count)], columns=["id", "trust_index", "counter"])
 
 
-def trust_strict(scores: DataFrame) -> DataFrame:
-    """Step-rounded running mean per device in arrival order (``id, ts, seq, score``).
+def trust_strict(scores: DataFrame, before: DataFrame | None = None) -> DataFrame:
+    """Step-rounded running mean per device in arrival order (``id, ts, seq, score``), going on from ``before`` (an earlier result).
 
     Every message is folded. A step depends on the rounded result of the one before, so a device is read by one task, in order
     and with constant memory; the sort before it spills. ``trust_per_device`` has no such order.
     """
     kind = scores.schema["id"].dataType.simpleString()
-    return (scores.filter("id IS NOT NULL AND score IS NOT NULL").select("id", "ts", "seq", F.col("score").cast("double").alias("score"))
-            .repartition("id").sortWithinPartitions("id", "ts", "seq").select("id", "score")
+    rows = scores.filter("id IS NOT NULL AND score IS NOT NULL").select(
+        "id", F.lit(1).alias("part"), "ts", "seq", F.col("score").cast("double").alias("score"), F.lit(-1).cast("bigint").alias("counter"))
+    if before is not None:
+        empty = [F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("ts", "seq")]
+        rows = rows.unionByName(before.select("id", F.lit(0).alias("part"), *empty, F.col("trust_index").alias("score"), "counter"))
+    return (rows.repartition("id").sortWithinPartitions("id", "part", "ts", "seq").select("id", "score", "counter")
             .mapInPandas(fold_strict, f"id {kind}, trust_index double, counter bigint"))
 
 

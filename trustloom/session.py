@@ -9,6 +9,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,6 +87,18 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder below the shared folder that nothing reads any more."""
     if not path.startswith(ensure_checkpoint_dir(spark).rstrip("/") + "/"):
         raise ValueError(f"not below the shared folder: {path}")
+    remove_folder(spark, path)
+
+
+def folder_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders in a folder of any store that Spark reads; none if it does not exist."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(place) if s.isDirectory()] if files.exists(place) else []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that the caller wrote."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
@@ -95,9 +109,25 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The folders of the tables that are staged meanwhile, oldest first."""
+    tables: list[str] = []
+    _recorders.append(tables)
+    try:
+        yield tables
+    finally:
+        _recorders[:] = [x for x in _recorders if x is not tables]
+
+
 def staged(df: DataFrame, purpose: str, *partition_by: str) -> DataFrame:
     """The rows written once to the shared folder and read back: cuts lineage and survives
     the loss of executors. Partition columns are pruned when filtered."""
     path = shared_dir(df.sparkSession, purpose)
+    for tables in _recorders:
+        tables.append(path)
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

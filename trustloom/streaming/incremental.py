@@ -1,27 +1,16 @@
-"""Streaming trust indexes and change-only emission."""
+"""Streaming trust indexes and answers to requests."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from trustloom.functions.scalar import half_even
-from trustloom.operators.trust import requested_scores
+from trustloom.operators.trust import requested_scores, trust_strict
 from trustloom.session import shared_dir
-from trustloom.streaming.ordered import RUN_ROWS, in_order
-
-# Seconds between ticks of the agent, the collector and the display.
-AGENT_SECONDS, COLLECTOR_SECONDS, DISPLAY_SECONDS = 3, 5, 3
-
-
-def tick_trigger(interval_ns: int | None = None, seconds: float = AGENT_SECONDS) -> dict[str, str]:
-    """Trigger of a subscription interval in ns, or of the default tick."""
-    length = interval_ns / 1e9 if interval_ns else seconds
-    return {"processingTime": f"{length:g} seconds"}
+from trustloom.streaming.state import read_state, touched_buckets, write_state
 
 
 def running_trust(scores: DataFrame) -> DataFrame:
@@ -57,25 +46,27 @@ def stream_trust(spark: SparkSession, scores: DataFrame) -> DataFrame:
                         "counter")
 
 
-def strict_trust_stream(scores: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
-    """Step-rounded running mean per device in arrival order, as keyed state (mean, count).
+def strict_trust_stream(scores: DataFrame, path: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """Step-rounded running mean per device in arrival order; the state table at ``path`` holds ``id, trust_index, counter``.
 
-    Every message is folded. The messages that a micro-batch has of a device are sorted in runs of ``run_rows``, so a task
-    never holds them all.
+    Every message is folded, after the device's state from the batches before. Devices without a fresh message keep their state.
     """
     kind = scores.schema["id"].dataType.simpleString()
+    schema = StructType.fromDDL(f"id {kind}, trust_index double, counter bigint")
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        batch = batch.persist()
+        before = read_state(spark, path, schema, number, touched_buckets(batch, ["id"]))
+        write_state(trust_strict(batch, before), path, number, ["id"])
+        batch.unpersist()
+    return (scores.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        mean, count = state.get if state.exists else (0.0, 0)
-        for held in in_order(batches, ("ts", "seq", "score"), run_rows):
-            for score in held["score"]:
-                mean = round((mean * count + score / 100) / (count + 1), 4)
-                count += 1
-        state.update((mean, count))
-        yield pd.DataFrame({"id": [key[0]], "trust_index": [mean], "counter": [count]})
-    return scores.groupBy("id").applyInPandasWithState(
-        step, f"id {kind}, trust_index double, counter bigint", "mean double, counter bigint",
-        "update", "NoTimeout")
+def strict_trust_table(spark: SparkSession, path: str, kind: str = "bigint") -> DataFrame:
+    """The newest state of all devices."""
+    return read_state(spark, path, StructType.fromDDL(f"id {kind}, trust_index double, counter bigint"), 1 << 62)
 
 
 def answer_requests(requests: DataFrame, machines: DataFrame, scores: DataFrame, path: str,

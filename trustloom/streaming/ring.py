@@ -1,74 +1,73 @@
-"""Keyed ring buffers as streaming state.
+"""Keyed ring buffers over a stream: every sample with the features of the newest samples of its series.
 
-Each series keeps its newest samples in a list state, so sustained rules,
-dynamicity and change-only emission work online. The values equal the batch
-windows. Needs the RocksDB state store provider.
+The state keeps the newest samples of each series (``streaming/state.py``). A micro-batch puts them before its fresh samples and
+evaluates the same window functions as a batch, so stream and batch agree, and hot series are cut the same way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
-
-from trustloom.streaming.ordered import RUN_ROWS, in_order
-
-ROCKSDB = ("spark.sql.streaming.stateStore.providerClass",
-           "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-
-RING_OUTPUT = "ts BIGINT, seq BIGINT, v_num DOUBLE, ring_size BIGINT, ring_mean DOUBLE, " \
-              "ring_delta DOUBLE, changed BOOLEAN, held BOOLEAN"
-
-
-class RingProcessor(StatefulProcessor):
-    """Newest ``ring`` samples of a series in a list state, features for every new sample."""
-
-    def __init__(self, keys: Sequence[str], ring: int, sustain: int, below: float, run_rows: int = RUN_ROWS) -> None:
-        self.keys, self.ring, self.sustain, self.below, self.run_rows = list(keys), ring, sustain, below, run_rows
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        sample = StructType([StructField("ts", LongType()), StructField("seq", LongType()),
-                             StructField("v_num", DoubleType())])
-        self.samples = handle.getListState("samples", sample)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        kept = [tuple(row) for row in self.samples.get()]
-        for fresh in in_order(rows, ("ts", "seq", "v_num"), self.run_rows):
-            out, kept = self.features(key, kept, fresh)
-            yield out
-        self.samples.put(kept)
-
-    def features(self, key: tuple, kept: list[tuple], fresh: pd.DataFrame) -> tuple[pd.DataFrame, list[tuple]]:
-        """Features of some more samples and what is kept after them."""
-        known = len(kept)
-        kept = kept + list(zip(fresh["ts"].tolist(), fresh["seq"].tolist(), fresh["v_num"].tolist()))
-        values = pd.Series([row[2] for row in kept])
-        ring = values.rolling(self.ring, min_periods=1)
-        old = values.shift(self.ring - 1).fillna(values.iloc[0])
-        recent = values.rolling(self.sustain)
-        out = pd.DataFrame({
-            "ts": [row[0] for row in kept], "seq": [row[1] for row in kept], "v_num": values,
-            "ring_size": ring.count().astype("int64"), "ring_mean": ring.mean(),
-            "ring_delta": values - old, "changed": values != values.shift(1),
-            "held": (recent.max() < self.below).fillna(False)}).iloc[known:]
-        for position, name in enumerate(self.keys):
-            out.insert(position, name, key[position])
-        return out, kept[-max(self.ring, self.sustain):]
-
-    def close(self) -> None:
-        pass
-
-
-def ring_stream(samples: DataFrame, keys: Sequence[str], ring: int = 60, sustain: int = 20,
-                below: float = float("inf"), run_rows: int = RUN_ROWS) -> DataFrame:
-    """Ring features of a sample stream; ``held`` is true while the newest ``sustain`` values stay
-    below a threshold, ``changed`` marks the samples that change-only emission keeps.
-
-    The samples that a micro-batch has of a series are sorted in runs of ``run_rows``, so a task never holds them all."""
-    kinds = ", ".join(f"{k} {samples.schema[k].dataType.simpleString()}" for k in keys)
-    return samples.groupBy(*keys).transformWithStateInPandas(
-        RingProcessor(keys, ring, sustain, below, run_rows), outputStructType=f"{kinds}, {RING_OUTPUT}",
-        outputMode="Append", timeMode="None")
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from trustloom.functions.skew import CHUNK_ROWS, drop_halo, edge_rows, split_series
+from trustloom.operators.series import hour_bucket
+from trustloom.streaming.state import START, read_state, touched_buckets, write_state
+
+SAMPLE = ("ts", "seq", "v_num")
+
+
+def ring_rows(samples: DataFrame, keys: Sequence[str], ring: int = 60, sustain: int = 20, below: float = float("inf"),
+              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Ring features of samples (keys, ``ts, seq, v_num``).
+
+    ``held`` is true while the newest ``sustain`` values stay below a threshold, ``changed`` marks the samples that change-only
+    emission keeps. Other columns stay.
+    """
+    depth = max(ring, sustain)
+    w = Window.partitionBy(*keys, "_chunk").orderBy("ts", "seq")
+    newest, recent = w.rowsBetween(-(ring - 1), 0), w.rowsBetween(-(sustain - 1), 0)
+    return drop_halo(split_series(samples, keys, hour_bucket(), depth, chunk_rows).withColumns({
+        "ring_size": F.count(F.lit(1)).over(newest), "ring_mean": F.avg("v_num").over(newest),
+        "ring_delta": F.col("v_num") - F.first("v_num").over(newest),
+        "changed": (F.row_number().over(w) == 1) | ~F.col("v_num").eqNullSafe(F.lag("v_num").over(w)),
+        "held": (F.count(F.lit(1)).over(recent) == sustain) & F.coalesce(F.max("v_num").over(recent) < below, F.lit(False))}))
+
+
+def newest_samples(samples: DataFrame, keys: Sequence[str], depth: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """What the state keeps: the newest ``depth`` samples per series."""
+    newest = [F.desc("ts"), F.desc("seq")]
+    return edge_rows(samples, keys, hour_bucket(), newest, depth, chunk_rows=chunk_rows).select(*keys, *SAMPLE)
+
+
+def start_state(samples: DataFrame, keys: Sequence[str], path: str, depth: int) -> None:
+    """Begin a state with the samples of a batch table, for a stream that goes on from there."""
+    write_state(newest_samples(samples, keys, depth), path, START, keys)
+
+
+def ring_stream(samples: DataFrame, keys: Sequence[str], path: str, state: str, checkpoint: str, ring: int = 60, sustain: int = 20,
+                below: float = float("inf"), chunk_rows: int = CHUNK_ROWS, **trigger: object) -> StreamingQuery:
+    """Write the ring features of a sample stream to ``path``, a folder per micro-batch, with the series' state at ``state``.
+
+    Order holds within a micro-batch and between them: files must arrive in order of time.
+    """
+    schema = StructType([samples.schema[c] for c in (*keys, *SAMPLE)])
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch = batch.select(*keys, *SAMPLE).persist()
+        kept = read_state(batch.sparkSession, state, schema, number, touched_buckets(batch, keys))
+        both = kept.withColumn("_old", F.lit(True)).unionByName(batch.withColumn("_old", F.lit(False)))
+        rows = ring_rows(both, keys, ring, sustain, below, chunk_rows).filter(~F.col("_old")).drop("_old")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        write_state(newest_samples(both, keys, max(ring, sustain), chunk_rows), state, number, keys)
+        batch.unpersist()
+    return (samples.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save)
+            .trigger(**(trigger or {"availableNow": True})).start())
+
+
+def ring_table(spark: SparkSession, path: str, *columns: str | Column) -> DataFrame:
+    """The features written so far."""
+    return spark.read.parquet(path).select(*columns)
