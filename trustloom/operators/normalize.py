@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trustloom.functions.local import local_table
+from trustloom.functions.scalar import cast_by_type, default_value
 
 # Raw category | raw attribute | path | metric | divisor.
 METRIC_MAPPING = """
@@ -68,7 +69,7 @@ vms | Guest/RAM/Usage/Total | /node/vm/mem | total | 1000
 vms | Guest/RAM/Usage/Free | /node/vm/mem | free | 1000
 vms | Guest/RAM/Usage/Cache | /node/vm/mem | cache | 1000
 vms | accessible | /node/vm/net | ssh | 1
-vms | Status | /node/vm/net/if | state | 1
+vms | {}/Status | /node/vm/net/if | state | 1
 vms | Net/Rate/Rx | /node/vm/net/if | rx_bytes | 1000
 vms | Net/Rate/Tx | /node/vm/net/if | tx_bytes | 1000
 kb | /sys/num_worker_threads | /node/kb/proc | worker_count | 1
@@ -134,17 +135,105 @@ def mapping_table(spark: SparkSession, text: str = METRIC_MAPPING) -> DataFrame:
     return local_table(spark, rows, MAPPING_COLUMNS)
 
 
-def normalize(raw: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Metric samples of raw samples: one broadcast join, numbers divided, text kept.
+def normalize(raw: DataFrame, mapping: DataFrame, catalog: DataFrame | None = None) -> DataFrame:
+    """Metric samples of raw samples: one join on the mapping, numbers divided, text kept.
 
-    States are lower-cased as one vendor writes them capitalised.
+    States are lower-cased as one vendor writes them capitalised. With a catalogue (``name, type``, see :func:`metric_types`) values are
+    cast by type: integers are cut off, text stays text, metrics that it does not name are dropped.
     """
     joined = raw.filter("value IS NOT NULL").join(mapping, ["category", "attr"])
     number = F.col("value").try_cast("double") / F.col("divisor")
     text = F.when(F.col("metric") == "state", F.lower("value")).otherwise(F.col("value"))
+    if catalog is not None:
+        joined = joined.join(catalog.select(F.col("name").alias("metric"), F.col("type").alias("_type")), "metric")
+        number = cast_by_type(number.cast("string"), F.col("_type"))
+        known = F.col("_type") == "str"
+    else:
+        known = number.isNull()
     return joined.select(
         "host", "path", "entity", "metric", "ts", F.col("ts").alias("seq"), number.alias("v_num"),
-        F.when(number.isNull(), text).alias("v_str"))
+        F.when(known, text).alias("v_str"))
+
+
+def metric_types(catalog: DataFrame) -> DataFrame:
+    """One row per metric name: the last of the subservices that have it (``place`` is the order of the catalogue)."""
+    rest = [c for c in catalog.columns if c not in ("name", "place")]
+    return catalog.groupBy("name").agg(F.max_by(F.struct(*rest), "place").alias("_r")).select("name", *[F.col(f"_r.{c}") for c in rest])
+
+
+def with_defaults(nodes: DataFrame, catalog: DataFrame, newest: DataFrame) -> DataFrame:
+    """``host, path, entity, metric, value``: the newest value of every metric that the catalogue has for a node, as text.
+
+    ``nodes`` has ``host, path, entity``, ``catalog`` has ``subservice, name, type``. A metric without a sample has 0, or the empty
+    text.
+    """
+    wanted = nodes.withColumn("subservice", F.element_at(F.split("path", "/"), -1)).join(
+        catalog.select("subservice", F.col("name").alias("metric"), "type"), "subservice")
+    return (wanted.join(newest.select("host", "path", "entity", "metric", "v_num", "v_str"), ["host", "path", "entity", "metric"], "left")
+            .select("host", "path", "entity", "metric", default_value(F.col("v_num"), F.col("v_str"), F.col("type")).alias("value")))
+
+
+def sensor_raw(rows: DataFrame) -> DataFrame:
+    """Raw rows of the wide sensor readings: a thermal zone has a temperature, other kinds inputs and limits."""
+    named = rows.withColumn("temperature", F.when(F.col("category") == "sensors/thermal", F.col("input"))).withColumn(
+        "input", F.when(F.col("category") != "sensors/thermal", F.col("input")))
+    long = named.unpivot(["host", "ts", "category", "entity"], ["temperature", "input", "max", "critical"], "attr", "number")
+    return long.filter("number IS NOT NULL").select("host", "ts", "category", "entity", "attr", F.col("number").cast("string").alias("value"))
+
+
+def disk_raw(rows: DataFrame) -> DataFrame:
+    """Raw ``diskstats`` rows of disks with their usage and busy percents; absent columns give none."""
+    names = [n for n in ("fs_vfstype", "total", "free_user", "perc_reading", "perc_writting", "perc_io", "perc_discarding") if n in rows.columns]
+    text = rows.select("host", "ts", "entity", *[F.col(n).cast("string").alias(n) for n in names])
+    return text.unpivot(["host", "ts", "entity"], names, "attr", "value").filter("value IS NOT NULL").select(
+        "host", "ts", F.lit("diskstats").alias("category"), "entity", "attr", "value")
+
+
+def below(entity: Column, child: Column) -> Column:
+    """The name of a cpu or an interface of a machine or forwarder."""
+    return F.concat(entity, F.lit(":"), child)
+
+
+def vm_metrics(raw: DataFrame, children: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Metrics of virtual machines, their cpus and their interfaces.
+
+    ``raw`` has ``host, ts, entity`` (the machine), ``attr, value``; ``children`` has ``host, entity, path, child, prefix``: the cpus, and the
+    interfaces with the prefix of their attributes. Attributes of the machine count for all its cpus or interfaces; a mapping
+    attribute ``{}/Name`` is that of the interface with the prefix before the name.
+    """
+    mapping = mapping.filter("category = 'vms'").drop("category")
+    own = F.col("path").isin("/node/vm/mem", "/node/vm/net")
+    rows = raw.filter("value IS NOT NULL")
+    machine = rows.join(mapping.filter(own), "attr").withColumn("_name", F.col("entity"))
+    shared = rows.join(mapping.filter(~own & ~F.col("attr").startswith("{}/")), "attr").join(
+        children.drop("prefix"), ["host", "entity", "path"]).withColumn("_name", below(F.col("entity"), F.col("child"))).drop("child")
+    last = F.substring_index("attr", "/", -1)
+    split = rows.filter(F.contains("attr", F.lit("/"))).withColumns({
+        "prefix": F.expr("left(attr, length(attr) - length(substring_index(attr, '/', -1)) - 1)"), "attr": F.concat(F.lit("{}/"), last)})
+    single = (split.join(mapping.filter(~own), "attr").join(children, ["host", "entity", "path", "prefix"])
+              .withColumn("_name", below(F.col("entity"), F.col("child"))).drop("child", "prefix"))
+    return _measured(machine.unionByName(shared).unionByName(single), F.col("_name"))
+
+
+def forwarder_interfaces(raw: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Metrics of forwarder interfaces from ``host, ts, entity`` (the forwarder), ``interface, attr, value``.
+
+    Attributes without an interface count for all interfaces that the forwarder has at the tick. The local forwarder writes other
+    attributes than remote ones.
+    """
+    mapping = mapping.filter("category IN ('kb/local', 'kb/remote') AND path = '/node/kb/net/if'")
+    rows = raw.filter("value IS NOT NULL").withColumn("category", F.when(F.col("entity") == "localhost", "kb/local").otherwise("kb/remote"))
+    mapped = rows.join(mapping, ["category", "attr"])
+    present = rows.filter("interface IS NOT NULL").select("host", "ts", "entity", "interface").distinct()
+    shared = mapped.filter("interface IS NULL").drop("interface").join(present, ["host", "ts", "entity"])
+    return _measured(mapped.filter("interface IS NOT NULL").unionByName(shared), below(F.col("entity"), F.col("interface")))
+
+
+def _measured(mapped: DataFrame, entity: Column) -> DataFrame:
+    number = F.col("value").try_cast("double") / F.col("divisor")
+    text = F.when(F.col("metric") == "state", F.lower("value")).otherwise(F.col("value"))
+    return mapped.select("host", "path", entity.alias("entity"), "metric", "ts", F.col("ts").alias("seq"), number.alias("v_num"),
+                         F.when(number.isNull(), text).alias("v_str"))
 
 
 def type_literals(raw: DataFrame) -> DataFrame:

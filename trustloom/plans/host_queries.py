@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trustloom.operators import normalize, snapshots
+from trustloom.operators import normalize, series, snapshots
 from trustloom.plans.tables import table
 
 
@@ -58,13 +58,17 @@ def process_fields(spark, folder):
 MINUTE_NS = 60 * 10**9
 
 
-def _cpu_percent(spark, folder, **cut):
+def _cpu_periods(spark, folder, **cut):
     t = F.expr(f"ts DIV {MINUTE_NS}")
     content = text("cpu  ", t * 3, " 0 ", t, " ", t * 5 + F.col("k"), " ", t, " 0 0 0 ", t, " 0\ncpu0 1 2 3 4 5 6 7 8 9 10\nctxt ", t, "\n")
     rows = _events(spark, folder).withColumn("ts", F.col("ts") * MINUTE_NS)
     times = snapshots.cpu_times(_file(rows, "/proc/stat", content), 1)
-    return snapshots.cpu_periods(times, **cut).filter("entity = 'cpu'").select(
-        "host", t.alias("ts"), "user_perc", "system_all_perc", "idle_all_perc", "guest_all_perc", "total_period")
+    return snapshots.cpu_periods(times, **cut)
+
+
+def _cpu_percent(spark, folder, **cut):
+    return _cpu_periods(spark, folder, **cut).filter("entity = 'cpu'").select(
+        "host", F.expr(f"ts DIV {MINUTE_NS}").alias("ts"), "user_perc", "system_all_perc", "idle_all_perc", "guest_all_perc", "total_period")
 
 
 def cpu_percent(spark, folder):
@@ -77,6 +81,13 @@ def cpu_percent_cut(spark, folder):
     return _cpu_percent(spark, folder, chunk_rows=3)
 
 
+def cpu_metrics(spark, folder):
+    """Times of all cpus as metrics, by way of raw rows."""
+    raw = snapshots.cpu_raw(_cpu_periods(spark, folder))
+    out = normalize.normalize(raw, normalize.mapping_table(spark))
+    return out.select("host", "path", "entity", "metric", F.expr(f"ts DIV {MINUTE_NS}").alias("ts"), F.col("v_num").alias("value"))
+
+
 def load_and_uptime(spark, folder):
     rows = _events(spark, folder)
     load = snapshots.loadavg(_file(rows, "/proc/loadavg", text(F.col("value"), " 0.5 1.25 ", F.col("k"), "/", F.col("ts"), " 77\n")))
@@ -84,24 +95,40 @@ def load_and_uptime(spark, folder):
     return load.unionByName(up).select("ts", "category", "attr", "value")
 
 
-def swap_metrics(spark, folder):
-    raw = snapshots.swaps(_file(_events(spark, folder), "/proc/swaps", text(
+def _swap_raw(spark, folder):
+    return snapshots.swaps(_file(_events(spark, folder), "/proc/swaps", text(
         "Filename Type Size Used Priority\n/dev/sda", F.col("k") % 4, " partition ", F.col("ts"), " ", F.col("k"), " -2\n")))
+
+
+def swap_metrics(spark, folder):
+    raw = _swap_raw(spark, folder)
     metrics = normalize.normalize(raw, normalize.mapping_table(spark)).unionByName(normalize.type_literals(raw))
     return metrics.select("host", "entity", "metric", "ts", F.col("v_num").alias("number"), F.col("v_str").alias("label"))
 
 
-def disk_busy(spark, folder):
+def _disk_files(spark, folder):
     rows = _events(spark, folder).withColumn("ts", F.col("ts") * 1_000_000)
     e = F.expr("ts DIV 1000000")
-    files = (_file(rows, "/proc/mounts", text("/dev/sda1 / ext4 rw 0 0\n/dev/sdb /x ext4 rw 0 0\n/dev/sdc2 /y xfs ro 0 0\n"))
-             .unionByName(_file(rows, "/proc/partitions", text("major minor #blocks name\n\n8 1 ", e, " sda1\n8 16 5 sdb\n")))
-             .unionByName(_file(rows, "/proc/diskstats", text(
-                 "8 1 sda1 1 2 3 ", e * 2, " 4 5 6 ", F.col("k"), " 0 ", e, " 9 0 0 0 0\n8 2 sda2 1 2 3 4 5 6 7 8 9 10 11 0 0 0 0\n"))))
-    return snapshots.disk_busy(snapshots.disks(files)).select(
+    return (_file(rows, "/proc/mounts", text("/dev/sda1 / ext4 rw 0 0\n/dev/sdb /x ext4 rw 0 0\n/dev/sdc2 /y xfs ro 0 0\n"))
+            .unionByName(_file(rows, "/proc/partitions", text("major minor #blocks name\n\n8 1 ", e, " sda1\n8 16 5 sdb\n")))
+            .unionByName(_file(rows, "/proc/diskstats", text(
+                "8 1 sda1 1 2 3 ", e * 2, " 4 5 6 ", F.col("k"), " 0 ", e, " 9 0 0 0 0\n8 2 sda2 1 2 3 4 5 6 7 8 9 10 11 0 0 0 0\n"))))
+
+
+def disk_busy(spark, folder):
+    return snapshots.disk_busy(snapshots.disks(_disk_files(spark, folder))).select(
         "host", "entity", "ts", "size", "fs_vfstype", "period_reading", "perc_reading", "perc_io", "perc_writting")
 
 
+def disk_metrics(spark, folder):
+    """Disks with their usage and swaps as one set of disk metrics."""
+    busy = snapshots.disk_busy(snapshots.disks(_disk_files(spark, folder))).withColumns({
+        "blocks": F.col("size"), "frag_size": F.lit(2048), "blocks_free": F.floor(F.col("size") / 2), "blocks_avail": F.floor(F.col("size") / 4)})
+    raw = normalize.disk_raw(snapshots.filesystem_usage(busy)).unionByName(_swap_raw(spark, folder).withColumn("ts", F.col("ts") * 1_000_000))
+    metrics = normalize.normalize(raw, normalize.mapping_table(spark)).unionByName(normalize.type_literals(raw))
+    return metrics.select("host", "entity", "metric", F.expr("ts DIV 1000000").alias("ts"), F.col("v_num").alias("number"), F.col("v_str").alias("label"))
+
+
 def filesystem_usage(spark, folder):
     rows = table(spark, folder, "part").select(
         "p_partkey", (F.col("p_size") * 100).alias("blocks"), F.lit(4096).alias("frag_size"),
@@ -150,8 +177,14 @@ def interface_counters(spark, folder):
     raw = snapshots.net_dev(_file(_events(spark, folder), "/proc/net/dev", text(
         "Inter-|   Receive\n face |bytes\n  eth0: ", F.col("ts"), " ", F.col("k"), " 3 4 5 6 7 8 9 10 11 12 13 14 15 16\n")))
     out = normalize.normalize(raw, normalize.mapping_table(spark))
-    return out.filter("metric IN ('rx_bytes', 'rx_packets', 'rx_error', 'tx_drop')").select(
-        "entity", "metric", "ts", F.col("v_num").alias("value"))
+    return out.select("entity", "metric", "ts", F.col("v_num").alias("value"))
+
+
+def interface_columns(spark, folder):
+    """All sixteen counters of an interface, as raw rows."""
+    rows = snapshots.net_dev(_file(_events(spark, folder), "/proc/net/dev", text(
+        "Inter-|   Receive\n face |bytes\n  eth0: ", F.col("ts"), " ", F.col("k"), " 3 4 5 6 7 8 9 10 11 12 13 14 15 16\n")))
+    return rows.select("entity", "attr", "ts", "value")
 
 
 def interface_attributes(spark, folder):
@@ -188,6 +221,79 @@ def sensors(spark, folder):
     return snapshots.sensors(rows).drop("host", "entity")
 
 
+def sensor_metrics(spark, folder):
+    """Zones, fans and core sensors as one set of sensor metrics with their kind."""
+    rows = _events(spark, folder).select(
+        "host", "ts", F.when(F.col("k") % 3 == 0, "fans").when(F.col("k") % 3 == 1, "coretemp").otherwise("thermal").alias("kind"),
+        text("hwmon", F.col("k") % 4, "_temp1").alias("sensor"), F.lit(None).cast("string").alias("label"), (F.col("k") * 1000).alias("input"),
+        F.when(F.col("k") % 2 == 0, 90_000).alias("max"), F.lit(None).cast("int").alias("crit"))
+    raw = normalize.sensor_raw(snapshots.sensors(rows))
+    metrics = normalize.normalize(raw, normalize.mapping_table(spark)).unionByName(normalize.type_literals(raw))
+    return metrics.select("host", "entity", "metric", "ts", F.col("v_num").alias("number"), F.col("v_str").alias("label"))
+
+
+def vm_metrics(spark, folder):
+    """Hypervisor attributes of a machine per host with two cpus and two interfaces."""
+    rows, e = _events(spark, folder), F.col("event_type")
+    attr = (F.when(e == "click", "Guest/CPU/Load/User").when(e == "view", "Guest/RAM/Usage/Free").when(e == "error", "Net/Rate/Rx")
+            .when(e == "signup", text("Net/", F.col("k") % 3, "/Status")).otherwise("accessible"))
+    value = F.when(e == "signup", F.when(F.col("k") % 2 == 0, "UP").otherwise("Down")).otherwise(F.col("k").cast("string"))
+    raw = rows.select("host", "ts", F.lit("vm1").alias("entity"), attr.alias("attr"), value.alias("value"))
+
+    def child(path, name, prefix=None):
+        return F.struct(F.lit(path).alias("path"), F.lit(name).alias("child"), F.lit(prefix).cast("string").alias("prefix"))
+    cpus = [child("/node/vm/cpus/cpu", f"cpu{i}") for i in range(2)]
+    interfaces = [child("/node/vm/net/if", f"eth{i}", f"Net/{i}") for i in range(2)]
+    children = rows.select("host").distinct().select("host", F.lit("vm1").alias("entity"), F.explode(F.array(*cpus, *interfaces)).alias("c")).select(
+        "host", "entity", "c.path", "c.child", "c.prefix")
+    out = normalize.vm_metrics(raw, children, normalize.mapping_table(spark))
+    return out.select("host", "path", "entity", "metric", "ts", F.col("v_num").alias("number"), F.col("v_str").alias("label"))
+
+
+def forwarder_interface(spark, folder):
+    """Interface metrics of a local and a remote forwarder per host, with the rate of the forwarder itself."""
+    rows, e = _events(spark, folder), F.col("event_type")
+    local = F.col("k") % 2 == 0
+    interface = F.when(e != "view", text("Gig", F.col("k") % 3))
+    attr = (F.when(e == "view", "/sys/vector_rate").when(e == "click", F.when(local, "/if/rx-packets").otherwise("/if/rx/T0/packets"))
+            .when(e == "error", F.when(local, "/if/tx-bytes").otherwise("/if/tx/T0/bytes"))
+            .when(e == "signup", F.when(local, "/if/rx-miss").otherwise("/if/rx-no-buf/T0")).otherwise("/if/unknown"))
+    raw = rows.select("host", F.expr("ts DIV 20").alias("ts"), F.when(local, "localhost").otherwise("kb1").alias("entity"), interface.alias("interface"),
+                      attr.alias("attr"), F.col("k").cast("string").alias("value"))
+    out = normalize.forwarder_interfaces(raw, normalize.mapping_table(spark))
+    return out.groupBy("host", "entity", "metric").agg(F.round(F.sum("v_num"), 9).alias("value"), F.count(F.lit(1)).alias("n"))
+
+
+def _typed_catalog(spark, folder):
+    """A catalogue of the event types, some with another type in a later subservice."""
+    kinds = table(spark, folder, "events").select("event_type").distinct()
+    place = F.struct("event_type", "copy")
+    return kinds.select("event_type", F.explode(F.array(F.lit(0), F.lit(1))).alias("copy")).select(
+        F.when(F.col("copy") == 0, "bm").otherwise("other").alias("subservice"), F.col("event_type").alias("name"),
+        F.when(F.col("event_type") == "view", "str").when((F.col("event_type") == "click") & (F.col("copy") == 1), "int").otherwise("float").alias("type"),
+        place.alias("place"))
+
+
+def typed_metrics(spark, folder):
+    """Raw values cast by the catalogue's type of their metric: the type of the last subservice that names it counts."""
+    events = _events(spark, folder).filter("event_type <> 'signup'")
+    raw = events.select("host", "ts", F.lit("x").alias("category"), F.lit("").alias("entity"), F.col("event_type").alias("attr"), F.col("value").cast("string").alias("value"))
+    mapping = events.select(F.lit("x").alias("category"), F.col("event_type").alias("attr"), F.lit("/node/bm").alias("path"), F.col("event_type").alias("metric"),
+                            F.lit(2.0).alias("divisor")).distinct()
+    out = normalize.normalize(raw, mapping, normalize.metric_types(_typed_catalog(spark, folder)))
+    return out.select("ts", "metric", "v_num", F.col("v_str").isNotNull().alias("text"))
+
+
+def metric_defaults(spark, folder):
+    """Every metric of every user: its newest value, or 0 or the empty text where it has none."""
+    samples = _events(spark, folder).filter("k % 4 = 0").select(
+        "host", F.lit("/node/bm").alias("path"), F.lit("").alias("entity"), F.col("event_type").alias("metric"), "ts", F.col("ts").alias("seq"),
+        F.when(F.col("event_type") != "view", F.col("k").cast("double")).alias("v_num"), F.when(F.col("event_type") == "view", text("k", F.col("k"))).alias("v_str"))
+    nodes = _events(spark, folder).select("host", F.lit("/node/bm").alias("path"), F.lit("").alias("entity")).distinct()
+    out = normalize.with_defaults(nodes, _typed_catalog(spark, folder), series.newest(samples))
+    return out.select("host", "metric", "value")
+
+
 def present_entities(spark, folder):
     """Event types of a user that are still there at the user's newest day."""
     rows = table(spark, folder, "events").select(
@@ -262,7 +368,7 @@ def trace_namespaces(spark, folder):
 
 def interface_flags(spark, folder):
     rows = _events(spark, folder).select("ts", (F.col("ts") * 7 % 65536).cast("int").alias("flags"))
-    return snapshots.interface_flags(rows).select("ts", "broadcast", "running", "promisc", "multicast_support", "dynamic")
+    return snapshots.interface_flags(rows).select("ts", *snapshots.FLAG_BITS)
 
 
 def activity_states(spark, folder):
@@ -276,9 +382,9 @@ def activity_states(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    meminfo, memory_metrics, process_counts, process_fields, cpu_percent, cpu_percent_cut, load_and_uptime, swap_metrics, disk_busy,
+    meminfo, memory_metrics, process_counts, process_fields, cpu_percent, cpu_percent_cut, cpu_metrics, load_and_uptime, swap_metrics, disk_busy, disk_metrics,
     filesystem_usage, paired_lines, snmp_metrics, hex_cache, arp_gateway, route_table, interface_counters,
-    interface_attributes, route_attributes, sysctl, sensors, present_entities, guest_metrics, worker_sums,
+    interface_attributes, route_attributes, sysctl, sensors, sensor_metrics, present_entities, guest_metrics, vm_metrics, forwarder_interface, typed_metrics, metric_defaults, interface_columns, worker_sums,
     error_counters, forwarder_errors, forwarder_memory, forwarder_paths, trace_namespaces, interface_flags,
     activity_states)}
 
@@ -346,7 +452,51 @@ ORACLE = {
     "route_table": f"{E} SELECT ts, 'eth0' AS if_name, '192.168.0.0' AS dst, k || '.168.0.1' AS gateway, '255.255.255.0' AS mask, '100' AS metric FROM e",
     "interface_counters": f"""{E} SELECT 'eth0' AS entity, 'rx_bytes' AS metric, ts, CAST(ts AS DOUBLE) AS value FROM e
         UNION ALL SELECT 'eth0', 'rx_packets', ts, CAST(k AS DOUBLE) FROM e UNION ALL SELECT 'eth0', 'rx_error', ts, 3.0 FROM e
+        UNION ALL SELECT 'eth0', 'rx_drop', ts, 4.0 FROM e UNION ALL SELECT 'eth0', 'tx_bytes', ts, 9.0 FROM e
+        UNION ALL SELECT 'eth0', 'tx_packets', ts, 10.0 FROM e UNION ALL SELECT 'eth0', 'tx_error', ts, 11.0 FROM e
         UNION ALL SELECT 'eth0', 'tx_drop', ts, 12.0 FROM e""",
+    "interface_columns": f"""{E}, n AS (SELECT unnest(range(1, 17)) AS i, unnest({list(snapshots.NET_FIELDS)}) AS attr)
+        SELECT 'eth0' AS entity, attr, ts, CASE i WHEN 1 THEN ts WHEN 2 THEN k ELSE i END::VARCHAR AS value FROM e, n""",
+    "cpu_metrics": f"""{E}, w AS (SELECT *, ts AS t, lag(ts) OVER (PARTITION BY host ORDER BY ts) AS b, lag(k) OVER (PARTITION BY host ORDER BY ts) AS pk FROM e),
+        p AS (SELECT host, t, t - coalesce(b, t) AS d, k - coalesce(pk, k) AS dk FROM w),
+        c AS (SELECT host, t, 'cpu' AS entity, 2 * d AS user_, d AS sys, 6 * d + dk AS idle, d AS guest, 10 * d + dk AS total FROM p
+              UNION ALL SELECT host, t, 'cpu0', 0, 0, 0, 0, 0 FROM p),
+        m AS (SELECT host, t, entity, unnest(['idle_time', 'system_time', 'user_time', 'guest_time']) AS metric, unnest([idle, sys, user_, guest]) AS v, total FROM c)
+        SELECT host, '/node/bm/cpus/cpu' AS path, entity, metric, t AS ts, CASE WHEN total = 0 THEN 0 ELSE round_even(v / total * 100, 0) END::DOUBLE AS value FROM m""",
+    "sensor_metrics": f"""{E}, s AS (SELECT host, ts, k, 'hwmon' || (k % 4) || '_temp1' AS entity, k % 3 AS kind FROM e)
+        SELECT host, entity, CASE kind WHEN 0 THEN 'input_fanspeed' ELSE 'input_temp' END AS metric, ts, CASE kind WHEN 0 THEN k * 1000 ELSE k END::DOUBLE AS number, NULL AS label FROM s
+        UNION ALL SELECT host, entity, 'max_temp', ts, CASE WHEN k % 2 = 0 THEN 90 ELSE 0 END, NULL FROM s WHERE kind = 1
+        UNION ALL SELECT host, entity, 'critical_temp', ts, 0, NULL FROM s WHERE kind = 1
+        UNION ALL SELECT host, entity, 'type', ts, NULL, CASE kind WHEN 0 THEN 'fan' WHEN 1 THEN 'cpu' ELSE 'zone' END FROM s""",
+    "disk_metrics": f"""{E}, w AS (SELECT *, lag(ts) OVER o AS b, lag(k) OVER o AS pk FROM e WINDOW o AS (PARTITION BY host ORDER BY ts)),
+        d AS (SELECT host, ts, coalesce(round_even((ts - b) * 2.0 / (ts - b) * 100, 0), 0) AS r, coalesce(round_even((k - pk)::DOUBLE / (ts - b) * 100, 0), 0) AS w,
+                     coalesce(round_even((ts - b)::DOUBLE / (ts - b) * 100, 0), 0) AS io FROM w),
+        m AS (SELECT host, ts, 'sda1' AS entity, unnest(['total_user', 'free_user', 'read_time', 'write_time', 'io_time', 'discard_time']) AS metric,
+                     unnest([ts * 2.0::DOUBLE / 1000, (ts // 4) * 2.0::DOUBLE / 1000, r::DOUBLE, w::DOUBLE, io::DOUBLE, 0.0::DOUBLE]) AS number FROM d)
+        SELECT host, entity, metric, ts, number, NULL AS label FROM m
+        UNION ALL SELECT host, 'sda1', 'type', ts, NULL, 'ext4' FROM e
+        UNION ALL SELECT host, '/dev/sda' || (k % 4), 'total_user', ts, ts / 1000.0::DOUBLE, NULL FROM e
+        UNION ALL SELECT host, '/dev/sda' || (k % 4), 'swap_used', ts, k::DOUBLE, NULL FROM e
+        UNION ALL SELECT host, '/dev/sda' || (k % 4), 'type', ts, NULL, 'swap' FROM e""",
+    "vm_metrics": f"""{E}, i AS (SELECT unnest(range(2)) AS i)
+        SELECT host, '/node/vm/cpus/cpu' AS path, 'vm1:cpu' || i AS entity, 'user_time' AS metric, ts, k::DOUBLE AS number, NULL AS label FROM e, i WHERE event_type = 'click'
+        UNION ALL SELECT host, '/node/vm/mem', 'vm1', 'free', ts, k / 1000.0::DOUBLE, NULL FROM e WHERE event_type = 'view'
+        UNION ALL SELECT host, '/node/vm/net/if', 'vm1:eth' || i, 'rx_bytes', ts, k / 1000.0::DOUBLE, NULL FROM e, i WHERE event_type = 'error'
+        UNION ALL SELECT host, '/node/vm/net/if', 'vm1:eth' || (k % 3), 'state', ts, NULL, CASE WHEN k % 2 = 0 THEN 'up' ELSE 'down' END FROM e
+                  WHERE event_type = 'signup' AND k % 3 < 2
+        UNION ALL SELECT host, '/node/vm/net', 'vm1', 'ssh', ts, k::DOUBLE, NULL FROM e WHERE event_type NOT IN ('click', 'view', 'error', 'signup')""",
+    "forwarder_interface": f"""{E}, r AS (SELECT host, ts // 20 AS ts, CASE WHEN k % 2 = 0 THEN 'localhost' ELSE 'kb1' END AS kb, event_type AS t, k, 'Gig' || (k % 3) AS i FROM e),
+        i AS (SELECT DISTINCT host, ts, kb, i FROM r WHERE t <> 'view'),
+        m AS (SELECT host, kb || ':' || i AS entity, CASE WHEN t = 'click' THEN 'rx_packets' WHEN t = 'error' THEN 'tx_bytes' WHEN kb = 'kb1' THEN 'rx_no_buffer' ELSE 'rx_drop' END AS metric,
+                     CASE WHEN t = 'error' THEN k / 1e6 ELSE k END AS v FROM r WHERE t IN ('click', 'error', 'signup')
+              UNION ALL SELECT r.host, r.kb || ':' || i.i, 'vector_rate', k FROM r JOIN i USING (host, ts, kb) WHERE t = 'view')
+        SELECT host, entity, metric, round(sum(v), 9) AS value, count(*) AS n FROM m GROUP BY 1, 2, 3""",
+    "typed_metrics": f"""{E} SELECT ts, event_type AS metric, CASE event_type WHEN 'view' THEN NULL WHEN 'click' THEN trunc(value / 2) ELSE value / 2 END AS v_num,
+               event_type = 'view' AS text FROM e WHERE event_type <> 'signup'""",
+    "metric_defaults": f"""{E}, h AS (SELECT DISTINCT host FROM e), m AS (SELECT DISTINCT event_type AS metric FROM e),
+        n AS (SELECT host, event_type AS metric, arg_max(k, ts) AS k FROM e WHERE k % 4 = 0 GROUP BY 1, 2)
+        SELECT host, metric, CASE WHEN metric = 'view' THEN coalesce('k' || k, '') ELSE coalesce(k, 0)::DOUBLE::VARCHAR END AS value
+        FROM h CROSS JOIN m LEFT JOIN n USING (host, metric)""",
     "interface_attributes": f"""{E} SELECT host, ts, if_name, CASE WHEN k % 2 = 0 THEN 'ether' WHEN k % 3 = 0 THEN 'loopback' ELSE 'unknown' END AS type,
                CASE if_name WHEN 'eth0' THEN '1.1.1.' || k ELSE '8.8.8.8' END AS dns_server,
                CASE if_name WHEN 'eth1' THEN '10.0.0.' || k ELSE '' END AS dhcp_server
@@ -386,8 +536,7 @@ ORACLE = {
     "trace_namespaces": f"""{E} SELECT ts, k || ':' || CASE WHEN k % 2 = 0 THEN host ELSE '' END AS entity, 'hop_limit' AS metric,
                CAST(k AS DOUBLE) AS value FROM e""",
     "interface_flags": f"""{E}, f AS (SELECT ts, CAST(ts * 7 % 65536 AS INTEGER) AS w FROM e)
-        SELECT ts, w & 2 <> 0 AS broadcast, w & 64 <> 0 AS running, w & 256 <> 0 AS promisc, w & 4096 <> 0 AS multicast_support,
-               w & 32768 <> 0 AS dynamic FROM f""",
+        SELECT ts, {", ".join(f"w & {bit} <> 0 AS {name}" for name, bit in snapshots.FLAG_BITS.items())} FROM f""",
     "activity_states": f"""{E}, s AS (SELECT DISTINCT host, CASE event_type WHEN 'click' THEN 'vm' WHEN 'view' THEN 'kb' ELSE 'ioam' END AS kind,
             CASE WHEN k % 5 = 0 THEN 'localhost' ELSE 'n' || k END AS name, CASE k % 3 WHEN 0 THEN 'Running' WHEN 1 THEN 'synced' END AS st FROM e)
         SELECT CASE kind WHEN 'vm' THEN coalesce(st = 'Running', false) WHEN 'kb' THEN name = 'localhost' OR coalesce(st, '') = 'synced'

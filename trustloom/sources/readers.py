@@ -77,11 +77,14 @@ def _has_trailing_column(spark: SparkSession, path: str) -> bool:
 
 
 def metric_catalog_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Metric catalogue, one row per (subservice, metric); a row without counter has 0."""
+    """Metric catalogue, one row per (subservice, metric), the last one, with its ``place`` in the file; a row without counter has 0."""
     rows = spark.read.csv(path, header=True, schema=schemas.METRIC_CATALOG, enforceSchema=True)
-    return (rows.filter("name IS NOT NULL AND type IN ('int', 'float', 'str')")
-            .withColumn("counter", F.coalesce("counter", F.lit(0)))
-            .dropDuplicates(["subservice", "name"]))
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("row"))
+    placed = (rows.select("*", place.alias("place")).filter("name IS NOT NULL AND type IN ('int', 'float', 'str')")
+              .withColumn("counter", F.coalesce("counter", F.lit(0))))
+    rest = [c for c in placed.columns if c not in ("subservice", "name")]
+    return placed.groupBy("subservice", "name").agg(F.max_by(F.struct(*rest), "place").alias("_r")).select(
+        "subservice", "name", *[F.col(f"_r.{c}") for c in rest])
 
 
 def rule_corpus_csv(spark: SparkSession, path: str) -> DataFrame:
