@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from trustloom.functions.scalar import epoch_ns
@@ -118,25 +120,52 @@ def rule_gate(spark, folder):
     return _ticks(rules.rule_hits(event_ticks(spark, folder), rules.clause_table(rules.rule_table(spark, texts))))
 
 
+# Values of every metric that the shipped rules name, from a tick of a supplier: ``q`` quantity, ``n`` items, ``d`` and ``t`` hundredths of
+# discount and tax. The text holds for Spark and for the SQL alike.
+SHIPPED_METRICS = {
+    "/node/bm/mem": {"free": "q", "pages_free": "n - 1"},
+    "/node/bm/cpus/cpu": {"idle_time": "d * 10"},
+    "/node/vm/cpus/cpu": {"idle_time": "CASE WHEN d > 9 THEN 95 ELSE d / 10 END"},
+    "/node/bm/disks/disk": {"swap_used": "t - 4"},
+    "/node/vm/mem": {"free": "q * 2"},
+    "/node/bm/sensors/sensor": {"input_temp": "d", "max_temp": "t", "critical_temp": "t + 2", "input_fanspeed": "q * 4"},
+    "/node/bm/proc": {"zombie_count": "n - 2", "sleep_count": "q * 3", "run_count": "d * 20"},
+    "/node/vm/net": {"ssh": "d - 5"},
+    "/node/bm/net/if": {"state": "'up,down' t", "gw_in_arp": "d - 3", "mtu": "1498 + n", "type": "'ether,ppp' d", "changes_count": "q / 8", "rx_error": "q * 5",
+                        "rx_drop": "q * 300", "tx_error": "d * 40", "tx_drop": "t * 40", "tx_packets": "q * 100"},
+    "/node/kb/net/if": {"gso_no_buffers": "d", "rx_no_buffer": "t", "ip4_input_out_of_buffers": "n", "ip4_input_fragment_chain_too_long": "q",
+                        "ip4_input_destination_lookup_miss": "d + t", "rx_error": "q * 4", "rx_drop": "q * 250", "tx_error": "d * 30", "tx_drop": "t * 30",
+                        "dpdk_alloc_errors": "d * t"},
+    "/node/kb/mem": {"buffer_free": "d", "buffer_total": "q"},
+}
+
+
+def _metric_sql(value: str) -> str:
+    """A number; or one of two texts by whether a number is above 4."""
+    if not value.startswith("'"):
+        return value
+    texts, number = value.rsplit(" ", 1)
+    first, second = texts.strip("'").split(",")
+    return f"CASE WHEN {number} > 4 THEN '{first}' ELSE '{second}' END"
+
+
 def shipped_rules_on_lineitem(spark, folder):
-    """Memory, disk and sensor rules of the shipped set on columns of the line items."""
-    items = table(spark, folder, "lineitem").select(
-        F.col("l_suppkey").cast("string").alias("host"), epoch_ns("l_shipdate").alias("ts"),
-        F.col("l_orderkey").alias("seq"), "l_linenumber", "l_quantity", "l_discount", "l_tax")
-    ticks = items.groupBy("host", "ts").agg(
-        F.max("seq").alias("seq"), F.sum("l_quantity").alias("free"),
-        F.max(F.rint(F.col("l_discount") * 100)).alias("input_temp"),
-        F.max(F.rint(F.col("l_tax") * 100)).alias("max_temp"))
-    mem = ticks.select("host", F.lit("/node/bm/mem").alias("path"), F.lit("").alias("entity"),
-                       F.lit("free").alias("metric"), "ts", "seq", F.col("free").alias("v_num"))
-    sensor = ticks.select("host", F.lit("/node/bm/sensors/sensor").alias("path"),
-                          F.lit("t1").alias("entity"), "ts", "seq", "input_temp", "max_temp").unpivot(
-        ["host", "path", "entity", "ts", "seq"], ["input_temp", "max_temp"], "metric", "v_num")
-    samples = mem.unionByName(sensor).withColumns({
-        "v_str": F.lit(None).cast("string"), "vtype": F.lit("float"), "counter": F.lit(0),
-        "unit": F.lit("")})
+    """All shipped rules, on metrics made from the line items: a supplier is a host, a shipping day a tick."""
+    ticks = table(spark, folder, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("host"), epoch_ns("l_shipdate").alias("ts")).agg(
+        F.max("l_orderkey").alias("seq"), F.sum("l_quantity").alias("q"), F.count(F.lit(1)).alias("n"), F.max(F.rint(F.col("l_discount") * 100)).alias("d"),
+        F.max(F.rint(F.col("l_tax") * 100)).alias("t"))
+
+    def metric(path, name, value):
+        text = value.startswith("'")
+        v = F.expr(_metric_sql(value))
+        return F.struct(F.lit(path).alias("path"), F.lit(name).alias("metric"), (F.lit(None) if text else v).cast("double").alias("v_num"),
+                        (v if text else F.lit(None)).cast("string").alias("v_str"), F.lit("str" if text else "int").alias("vtype"))
+    metrics = F.array(*[metric(path, name, value) for path, names in SHIPPED_METRICS.items() for name, value in names.items()])
+    samples = ticks.select("host", "ts", "seq", F.explode(metrics).alias("m")).select(
+        "host", "m.path", F.when(F.col("m.path").startswith("/node/bm"), "").otherwise("x:1").alias("entity"), "m.metric", "ts", "seq", "m.v_num", "m.v_str",
+        "m.vtype", F.when(F.col("m.vtype") == "str", 0).otherwise(1).alias("counter"), F.lit("").alias("unit"))
     hits = rules.rule_hits(samples, rules.clause_table(rules.rule_table(spark)))
-    return hits.groupBy("name", "path", "severity", "host").agg(F.count(F.lit(1)).alias("ticks"))
+    return hits.groupBy("name", "path", "severity", "host", "entity").agg(F.count(F.lit(1)).alias("ticks"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -215,22 +244,44 @@ ORACLE = {
         SELECT name, 'unknown metric ' || metric AS reason FROM r
         WHERE metric NOT IN (SELECT metric FROM k)
         UNION ALL SELECT 'Mixed', 'unsupported form'""",
-    "shipped_rules_on_lineitem": """
-        WITH t AS (SELECT CAST(l_suppkey AS VARCHAR) AS host, l_shipdate AS ts,
-                          sum(l_quantity) AS free, max(round_even(l_discount * 100, 0)) AS temp,
-                          max(round_even(l_tax * 100, 0)) AS top
-                   FROM lineitem GROUP BY 1, 2),
-        f AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts) AS len,
-                     max(free) OVER (PARTITION BY host ORDER BY ts
-                                     ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS free_max FROM t),
-        h AS (SELECT 'Free memory available (TESTING)' AS name, '/node/bm/mem' AS path,
-                     'ORANGE' AS severity, host FROM f WHERE free > 50
-              UNION ALL SELECT 'No free memory available', '/node/bm/mem', 'ORANGE', host FROM f
-                        WHERE free < 50
-              UNION ALL SELECT 'No free memory available for 1 min', '/node/bm/mem', 'RED', host
-                        FROM f WHERE len >= 20 AND free_max < 50
-              UNION ALL SELECT 'Sensor reached maximum temperature', '/node/bm/sensors/sensor',
-                        'ORANGE', host FROM f WHERE temp >= top)
-        SELECT name, path, severity, host, count(*) AS ticks FROM h GROUP BY 1, 2, 3, 4""",
 }
+
+
+def _shipped_sql() -> str:
+    """The shipped rules over one wide row per tick; a column per metric, windows over the ticks of a host."""
+    columns = {(path, name): f"m{i}" for i, (path, name) in enumerate((p, n) for p, names in SHIPPED_METRICS.items() for n in names)}
+    wide = ", ".join(f"{_metric_sql(SHIPPED_METRICS[path][name])} AS {column}" for (path, name), column in columns.items())
+    lines = [[part.strip() for part in line.split("|", 3)] for line in rules.SHIPPED_RULES.strip().splitlines()]
+    tests = []
+    for _, path, _, rule in lines:
+        def column(name, path=path):
+            return columns[path, name]
+
+        def moved(m):
+            n = int(m[1]) * 20 if m[1] else 1
+            c = column(m[2])
+            oldest = f"lag({c}, {n - 1}) OVER w" if n > 1 else c
+            return f"(CASE WHEN len >= {n} THEN {c} - coalesce(lag({c}, {n}) OVER w, {oldest}) END)"
+
+        def kept(m):
+            n = int(m[1]) * 20
+            return f"(CASE WHEN len >= {n} THEN max({column(m[2])}) OVER (PARTITION BY host ORDER BY ts ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) END)"
+        text = re.sub(r"(?:([15])min\()?dynamicity\((\w+)\)(?(1)\))", moved, rule)
+        text = re.sub(r"([15])min\((\w+)\)(?=<)", kept, text)
+        text = re.sub(r"\((\w+)/(\w+)\)", lambda m: f"(CASE WHEN {column(m[2])} = 0 THEN 0 ELSE {column(m[1])} / {column(m[2])} END)", text)
+        names = sorted(SHIPPED_METRICS[path], key=len, reverse=True)
+        text = re.sub(r"(?<![\w\"])(" + "|".join(names) + r")(?![\w\"])", lambda m: column(m[1]), text)
+        tests.append(text.replace("==", "=").replace("!=", "<>").replace('"', "'"))
+    flags = ", ".join(f"({test}) AS r{i}" for i, test in enumerate(tests))
+    out = " UNION ALL ".join(
+        f"SELECT '{name}' AS name, '{path}' AS path, '{severity.upper()}' AS severity, host, '{'' if path.startswith('/node/bm') else 'x:1'}' AS entity FROM h WHERE r{i}"
+        for i, (name, path, severity, _) in enumerate(lines))
+    return f"""WITH t AS (SELECT CAST(l_suppkey AS VARCHAR) AS host, l_shipdate AS ts, sum(l_quantity) AS q, count(*) AS n,
+                      max(round_even(l_discount * 100, 0)) AS d, max(round_even(l_tax * 100, 0)) AS t FROM lineitem GROUP BY 1, 2),
+        f AS (SELECT host, ts, row_number() OVER (PARTITION BY host ORDER BY ts) AS len, {wide} FROM t),
+        h AS (SELECT host, {flags} FROM f WINDOW w AS (PARTITION BY host ORDER BY ts))
+        SELECT name, path, severity, host, entity, count(*) AS ticks FROM ({out}) GROUP BY ALL"""
+
+
+ORACLE["shipped_rules_on_lineitem"] = _shipped_sql()
 ORACLE["rule_set_cut"] = ORACLE["rule_set"]
