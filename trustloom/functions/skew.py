@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trustloom.session import staged
+
 CHUNK_ROWS = 2_000_000
 
 
@@ -122,6 +124,27 @@ def running_total(df: DataFrame, keys: Sequence[str], bucket: Column, order: Seq
             .drop("_inner", "_bucket"))
 
 
+def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str,
+                parts: int | None = None) -> DataFrame:
+    """Add ``name``: the sum of ``value`` over the rows before each row in the order of its key.
+
+    The rows are ranged by key and order and stored, so that every range is summed by one task and starts with the sums of the
+    ranges before it; a key may be in many ranges. Rows equal in key and order come in any order of theirs.
+    """
+    spark = df.sparkSession
+    ranges = [F.col(c).asc_nulls_first() for c in (*keys, *order)]
+    count = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = staged(df.withColumn("_v", value).repartitionByRange(count, *ranges).withColumn("_part", F.spark_partition_id())
+                    .withColumn("_row", F.monotonically_increasing_id()), "ranges")
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = (ranged.groupBy(*keys, "_part").agg(F.sum("_v").alias("_sum"))
+              .withColumn("_start", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*ranges[len(keys):], "_row").rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.withColumn("_inner", F.coalesce(F.sum("_v").over(inside), F.lit(0)))
+    return (summed.alias("l").join(starts.alias("r"), _same("l", "r", [*keys, "_part"]))
+            .select("l.*", (F.col("l._inner") + F.col("r._start")).alias(name)).drop("_v", "_part", "_row", "_inner"))
+
+
 def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, name: str,
                    bracket: float = 0.01) -> DataFrame:
     """Exact interpolated quantile per key without sorting a key in one task.

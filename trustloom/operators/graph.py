@@ -11,6 +11,7 @@ from trustloom.functions.hof import let
 from trustloom.functions.paths import (element_name, element_type, full_name, parent_of,
                                        path_prefixes, split_path, strip_leaf)
 from trustloom.functions.scalar import half_even
+from trustloom.functions.skew import prefix_sums
 from trustloom.functions.text import list_map
 from trustloom.session import ensure_checkpoint_dir, staged
 
@@ -68,18 +69,6 @@ def set_active(nodes: DataFrame, states: DataFrame) -> DataFrame:
             .withColumn("active", F.coalesce("_state", "active")).drop("_state"))
 
 
-def vm_active(state: Column) -> Column:
-    return state == "Running"
-
-
-def kb_active(name: Column, status: Column) -> Column:
-    return (name == "localhost") | (F.coalesce(status, F.lit("")) == "synced")
-
-
-def ioam_active(status: Column) -> Column:
-    return status == "synced"
-
-
 def child_changes(presence: DataFrame, keys: Sequence[str], tick: str = "tick") -> DataFrame:
     """Children added to or gone from each tick against the tick before.
 
@@ -226,18 +215,90 @@ def subservice_bags(nodes: DataFrame, scores: DataFrame, symptoms: DataFrame,
             F.coalesce("dependencies", empty).alias("dependencies"))).alias("bag"))
 
 
-def graph_bags(bags: DataFrame, versions: DataFrame) -> DataFrame:
-    """Graph document of each host: version, last change and the bags.
+def preorder(nodes: DataFrame, keys: Sequence[str] = ("host",)) -> DataFrame:
+    """``keys, fullname, depth, size, position`` of every node: its subtree's node count and its place in a walk from the roots.
+
+    A node comes before its children, these in the order of their names. Subtree sizes are added up level by level from the
+    deepest; positions go down again: a child stands behind its parent and the subtrees of the siblings before it. Siblings are
+    summed by ranges of names, so a node with very many children is no hot spot. Subtrees are intervals: a node is below another
+    if its position is less than ``size`` behind it.
+    """
+    keys = list(keys)
+    base = staged(nodes.select(*keys, "fullname", "parent", "depth"), "preorder", "depth")
+    deepest = base.agg(F.max("depth")).first()[0]
+    if deepest is None:
+        return base.select(*keys, "fullname", "depth", F.lit(1).cast("bigint").alias("size"), F.lit(0).cast("bigint").alias("position"))
+    sized, above = [], None
+    for depth in range(deepest, -1, -1):
+        level = base.filter(F.col("depth") == depth)
+        below = F.lit(0).cast("bigint")
+        if above is not None:
+            level, below = level.join(above, [*keys, "fullname"], "left"), F.coalesce("_below", F.lit(0))
+        level = staged(level.withColumn("size", below + 1).select(*keys, "fullname", "parent", "depth", "size"), "subtrees")
+        above = level.groupBy(*keys, F.col("parent").alias("fullname")).agg(F.sum("size").alias("_below"))
+        sized.append(level)
+    placed, out = None, None
+    for level in reversed(sized):
+        siblings = keys if placed is None else [*keys, "parent"]
+        level = prefix_sums(level, siblings, ["fullname"], F.col("size"), "_before")
+        if placed is None:
+            level = level.withColumn("position", F.col("_before"))
+        else:
+            up = placed.select(*keys, F.col("fullname").alias("parent"), F.col("position").alias("_up"))
+            level = level.join(up, [*keys, "parent"]).withColumn("position", F.col("_up") + 1 + F.col("_before"))
+        placed = staged(level.select(*keys, "fullname", "depth", "size", "position"), "places")
+        out = placed if out is None else out.unionByName(placed)
+    return out
+
+
+def document_parts(nodes: DataFrame, scores: DataFrame, symptoms: DataFrame, versions: DataFrame) -> DataFrame:
+    """The graph document of every host in numbered parts: ``host, part, text``; the texts in order are one JSON document.
 
-    ``versions`` has one row per host. A document lists one device's own tree,
-    which the template bounds; oversized nodes are already paged.
+    A part is an opening, one symptom, one dependency or a closing, so no row grows with the graph. ``versions`` has one row per
+    host (``version, last_change``). Parts are numbered by ranges, so a host may be in many tasks.
     """
-    parts = bags.groupBy("host").agg(F.array_join(F.array_sort(F.collect_list("bag")), ",")
-                                     .alias("_bags"))
-    return parts.join(versions, "host").select("host", F.concat(
-        F.lit('{"assurance-graph-version":'), F.col("version").cast("string"),
-        F.lit(',"assurance-graph-last-change":"'), F.col("last_change").cast("string"),
-        F.lit('","subservices":['), "_bags", F.lit("]}")).alias("bag"))
+    ids = nodes.join(scores, ["host", "fullname"])
+
+    def part(rows: DataFrame, section: int, entry: Column, text: Column, item: bool = False) -> DataFrame:
+        return rows.select("host", F.lit(1).alias("place"), "fullname", F.lit(section).alias("section"), entry.alias("entry"), text.alias("text"),
+                           F.lit(item).alias("item"))
+    none = F.lit("")
+    head = F.struct(F.lit("subservice-idty").alias("type"), F.col("fullname").alias("id"),
+                    F.struct(F.col("path").alias("service"), F.col("name").alias("instance-name")).alias("subservice-parameters"),
+                    F.col("fullname").alias("label"), F.col("health_score").alias("health-score"))
+    opened = F.concat(F.expr("left(_json, length(_json) - 1)"), F.lit(',"symptoms":['))
+    open_ = part(ids.withColumn("_json", F.to_json(head)), 0, none, opened)
+    raised = symptoms.select("host", F.col("node").alias("fullname"), F.to_json(F.struct(
+        F.col("symptom_id").alias("id"), F.col("weight").alias("health-score-weight"), F.col("name").alias("label"),
+        F.col("ts").cast("string").alias("start-date-time"))).alias("_json")).distinct().join(ids.select("host", "fullname"), ["host", "fullname"])
+    middle = part(ids, 2, none, F.lit('],"dependencies":['))
+    children = nodes.filter("parent IS NOT NULL").select("host", F.col("parent").alias("fullname"), F.to_json(F.struct(
+        F.lit("subservice-idty").alias("type"), F.col("fullname").alias("id"),
+        F.when(F.col("impacting"), "impacting-dependency").otherwise("informational-dependency").alias("dependency-type"))).alias("_json")).join(
+        ids.select("host", "fullname"), ["host", "fullname"])
+    entries = part(raised, 1, F.col("_json"), F.col("_json"), True).unionByName(part(children, 3, F.col("_json"), F.col("_json"), True))
+    close = part(ids, 4, none, F.lit("]}"))
+    whole = versions.join(ids.select("host").distinct(), "host")
+    ends = whole.select("host", F.explode(F.array(
+        F.struct(F.lit(0).alias("place"), F.concat(F.lit('{"assurance-graph-version":'), F.col("version").cast("string"), F.lit(',"assurance-graph-last-change":"'),
+                                                   F.col("last_change").cast("string"), F.lit('","subservices":[')).alias("text")),
+        F.struct(F.lit(2).alias("place"), F.lit("]}").alias("text")))).alias("e")).select(
+        "host", "e.place", F.lit("").alias("fullname"), F.lit(0).alias("section"), none.alias("entry"), "e.text", F.lit(False).alias("item"))
+    parts = open_.unionByName(entries).unionByName(middle).unionByName(close).unionByName(ends)
+    # The first entry of a list and the first node of a document have no comma before them.
+    lists = entries.groupBy("host", "fullname", "section").agg(F.min("entry").alias("_first"))
+    first = ids.groupBy("host").agg(F.min("fullname").alias("_node"))
+    parts = parts.join(lists, ["host", "fullname", "section"], "left").join(first, "host")
+    comma = F.when(F.col("item"), F.col("entry") != F.col("_first")).otherwise(
+        (F.col("place") == 1) & (F.col("section") == 0) & (F.col("fullname") != F.col("_node")))
+    parts = parts.withColumn("text", F.when(comma, F.concat(F.lit(","), "text")).otherwise(F.col("text"))).select(
+        "host", "place", "fullname", "section", "entry", "text")
+    return prefix_sums(parts, ["host"], ["place", "fullname", "section", "entry"], F.lit(1), "part").select("host", "part", "text")
+
+
+def document_manifest(parts: DataFrame) -> DataFrame:
+    """``host, parts, chars`` of every document, to be written after its parts: a document without it is not complete."""
+    return parts.groupBy("host").agg(F.count(F.lit(1)).alias("parts"), F.sum(F.length("text")).alias("chars"))
 
 
 def graph_edges(paths: DataFrame, column: str = "path") -> DataFrame:

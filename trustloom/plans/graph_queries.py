@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trustloom.functions.paths import element_keys, element_name, element_type, split_path
-from trustloom.operators import graph
+from trustloom.operators import graph, rules
 from trustloom.plans.tables import table
 
 CUSTOMER = "CASE WHEN c_acctbal < 0 THEN 50 WHEN c_acctbal < 5000 THEN 10 ELSE 0 END"
@@ -59,8 +59,8 @@ def health_rollup_inactive(spark, folder):
 DEEP = ("l_returnflag", "l_linestatus", "l_shipinstruct", "year", "month", "day", "l_linenumber", "supplier")
 
 
-def deep_rollup(spark, folder):
-    """Roll-up of a tree of eight levels: flag, status, parity, year, month, day, line and supplier of the order lines."""
+def _deep_lines(spark, folder):
+    """A tree of eight levels: flag, status, parity, year, month, day, line and supplier of the order lines."""
     d = F.col("l_shipdate")
     lines = table(spark, folder, "lineitem").select(
         "l_returnflag", "l_linestatus", (F.col("l_orderkey") % 2).alias("l_shipinstruct"), F.year(d).alias("year"), F.month(d).alias("month"),
@@ -69,7 +69,12 @@ def deep_rollup(spark, folder):
     names = [F.concat(F.lit("/node[name=w]"), *steps[:i]) for i in range(len(steps) + 1)]
     nodes = graph.describe_nodes(lines.select(F.lit("w").alias("host"), F.explode(F.array(*names)).alias("fullname")).distinct())
     losses = lines.filter("l_discount > 0.08").select(F.lit("w").alias("host"), names[-1].alias("fullname"), F.lit(40).alias("loss"))
-    return graph.rollup_scores(nodes, losses).select("fullname", "health_score")
+    return nodes, losses
+
+
+def deep_rollup(spark, folder):
+    """Roll-up of the tree of eight levels."""
+    return graph.rollup_scores(*_deep_lines(spark, folder)).select("fullname", "health_score")
 
 
 def graph_edges(spark, folder):
@@ -82,6 +87,58 @@ def numbered_edges(spark, folder):
     return graph.number_edges(graph_edges(spark, folder)).select("source", "target", F.col("weight").cast("bigint").alias("weight"))
 
 
+def _deep_nodes(spark, folder):
+    return _deep_lines(spark, folder)[0]
+
+
+def preorder(spark, folder):
+    """Walk of the deep tree: every node with the size of its subtree and its place."""
+    return graph.preorder(_deep_nodes(spark, folder)).select("fullname", "depth", "size", "position")
+
+
+def _world_symptoms(losses):
+    return losses.filter("loss > 0").select("host", F.col("fullname").alias("node"), F.lit("s1").alias("symptom_id"), F.col("loss").alias("weight"),
+                                            F.when(F.col("loss") > 10, "Debt").otherwise("Low balance").alias("name"), F.lit(7).alias("ts"))
+
+
+def graph_document(spark, folder):
+    """The world as one graph document in numbered parts: 25 nations, all customers and suppliers."""
+    nodes, losses = _tree(spark, folder)
+    versions = nodes.select("host").distinct().select("host", F.lit(3).alias("version"), F.lit(12).alias("last_change"))
+    return graph.document_parts(nodes, graph.rollup_scores(nodes, losses), _world_symptoms(losses), versions)
+
+
+def symptom_feed(spark, folder):
+    _, losses = _tree(spark, folder)
+    return graph.symptom_feed(_world_symptoms(losses))
+
+
+def health_feed(spark, folder):
+    nodes, losses = _tree(spark, folder)
+    return graph.health_feed(graph.rollup_scores(nodes, losses))
+
+
+def compound_nodes(spark, folder):
+    nodes, _ = _tree(spark, folder)
+    return graph.compound_nodes(graph.graph_nodes(nodes.select(F.col("fullname").alias("path"))))
+
+
+def activity_roots(spark, folder):
+    """Roll-up in which the regions of a state table are switched off."""
+    nodes, losses = _tree(spark, folder)
+    states = nodes.filter("type = 'region'").select("host", "fullname", (F.length("name") > 4).alias("active"))
+    return graph.rollup_scores(graph.set_active(nodes, states), losses).filter("fullname NOT LIKE '%nation%'").select("fullname", "health_score")
+
+
+def activation_log(spark, folder):
+    """Lines of the activation log: symptoms of customers with the rule behind them and the node's new score."""
+    nodes, losses = _tree(spark, folder)
+    kinds = rules.rule_table(spark, "Debt | /node/customer | Red | balance<0\nLow balance | /node/customer | Orange | balance<5000")
+    symptoms = _world_symptoms(losses).filter("node LIKE '%/customer[%'").withColumns({
+        "path": F.lit("/node/customer"), "severity": F.when(F.col("weight") > 10, "RED").otherwise("ORANGE")})
+    return rules.activated_log(symptoms, kinds, graph.rollup_scores(nodes, losses))
+
+
 def graph_nodes(spark, folder):
     nodes, _ = _tree(spark, folder)
     return graph.graph_nodes(nodes.select(F.col("fullname").alias("path")))
@@ -186,7 +243,7 @@ METHOD_KEYS = {"health_rollup_quadratic": "quadratic-mean", "health_rollup_mean"
                "health_rollup_malus": "malus"}
 
 QUERIES = {**{key: _rollup(method) for key, method in METHOD_KEYS.items()}, **{f.__name__: f for f in (
-    health_rollup_inactive, deep_rollup, graph_edges, numbered_edges, graph_nodes, ancestor_active, node_colours,
+    health_rollup_inactive, deep_rollup, preorder, graph_document, symptom_feed, health_feed, compound_nodes, activity_roots, activation_log, graph_edges, numbered_edges, graph_nodes, ancestor_active, node_colours,
     child_reconcile, graph_version, subservice_bags, symptom_text, category_scores, build_nodes,
     fleet_counters, path_split)}}
 
@@ -333,6 +390,48 @@ ORACLE = {
 ORACLE["numbered_edges"] = f"""
     SELECT source, target, row_number() OVER (ORDER BY source COLLATE "C", target COLLATE "C") AS weight
     FROM ({ORACLE['graph_edges']})""".replace(' COLLATE "C"', "")
+
+
+def _preorder_sql() -> str:
+    names = ["'/node[name=w]'"]
+    columns = ("l_returnflag", "l_linestatus", "l_orderkey % 2", "year(l_shipdate)", "month(l_shipdate)", "day(l_shipdate)", "l_linenumber", "l_suppkey % 3")
+    for i, column in enumerate(columns):
+        names.append(f"{names[-1]} || '/s{i}[name=' || {column} || ']'")
+    trails = " UNION ALL ".join(f"SELECT DISTINCT [{', '.join(names[:i + 1])}] AS trail FROM lineitem" for i in range(len(names)))
+    return f"""WITH t AS ({trails}), z AS (SELECT fullname, count(*) AS size FROM (SELECT unnest(trail) AS fullname FROM t) GROUP BY 1),
+        p AS (SELECT trail[len(trail)] AS fullname, (len(trail) - 1)::INTEGER AS depth, row_number() OVER (ORDER BY trail) - 1 AS position FROM t)
+        SELECT fullname, depth, size, position FROM p JOIN z USING (fullname)"""
+
+
+ORACLE["preorder"] = _preorder_sql()
+WORLD = f"""{_levels('quadratic-mean')},
+    nd AS (SELECT DISTINCT world AS fullname, NULL AS parent, '/node' AS path, 'w' AS name FROM place
+           UNION ALL SELECT DISTINCT region, world, '/node/region', r_name FROM place
+           UNION ALL SELECT nation, region, '/node/region/nation', n_name FROM place
+           UNION ALL SELECT fullname, nation, '/node/region/nation/' || kind, regexp_extract(fullname, 'name=([^\\]]*)\\]$', 1) FROM leaf),
+    sy AS (SELECT fullname, 100 - s AS weight, CASE WHEN 100 - s > 10 THEN 'Debt' ELSE 'Low balance' END AS name FROM leaf WHERE s < 100)"""
+ORACLE["graph_document"] = f"""{WORLD},
+    raw AS (
+        SELECT 0 AS place, '' AS fullname, 0 AS section, '' AS entry, '{{"assurance-graph-version":3,"assurance-graph-last-change":"12","subservices":[' AS text
+        UNION ALL SELECT 2, '', 0, '', ']}}'
+        UNION ALL SELECT 1, fullname, 0, '', '{{"type":"subservice-idty","id":"' || fullname || '","subservice-parameters":{{"service":"' || path ||
+                         '","instance-name":"' || name || '"}},"label":"' || fullname || '","health-score":' || s || ',"symptoms":[' FROM nd JOIN everything USING (fullname)
+        UNION ALL SELECT 1, fullname, 2, '', '],"dependencies":[' FROM nd
+        UNION ALL SELECT 1, fullname, 4, '', ']}}' FROM nd
+        UNION ALL SELECT 1, fullname, 1, 'x', '{{"id":"s1","health-score-weight":' || weight || ',"label":"' || name || '","start-date-time":"7"}}' FROM sy
+        UNION ALL SELECT 1, parent, 3, fullname, '{{"type":"subservice-idty","id":"' || fullname || '","dependency-type":"impacting-dependency"}}' FROM nd
+                  WHERE parent IS NOT NULL),
+    o AS (SELECT *, row_number() OVER (ORDER BY place, fullname, section, entry) - 1 AS part,
+                 row_number() OVER (PARTITION BY place, fullname, section ORDER BY entry) AS n, min(fullname) FILTER (place = 1) OVER () AS first FROM raw)
+    SELECT 'w' AS host, part, CASE WHEN entry <> '' AND n > 1 OR place = 1 AND section = 0 AND fullname <> first THEN ',' ELSE '' END || text AS text FROM o"""
+ORACLE["symptom_feed"] = f"{WORLD} SELECT fullname || '/symptoms[name=' || name || ']/severity' AS path, weight::VARCHAR AS value FROM sy"
+ORACLE["health_feed"] = f"{_levels('quadratic-mean')} SELECT '/health' || fullname AS path, s::VARCHAR AS value FROM everything"
+ORACLE["compound_nodes"] = f"{TREE} SELECT DISTINCT nation || 'parent' AS id FROM leaf"
+ORACLE["activity_roots"] = f"""{_levels('quadratic-mean')} SELECT fullname, s AS health_score FROM n2
+    UNION ALL SELECT world, CAST({AGG['quadratic-mean']} AS INTEGER) FROM n2 WHERE length(regexp_extract(fullname, 'region.name=([^\\]]*)', 1)) > 4 GROUP BY 1"""
+ORACLE["activation_log"] = f"""{WORLD} SELECT sy.fullname AS node, name AS activated_rule, '/node/customer' AS path, CASE WHEN weight > 10 THEN 'RED' ELSE 'ORANGE' END AS severity,
+    weight, CASE WHEN weight > 10 THEN 'balance<0' ELSE 'balance<5000' END AS rule, s AS new_health_score
+    FROM sy JOIN everything USING (fullname) WHERE sy.fullname LIKE '%/customer[%'"""
 ORACLE["health_rollup_inactive"] = f"""{_levels('quadratic-mean', "kind = 'customer'")}
     SELECT fullname, s AS health_score FROM everything
     WHERE fullname LIKE '%nation%' AND fullname NOT LIKE '%customer%'"""

@@ -34,6 +34,12 @@ def entity_spans(spark, folder):
         "substring(text, e.start + 1, e.end - e.start)") == F.col("e.value")).alias("exact"))
 
 
+def agreement_requirements(spark, folder):
+    """Values of the requirement entities of every turn, as an agreement lists them."""
+    tagged = intent.tag_entities(F.col("text"), {"the": "requirements", "and": "other", "de": "requirements"})
+    return table(spark, folder, "conversations").select("conv_id", "turn", F.array_join(intent.requirement_list(tagged), "|").alias("requirements"))
+
+
 def _services(spark, folder):
     return _messages(spark, folder).withColumn("services", intent.group_services(F.col("text"), F.col("entities")))
 
@@ -239,7 +245,7 @@ def catalog_match_open(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
-    entity_tags, entity_spans, service_grouping, requirement_routing, service_summary, feedback_annotation, add_asset,
+    entity_tags, entity_spans, agreement_requirements, service_grouping, requirement_routing, service_summary, feedback_annotation, add_asset,
     add_middlebox, remove_value, feedback_parse, confidence_gate, session_120m, sessions_cut, synonym_canonical, signed_agreements,
     requirement_parse, service_facets, os_facets, catalog_match, catalog_match_open, availability, availability_open)}
 
@@ -270,6 +276,8 @@ ORACLE = {
     "entity_tags": f"""
         WITH t AS (SELECT doc_id, unnest({FOUND}) AS m FROM documents)
         SELECT doc_id, {KIND} AS entity, count(*) AS n FROM t GROUP BY 1, 2""",
+    "agreement_requirements": f"""
+        SELECT conv_id, turn, array_to_string(list_filter({WORDS}, lambda w: lower(w) IN ('the', 'de')), '|') AS requirements FROM conversations""",
     "entity_spans": f"{CONV} SELECT conv_id, turn, no, form, true AS exact FROM e",
     "service_grouping": f"{CONV} SELECT conv_id, turn, no, middlebox, assets, list FROM s",
     "requirement_routing": f"""{CONV} SELECT conv_id, turn, CASE entity WHEN 'storage_resource' THEN 'storage' WHEN 'compute_resource' THEN 'compute'

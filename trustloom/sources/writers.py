@@ -68,3 +68,10 @@ def load_graph(nodes: DataFrame, edges: DataFrame, path: str, replace: bool = Fa
 
 def append_feedback(lines: DataFrame, path: str) -> None:
     lines.select("value").write.mode("append").text(path)
+
+
+def write_graph_documents(parts: DataFrame, path: str) -> None:
+    """Write the parts of graph documents and then, once they are all there, the manifest."""
+    from trustloom.operators.graph import document_manifest
+    parts.write.mode("overwrite").parquet(f"{path}/parts")
+    document_manifest(parts.sparkSession.read.parquet(f"{path}/parts")).write.mode("overwrite").parquet(f"{path}/manifest")
