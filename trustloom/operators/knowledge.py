@@ -254,11 +254,14 @@ def cardinality_violations(rows: DataFrame, spec: DataFrame) -> DataFrame:
     limits = spec.filter("max_cardinality <> '*'").select(
         F.trim("concept").alias("label"), F.trim("relation").alias("rel"),
         F.trim("max_cardinality").try_cast("int").alias("most")).filter("most IS NOT NULL")
+    label = F.when(F.col("p") == RDF_TYPE, short_name(F.col("o")))
     counts = rows.groupBy("s", short_name(F.col("p")).alias("rel")).agg(
-        F.count(F.lit(1)).alias("n"))
-    labels = rows.filter(F.col("p") == RDF_TYPE).select(
-        "s", short_name(F.col("o")).alias("label")).distinct()
-    return (counts.join(labels, "s").join(limits, ["label", "rel"])
+        F.count(F.lit(1)).alias("n"), F.collect_set(label).alias("labels"))
+    # One entry per predicate and class of a subject.
+    subjects = counts.groupBy("s").agg(F.collect_list(F.struct("rel", "n")).alias("rels"),
+                                       F.array_distinct(F.flatten(F.collect_list("labels"))).alias("labels"))
+    pairs = subjects.select("s", F.explode("labels").alias("label"), "rels").select("s", "label", F.explode("rels").alias("r"))
+    return (pairs.select("s", "label", "r.rel", "r.n").join(limits, ["label", "rel"])
             .filter("n > most").select("s", "label", "rel", "n", "most"))
 
 

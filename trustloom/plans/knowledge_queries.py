@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from trustloom.functions.local import local_table
@@ -45,6 +47,33 @@ def triples(spark, folder):
     return _triples(spark, folder)
 
 
+def _mapping_lines():
+    return [[part.strip() for part in line.split("|")] for line in knowledge.CONCEPT_MAPPING.strip().splitlines()]
+
+
+def _concept_fields():
+    """The fields that the mapping of each concept reads, in order."""
+    fields: dict[str, list[str]] = {}
+    for concept, subject, _, _, kind, text in _mapping_lines():
+        own = fields.setdefault(concept, [])
+        for name in [*re.findall(r"{([^}]*)}", subject), *([text] if kind == "reference" else re.findall(r"{([^}]*)}", text) if kind == "template" else [])]:
+            if name not in own:
+                own.append(name)
+    return fields
+
+
+def full_mapping(spark, folder):
+    """Triples of all concepts of the shipped mapping and of its fixed instances; a record of every concept per customer."""
+    key = F.col("c_custkey")
+
+    def record(fields):
+        entries = [x for i, name in enumerate(fields) for x in (F.lit(name), F.when((key + i) % 6 != 0, F.concat(F.lit(name), (key % 50).cast("string"))))]
+        return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
+    records = F.array(*[F.struct(F.lit(concept).alias("concept"), record(fields).alias("record")) for concept, fields in _concept_fields().items()])
+    rows = table(spark, folder, "customer").select(F.explode(records).alias("r")).select("r.concept", "r.record")
+    return knowledge.triples(rows, knowledge.mapping_table(spark), BASE).unionByName(knowledge.fixed_instances(spark, BASE))
+
+
 def kg_nodes(spark, folder):
     out = knowledge.kg_nodes(_triples(spark, folder))
     return out.select("uri", F.array_join("labels", ",").alias("labels"), F.array_join(F.transform(
@@ -93,6 +122,7 @@ def ntriples_lines(spark, folder):
 
 
 QUERIES = {f.__name__: f for f in (
+    full_mapping, 
     triples, kg_nodes, kg_edges, duplicate_uris, cardinality_audit, range_audit, competency_minimum, competency_maximum,
     competency_chain, ntriples_lines)}
 
@@ -127,3 +157,25 @@ ORACLE = {
     "ntriples_lines": f"""{T} SELECT '<' || s || '> <http://example.org/kg#' || split_part(p, ':', 2) || '> ' ||
         CASE WHEN o_is_iri THEN '<' || o || '>' ELSE '"' || o || '"' END || ' .' AS value FROM t WHERE p IN ('kg:lot', 'kg:belongsTo')""",
 }
+
+
+def _full_sql() -> str:
+    """A branch per mapping line and one per class; a field is its name and a number, or missing."""
+    fields, parts = _concept_fields(), []
+    for concept, subject, cls, p, kind, text in [*_mapping_lines(), *{(c, s, k, knowledge.RDF_TYPE, "constant", k): 0 for c, s, k, *_ in map(tuple, _mapping_lines())}]:
+        def value(name):
+            return f"'{name}' || (c_custkey % 50)"
+
+        def filled(template):
+            return f"'{BASE}' || " + " || ".join(value(x[1:-1]) if x.startswith("{") else f"'{x}'" for x in re.split(r"({[^}]*})", template) if x)
+        used = set(re.findall(r"{([^}]*)}", subject)) | ({text} if kind == "reference" else set(re.findall(r"{([^}]*)}", text)) if kind == "template" else set())
+        there = " AND ".join(f"(c_custkey + {fields[concept].index(name)}) % 6 <> 0" for name in sorted(used))
+        o = value(text) if kind == "reference" else filled(text) if kind == "template" else f"'{text}'"
+        parts.append(f"SELECT {filled(subject)} AS s, '{p}' AS p, {o} AS o, {str(kind != 'reference').lower()} AS o_is_iri FROM customer WHERE {there}")
+    for cls, names in knowledge.FIXED_INSTANCES.items():
+        for name in names:
+            parts.append(f"SELECT '{BASE}{cls}/{name}', '{knowledge.RDF_TYPE}', 'kg:{cls}', true UNION SELECT '{BASE}{cls}/{name}', '{knowledge.LABEL}', '{name}', false")
+    return " UNION ".join(parts)
+
+
+ORACLE["full_mapping"] = _full_sql()
