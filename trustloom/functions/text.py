@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from trustloom.functions.hof import let, positions
+from trustloom.functions.hof import let, positions, running_sums
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -25,16 +25,10 @@ def match_spans(text: Column, pattern: str) -> Column:
     span = "array<struct<value:string,start:int,end:int>>"
 
     def placed(matches: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.struct(F.length(g).alias("gap"), m.alias("value")))
-        first = F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out"))
-
-        def step(state: Column, pair: Column) -> Column:
-            start = state["at"] + pair["gap"]
-            end = start + F.length(pair["value"])
-            entry = F.struct(pair["value"].alias("value"), start.alias("start"), end.alias("end"))
-            return F.struct(end.alias("at"), F.concat(state["out"], F.array(entry)).alias("out"))
-        return F.aggregate(pairs, first, step, lambda state: state["out"])
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        ends = running_sums(F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m)))
+        return F.zip_with(matches, ends, lambda m, end: F.struct(
+            m.alias("value"), (end - F.length(m)).cast("int").alias("start"), end.cast("int").alias("end"))).cast(span)
     return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.when(
         F.size(m) > 0, placed(m)).otherwise(F.array().cast(span)))
 
