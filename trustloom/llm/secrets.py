@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trustloom.functions.hof import let
+from trustloom.functions.hof import let, running_sums
 from trustloom.llm.common import documents
 from trustloom.session import staged
 
@@ -53,16 +53,9 @@ def _located(text: Column, pattern: str, rank: int, sizes=None, passes=None) ->
         tested = matches if sizes is None else F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
         def walk(gaps: Column) -> Column:
-            pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches,
-                               lambda g, m: F.struct(F.length(g).alias("gap"), F.length(m).alias("size")))
-            start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
-
-            def step(state: Column, pair: Column) -> Column:
-                begin = state["at"] + pair["gap"]
-                end = begin + pair["size"]
-                span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("stop"))
-                return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
-            found = F.aggregate(pairs, start, step, lambda state: state["out"])
+            ends = running_sums(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m)))
+            found = F.zip_with(matches, ends, lambda m, end: F.struct(
+                (end - F.length(m)).cast("int").alias("start"), F.lit(rank).alias("rank"), end.cast("int").alias("stop")))
             if passes is None:
                 return found
             held = F.zip_with(found, tested, lambda span, value: F.struct(span.alias("span"), passes(value).alias("good")))
@@ -93,17 +86,19 @@ def linked_parts(parts: DataFrame, reach: int | None = REACH) -> DataFrame:
     order = Window.partitionBy("rid").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("scope", F.sum(F.when(F.col("rank") == BREAK, 1).otherwise(0)).over(order)).filter(F.col("rank") != BREAK)
     inside = Window.partitionBy("rid", "scope").orderBy("start", "rank")
-    before, after = inside.rowsBetween(Window.unboundedPreceding, -1), inside.rowsBetween(1, Window.unboundedFollowing)
+    # What follows a part comes first in the reversed order; a frame up to the end would be read again for every part.
+    reverse = Window.partitionBy("rid", "scope").orderBy(F.desc("start"), F.desc("rank"))
+    before, after = (w.rowsBetween(Window.unboundedPreceding, -1) for w in (inside, reverse))
     base = F.col("rank") <= 2
     # Weak parts inside a base span are that span; they are no parts of their own.
     hidden = F.coalesce(F.max(F.when(base, F.col("stop"))).over(before) > F.col("start"), F.lit(False)) | F.coalesce(
-        F.first(F.when(base, F.col("start")), ignorenulls=True).over(after) < F.col("stop"), F.lit(False))
+        F.last(F.when(base, F.col("start")), ignorenulls=True).over(after) < F.col("stop"), F.lit(False))
     rows = rows.withColumn("hidden", ~base & hidden).filter("not hidden")
     roles = {"identifier": F.col("rank").isin(1, 3), "secret": F.col("rank").isin(0, 2, 4), "endpoint": F.col("rank") == 5}
 
     def near(role: str) -> Column:
         left = F.col("start") - F.max(F.when(roles[role], F.col("stop"))).over(before)
-        right = F.first(F.when(roles[role], F.col("start")), ignorenulls=True).over(after) - F.col("stop")
+        right = F.last(F.when(roles[role], F.col("start")), ignorenulls=True).over(after) - F.col("stop")
         if reach is None:
             return left.isNotNull() | right.isNotNull()
         return F.coalesce(left <= reach, F.lit(False)) | F.coalesce(right <= reach, F.lit(False))
