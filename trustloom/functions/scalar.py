@@ -68,20 +68,14 @@ def numeric_text(value: Column) -> Column:
     return F.when(value.rlike(r"^(\d+\.?\d*|\.\d+)$"), value.try_cast("double"))
 
 
-def json_number(value: Column) -> Column:
-    """DOUBLE of a VARIANT: numbers as they are, booleans as 1 and 0, text by ``numeric_text``; else NULL."""
-    kind = F.schema_of_variant(value)
+def json_number(value: Column, kind: Column | None = None) -> Column:
+    """DOUBLE of a VARIANT: numbers as they are, booleans as 1 and 0, text by ``numeric_text``; else NULL. ``kind`` is its schema."""
+    kind = F.schema_of_variant(value) if kind is None else kind
     return (F.when(kind == "STRING", numeric_text(F.try_variant_get(value, "$", "string")))
             .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
             .otherwise(F.try_variant_get(value, "$", "double")))
 
 
-def json_plain(text: Column) -> Column:
-    """A JSON string without its quotes and escapes; any other text unchanged."""
-    value = F.try_parse_json(text)
-    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string")).otherwise(text)
-
-
 def ratio_percent(part: Column, total: Column) -> Column:
     """Whole percent of part in total, 0 when total is 0 or missing."""
     share = part.cast("double") / F.nullif(total.cast("double"), F.lit(0.0))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from trustloom.functions.hof import let
 from trustloom.functions.paths import keyed_path, unkeyed_path
-from trustloom.functions.scalar import json_number, json_plain, numeric_text
+from trustloom.functions.scalar import json_number, numeric_text
 from trustloom.sources.schemas import SNAPSHOT, WIDE_SCORE
 
 HEALTH_PREFIX = "/health/node/"
@@ -22,25 +22,24 @@ def _json_text(val: Column) -> Column:
     return F.decode(F.unbase64(val["jsonVal"]), "UTF-8")
 
 
-def decode_value(val: Column) -> Column:
-    """Text of a union value: decoded JSON (strings without quotes), then int, string, float, else UNKNOWN."""
-    return F.coalesce(
-        json_plain(_json_text(val)), val["intVal"], val["stringVal"],
-        val["floatVal"].cast("string"), F.lit("UNKNOWN"))
+def decode_union(val: Column) -> Column:
+    """Text and number of a union value: ``value, number``.
 
-
-def decode_number(val: Column) -> Column:
-    """Number of a union value by its type, else NULL.
-
-    JSON numbers, booleans and floats count as they are, signed or with an exponent; integers travel as text and count
-    like strings, only if they are plain digits. JSON that cannot be read is text.
+    The text is decoded JSON (strings without quotes), then int, string, float, else UNKNOWN. JSON numbers, booleans and floats are
+    numbers as they are, signed or with an exponent; integers travel as text and count like strings, only if they are plain
+    digits. JSON that cannot be read is text. JSON is parsed once.
     """
-    text = _json_text(val)
-    parsed = F.try_parse_json(text)
-    return (F.when(text.isNotNull(), F.when(parsed.isNull(), numeric_text(text)).otherwise(json_number(parsed)))
-            .when(val["intVal"].isNotNull(), numeric_text(val["intVal"]))
-            .when(val["stringVal"].isNotNull(), numeric_text(val["stringVal"]))
-            .otherwise(val["floatVal"]))
+    def pair(value: Column, number: Column) -> Column:
+        return F.struct(value.alias("value"), number.alias("number"))
+
+    def json(text: Column) -> Column:
+        return let(F.try_parse_json(text), lambda v: F.when(v.isNull(), pair(text, numeric_text(text))).otherwise(
+            let(F.schema_of_variant(v), lambda kind: pair(
+                F.when(kind == "STRING", F.try_variant_get(v, "$", "string")).otherwise(text), json_number(v, kind)))))
+    plain = pair(F.coalesce(val["intVal"], val["stringVal"], val["floatVal"].cast("string"), F.lit("UNKNOWN")),
+                 F.when(val["intVal"].isNotNull(), numeric_text(val["intVal"]))
+                 .when(val["stringVal"].isNotNull(), numeric_text(val["stringVal"])).otherwise(val["floatVal"]))
+    return F.when(val["jsonVal"].isNotNull(), let(_json_text(val), json)).otherwise(plain)
 
 
 def explode_envelope(messages: DataFrame, *keep: str) -> DataFrame:
@@ -51,11 +50,11 @@ def explode_envelope(messages: DataFrame, *keep: str) -> DataFrame:
             .select(*keep, "timestamp", "pos",
                     unkeyed_path(F.col("item.path.elem")).alias("path"),
                     keyed_path(F.col("item.path.elem")).alias("keyed_path"),
-                    decode_value(F.col("item.val")).alias("value")))
+                    decode_union(F.col("item.val"))["value"].alias("value")))
 
 
 def last_per_path(pairs: Column) -> Column:
-    """Array of (path, pos, value) -> the same with only the last pos of each path."""
+    """Array of (path, pos, ...) -> the same with only the last pos of each path."""
     return let(F.array_sort(pairs), lambda ordered: F.filter(ordered, lambda p, i: F.coalesce(
         F.get(ordered, i + 1)["path"] != p["path"], F.lit(True))))
 
@@ -71,13 +70,13 @@ def envelope_snapshots(messages: DataFrame, device: Column, *keep: str,
     """
     name = unkeyed_path if collapse else keyed_path
     pairs = F.transform(F.col("update.update"), lambda u, i: F.struct(
-        name(u["path"]["elem"]).alias("path"), i.alias("pos"),
-        decode_value(u["val"]).alias("value"), decode_number(u["val"]).alias("number")))
+        name(u["path"]["elem"]).alias("path"), i.alias("pos"), u["val"].alias("val")))
+    decoded = F.transform(last_per_path(pairs), lambda e: F.struct(e["path"].alias("path"), decode_union(e["val"]).alias("v")))
 
     def entries(field: str) -> Column:
-        return F.map_from_entries(F.transform(F.col("_last"), lambda e: F.struct(e["path"].alias("key"), e[field].alias("value"))))
+        return F.map_from_entries(F.transform(F.col("_last"), lambda e: F.struct(e["path"].alias("key"), e["v"][field].alias("value"))))
     return (messages.filter(F.col("update.update").isNotNull())
-            .select(*keep, device.alias("id"), F.col("update.timestamp").alias("timestamp"), last_per_path(pairs).alias("_last"))
+            .select(*keep, device.alias("id"), F.col("update.timestamp").alias("timestamp"), decoded.alias("_last"))
             .select(*keep, "id", "timestamp", entries("value").alias("data"), entries("number").alias("numbers")))
 
 
@@ -124,10 +123,6 @@ def time_range(df: DataFrame, column: str, start: int | None, end: int | None) -
     return df
 
 
-def valid_requests(requests: DataFrame) -> DataFrame:
-    return requests.filter(F.col("ids").isNotNull())
-
-
 def route_feed(rows: DataFrame, path: str = "keyed_path") -> DataFrame:
     """Discriminate feed rows by their path: score, symptom, activity or metric."""
     p = F.col(path)
@@ -173,8 +168,4 @@ def metric_only(samples: DataFrame, catalog: DataFrame) -> DataFrame:
     """Samples with a value whose metric is in the catalogue."""
     known = catalog.select(F.col("name").alias("metric")).distinct()
     return samples.filter(F.col("v_num").isNotNull() | F.col("v_str").isNotNull()).join(
-        F.broadcast(known) if _is_small(known) else known, "metric", "left_semi")
-
-
-def _is_small(df: DataFrame, limit: int = 50_000) -> bool:
-    return df.limit(limit + 1).count() <= limit
+        known, "metric", "left_semi")
