@@ -31,7 +31,7 @@ KNOWN_WORDS = 1_000_000
 ENCODED_TOGETHER = 5_000
 GAP = 2e-3
 ROUNDS = 1_500
-PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
+PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, ids binary"
 
 
 class WordEncoder:
@@ -124,10 +124,21 @@ def word_encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def id_type(tokenizer: str, end_id: int) -> str:
+    """Two bytes an id if the vocabulary fits, else four."""
+    from tokenizers import Tokenizer
+    return "<u2" if max(end_id + 1, Tokenizer.from_file(tokenizer).get_vocab_size()) <= 1 << 16 else "<u4"
+
+
+def unpacked_ids(ids: bytes, tokenizer: str, end_id: int = END_ID) -> np.ndarray:
+    """The ids of a piece as numbers."""
+    return np.frombuffer(ids, id_type(tokenizer, end_id)).astype(np.int32)
+
+
 def token_pieces(docs: DataFrame, tokenizer: str, sequence: int, end_id: int, with_ids: bool, text: str, doc_id: str) -> DataFrame:
-    """Pieces of at most ``sequence`` ids: all full but the last of a document."""
+    """Pieces of at most ``sequence`` ids: all full but the last of a document. ``ids`` are little-endian numbers of ``id_type``."""
     schema = PIECES if with_ids else PIECES.rsplit(",", 1)[0]
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end, kind = np.array([end_id], dtype="<u4").tobytes(), id_type(tokenizer, end_id)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
@@ -141,11 +152,11 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int, end_id: int, wi
                     for at in range(0, n, sequence):
                         piece = ids[4 * at:4 * (at + sequence)]
                         row = (key, at, len(piece) // 4, zlib.crc32(piece), n)
-                        rows.append((*row, np.frombuffer(piece, "<i4")) if with_ids else row)
+                        rows.append((*row, np.frombuffer(piece, "<u4").astype(kind).tobytes()) if with_ids else row)
                 columns = list(zip(*rows))
                 arrays = [pa.array(c, pa.int64()) for c in columns[:5]]
                 if with_ids:
-                    arrays.append(pa.array(list(columns[5]), pa.list_(pa.int32())))
+                    arrays.append(pa.array(columns[5], pa.binary()))
                 yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in schema.split(", ")])
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema)
 
@@ -252,24 +263,32 @@ def _sequence_of(runs: dict[str, np.ndarray], counts: dict[int, int]):
 
 def packed(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE, unit: int = UNIT, end_id: int = END_ID,
            with_ids: bool = False, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for, ``ids``.
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, if asked for, ``ids`` as bytes:
+    little-endian unsigned numbers of :func:`id_type`, which :func:`unpacked_ids` reads.
 
     A document is its ids and ``end_id``; null text is empty and so has that id alone. Pieces of a document are full sequences and
     one rest, every id in exactly one piece. Long texts only have more pieces. Rows that repeat an id are packed like others, null
     ids too; other columns are not read. An empty table gives no rows. A sequence holds whole pieces, gapless from 0.
     """
     pieces = token_pieces(docs, tokenizer, sequence, end_id, with_ids, text, doc_id)
-    pieces = staged(pieces.withColumn("unit", F.ceil(F.col("length") / F.lit(unit)).cast("int")), "pieces")
-    counts = pieces.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    pieces = staged(pieces.withColumn("unit", F.ceil(F.col("length") / F.lit(unit)).cast("int"))
+                    .withColumn("piece", F.monotonically_increasing_id()), "pieces")  # numbers are fixed with the table
+    slim = pieces.drop("ids")
+    counts = slim.groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
     found = {r["unit"]: r["n"] for r in counts.toPandas().to_dict("records")}  # at most sequence / unit classes
-    if not found:
-        return pieces.drop("unit").withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")})
-    units = np.array(sorted(found), dtype=np.int64)
-    runs = pattern_places(units, np.array([found[u] for u in units.tolist()], dtype=np.int64), -(-sequence // unit))
-    ranked = numbered(pieces, "unit", counts, ["doc_id", "start", "ids_crc32"], "number")
-    placed = ranked.withColumn("sequence_id", _sequence_of(runs, found)("unit", "number"))
-    inside = Window.partitionBy("sequence_id").orderBy(F.desc("unit"), "number").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("unit", "number")
+    if found:
+        units = np.array(sorted(found), dtype=np.int64)
+        runs = pattern_places(units, np.array([found[u] for u in units.tolist()], dtype=np.int64), -(-sequence // unit))
+        ranked = numbered(slim, "unit", counts, ["doc_id", "start", "ids_crc32", "piece"], "number")
+        placed = ranked.withColumn("sequence_id", _sequence_of(runs, found)("unit", "number"))
+        inside = Window.partitionBy("sequence_id").orderBy(F.desc("unit"), "number").rowsBetween(Window.unboundedPreceding, -1)
+        placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("unit", "number")
+    else:
+        placed = slim.drop("unit").withColumns({"sequence_id": F.lit(0).cast("bigint"), "offset": F.lit(0).cast("bigint")})
+    if not with_ids:
+        return placed.drop("piece")
+    # Only here do the ids move, and once.
+    return placed.join(pieces.select("piece", "ids"), "piece").drop("piece")
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
