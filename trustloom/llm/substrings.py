@@ -30,6 +30,7 @@ WINDOW = 35
 CELL_BYTES = 1 << 22
 SHARD_HASHES = 1 << 19
 LEAST_SHARDS = 64
+MOST_BUCKETS = 50_000
 BITS = 44
 ENTRIES = "shard int, cell bigint, kind int, n int, body binary"
 ANSWERS = "cell bigint, kind int, shard int, n int, bits binary"
@@ -208,14 +209,25 @@ def _cut(window: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
     return cut
 
 
+def bucket_count(cells: int, partitions: int) -> int:
+    """Buckets of four cells, or of more where there would be more than ``MOST_BUCKETS`` (Spark takes 100,000 at most)."""
+    return min(MOST_BUCKETS, max(partitions, cells // 4))
+
+
 def stored_cells(rows: DataFrame, cells: int) -> DataFrame:
-    """The rows as a table in buckets by cell, below the shared folder."""
+    """The rows in buckets by cell, sorted by it, below the shared folder.
+
+    Spark knows buckets of tables only; the name is dropped at once, the files and the plan that reads them stay.
+    """
     spark = rows.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), cells // 4)
+    buckets = bucket_count(cells, int(spark.conf.get("spark.sql.shuffle.partitions")))
     name = f"cells_{uuid.uuid4().hex}"
     (rows.repartition(buckets, "cell").write.format("parquet").bucketBy(buckets, "cell").sortBy("cell")
      .option("compression", "zstd").option("path", shared_dir(spark, "cells")).saveAsTable(name))
-    return spark.table(name)
+    stored = spark.table(name)
+    stored.schema  # resolved while the name is there
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, text: str = "text", payload: Column | None = None) -> DataFrame:
