@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 
@@ -205,6 +206,16 @@ def brute_targets(sizes, factor=1.5, most=2.0):
         full |= over
 
 
+def test_buckets_stay_below_the_limit():
+    cells = [-(-size // substrings.CELL_BYTES) for size in (0, 10**9, 10**12, 10**14, 10**16)]
+    assert [substrings.bucket_count(c, 200) for c in cells] == [200, 200, 50_000, 50_000, 50_000] and substrings.bucket_count(1, 10**6) == 50_000
+
+
+def test_no_table_stays_in_the_catalogue(spark, docs):
+    before = {t.name for t in spark.catalog.listTables()}
+    assert substrings.substring_dedup(docs).count() == docs.count() and {t.name for t in spark.catalog.listTables()} == before
+
+
 def test_mixing(docs, texts, odd, empty):
     sizes = collections.defaultdict(int)
     for t, s in texts:
@@ -293,7 +304,7 @@ def test_packing(spark, docs, texts, odd, empty):
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
     want = {i: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 1] for i, (t, _) in enumerate(texts)}
-    pieces = packing.packed(docs, path, with_ids=True).collect()
+    pieces = [Row(**{**p.asDict(), "ids": packing.unpacked_ids(p.ids, path).tolist()}) for p in packing.packed(docs, path, with_ids=True).collect()]
     back, held = collections.defaultdict(dict), collections.defaultdict(list)
     for p in pieces:
         assert p.length == len(p.ids) <= 2048 and p.doc_tokens == len(want[p.doc_id])
@@ -306,6 +317,7 @@ def test_packing(spark, docs, texts, odd, empty):
         assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
     assert sorted(held) == list(range(len(held)))
     assert packing.packed(odd, path).count() == odd.count() and packing.packed(empty, path).count() == 0
+    assert packing.packed(empty, path, with_ids=True).collect() == []
 
 
 def test_word_encoder_follows_the_tokenizer():

@@ -1,16 +1,18 @@
 """Every stage of the corpus pipeline against a plain version on its own input."""
 
 import collections
+import os
 import random
 import re
+from urllib.parse import urlparse
 
 import corpus_pipeline
 import pytest
 from test_operators import WORD, brute_components, brute_targets, make_texts
 from tokenizers import Tokenizer
 
-from trustloom.llm.packing import vocabulary_path
-from trustloom.session import staged
+from trustloom.llm.packing import unpacked_ids, vocabulary_path
+from trustloom.session import recorded, staged
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -102,8 +104,9 @@ def test_sequences_can_be_rebuilt_from_the_last_table(stages):
         ids = [*tokenizer.encode(r.text, add_special_tokens=False).ids, 1]
         want.update((r.doc_id, s, tuple(ids[s:s + 2048])) for s in range(0, len(ids), 2048))
     for p in after:
-        got[p.doc_id, p.start, tuple(p.ids)] += 1
-        at[p.sequence_id][p.offset] = p.ids
+        ids = unpacked_ids(p.ids, vocabulary_path()).tolist()
+        got[p.doc_id, p.start, tuple(ids)] += 1
+        at[p.sequence_id][p.offset] = ids
     assert got == want and max(collections.Counter(d for d, s, _ in got.elements() if s == 0).values()) > 1
     for parts in at.values():
         sequence = [x for offset in sorted(parts) for x in parts[offset]]
@@ -115,3 +118,16 @@ def test_run_gives_the_same_pieces(spark, stages):
     def key(r):
         return r.doc_id, r.start, r.length, r.ids_crc32
     assert sorted(map(key, rows.collect())) == sorted(map(key, stages[2][-1][-1]))
+
+
+def test_an_empty_table_goes_through_all_stages(spark, stages, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{stages[0]}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.collect() == [] and "ids" in out.columns
+
+
+def test_only_the_last_table_stays(spark, stages):
+    with recorded() as tables:
+        corpus_pipeline.run(spark, stages[0])
+    assert len(tables) > 5 and [os.path.isdir(urlparse(t).path) for t in tables] == [False] * (len(tables) - 1) + [True]
