@@ -34,7 +34,7 @@ def test_ring_features_do_not_depend_on_chunks(samples):
 
 
 def test_chunks_are_really_cut(samples):
-    cut = skew.split_series(samples, list(series.SERIES), series.hour_bucket(), 60, 80)
+    cut = skew.split_series(samples, list(series.SERIES), ("ts", "seq"), 60, 150)
     sizes = {r["_chunk"]: r["count"] for r in cut.filter("host = 'hot'").groupBy("_chunk").count().collect()}
     assert len(sizes) > 4
     assert skew.drop_halo(cut).count() == samples.count()
@@ -88,15 +88,35 @@ def test_exact_quantile(spark, q, n):
     assert skew.exact_quantile(df, ["k"], "v", q, "x").first()["x"] == pytest.approx(float(np.quantile(data, q)), abs=1e-12)
 
 
+@pytest.mark.parametrize("most", [1, 40])
+def test_quantiles_by_narrowing(spark, most):
+    import numpy as np
+    draw = np.random.default_rng(3)
+    data = {"even": draw.normal(size=4_000), "ties": draw.integers(0, 3, 2_000).astype(float), "one": np.array([7.0]), "far": np.concatenate([np.zeros(3_000), [1e9]])}
+    df = spark.createDataFrame([(k, float(x)) for k, own in data.items() for x in own], "k string, v double").repartition(5)
+    for q in (0.0, 0.5, 0.937, 1.0):
+        got = {r["k"]: r["x"] for r in skew.exact_quantile(df, ["k"], "v", q, "x", most=most).collect()}
+        assert got == {k: pytest.approx(float(np.quantile(own, q)), rel=1e-12, abs=1e-12) for k, own in data.items()}
+
+
+def test_edge_rows_and_totals_of_hot_keys(spark):
+    df = spark.createDataFrame([("k", i // 7, i) for i in range(200)] + [("c", 1, 1), (None, 2, 2)], "k string, ts int, seq int").repartition(4)
+    for newest in (True, False):
+        whole = values(skew.edge_rows(df, ["k"], ("ts", "seq"), 5, newest), "seq", "_rank")
+        assert whole == values(skew.edge_rows(df, ["k"], ("ts", "seq"), 5, newest, chunk_rows=9), "seq", "_rank") and len(whole) == 7
+    plain = {(r["k"], r["seq"]): r["sum"] for r in skew.running_total(df, ["k"], ("ts", "seq"), "seq", "sum").collect()}
+    assert plain == {(r["k"], r["seq"]): r["sum"] for r in skew.running_total(df, ["k"], ("ts", "seq"), "seq", "sum", chunk_rows=9).collect()}
+
+
 @pytest.mark.parametrize("depth", [2, 30])
-def test_crowded_buckets_keep_their_neighbours(spark, depth):
-    """Buckets larger than a chunk, followed by chunks shorter than the frame."""
+def test_crowded_moments_keep_their_neighbours(spark, depth):
+    """Rows of one moment are more than a chunk; the last chunk is shorter than the frame."""
     hours = [0] * 100 + [1] + [2] * 7 + [3] * 40 + [4] * 3 + [5] * 200 + [9, 9, 10]
-    rows = [("k", h * series.BUCKET_NS + i, i) for i, h in enumerate(hours)]
+    rows = [("k", h * 3600, i) for i, h in enumerate(hours)]
     df = spark.createDataFrame(rows, "k string, ts bigint, v bigint")
-    window = Window.partitionBy("k", "_chunk").orderBy("ts").rowsBetween(-depth, 0)
+    window = Window.partitionBy("k", "_chunk").orderBy("ts", "v").rowsBetween(-depth, 0)
 
     def sums(chunk_rows):
-        cut = skew.split_series(df, ["k"], series.hour_bucket(), depth, chunk_rows)
+        cut = skew.split_series(df, ["k"], ("ts", "v"), depth, chunk_rows)
         return values(skew.drop_halo(cut.withColumn("s", F.sum("v").over(window))), "v", "s")
     assert sums(3) == sums(10_000)

@@ -279,12 +279,11 @@ def sessions(rows: DataFrame, key: str, seconds: str, order: Sequence[str],
     Gaps are marked with a lag, numbered by a running total and then aggregated,
     so a hot key is cut along time.
     """
-    bucket = F.floor(F.col(seconds) / 3600)
-    cut = split_series(rows, [key], bucket, 2, chunk_rows)
+    cut = split_series(rows, [key], order, 2, chunk_rows)
     w = Window.partitionBy(key, "_chunk").orderBy(*order)
     marked = drop_halo(cut.withColumn("_new", F.coalesce(
         (F.col(seconds) - F.lag(seconds).over(w) >= minutes * 60).cast("bigint"), F.lit(1))))
-    numbered = running_total(marked, [key], bucket, [F.col(c) for c in order], "_new", "session_no",
+    numbered = running_total(marked, [key], order, "_new", "session_no",
                              chunk_rows)
     return numbered.groupBy(key, "session_no").agg(
         F.min(seconds).alias("start_s"), F.max(seconds).alias("end_s"),
@@ -298,9 +297,7 @@ def sign_agreements(users: DataFrame, signed: DataFrame, chunk_rows: int = CHUNK
     """
     last = users.select(F.col("id").alias("user_id"), F.coalesce(
         F.try_element_at("tlas", F.lit(-1))["id"].cast("bigint"), F.lit(0)).alias("_last"))
-    counted = running_total(signed.withColumn("_one", F.lit(1)), ["user_id"],
-                            F.floor(F.col("seq") / 100_000), [F.col("seq")], "_one", "_nth",
-                            chunk_rows)
+    counted = running_total(signed.withColumn("_one", F.lit(1)), ["user_id"], ["seq"], "_one", "_nth", chunk_rows)
     return counted.join(last, "user_id").select(
         "user_id", (F.col("_last") + F.col("_nth")).cast("string").alias("tla_id"), "related_ns")
 

@@ -16,7 +16,7 @@ from trustloom.functions.paths import full_name, parent_path
 from trustloom.functions.scalar import half_even, severity_weight
 from trustloom.functions.skew import (CHUNK_ROWS, drop_halo, running_total,
                                       split_series)
-from trustloom.operators.series import SERIES, hour_bucket, typed
+from trustloom.operators.series import SERIES, typed
 from trustloom.session import staged
 
 SAMPLES_PER_MIN = 20
@@ -172,7 +172,7 @@ def series_states(samples: DataFrame, steady: list[int], moving: list[int], list
     ``over`` has for every n of ``steady`` the range of the newest n values and how many there are, and for the n of ``listed`` the values
     themselves; ``moves`` has the dynamicity for every n of ``moving``. Entries are there once a series has n samples.
     """
-    cut = split_series(samples, SERIES, hour_bucket(), max([1, *steady, *moving]) + 1, chunk_rows)
+    cut = split_series(samples, SERIES, ("ts", "seq"), max([1, *steady, *moving]) + 1, chunk_rows)
     w = Window.partitionBy(*SERIES, "_chunk").orderBy("ts", "seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     step = F.coalesce((F.lag("v_str").over(w) != F.col("v_str")).cast("int"), F.lit(0))
@@ -331,12 +331,11 @@ def symptom_intervals(states: DataFrame, keys: list[str], chunk_rows: int = CHUN
     A change counter numbers the runs. It is a running total, cut for hot keys,
     and the runs are then plain aggregates.
     """
-    bucket = hour_bucket()
     w = Window.partitionBy(*keys, "_chunk").orderBy("ts", "seq")
-    cut = split_series(states, keys, bucket, 2, chunk_rows)
+    cut = split_series(states, keys, ("ts", "seq"), 2, chunk_rows)
     marked = drop_halo(cut.withColumn("_turn", F.coalesce(
         (F.lag("hit").over(w) != F.col("hit")).cast("bigint"), F.lit(0))))
-    numbered = running_total(marked, keys, bucket, [F.asc("ts"), F.asc("seq")], "_turn", "_run",
+    numbered = running_total(marked, keys, ("ts", "seq"), "_turn", "_run",
                              chunk_rows)
     return (numbered.filter("hit").groupBy(*keys, "_run")
             .agg(F.min("ts").alias("start_ts"), F.max("ts").alias("stop_ts"),

@@ -8,15 +8,10 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from trustloom.functions.skew import CHUNK_ROWS, drop_halo, edge_rows, split_series
-from trustloom.functions.scalar import NS_PER_SECOND, half_even
+from trustloom.functions.scalar import half_even
 
 SERIES = ("host", "path", "entity", "metric")
 RING = 60
-BUCKET_NS = 3600 * NS_PER_SECOND
-
-
-def hour_bucket() -> Column:
-    return F.floor(F.col("ts") / F.lit(BUCKET_NS))
 
 
 def typed(samples: DataFrame, catalog: DataFrame | None = None,
@@ -48,7 +43,7 @@ def typed(samples: DataFrame, catalog: DataFrame | None = None,
 def prepared(samples: DataFrame, depth: int, keys: Sequence[str] = SERIES,
              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Samples cut so that frames of ``depth`` rows stay inside (keys, _chunk)."""
-    return split_series(samples, keys, hour_bucket(), depth, chunk_rows)
+    return split_series(samples, keys, ("ts", "seq"), depth, chunk_rows)
 
 
 def series_window(keys: Sequence[str] = SERIES) -> WindowSpec:
@@ -143,8 +138,7 @@ def newest(samples: DataFrame, keys: Sequence[str] = SERIES) -> DataFrame:
 def newest_n(samples: DataFrame, n: int, keys: Sequence[str] = SERIES,
              chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """The newest ``n`` samples of each series."""
-    return edge_rows(samples, keys, hour_bucket(), [F.desc("ts"), F.desc("seq")], n,
-                     chunk_rows=chunk_rows)
+    return edge_rows(samples, keys, ("ts", "seq"), n, chunk_rows=chunk_rows)
 
 
 def change_only(samples: DataFrame, keys: Sequence[str] = SERIES,

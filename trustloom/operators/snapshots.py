@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from trustloom.functions.hof import let
 from trustloom.functions.scalar import hex_to_int, little_endian_ip, ratio_percent
 from trustloom.functions.skew import CHUNK_ROWS, drop_halo, split_series
+from trustloom.session import staged
 
 RAW = ("host", "ts", "category", "entity", "attr", "value")
-HOUR_NS = 3600 * 1_000_000_000
 
 # Process state letters and their counters.
 PROCESS_STATES = {
@@ -166,7 +166,7 @@ def cpu_times(snapshots: DataFrame, ms_per_tick: int = 100) -> DataFrame:
 
 def cpu_periods(times: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Add period and percent of every time against the tick before; the first tick has 0."""
-    cut = split_series(times, ["host", "entity"], F.floor(F.col("ts") / HOUR_NS), 2, chunk_rows)
+    cut = split_series(times, ["host", "entity"], ["ts"], 2, chunk_rows)
     w = Window.partitionBy("host", "entity", "_chunk").orderBy("ts")
     periods = {f"{n}_period": F.col(f"{n}_time") - F.coalesce(
         F.lag(f"{n}_time").over(w), F.col(f"{n}_time")) for n in CPU_TIMES}
@@ -225,7 +225,8 @@ def disks(snapshots: DataFrame) -> DataFrame:
 
 def disk_busy(rows: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Percent of the wall time each disk spent reading, writing, in io and discarding."""
-    cut = split_series(rows, ["host", "entity"], F.floor(F.col("ts") / HOUR_NS), 2, chunk_rows)
+    rows = staged(rows, "disks")  # sizes of the series are counted first; the joins behind the rows run once
+    cut = split_series(rows, ["host", "entity"], ["ts"], 2, chunk_rows)
     w = Window.partitionBy("host", "entity", "_chunk").orderBy("ts")
     wall_ms = (F.col("ts") - F.lag("ts").over(w)) / 1_000_000
     kinds = ("writting", "reading", "io", "discarding")

@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from trustloom.functions.skew import CHUNK_ROWS, drop_halo, edge_rows, split_series
-from trustloom.operators.series import hour_bucket
 from trustloom.streaming.state import START, read_state, touched_buckets, write_state
 
 SAMPLE = ("ts", "seq", "v_num")
@@ -30,7 +29,7 @@ def ring_rows(samples: DataFrame, keys: Sequence[str], ring: int = 60, sustain:
     depth = max(ring, sustain)
     w = Window.partitionBy(*keys, "_chunk").orderBy("ts", "seq")
     newest, recent = w.rowsBetween(-(ring - 1), 0), w.rowsBetween(-(sustain - 1), 0)
-    return drop_halo(split_series(samples, keys, hour_bucket(), depth, chunk_rows).withColumns({
+    return drop_halo(split_series(samples, keys, ("ts", "seq"), depth, chunk_rows).withColumns({
         "ring_size": F.count(F.lit(1)).over(newest), "ring_mean": F.avg("v_num").over(newest),
         "ring_delta": F.col("v_num") - F.first("v_num").over(newest),
         "changed": (F.row_number().over(w) == 1) | ~F.col("v_num").eqNullSafe(F.lag("v_num").over(w)),
@@ -39,8 +38,7 @@ def ring_rows(samples: DataFrame, keys: Sequence[str], ring: int = 60, sustain:
 
 def newest_samples(samples: DataFrame, keys: Sequence[str], depth: int, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """What the state keeps: the newest ``depth`` samples per series."""
-    newest = [F.desc("ts"), F.desc("seq")]
-    return edge_rows(samples, keys, hour_bucket(), newest, depth, chunk_rows=chunk_rows).select(*keys, *SAMPLE)
+    return edge_rows(samples, keys, ("ts", "seq"), depth, chunk_rows=chunk_rows).select(*keys, *SAMPLE)
 
 
 def start_state(samples: DataFrame, keys: Sequence[str], path: str, depth: int) -> None:
