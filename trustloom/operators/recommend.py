@@ -12,6 +12,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from trustloom.functions.hof import let
 from trustloom.functions.text import list_map, words
 
+FEATURES = 1 << 18
+
 # Score weights of the blend and the rank thresholds.
 COSINE_WEIGHT, MODEL_WEIGHT = 0.3, 0.7
 MIN_SCORE = 0.3
@@ -174,39 +176,41 @@ def chosen_rules(full_rules: DataFrame, chosen: DataFrame) -> DataFrame:
         "name", "path", "severity", "rule")
 
 
-def train_classifiers(training: DataFrame, labels: Sequence[str], max_terms: int | None = None,
-                      text: str = "text", max_iter: int = 50):
-    """One balanced logistic regression per label column (0/1) over TF-IDF features.
+def label_weights(training: DataFrame, labels: Sequence[str]) -> DataFrame:
+    """``label, positives, n, weight_1, weight_0``: weights that balance each label column (0/1); NULL for a class without rows."""
+    long = training.unpivot([], list(labels), "label", "value")
+    counts = long.groupBy("label").agg(F.coalesce(F.sum("value"), F.lit(0)).cast("bigint").alias("positives"), F.count(F.lit(1)).alias("n"))
+    n, positives = F.col("n"), F.col("positives")
+    return counts.select("label", "positives", "n", F.try_divide(n, 2.0 * positives).alias("weight_1"), F.try_divide(n, 2.0 * (n - positives)).alias("weight_0"))
+
+
+def train_classifiers(training: DataFrame, labels: Sequence[str], width: int = FEATURES, text: str = "text", max_iter: int = 50):
+    """One balanced logistic regression per label column (0/1) over TF-IDF features of unit length.
 
-    All terms are features unless ``max_terms`` is given. Returns a pipeline model that adds ``p_<label>`` struct columns through
-    :func:`classify`. The loop is over the label names, not over data.
+    Terms are hashed to ``width`` features, so all terms count and what reaches the driver (a weight per feature and label) has a
+    fixed size, however large the vocabulary; terms that share a feature share its weight. Returns a pipeline model that adds
+    ``p_<label>`` struct columns through :func:`classify`. The loop is over the label names, not over data.
     """
-    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml import PipelineModel
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normalizer
+    from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer
     from pyspark.ml.linalg import Vectors
-    rows = training.withColumn("_tokens", words(F.col(text)))
-    counts = Pipeline(stages=[
-        CountVectorizer(inputCol="_tokens", outputCol="_tf", vocabSize=max_terms or 1 << 24),
-        IDF(inputCol="_tf", outputCol="_idf")]).fit(rows)
-    vectorizer, idf = counts.stages
-    scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense(
-        [x + 1.0 for x in idf.idf.toArray()]))
-    features = PipelineModel([vectorizer, scale,
-                              Normalizer(inputCol="_tfidf", outputCol="_features", p=2.0)])
-    ready = features.transform(rows).select("_features", *labels).persist()
-    stats = ready.agg(F.count(F.lit(1)).alias("n"), *[F.sum(x).alias(x) for x in labels]).first()
+    hashed = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=width)
+    rows = hashed.transform(training.withColumn("_tokens", words(F.col(text))))
+    idf = IDF(inputCol="_tf", outputCol="_idf").fit(rows)
+    scale = ElementwiseProduct(inputCol="_tf", outputCol="_tfidf", scalingVec=Vectors.dense(idf.idf.toArray() + 1.0))
+    features = PipelineModel([hashed, scale, Normalizer(inputCol="_tfidf", outputCol="_features", p=2.0)])
+    ready = features.transform(training.withColumn("_tokens", words(F.col(text)))).select("_features", *labels).persist()
+    weights = {r["label"]: r for r in label_weights(ready.select(*labels), labels).collect()}  # a row per label
     models = {}
     for label in labels:
-        positive = float(stats[label] or 0)
-        total = float(stats["n"])
-        if positive in (0.0, total):
+        own = weights.get(label)
+        if own is None or own["weight_1"] is None or own["weight_0"] is None:
             models[label] = None
             continue
-        weight = F.when(F.col(label) == 1, total / (2 * positive)).otherwise(
-            total / (2 * (total - positive)))
+        weight = F.when(F.col(label) == 1, own["weight_1"]).otherwise(own["weight_0"])
         models[label] = LogisticRegression(
-            featuresCol="_features", labelCol=label, weightCol="_weight", regParam=1.0 / total,
+            featuresCol="_features", labelCol=label, weightCol="_weight", regParam=1.0 / own["n"],
             elasticNetParam=0.0, standardization=False, maxIter=max_iter,
             probabilityCol=f"_p_{label}", rawPredictionCol=f"_r_{label}",
             predictionCol=f"_c_{label}").fit(ready.withColumn("_weight", weight))

@@ -202,18 +202,44 @@ def chosen_rules(spark, folder):
     return recommend.chosen_rules(rules, chosen)
 
 
+def _training(spark, folder):
+    return _documents(spark, folder).select("doc_id", "text").join(table(spark, folder, "labels"), "doc_id")
+
+
+def label_features(spark, folder):
+    """TF-IDF features of all labelled documents, summed up per document."""
+    rows, tokens = _training(spark, folder), words(F.col("text"))
+    terms = similarity.vocabulary(rows, tokens)
+    vectors = similarity.text_vectors(rows, "doc_id", tokens, terms)
+    weights = F.col("weights")
+    return vectors.select("doc_id", F.size("nos").alias("terms"), F.round(F.array_max(weights), 9).alias("largest"),
+                          F.round(F.aggregate(weights, F.lit(0.0), lambda a, w: a + w), 9).alias("sum"))
+
+
+def label_weights(spark, folder):
+    out = recommend.label_weights(_training(spark, folder).select("quality", "toxic"), ["quality", "toxic"])
+    return out.select("label", "positives", "n", F.round("weight_1", 12).alias("weight_1"), F.round("weight_0", 12).alias("weight_0"))
+
+
+def masked_scores(spark, folder):
+    """Scores of two rules per document, kept where the texts are similar as well."""
+    n = table(spark, folder, "benchmark").agg(F.count(F.lit(1)).alias("n"))
+    pairs = table(spark, folder, "documents").select("doc_id").crossJoin(F.broadcast(n)).select(  # one row
+        F.col("doc_id").alias("query_id"), F.explode(F.array_distinct(F.array(F.col("doc_id") % F.col("n"), (F.col("doc_id") * 7 + 1) % F.col("n")))).alias("rule_id"),
+        (F.col("doc_id") % 100 / 100).alias("score"))
+    return recommend.masked_scores(pairs, _cosine(spark, folder))
+
+
 def label_classifier(spark, folder):
     """Probabilities of the two labels for every document."""
-    documents = _documents(spark, folder).select("doc_id", "text")
-    training = documents.join(table(spark, folder, "labels"), "doc_id")
-    trained = recommend.train_classifiers(training, ["quality", "toxic"], max_iter=20)
-    return recommend.classify(documents, trained, "doc_id")
+    trained = recommend.train_classifiers(_training(spark, folder), ["quality", "toxic"], max_iter=20)
+    return recommend.classify(_documents(spark, folder).select("doc_id", "text"), trained, "doc_id")
 
 
 QUERIES = {f.__name__: f for f in (
     text_tokens, term_frequencies, phrase_counts, category_assign, vocabulary_idf, vocabulary_top, tfidf_cosine, topk_rules, recommendation_log,
     explain_terms, dense_cosine_topk, hybrid_topk, encoded_texts, model_scores, score_blend, eval_micro_f1, invalid_labels, query_augmentation, synonym_lookup,
-    synonym_table, chosen_rules, label_classifier)}
+    synonym_table, chosen_rules, label_features, label_weights, masked_scores, label_classifier)}
 
 TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 COS = f"""WITH bt AS (SELECT item_id, unnest({TOK}) AS term FROM benchmark), bc AS (SELECT item_id, term, count(*) AS tf FROM bt GROUP BY 1, 2),
@@ -270,6 +296,19 @@ ORACLE = {
     "encoded_texts": """
         SELECT conv_id, turn, array_to_string(list_transform(['a', 'e', 'i', 'o', 'u'], lambda v: length(text) - length(replace(text, v, ''))), ',') AS vector
         FROM conversations""",
+    "label_features": f"""
+        WITH d AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id)), t AS (SELECT doc_id, unnest({TOK}) AS term FROM d),
+        c AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2),
+        v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM d)) / (1.0 + count(*))) + 1 AS idf FROM c WHERE length(term) >= 2 GROUP BY 1),
+        w AS (SELECT doc_id, tf * idf AS w FROM c JOIN v USING (term))
+        SELECT doc_id, count(*)::INTEGER AS terms, round(max(w) / sqrt(sum(w * w)), 9) AS largest, round(sum(w) / sqrt(sum(w * w)), 9) AS sum FROM w GROUP BY 1""",
+    "label_weights": """
+        WITH d AS (SELECT quality, toxic FROM documents JOIN labels USING (doc_id)), l AS (SELECT 'quality' AS label, quality AS v FROM d UNION ALL SELECT 'toxic', toxic FROM d),
+        c AS (SELECT label, coalesce(sum(v), 0)::BIGINT AS positives, count(*) AS n FROM l GROUP BY 1)
+        SELECT label, positives, n, round(n / nullif(2.0::DOUBLE * positives, 0), 12) AS weight_1, round(n / nullif(2.0::DOUBLE * (n - positives), 0), 12) AS weight_0 FROM c""",
+    "masked_scores": f"""{COS}, b AS (SELECT count(*) AS n FROM benchmark),
+        p AS (SELECT doc_id AS query_id, unnest(list_distinct([doc_id % n, (doc_id * 7 + 1) % n])) AS rule_id, doc_id % 100 / 100 AS score FROM documents, b)
+        SELECT query_id, rule_id, p.score FROM p SEMI JOIN (SELECT query_id, rule_id FROM cs WHERE score >= 0.3) m USING (query_id, rule_id)""",
     "text_tokens": f"""
         WITH t AS (SELECT item_id, {TOK} AS w FROM benchmark),
         p AS (SELECT item_id, unnest(range(1, len(w))) AS i, w FROM t),

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from trustloom.operators.flatten import parse_snapshots
 from trustloom.operators.rules import valid_severity
 from trustloom.sources import schemas
+from trustloom.sources.json_array import json_objects
 
 
 def kafka_options(servers: str, topic: str, extra: Mapping[str, str] | None = None) -> dict[str, str]:
@@ -45,8 +46,8 @@ def request_stream(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def snapshot_file(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array (or lines) of health messages; a missing path raises at once."""
-    return spark.read.schema(schemas.SNAPSHOT).json(path, multiLine=True)
+    """A JSON array (or lines) of health messages, read by ranges; a missing path raises at once."""
+    return json_objects(spark, path).select(F.from_json("value", schemas.SNAPSHOT).alias("m")).select("m.*")
 
 
 def snapshot_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -122,10 +123,8 @@ def user_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def concept_records(spark: SparkSession, path: str) -> DataFrame:
-    """``concept, record`` of a JSON array of single-key objects."""
-    text = spark.read.text(path, wholetext=True)
-    parsed = F.from_json("value", "array<map<string,map<string,string>>>")
-    one = text.select(F.explode(parsed).alias("m"))
+    """``concept, record`` of a JSON array of single-key objects, read by ranges."""
+    one = json_objects(spark, path).select(F.from_json("value", "map<string,map<string,string>>").alias("m"))
     return one.select(F.explode("m").alias("concept", "record"))
 
 
