@@ -1,4 +1,4 @@
-"""Small fixed tables and small fetched dimensions as local relations."""
+"""Small fixed tables as local relations."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-LOCAL_ROWS = 1_000
-
 
 def local_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFrame:
     """Rows of a fixed table as a local relation."""
@@ -17,13 +15,3 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], ddl: str) -> DataFra
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     table = pa.table({f.name: pa.array(list(c)) for f, c in zip(schema, columns)})
     return spark.createDataFrame(table, schema)
-
-
-def fetched(dimension: DataFrame, max_rows: int = LOCAL_ROWS) -> pa.Table | None:
-    """The rows of a dimension if there are at most ``max_rows``, else None."""
-    head = dimension.limit(max_rows + 1).toArrow()
-    return head if head.num_rows <= max_rows else None
-
-
-def as_local(dimension: DataFrame, table: pa.Table) -> DataFrame:
-    return dimension.sparkSession.createDataFrame(table, dimension.schema)

@@ -166,27 +166,35 @@ def compare(op: Column, left: Column, right: Column) -> Column:
 NOW = "struct<n:int,nums:bigint,low:double,high:double,texts:bigint,first:string,last:string,numbers:array<double>,words:array<string>>"
 
 
-def series_states(samples: DataFrame, steady: list[int], moving: list[int], listed: list[int], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def series_states(samples: DataFrame, steady: dict[int, set[str]], moving: list[int], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Samples with what rules ask of their series, in one pass over it.
 
-    ``over`` has for every n of ``steady`` the range of the newest n values and how many there are, and for the n of ``listed`` the values
-    themselves; ``moves`` has the dynamicity for every n of ``moving``. Entries are there once a series has n samples.
+    ``over`` has an entry for every n of ``steady`` with what is asked of the newest n values: the range of the numbers or words and how
+    many there are, or the values themselves (``number, word, numbers, words``); ``moves`` has the dynamicity for every n of
+    ``moving``. Entries are there once a series has n samples.
     """
     cut = split_series(samples, SERIES, ("ts", "seq"), max([1, *steady, *moving]) + 1, chunk_rows)
     w = Window.partitionBy(*SERIES, "_chunk").orderBy("ts", "seq")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     step = F.coalesce((F.lag("v_str").over(w) != F.col("v_str")).cast("int"), F.lit(0))
-    rows = cut.withColumns({"_len": F.row_number().over(w), "_step": step}).withColumn("_steps", F.sum("_step").over(upto))
+    rows = cut.withColumns({"_len": F.row_number().over(w), "_step": step}).withColumns({
+        "_steps": F.sum("_step").over(upto), "_nums": F.count("v_num").over(upto), "_texts": F.count("v_str").over(upto)})
 
     def recent(n: int):
         return w.rowsBetween(-(n - 1), 0)
 
+    def held(count: str, n: int) -> Column:
+        return F.col(count) - F.coalesce(F.lag(count, n).over(w), F.lit(0))
+
     def ranged(n: int) -> Column:
-        frame = recent(n)
-        values = [F.collect_list("v_num").over(frame), F.collect_list("v_str").over(frame)] if n in listed else [F.lit(None), F.lit(None)]
+        frame, asked = recent(n), steady[n]
+
+        def maybe(kind: str, value: Column) -> Column:
+            return value if kind in asked else F.lit(None)
         return F.when(F.col("_len") >= n, F.struct(
-            F.lit(n), F.count("v_num").over(frame), F.min("v_num").over(frame), F.max("v_num").over(frame),
-            F.count("v_str").over(frame), F.min("v_str").over(frame), F.max("v_str").over(frame), *values).cast(NOW))
+            F.lit(n), held("_nums", n), maybe("number", F.min("v_num").over(frame)), maybe("number", F.max("v_num").over(frame)),
+            held("_texts", n), maybe("word", F.min("v_str").over(frame)), maybe("word", F.max("v_str").over(frame)),
+            maybe("numbers", F.collect_list("v_num").over(frame)), maybe("words", F.collect_list("v_str").over(frame))).cast(NOW))
 
     def moved(n: int) -> Column:
         back = F.coalesce(F.lag("v_num", n).over(w), F.lag("v_num", n - 1).over(w) if n > 1 else F.col("v_num"))
@@ -202,7 +210,7 @@ def series_states(samples: DataFrame, steady: list[int], moving: list[int], list
 
     def known(entries: list[Column], kind: str) -> Column:
         return F.filter(F.array(*entries), lambda e: e.isNotNull()) if entries else F.array().cast(kind)
-    rows = rows.withColumns({"over": known([ranged(n) for n in steady], f"array<{NOW}>"),
+    rows = rows.withColumns({"over": known([ranged(n) for n in sorted(steady)], f"array<{NOW}>"),
                              "moves": known([moved(n) for n in moving], "array<struct<n:int,value:double>>")})
     return drop_halo(rows).select(*TICK, "metric", "v_num", "v_str", "over", "moves")
 
@@ -211,7 +219,7 @@ def _every(op: Column, low: Column, high: Column, values: Column, constant: Colu
     """Whether all values of a range compare so with the constant."""
     return (F.when(op == "<", high < constant).when(op == "<=", high <= constant).when(op == ">", low > constant)
             .when(op == ">=", low >= constant).when(op == "==", (low == constant) & (high == constant))
-            .when(op == "!=", (constant < low) | (constant > high) | ~F.array_contains(values, constant)))
+            .when(op == "!=", ~F.array_contains(values, constant)))
 
 
 def _states(item: Column, operand: Column) -> Column:
@@ -242,11 +250,13 @@ def rule_hits(samples: DataFrame, clauses: DataFrame, chunk_rows: int = CHUNK_RO
     samples = typed(samples)
     clauses = clauses.filter("valid").withColumn("_operands", F.count(F.lit(1)).over(Window.partitionBy("rule_id")))
     clauses = staged(clauses.withColumns({"weight": severity_weight(F.col("severity")), "_window": (F.col("n") > 1) | F.col("dynamicity")}), "clauses")
-    shapes = clauses.groupBy("n", "dynamicity", (F.col("op") == "!=").alias("unequal")).agg(
-        F.bool_or("_window").alias("window"), F.bool_or(F.col("_operands") > 1).alias("several")).collect()  # a few window lengths
-    steady = sorted({r["n"] for r in shapes if not r["dynamicity"] and r["n"] > 1})
+    shapes = clauses.groupBy("n", "dynamicity", (F.col("op") == "!=").alias("unequal"), F.col("rhs_num").isNotNull().alias("number")).agg(
+        F.bool_or(F.col("_operands") > 1).alias("several")).collect()  # a few window lengths
+    steady: dict[int, set[str]] = {}
+    for r in shapes:
+        if r["n"] > 1 and not r["dynamicity"]:
+            steady.setdefault(r["n"], set()).add(("number" if r["number"] else "word") + ("s" if r["unequal"] else ""))
     moving = sorted({r["n"] for r in shapes if r["dynamicity"]})
-    listed = sorted({r["n"] for r in shapes if r["unequal"] and not r["dynamicity"] and r["n"] > 1})
 
     def metrics(which: Column) -> DataFrame:
         return clauses.filter(which).select("path", "metric").distinct()
@@ -257,16 +267,16 @@ def rule_hits(samples: DataFrame, clauses: DataFrame, chunk_rows: int = CHUNK_RO
     kept = None
     if steady or moving:
         watched = samples.join(metrics(F.col("_window")), ["path", "metric"], "left_semi")
-        kept = series_states(watched, steady, moving, listed, chunk_rows)
+        kept = series_states(watched, steady, moving, chunk_rows)
     single, item = F.col("_operands") == 1, F.struct("v_num", "v_str", "over", "moves")
 
-    def alone(rows: DataFrame, which: Column) -> DataFrame:
-        mine = clauses.filter(single & which).select("path", *rule, operand, F.col("metric"))
-        state = rows.join(mine, ["path", "metric"]).withColumn("_state", _states(item, F.col("o")))
-        return state.filter(F.col("_state.ready") & F.col("_state.held")).select(*rule, *TICK)
-    hits = alone(plain, ~F.col("_window"))
+    now = clauses.filter(single & ~F.col("_window")).select("path", "metric", *rule, "op", "rhs_num", "rhs_str")
+    held = F.coalesce(compare(F.col("op"), F.col("v_num"), F.col("rhs_num")), compare(F.col("op"), F.col("v_str"), F.col("rhs_str")), F.lit(False))
+    hits = samples.join(now, ["path", "metric"]).filter(held).select(*rule, *TICK)
     if kept is not None:
-        hits = hits.unionByName(alone(kept, F.col("_window")))
+        mine = clauses.filter(single & F.col("_window")).select("path", "metric", *rule, operand)
+        state = kept.join(mine, ["path", "metric"]).withColumn("_state", _states(item, F.col("o")))
+        hits = hits.unionByName(state.filter(F.col("_state.ready") & F.col("_state.held")).select(*rule, *TICK))
     if not any(r["several"] for r in shapes):
         return hits
     used = metrics(~single)

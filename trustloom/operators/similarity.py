@@ -43,8 +43,10 @@ def vocabulary(rules: DataFrame, tokens: Column, max_terms: int | None = None) -
 
 def text_vectors(rows: DataFrame, key: str, tokens: Column, terms: DataFrame) -> DataFrame:
     """``key, nos, weights``: TF-IDF of unit length per row, rarest terms first. Rows without a known term are left out."""
-    counted = rows.select(key, F.explode(term_counts(tokens)).alias("t")).select(key, "t.term", "t.tf")
-    weighted = counted.join(terms, "term").select(key, F.struct("df", "no", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
+    # Words meet the vocabulary one by one and are counted by number, so only known terms are shuffled, as numbers.
+    counted = (rows.select(key, F.explode(tokens).alias("term")).join(terms, "term")
+               .groupBy(key, "no", "df", "idf").agg(F.count(F.lit(1)).alias("tf")))
+    weighted = counted.select(key, F.struct("df", "no", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
     ordered = weighted.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))  # at most one entry per term of the text
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
     return ordered.withColumn("norm", norm).select(
