@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trustloom.operators.knowledge import ntriples
+from trustloom.session import folder_names, staged
 
 
 def append_snapshots(snapshots: DataFrame, path: str) -> None:
@@ -60,10 +61,15 @@ def write_triples(rows: DataFrame, prefixes: Mapping[str, str], path: str) -> No
 
 
 def load_graph(nodes: DataFrame, edges: DataFrame, path: str, replace: bool = False) -> None:
-    """Write node and edge tables; ``replace`` wipes the stored graph first."""
-    mode = "overwrite" if replace else "append"
-    nodes.write.mode(mode).parquet(f"{path}/kg_nodes")
-    edges.write.mode(mode).parquet(f"{path}/kg_edges")
+    """Write node and edge tables. ``replace`` wipes the stored graph first; else nodes and edges that are stored already, by URI and
+    by source, relation and target, are not written again."""
+    spark = nodes.sparkSession
+    for name, rows, keys in (("kg_nodes", nodes, ["uri"]), ("kg_edges", edges, ["src", "rel", "dst"])):
+        target = f"{path}/{name}"
+        fresh = rows.dropDuplicates(keys)
+        if not replace and name in folder_names(spark, path):
+            fresh = staged(fresh.join(spark.read.parquet(target).select(*keys), keys, "left_anti").select(*rows.columns), "graph")
+        fresh.write.mode("overwrite" if replace else "append").parquet(target)
 
 
 def append_feedback(lines: DataFrame, path: str) -> None:
