@@ -170,6 +170,7 @@ def line_index(lines: DataFrame, min_docs: int, shard_keys: int, copy_probes: in
 
 def frequent_lines(lines: DataFrame, min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS, copy_probes: int = COPY_PROBES) -> DataFrame:
     """The probes ``h1, id, mark`` that hit a frequent key whose largest id is another one."""
+    lines = staged(lines, "lines")  # hashed once, read for the counts, their total and the probes
     index, shards = line_index(lines, min_docs, shard_keys, copy_probes)
     lines = lines.withColumn("shard", F.pmod(F.shiftrightunsigned("h1", 20), F.lit(shards)))
     # One short row per SHARD_KEYS frequent keys is broadcast.
