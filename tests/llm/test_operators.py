@@ -474,7 +474,7 @@ def test_digest_columns(spark):
     import __spark_entry__ as entry
     folder = "/root/testdata/sf0.001"
     names = [n for n in entry.queries() if n.startswith("op") and n[2].isdigit() or n == "pipeline"]
-    assert len(names) == 11
+    assert len(names) == 14
     docs = spark.read.parquet(f"{folder}/documents.parquet").count()
     for name in ("op2_line_dedup", "op4_substring_dedup", "op6_linked_secrets"):
         rows = entry.queries()[name](spark, folder).collect()
