@@ -12,7 +12,9 @@ FOLDER = "/root/testdata/sf0.001"
 SOME = ("ring_mean change_only trust_time_range dimension_trust latency_stats rule_set symptom_intervals "
         "health_rollup_quadratic child_reconcile subservice_bags snapshot_trust_keyed malformed_messages "
         "process_counts disk_busy interface_attributes service_grouping add_middlebox catalog_match tfidf_cosine "
-        "dense_cosine_topk query_augmentation trust_strict deep_rollup rule_gate triples kg_nodes stream_trust").split()
+        "dense_cosine_topk query_augmentation trust_strict deep_rollup rule_gate triples kg_nodes stream_trust "
+        "hybrid_topk catalog_match_open preorder graph_document vm_metrics disk_metrics typed_metrics full_mapping masked_scores "
+        "shipped_rules_on_lineitem stream_after_batch stream_on_change stream_sample").split()
 
 
 def test_every_sql_has_a_query():
