@@ -18,12 +18,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from trustloom.functions.hof import let
 from trustloom.functions.text import term_counts
 from trustloom.session import staged
 
 BLOCK_RULES = 4_096
 GROUP_QUERIES = 1 << 15
 QUERY_ROWS = 256
+POSTINGS = 1 << 20
 SLACK = 1e-9
 
 
@@ -47,10 +49,13 @@ def text_vectors(rows: DataFrame, key: str, tokens: Column, terms: DataFrame) ->
     counted = (rows.select(key, F.explode(tokens).alias("term")).join(terms, "term")
                .groupBy(key, "no", "df", "idf").agg(F.count(F.lit(1)).alias("tf")))
     weighted = counted.select(key, F.struct("df", "no", (F.col("tf") * F.col("idf")).alias("w")).alias("e"))
-    ordered = weighted.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))  # at most one entry per term of the text
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
-    return ordered.withColumn("norm", norm).select(
-        key, F.transform("e", lambda e: e["no"]).alias("nos"), F.transform("e", lambda e: e["w"] / F.col("norm")).alias("weights"))
+
+    def unit(entries: Column) -> Column:
+        norm = F.sqrt(F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + e["w"] * e["w"]))
+        return let(norm, lambda n: F.struct(F.transform(entries, lambda e: e["no"]).alias("nos"), F.transform(entries, lambda e: e["w"] / n).alias("weights")))
+    # At most one entry per term of the text. The length is bound: named in a lambda it would be computed again for every entry.
+    ordered = weighted.groupBy(key).agg(F.array_sort(F.collect_list("e")).alias("e"))
+    return ordered.select(key, let(F.col("e"), unit).alias("v")).select(key, "v.nos", "v.weights")
 
 
 def dense_vectors(rows: DataFrame, key: str) -> DataFrame:
@@ -64,11 +69,13 @@ def hybrid_vectors(texts: DataFrame, dense: DataFrame, key: str) -> DataFrame:
     both = dense.join(texts, key, "left")
     weights = F.coalesce("weights", F.array().cast("array<double>"))
     vector = F.transform("vector", lambda x: x.cast("double"))
-    squares = F.aggregate(F.concat(weights, vector), F.lit(0.0), lambda acc, x: acc + x * x)
-    rows = both.select(key, F.coalesce("nos", F.array().cast("array<bigint>")).alias("nos"), weights.alias("w"), vector.alias("v"),
-                       F.when(squares > 0, F.sqrt(squares)).otherwise(1.0).alias("norm"))
-    return rows.select(key, "nos", F.transform("w", lambda x: x / F.col("norm")).alias("weights"),
-                       F.transform("v", lambda x: x / F.col("norm")).alias("vector"))
+
+    def unit(w: Column, v: Column) -> Column:
+        squares = F.aggregate(F.concat(w, v), F.lit(0.0), lambda acc, x: acc + x * x)
+        norm = let(squares, lambda q: F.when(q > 0, F.sqrt(q)).otherwise(1.0))
+        return let(norm, lambda n: F.struct(F.transform(w, lambda x: x / n).alias("weights"), F.transform(v, lambda x: x / n).alias("vector")))
+    rows = both.select(key, F.coalesce("nos", F.array().cast("array<bigint>")).alias("nos"), let(weights, lambda w: let(vector, lambda v: unit(w, v))).alias("u"))
+    return rows.select(key, "nos", "u.weights", "u.vector")
 
 
 class RuleBlock:
@@ -100,35 +107,43 @@ class RuleBlock:
         no, weight = nos.flatten().to_numpy(), weights.flatten().to_numpy()
         column = np.minimum(np.searchsorted(self.known, no), max(0, len(self.known) - 1))
         held = self.known[column] == no if len(self.known) else np.zeros(len(no), bool)
-        base = None if self.dense is None else stacked(vectors) @ self.dense.T
-        ends = np.cumsum(sizes)
+        owner, column, weight = np.repeat(np.arange(len(sizes)), sizes)[held], column[held], weight[held]
+        sums = np.zeros((len(sizes), n)) if self.dense is None else np.ascontiguousarray(stacked(vectors) @ self.dense.T)
+        self._add_postings(sums, owner, column, weight)
+        ends = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        met = (sums > 0) & (sums + self.rest >= self.bound - SLACK) if self.bound else np.ones(sums.shape, bool)
         full, out = np.zeros(len(self.known)), []
-        for q, (a, b) in enumerate(zip(ends - sizes, ends)):
-            own, w = column[a:b][held[a:b]], weight[a:b][held[a:b]]
-            sums = np.zeros(n) if base is None else base[q]
-            for c, x in zip(own.tolist(), w.tolist()):
-                first, last = self.starts[c], self.starts[c + 1]
-                if first < last:
-                    sums[self.rows[first:last]] += x * self.values[first:last]
+        for q in np.flatnonzero(met.any(axis=1)).tolist():
+            own, w, scores, rows = column[ends[q]:ends[q + 1]], weight[ends[q]:ends[q + 1]], sums[q], np.flatnonzero(met[q])
             if self.bound:
-                rows = np.flatnonzero((sums > 0) & (sums + self.rest >= self.bound - SLACK))
-                if len(rows):
-                    full[own] = w
-                    first, count = self.rest_starts[rows], self.rest_starts[rows + 1] - self.rest_starts[rows]
-                    at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
-                    sums[rows] += np.bincount(np.repeat(np.arange(len(rows)), count), full[self.rest_column[at]] * self.rest_value[at], minlength=len(rows))
-                    full[own] = 0.0
-            else:
-                rows = np.arange(n)
+                full[own] = w
+                first, count = self.rest_starts[rows], self.rest_starts[rows + 1] - self.rest_starts[rows]
+                at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+                scores[rows] += np.bincount(np.repeat(np.arange(len(rows)), count), full[self.rest_column[at]] * self.rest_value[at], minlength=len(rows))
+                full[own] = 0.0
             if min_score is not None:
-                rows = rows[sums[rows] >= min_score]
+                rows = rows[scores[rows] >= min_score]
             if k is not None and len(rows) > k:
                 # Scores that are equal but for rounding may be ordered by the caller after rounding: keep those at the border.
-                least = np.partition(sums[rows], len(rows) - k)[len(rows) - k]
-                rows = rows[sums[rows] >= least - 1e-6]
-            out.append((np.full(len(rows), q), rows, sums[rows]))
+                least = np.partition(scores[rows], len(rows) - k)[len(rows) - k]
+                rows = rows[scores[rows] >= least - 1e-6]
+            out.append((np.full(len(rows), q), rows, scores[rows]))
         return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 2 + (np.zeros(0),)
 
+    def _add_postings(self, sums: np.ndarray, owner: np.ndarray, column: np.ndarray, weight: np.ndarray) -> None:
+        """Add what the queries' terms meet in the postings, in pieces of bounded size."""
+        n, cells = sums.shape[1], sums.reshape(-1)
+        counts = self.starts[column + 1] - self.starts[column]
+        upto = np.cumsum(counts)
+        first = 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + POSTINGS, "right")))
+            c, q, m = column[first:last], owner[first:last], counts[first:last]
+            at = np.arange(m.sum()) + np.repeat(self.starts[c] - np.cumsum(m) + m, m)
+            low, high = q[0] * n, (q[-1] + 1) * n
+            cells[low:high] += np.bincount(np.repeat(q * n - low, m) + self.rows[at], np.repeat(weight[first:last], m) * self.values[at], minlength=high - low)
+            first = last
+
 
 def stacked(vectors: pa.Array) -> np.ndarray:
     """Dense parts as a matrix; all have one length."""
