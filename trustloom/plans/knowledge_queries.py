@@ -70,7 +70,8 @@ def full_mapping(spark, folder):
         entries = [x for i, name in enumerate(fields) for x in (F.lit(name), F.when((key + i) % 6 != 0, F.concat(F.lit(name), (key % 50).cast("string"))))]
         return F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull())
     records = F.array(*[F.struct(F.lit(concept).alias("concept"), record(fields).alias("record")) for concept, fields in _concept_fields().items()])
-    rows = table(spark, folder, "customer").select(F.explode(records).alias("r")).select("r.concept", "r.record")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a file of keys is small, its triples are not
+    rows = table(spark, folder, "customer").repartition(parts, "c_custkey").select(F.explode(records).alias("r")).select("r.concept", "r.record")
     return knowledge.triples(rows, knowledge.mapping_table(spark), BASE).unionByName(knowledge.fixed_instances(spark, BASE))
 
 
