@@ -194,10 +194,11 @@ def subservice_bags(nodes: DataFrame, scores: DataFrame, symptoms: DataFrame,
                  F.col("name").alias("label"),
                  F.col("ts").cast("string").alias("start-date-time")).alias("sym"))
     items = deps.unionByName(syms)
+    # Only nodes with several pages are looked up: they are few, and the items need not be sorted for it.
     pages = items.groupBy(*keys, "fullname").agg(
-        F.ceil(F.count(F.lit(1)) / F.lit(page_rows)).alias("pages"))
-    paged = items.join(pages, [*keys, "fullname"]).withColumn(
-        "page", F.when(F.col("pages") <= 1, F.lit(0)).otherwise(
+        F.ceil(F.count(F.lit(1)) / F.lit(page_rows)).alias("pages")).filter("pages > 1")
+    paged = items.join(pages, [*keys, "fullname"], "left").withColumn(
+        "page", F.when(F.col("pages").isNull(), F.lit(0)).otherwise(
             F.pmod(F.xxhash64("_id"), F.col("pages"))).cast("int"))
     lists = paged.groupBy(*keys, "fullname", "page").agg(
         F.array_sort(F.collect_list("dep")).alias("dependencies"),
