@@ -74,3 +74,14 @@ def test_model_scores_are_read_line_by_line(spark):
     got = {(r["query_id"], r["rule_id"]): r["score"] for r in recommend.parse_model_scores(rows).collect()}
     assert got == {(1, "r1"): 0.6, (1, "r3"): 1.0, (1, "r40"): 0.7}
     assert {r["rule_id"] for r in recommend.parse_model_scores(rows, max_rule=33).collect()} == {"r1", "r3"}
+
+
+def test_postings_are_added_in_pieces_of_any_size(sides, monkeypatch):
+    rows, asked = (side.toArrow().combine_chunks() for side in (sides[1], sides[0]))
+    block = similarity.RuleBlock(*[rows.column(c).combine_chunks() for c in ("rule_id", "nos", "weights")], None, 0.3)
+    found = []
+    for most in (1, 7, 1 << 20):
+        monkeypatch.setattr(similarity, "POSTINGS", most)
+        q, r, score = block.pairs(*[asked.column(c).combine_chunks() for c in ("nos", "weights")], None, 0.3, None)
+        found.append(sorted(zip(q.tolist(), r.tolist(), score.round(9).tolist())))
+    assert found[0] == found[1] == found[2] and found[0]
