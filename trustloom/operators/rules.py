@@ -7,7 +7,12 @@ of rules; rules then meet the samples in their rows. Only rules that combine met
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import math
+from collections.abc import Sequence
+from functools import reduce
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trustloom.functions.hof import let
@@ -21,6 +26,8 @@ from trustloom.session import staged
 
 SAMPLES_PER_MIN = 20
 TICK = ("host", "path", "entity", "ts", "seq")
+# Rules of at most this many clauses are decided by one plain expression.
+FLAT_CLAUSES = 4
 
 # The shipped rules as name | path | severity | rule.
 SHIPPED_RULES = """
@@ -240,16 +247,35 @@ def _states(item: Column, operand: Column) -> Column:
 OPERAND = ("role", "metric", "dynamicity", "n", "op", "rhs_num", "rhs_str")
 
 
-def rule_hits(samples: DataFrame, clauses: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+class Metric(NamedTuple):
+    """A column of wide samples (``host, ts, seq`` and a column per metric) and the series it holds: numbers, or texts if ``vtype`` is ``str``."""
+
+    column: str
+    path: str
+    entity: str
+    metric: str
+    vtype: str
+    counter: int
+
+
+def _stored_clauses(clauses: DataFrame) -> DataFrame:
+    """The clauses of valid rules with weight, number of operands and whether they look back."""
+    clauses = clauses.filter("valid").withColumn("_operands", F.count(F.lit(1)).over(Window.partitionBy("rule_id")))
+    return staged(clauses.withColumns({"weight": severity_weight(F.col("severity")), "_window": (F.col("n") > 1) | F.col("dynamicity")}), "clauses")
+
+
+def rule_hits(samples: DataFrame, clauses: DataFrame, chunk_rows: int = CHUNK_ROWS, layout: Sequence[Metric] = ()) -> DataFrame:
     """Ticks at which a rule fires: ``rule_id, name, severity, weight`` plus host, path, entity, ts, seq.
 
-    The metrics of one entity are sampled at the same ticks. Rules of one operand are decided in the sample's row; the samples of
-    other rules' metrics are gathered per tick once, and all these rules are decided in the tick's row. Neither shuffle grows with
-    the number of rules. No valid rule gives no rows.
+    ``samples`` has a row per sample; with a ``layout`` it has a row per tick of a host and the columns that the layout names, each of
+    which is a sample of the tick (see :func:`_wide_hits`). The metrics of one entity are sampled at the same ticks. Rules of one operand
+    are decided in the sample's row; the samples of other rules' metrics are gathered per tick once, and all these rules are decided in the
+    tick's row. Neither shuffle grows with the number of rules. No valid rule gives no rows.
     """
+    clauses = _stored_clauses(clauses)
+    if layout:
+        return _wide_hits(samples, layout, clauses, chunk_rows)
     samples = typed(samples)
-    clauses = clauses.filter("valid").withColumn("_operands", F.count(F.lit(1)).over(Window.partitionBy("rule_id")))
-    clauses = staged(clauses.withColumns({"weight": severity_weight(F.col("severity")), "_window": (F.col("n") > 1) | F.col("dynamicity")}), "clauses")
     shapes = clauses.groupBy("n", "dynamicity", (F.col("op") == "!=").alias("unequal"), F.col("rhs_num").isNotNull().alias("number")).agg(
         F.bool_or(F.col("_operands") > 1).alias("several")).collect()  # a few window lengths
     steady: dict[int, set[str]] = {}
@@ -287,6 +313,144 @@ def rule_hits(samples: DataFrame, clauses: DataFrame, chunk_rows: int = CHUNK_RO
     return hits.unionByName(_combined(items, clauses.filter(~single), rule))
 
 
+def _combination(sign: Column, a: Column, b: Column) -> Column:
+    """Both operands of a transform as one number; without a sign the first."""
+    return (F.when(sign == "+", a + b).when(sign == "-", a - b)
+            .when(sign == "/", F.when(b == 0, F.lit(0.0)).otherwise(a / b)).otherwise(a))
+
+
+def _wide_hits(ticks: DataFrame, layout: Sequence[Metric], clauses: DataFrame, chunk_rows: int) -> DataFrame:
+    """:func:`rule_hits` over wide samples: the sides of clauses are items of an array in the tick's row, in which all rules are decided.
+
+    The windows of all series are taken in one pass over the ticks of a host, and each only for what the rules on its metric ask. No sample
+    is a row of its own; a tick meets the rules of the layout's paths by a join without a key, and only hits come out of it. A side is
+    what stands before a number in a clause; the plan grows with the different sides, not with the numbers that rules compare them with.
+    """
+    if len({m[1:4] for m in layout}) < len(layout):
+        raise ValueError("a layout names a series twice")
+    series = local_table(ticks.sparkSession, [m[1:4] for m in layout], "path string, entity string, metric string")
+    rule, places = ["path", "entity", "rule_id", "name", "severity", "weight", "joiner"], series.select("path", "entity").distinct()
+    operand, count = F.struct("metric", "dynamicity", "n"), F.first("operands")
+    # Clauses at each entity of their path; one with an operand that the layout lacks is never met.
+    parts = (clauses.join(places, "path").join(series.withColumn("known", F.lit(1)), ["path", "entity", "metric"], "left").groupBy(*rule, "clause_no")
+             .agg(*[F.first(c).alias(c) for c in ("clauses", "transform", "op", "rhs_num", "rhs_str")],
+                  *[F.max(F.when(F.col("role") == role, operand)).alias(role) for role in "abr"],
+                  ((count == 1) & ~F.bool_or("dynamicity")).alias("plain"), (F.count(F.lit(1)) == count).alias("whole"), (F.count("known") == count).alias("known"))
+             .filter("whole AND known"))
+    word, window = F.when(F.col("plain"), F.col("rhs_str")), F.col("plain") & (F.col("a.n") > 1)
+    ask = F.when(word.isNotNull(), F.col("op")).when(window, F.when(F.col("op").isin("<", "<="), "<").when(F.col("op").isin(">", ">="), ">").otherwise(F.col("op")))
+    about = ["path", "entity", "plain", "transform", "a", "b", "r", "ask", "word"]
+    parts = staged(parts.withColumns({"ask": ask, "word": word}).withColumn("side", F.to_json(F.struct(*about))), "parts")
+    asked = parts.groupBy("side").agg(*[F.first(c).alias(c) for c in about], F.max("clauses").alias("clauses")).collect()  # sides, not rules
+    states, spots = _wide_states(ticks, layout, asked, chunk_rows)
+    coded = F.col("word").isNotNull() | F.col("r").isNotNull()  # sides that are compared with 0
+    op, number = F.when(F.col("word").isNotNull(), "==").otherwise(F.col("op")), F.when(coded, 0.0).otherwise(F.col("rhs_num"))
+    wanted = parts.join(spots, "side").groupBy(*rule).agg(F.collect_list(F.struct(
+        *[op.isin(*ops).alias(name) for name, ops in (("less", ("<", "<=", "!=")), ("same", ("<=", "==", ">=")), ("more", (">", ">=", "!=")))],
+        number.alias("number"), F.when(number.isNotNull(), F.col("item")).alias("item"), "list")).alias("parts"), F.first("clauses").alias("clauses"))
+    wanted = staged(wanted.withColumn("enough", F.when(F.col("joiner") == "or", 1).otherwise(F.col("clauses"))).filter(
+        F.size("parts") >= F.col("enough")), "rules")
+
+    def fires(part: dict[str, Column]) -> Column:
+        """True, or else false or NULL."""
+        left, right = F.get("_items", part["item"]), part["number"]
+        held = F.when(left < right, part["less"]).when(left == right, part["same"]).when(left.isNotNull(), part["more"])
+        return held | ~F.array_contains(F.get("_lists", part["list"]), right) if "_lists" in states.columns else held
+    names, most = wanted.schema["parts"].dataType.elementType.fieldNames(), max([1, *[r["clauses"] for r in asked]])
+    if most > FLAT_CLAUSES:
+        flat, fired = wanted, F.size(F.filter("parts", lambda part: fires({c: part[c] for c in names})))
+    else:
+        flat = wanted.select(*rule, "enough", *[F.get("parts", F.lit(i))[c].alias(f"_{i}_{c}") for i in range(most) for c in names])
+        fired = sum((F.when(fires({c: F.col(f"_{i}_{c}") for c in names}), 1).otherwise(0) for i in range(most)), F.lit(0))
+    return states.join(flat, fired >= F.col("enough")).select("rule_id", "name", "severity", "weight", *TICK)
+
+
+def _wide_states(ticks: DataFrame, layout: Sequence[Metric], asked: Sequence[Row], chunk_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Ticks with the value of every asked side in ``_items``, and a table of the place that a ``side`` has in it (``item``).
+
+    Of a window ``<`` asks the greatest value, ``>`` the least and ``==`` the one that all have; for ``!=`` all are in ``_lists``
+    (``list``). A side against another metric is -1, 0 or 1, as it is less, equal or greater, and one that compares with a word is 0 where
+    it holds. An item is NULL where a series is shorter than the window or a value is missing.
+    """
+    columns = {m[1:4]: m for m in layout}
+
+    def operand(r: Row, role: str) -> tuple[Metric, int, bool]:
+        return columns[r["path"], r["entity"], r[role]["metric"]], r[role]["n"], r[role]["dynamicity"]
+    operands = {operand(r, role) for r in asked for role in "abr" if r[role]}
+    cut = split_series(ticks, ["host"], ("ts", "seq"), max([1, *[n for _, n, _ in operands]]) + 1, chunk_rows)
+    w = Window.partitionBy("host", "_chunk").orderBy("ts", "seq")
+
+    def recent(n: int):
+        return w.rowsBetween(-(n - 1), 0)
+    steps = {f"_step_{m.column}": F.coalesce((F.lag(m.column).over(w) != F.col(m.column)).cast("int"), F.lit(0))
+             for m, _, dynamic in operands if dynamic and m.vtype == "str"}
+    # The extremes of n rows are those of some shorter runs that cover them, so their cost grows with the root of n.
+    runs: dict[str, Column] = {}
+    backs: dict[str, Column] = {}
+
+    def extreme(m: Metric, n: int, pick: str) -> Column:
+        size = math.isqrt(n)
+        run, value = f"_{pick}_{n}_{m.column}", F.col(m.column)
+        runs[run] = F.when(F.count(value).over(recent(size)) == size, (F.max if pick == "most" else F.min)(value).over(recent(size)))
+        offsets = [*range(0, n - size, size), n - size]
+        backs.update({f"{run}_{o}": F.lag(run, o).over(w) for o in offsets})
+        ends = [F.col(f"{run}_{o}") for o in offsets]
+        return F.when(reduce(Column.__and__, [e.isNotNull() for e in ends]), (F.greatest if pick == "most" else F.least)(*ends))
+    none = F.lit(None).cast("double")
+
+    def moved(m: Metric, n: int) -> Column:
+        if m.vtype == "str":
+            return ((F.sum(f"_step_{m.column}").over(w.rowsBetween(-(n - 2), 0)) if n > 1 else F.lit(0)) > 0).cast("double")
+        value = F.col(m.column)
+        if m.counter:
+            change = value - F.coalesce(F.lag(value, n).over(w), F.lag(value, n - 1).over(w) if n > 1 else value)
+            return half_even(change, 2) if m.vtype == "float" else change
+        mean = F.avg(value).over(recent(n)) if n > 1 else value
+        return half_even(mean, 2) if m.vtype == "float" else mean.cast("bigint").cast("double")
+
+    def feature(r: Row, role: str) -> Column:
+        """A number to calculate with."""
+        if not r[role]:
+            return none
+        m, n, dynamic = operand(r, role)
+        if dynamic:
+            return F.when(F.col("_len") >= n, moved(m, n))
+        return none if n > 1 or m.vtype == "str" else F.col(m.column)
+
+    def item(r: Row) -> Column:
+        if not r["plain"]:
+            left, right = _combination(F.lit(r["transform"]), feature(r, "a"), feature(r, "b")), feature(r, "r")
+            return F.when(left < right, -1.0).when(left == right, 0.0).when(left > right, 1.0) if r["r"] else left
+        m, n, _ = operand(r, "a")
+        value, ask, word = F.col(m.column), r["ask"], r["word"]
+        if (m.vtype == "str") != (word is not None):
+            return none
+        if n == 1:
+            return F.when(compare(F.lit(ask), value, F.lit(word)), 0.0) if word is not None else value
+        if word is not None and ask == "!=":
+            every = F.collect_list(value).over(recent(n))
+            return F.when((F.size(every) == n) & ~F.array_contains(every, word), 0.0)
+        least, most = (extreme(m, n, pick) if ask[0] in asks else None for pick, asks in (("least", ">="), ("most", "<=")))
+        if word is None:
+            return most if least is None else least if most is None else F.when(least == most, least)
+        ends = [compare(F.lit(ask), end, F.lit(word)) for end in (least, most) if end is not None]
+        return F.when(reduce(Column.__and__, ends), 0.0)
+    items, lists, spots = [], [], []
+    for r in asked:
+        listed = r["plain"] and r["ask"] == "!=" and r["word"] is None
+        if listed:
+            m, n, _ = operand(r, "a")
+            every = F.collect_list(m.column if m.vtype != "str" else none).over(recent(n))
+            lists.append(F.when(F.size(every) == n, every))
+        else:
+            items.append(item(r))
+        spots.append((r["side"], None if listed else len(items) - 1, len(lists) - 1 if listed else None))
+    rows = cut.withColumns({**steps, **runs, "_len": F.row_number().over(w)}).withColumns(backs)
+    arrays = {"_items": (items, "double")} | ({"_lists": (lists, "array<double>")} if lists else {})
+    states = rows.select("host", "ts", "seq", "_chunk", "_halo", *[F.array(*x).cast(f"array<{kind}>").alias(name) for name, (x, kind) in arrays.items()])
+    return drop_halo(states), local_table(ticks.sparkSession, spots, "side string, item int, list int")
+
+
 def _combined(items: DataFrame, clauses: DataFrame, rule: list[str]) -> DataFrame:
     """Rules of several operands, decided in the row of a tick, which holds one entry per metric of the entity."""
     ticks = items.groupBy(*TICK).agg(F.collect_list(F.struct("metric", "v_num", "v_str", "over", "moves")).alias("items"))
@@ -304,10 +468,7 @@ def _combined(items: DataFrame, clauses: DataFrame, rule: list[str]) -> DataFram
         def decided(states: Column) -> Column:
             def side(role: str) -> Column:
                 return F.get(F.filter(states, lambda x: x["role"] == role), F.lit(0))["feature"]
-            a, b, sign = side("a"), side("b"), clause["transform"]
-            left = (F.when(sign == "+", a + b).when(sign == "-", a - b)
-                    .when(sign == "/", F.when(b == 0, F.lit(0.0)).otherwise(a / b)).otherwise(a))
-            computed = compare(clause["op"], left, F.coalesce(clause["rhs_num"], side("r")))
+            computed = compare(clause["op"], _combination(clause["transform"], side("a"), side("b")), F.coalesce(clause["rhs_num"], side("r")))
             plain = (clause["operands"] == 1) & ~clause["moving"]
             return (F.size(states) == clause["operands"]) & F.when(plain, F.forall(states, lambda x: x["held"])).otherwise(F.coalesce(computed, F.lit(False)))
         return let(F.filter(F.transform(clause["o"], stated), lambda x: x.isNotNull() & x["ready"]), decided)
